@@ -10,6 +10,7 @@ ORACLE: dict[str, str] = {}
 
 _MODULES = (
     "matchspark.plans.q_search",
+    "matchspark.plans.q_rank",
 )
 
 

@@ -72,3 +72,31 @@ def title_topk_cte(name: str, k: int, exclude_self: bool = False, queries: str =
                 ORDER BY {cos('q.title_vec', 'c.title_vec')} DESC, c.{iid}) AS INTEGER) AS rnk
     FROM {queries} q JOIN {corpus} c ON {present('q.title_vec')} AND {present('c.title_vec')} {cond}
   ) WHERE rnk <= {k})"""
+
+
+def cascade_ctes(k1: int, k2: int, k3: int) -> list[str]:
+    """r1 (title), r2 (experience vs requirements), r3 (skills) with previous-rank tie breaks."""
+    s2 = defaulted("c.experience_vec", "j.requirement_vec")
+    s3 = defaulted("c.skills_vec", "j.skills_vec")
+    return [
+        title_topk_cte("r1", k1),
+        f"""r2 AS (
+  SELECT * FROM (
+    SELECT q_id, i_id, rnk AS r1, s2,
+           CAST(row_number() OVER (PARTITION BY q_id ORDER BY s2 DESC, rnk) AS INTEGER) AS rnk2
+    FROM (SELECT r1.*, {s2} AS s2 FROM r1
+          JOIN main_cv c ON c.cv_id = r1.q_id JOIN active_job j ON j.job_id = r1.i_id))
+  WHERE rnk2 <= {k2})""",
+        f"""r3 AS (
+  SELECT * FROM (
+    SELECT q_id, i_id, rnk2, s3,
+           CAST(row_number() OVER (PARTITION BY q_id ORDER BY s3 DESC, rnk2) AS INTEGER) AS rnk3
+    FROM (SELECT r2.*, {s3} AS s3 FROM r2
+          JOIN main_cv c ON c.cv_id = r2.q_id JOIN active_job j ON j.job_id = r2.i_id))
+  WHERE rnk3 <= {k3})""",
+    ]
+
+
+def cascade_sql(k1: int, k2: int, k3: int) -> str:
+    return with_views(*cascade_ctes(k1, k2, k3)) + """
+SELECT q_id AS cv_id, i_id AS job_id, round(s3, 6) AS similarity, rnk3 AS rank FROM r3"""
