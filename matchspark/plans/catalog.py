@@ -11,6 +11,7 @@ ORACLE: dict[str, str] = {}
 _MODULES = (
     "matchspark.plans.q_search",
     "matchspark.plans.q_rank",
+    "matchspark.plans.q_content",
 )
 
 
