@@ -12,6 +12,7 @@ _MODULES = (
     "matchspark.plans.q_search",
     "matchspark.plans.q_rank",
     "matchspark.plans.q_content",
+    "matchspark.plans.q_publish",
 )
 
 
