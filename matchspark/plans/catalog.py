@@ -13,6 +13,7 @@ _MODULES = (
     "matchspark.plans.q_rank",
     "matchspark.plans.q_content",
     "matchspark.plans.q_publish",
+    "matchspark.plans.q_ingest",
 )
 
 
