@@ -78,30 +78,27 @@ def extract_skills(text, dictionary: list[str], limit: int = 20) -> Column:
 
     Entries of at most 2 characters must stand as whole words; longer ones match as plain
     lower-case substrings ("java" is found inside "javascript"). Duplicate entries count once.
-    The dictionary is inlined (bounded by its own size), so no join with the text rows.
+    The dictionary is inlined as one test per entry (bounded by the dictionary's own size), so
+    there is no join with the text rows; the text is lower-cased once per row.
     """
     seen, entries = set(), []
     for s in dictionary:
         if s not in seen:
             seen.add(s)
             entries.append(s)
-    t = F.lower(F.coalesce(_c(text), F.lit("")))
-    long_ = [(i, s) for i, s in enumerate(entries) if len(s) > 2]
-    short = [(i, s) for i, s in enumerate(entries) if len(s) <= 2]
-    parts = []
-    if long_:
-        arr = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(s).alias("skill"), F.lit(s.lower()).alias("low"))
-                        for i, s in long_])
-        parts.append(F.transform(F.filter(arr, lambda d: F.instr(t, d["low"]) > 0),
-                                 lambda d: F.struct(d["pos"].alias("pos"), d["skill"].alias("skill"))))
-    if short:
-        hits = [F.when(t.rlike(word_pattern(s.lower())),
-                       F.struct(F.lit(i).alias("pos"), F.lit(s).alias("skill"))) for i, s in short]
-        parts.append(F.filter(F.array(*hits), lambda x: x.isNotNull()))
-    if not parts:
+    if not entries:
         return F.array().cast("array<string>")
-    found = F.array_sort(F.concat(*parts) if len(parts) > 1 else parts[0])
-    return F.slice(F.transform(found, lambda x: x["skill"]), 1, limit)
+    def scan(t: Column) -> Column:
+        hits = []
+        for s in entries:
+            low = s.lower()
+            test = t.rlike(word_pattern(low)) if len(s) <= 2 else (F.instr(t, F.lit(low)) > 0)
+            hits.append(F.when(test, F.lit(s)))
+        return F.slice(F.filter(F.array(*hits), lambda x: x.isNotNull()), 1, limit)
+
+    # Bind the lower-cased text once per row (lambda variable), then run every entry test on it.
+    lowered = F.array(F.lower(F.coalesce(_c(text), F.lit(""))))
+    return F.element_at(F.transform(lowered, scan), 1)
 
 
 def map_enum(value, mapping: dict[str, str], default: str | None = None) -> Column:
@@ -139,7 +136,7 @@ def _fold_table() -> tuple[str, str]:
 
 
 FOLD_SRC, FOLD_DST = _fold_table()
-MN_CLASS = "[" + _ranges([i for i in range(0x10000) if unicodedata.category(chr(i)) == "Mn"]) + "]"
+MN_CLASS = r"\p{Mn}"  # Unicode general category "nonspacing mark"
 
 
 def strip_accents(c) -> Column:

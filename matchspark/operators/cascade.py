@@ -6,6 +6,9 @@ vector fields (shuffle joins on the ids; AQE broadcasts a side that is small at
 and ranked by a window per CV, each CV holding at most K1 rows, so no window partition
 grows with the data.
 
+Field vectors are L2-normalised once per entity before the candidate join, so a round costs
+one JVM-side dot product per candidate pair (not a dot product and two norms).
+
 Field score with missing data: CV side absent -> 0.3 (tested first), else job side absent
 -> 0.5, else cosine. Ties keep the previous round's order (rank columns ``r1``/``r2``); the
 result's similarity is the last round's score only.
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.functions.vector import defaulted_similarity
+from matchspark.functions.vector import defaulted_unit_similarity, unit_or_null
 from matchspark.operators import ivf as ivf_ops
 from matchspark.operators.topk import exact_top_k, rank_top_k
 
@@ -46,17 +49,18 @@ def cascade(cvs: DataFrame, jobs: DataFrame, *, k1: int = 1000, k2: int = 100, k
     if rounds == 1:
         return rank_top_k(c1, "cv_id", "job_id", "title_sim", k3, tie_cols=["r1"]) \
             .select("cv_id", "job_id", F.col("title_sim").alias("similarity"), "rank")
-    cv_f = cvs.select("cv_id", F.col("experience_vec").alias("cv_exp"), F.col("skills_vec").alias("cv_skl"))
-    job_f = jobs.select("job_id", F.col("requirement_vec").alias("job_req"),
-                        F.col("skills_vec").alias("job_skl"))
+    cv_f = cvs.select("cv_id", unit_or_null("experience_vec").alias("cv_exp"),
+                      unit_or_null("skills_vec").alias("cv_skl"))
+    job_f = jobs.select("job_id", unit_or_null("requirement_vec").alias("job_req"),
+                        unit_or_null("skills_vec").alias("job_skl"))
     # Unknown job ids (not among the jobs) are dropped by the inner join.
     c = c1.join(cv_f, "cv_id").join(job_f, "job_id")
-    c2 = rank_top_k(c.withColumn("exp_sim", defaulted_similarity("cv_exp", "job_req")),
+    c2 = rank_top_k(c.withColumn("exp_sim", defaulted_unit_similarity("cv_exp", "job_req")),
                     "cv_id", "job_id", "exp_sim", k2 if rounds == 3 else k3, rank_col="r2",
                     tie_cols=["r1"])
     if rounds == 2:
         return c2.select("cv_id", "job_id", F.col("exp_sim").alias("similarity"), F.col("r2").alias("rank"))
-    c3 = rank_top_k(c2.withColumn("skill_sim", defaulted_similarity("cv_skl", "job_skl")),
+    c3 = rank_top_k(c2.withColumn("skill_sim", defaulted_unit_similarity("cv_skl", "job_skl")),
                     "cv_id", "job_id", "skill_sim", k3, tie_cols=["r2"])
     return c3.select("cv_id", "job_id", F.col("skill_sim").alias("similarity"), "rank")
 
@@ -64,9 +68,9 @@ def cascade(cvs: DataFrame, jobs: DataFrame, *, k1: int = 1000, k2: int = 100, k
 def round2_candidates(cvs: DataFrame, jobs: DataFrame, *, k1: int, k2: int, **kw) -> DataFrame:
     """Round-2 survivors with their ranks: (cv_id, job_id, exp_sim, r1, r2)."""
     c1 = round1(cvs, jobs, k1, **kw)
-    cv_f = cvs.select("cv_id", F.col("experience_vec").alias("cv_exp"))
-    job_f = jobs.select("job_id", F.col("requirement_vec").alias("job_req"))
+    cv_f = cvs.select("cv_id", unit_or_null("experience_vec").alias("cv_exp"))
+    job_f = jobs.select("job_id", unit_or_null("requirement_vec").alias("job_req"))
     c = c1.join(cv_f, "cv_id").join(job_f, "job_id")
-    return rank_top_k(c.withColumn("exp_sim", defaulted_similarity("cv_exp", "job_req")),
+    return rank_top_k(c.withColumn("exp_sim", defaulted_unit_similarity("cv_exp", "job_req")),
                       "cv_id", "job_id", "exp_sim", k2, rank_col="r2", tie_cols=["r1"]) \
         .select("cv_id", "job_id", "exp_sim", "r1", "r2")

@@ -1,19 +1,21 @@
-"""Inverted-file (IVF) vector index as two DataFrames plus a small centroid matrix.
+"""Inverted-file (IVF) vector index as DataFrames plus a small centroid matrix.
 
 * cells:     (cell INT, split INT, <id>, unit ARRAY<DOUBLE>) — every corpus vector, unit length,
-             in its best cell; ``split`` spreads a hot cell over several join keys.
+             in its best cell; ``split`` cuts a cell into blocks of at most ``split_rows``.
 * centroids: nlist x dim matrix on the driver (bounded by ``nlist``, never by the corpus).
 
 Search = probe the ``nprobe`` best cells per query (Arrow-batched NumPy product against the
-centroid matrix), explode to (query, cell, split), equi-join the cell members, score with a
-JVM-side dot product and keep the top k per query with ``row_number()`` (partial + final
+centroid matrix), explode to (query, cell, split), cut the queries of every (cell, split) into
+bounded blocks, equi-join query blocks with the corpus block of the same (cell, split) and
+score each pair of blocks with one matrix product (the exact-search kernel, local top-k);
+the final top-k per query is a ``row_number()`` window (partial + final
 ``WindowGroupLimit``). A query can get fewer than k rows when its probed cells hold fewer
 vectors. With ``nprobe = nlist`` the answer equals exact search.
 
-Skew: a cell may hold a third of the corpus. Cells larger than ``split_rows`` are cut into
-``ceil(size / split_rows)`` splits by ``pmod(xxhash64(id), splits)``; a query probing such a
-cell is replicated once per split (split counts come from an nlist-row aggregate), so no join
-key carries more than ``split_rows`` corpus rows.
+Skew: a cell may hold a third of the corpus. It is then cut into ``ceil(size / split_rows)``
+splits by ``pmod(xxhash64(id), splits)``; a query probing it is replicated once per split
+(split counts come from an nlist-row aggregate), so no join key carries more than about
+``split_rows`` corpus rows and no task more than one block pair at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchspark.functions.vector import dot, l2_normalize, present
-from matchspark.operators.topk import rank_top_k
+from matchspark.operators.topk import _kernel, pack_group_blocks, rank_top_k
 
 
 def effective_nlist(n: int, nlist: int) -> int:
@@ -140,10 +142,10 @@ def corpus_fingerprint(corpus: DataFrame, id_col: str, vec: str) -> tuple[int, i
 
 
 def build_index(corpus: DataFrame, id_col: str, vec: str, *, nlist: int = 100, nprobe: int = 10,
-                seed: int = 42, centroids: np.ndarray | None = None, split_rows: int = 50_000,
-                cell_labels: list | None = None) -> IvfIndex:
+                seed: int = 42, centroids: np.ndarray | None = None, split_rows: int = 2048,
+                cell_labels: list | None = None, fingerprint: tuple | None = None) -> IvfIndex:
     """Train (unless centroids are given), assign every present vector, size the cell splits."""
-    fp = corpus_fingerprint(corpus, id_col, vec)
+    fp = fingerprint or corpus_fingerprint(corpus, id_col, vec)
     if centroids is None:
         n_eff = effective_nlist(fp[0], nlist)
         centroids = train_centroids(corpus, vec, n_eff, seed)
@@ -170,8 +172,64 @@ def _split_lookup(splits: dict):
 
 def search(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_vec: str,
            out_query: str | None = None, out_item: str | None = None, nprobe: int | None = None,
-           exclude_self: bool = False) -> DataFrame:
-    """Top-k per query over the probed cells: (out_query, out_item, similarity, rank)."""
+           exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
+    """Top-k per query over the probed cells: (out_query, out_item, similarity, rank).
+
+    Each (cell, split) is one corpus block; the queries probing it are cut into blocks of at
+    most ``block_rows`` (block count per (cell, split) from a small count aggregate), and every
+    (query block, corpus block) pair with the same (cell, split) is scored by one matrix
+    product in the exact-search kernel, which keeps the local top-k per query.
+    """
+    out_query = out_query or query_id
+    out_item = out_item or index.id_col
+    p = min(nprobe or index.nprobe, index.nlist)
+    probe = probe_cells_udf(index.centroids, p)
+    split_expr = _split_lookup(index.splits)
+    q = (
+        queries.where(present(query_vec))
+        .select(F.col(query_id).alias("_q"), F.col(query_vec).alias("_v"),
+                probe(F.col(query_vec)).alias("_cells"))
+        .select("_q", "_v", F.explode("_cells").alias("cell"))
+        .withColumn("split", F.explode(F.sequence(F.lit(0), split_expr(F.col("cell")) - 1)))
+    )
+    counts = q.groupBy("cell", "split").count().collect()  # one row per (cell, split): bounded
+    spark = queries.sparkSession
+    schema_out = (f"{out_query} {queries.schema[query_id].dataType.simpleString()}, "
+                  f"{out_item} {index.cells.schema[index.id_col].dataType.simpleString()}, "
+                  "similarity double, rank int")
+    if not counts:
+        return spark.createDataFrame([], schema_out)
+    nqb = {(int(r["cell"]), int(r["split"])): max(1, math.ceil(r["count"] / block_rows)) for r in counts}
+    if max(nqb.values()) == 1:
+        qb_count = F.lit(1)
+    else:
+        kv = []
+        for (c, sp), n in sorted(nqb.items()):
+            kv += [F.lit(c * 1_000_003 + sp), F.lit(n)]
+        qb_count = F.coalesce(F.try_element_at(F.create_map(*kv), F.col("cell") * 1_000_003 + F.col("split")),
+                              F.lit(1))
+    q = q.withColumn("qb", F.pmod(F.xxhash64(F.col("_q")), qb_count).cast("int"))
+    qblocks = pack_group_blocks(q, ["cell", "split", "qb"], "_q", "_v", "q_")
+    cblocks = pack_group_blocks(index.cells, ["cell", "split"], index.id_col, "unit", "c_")
+    pairs = qblocks.join(cblocks, ["cell", "split"]).select("q_ids", "q_mat", "c_ids", "c_mat")
+    dim = int(index.centroids.shape[1])
+    id_type = queries.schema[query_id].dataType
+    item_type = index.cells.schema[index.id_col].dataType
+    kernel_schema = T.StructType([
+        T.StructField("q", id_type), T.StructField("c", item_type), T.StructField("s", T.DoubleType()),
+    ])
+    q_dtype = np.float64 if isinstance(queries.schema[query_vec].dataType.elementType, T.DoubleType) else np.float32
+    local = pairs.mapInPandas(
+        _kernel(k, dim, exclude_self, False, False, q_dtype, np.float64, True), kernel_schema)
+    scored = local.select(F.col("q").alias(out_query), F.col("c").alias(out_item), F.col("s").alias("similarity"))
+    return rank_top_k(scored, out_query, out_item, "similarity", k)
+
+
+def search_pairs(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_vec: str,
+                 out_query: str | None = None, out_item: str | None = None, nprobe: int | None = None,
+                 exclude_self: bool = False) -> DataFrame:
+    """Same result as ``search`` with one JVM dot product per (query, candidate) row
+    (no Python; slower for wide vectors, used as a cross-check)."""
     out_query = out_query or query_id
     out_item = out_item or index.id_col
     p = min(nprobe or index.nprobe, index.nlist)
@@ -200,7 +258,9 @@ def save_index(index: IvfIndex, path: str) -> None:
         [(i, [float(x) for x in row]) for i, row in enumerate(index.centroids)],
         "cell int, vec array<double>")
     cent.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "centroids"))
-    index.cells.write.mode("overwrite").partitionBy("cell").parquet(os.path.join(path, "cells"))
+    # One folder per cell (a probe reads only its cells), one file per cell.
+    index.cells.repartition("cell").write.mode("overwrite").partitionBy("cell") \
+        .parquet(os.path.join(path, "cells"))
     meta = {"id_col": index.id_col, "nprobe": index.nprobe, "nlist": index.nlist,
             "dim": int(index.centroids.shape[1]), "fingerprint": list(index.fingerprint),
             "splits": {str(k): v for k, v in index.splits.items()}}
@@ -224,11 +284,12 @@ def load_or_build(corpus: DataFrame, id_col: str, vec: str, path: str | None, **
     Returns (index, reused). Unlike a never-invalidated file, a changed corpus forces a rebuild.
     """
     spark = corpus.sparkSession
+    fp = corpus_fingerprint(corpus, id_col, vec)
     if path and _exists(spark, os.path.join(path, "meta")):
         idx = load_index(spark, path)
-        if tuple(idx.fingerprint) == corpus_fingerprint(corpus, id_col, vec):
+        if tuple(idx.fingerprint) == fp:
             return idx, True
-    idx = build_index(corpus, id_col, vec, **kw)
+    idx = build_index(corpus, id_col, vec, fingerprint=fp, **kw)
     if path:
         save_index(idx, path)
         idx = load_index(spark, path)

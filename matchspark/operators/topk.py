@@ -76,6 +76,29 @@ def pack_blocks(df: DataFrame, id_col: str, vec_col: str, n_blocks: int, prefix:
     )
 
 
+def pack_group_blocks(df: DataFrame, keys: list[str], id_col: str, vec_col: str, prefix: str) -> DataFrame:
+    """Pack every group of ``keys`` (already bounded in size) into one block row:
+    (keys..., <prefix>ids, <prefix>mat)."""
+    id_type = df.schema[id_col].dataType
+    el = df.schema[vec_col].dataType.elementType
+    dtype = np.float64 if isinstance(el, T.DoubleType) else np.float32
+    key_fields = [df.schema[k] for k in keys]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in key_fields] + [
+        T.StructField(f"{prefix}ids", T.ArrayType(id_type)),
+        T.StructField(f"{prefix}mat", T.BinaryType()),
+    ])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        mat = np.stack([np.asarray(v, dtype=dtype) for v in pdf["_v"].values])
+        row = {k: [pdf[k].iloc[0]] for k in keys}
+        row[f"{prefix}ids"] = [pdf["_i"].tolist()]
+        row[f"{prefix}mat"] = [mat.tobytes()]
+        return pd.DataFrame(row)
+
+    return (df.select(*keys, F.col(id_col).alias("_i"), F.col(vec_col).alias("_v"))
+            .groupBy(*keys).applyInPandas(pack, schema))
+
+
 def _kernel(k: int, dim: int, exclude_self: bool, clamp: bool, positive_only: bool,
             q_dtype, c_dtype, normalize: bool = True):
     prep = _unit_rows if normalize else (lambda m: m.astype(np.float64))
@@ -91,8 +114,8 @@ def _kernel(k: int, dim: int, exclude_self: bool, clamp: bool, positive_only: bo
                     np.clip(s, 0.0, 1.0, out=s)
                 if positive_only:
                     s[s <= 0] = -np.inf
-                qid = np.asarray(qids, dtype=object)
-                cid = np.asarray(cids, dtype=object)
+                qid = np.asarray(qids)
+                cid = np.asarray(cids)
                 if exclude_self:
                     s[qid[:, None] == cid[None, :]] = -np.inf
                 kk = min(k, s.shape[1])
@@ -113,8 +136,7 @@ def _kernel(k: int, dim: int, exclude_self: bool, clamp: bool, positive_only: bo
                     "q": np.concatenate(qs), "c": np.concatenate(cs), "s": np.concatenate(ss),
                 })
             else:
-                yield pd.DataFrame({"q": pd.Series([], dtype=object), "c": pd.Series([], dtype=object),
-                                    "s": pd.Series([], dtype=np.float64)})
+                yield pd.DataFrame({"q": [], "c": [], "s": pd.Series([], dtype=np.float64)})
     return run
 
 
@@ -146,6 +168,8 @@ def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int, *,
     """
     out_query = out_query or query_id
     out_item = out_item or item_id
+    if out_query == out_item:
+        raise ValueError("query and item output columns need different names (set out_item)")
     q = queries.where(present(query_vec)).select(query_id, query_vec)
     if absent_items_score_zero:
         n_c, dim = _block_stats(corpus.where(present(item_vec)), item_vec)
