@@ -38,13 +38,13 @@ def start_refresh(spark: SparkSession, changes_dir: str, job_schema: str, cvs: D
                   trigger: dict | None = None) -> StreamingQuery:
     """Start the refresh stream. ``trigger`` e.g. {"processingTime": "12 hours"} or
     {"availableNow": True} (process what is there, then stop)."""
-    stream = (spark.readStream.schema(job_schema).parquet(changes_dir)
-              .withColumn("_seq", F.monotonically_increasing_id()))
+    stream = spark.readStream.schema(job_schema).parquet(changes_dir)
 
     def refresh(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
-        jobs = merge_jobs(spark, warehouse, batch)
+        # Later rows of the batch win over earlier rows of the same job.
+        jobs = merge_jobs(spark, warehouse, batch.withColumn("_seq", F.monotonically_increasing_id()))
         runs.full_run(spark, cvs, active_jobs(jobs, cfg.as_of), cfg, warehouse)
 
     ckpt = checkpoint or os.path.join(warehouse, "_refresh_checkpoint")
