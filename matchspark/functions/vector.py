@@ -123,3 +123,13 @@ def cosine_vectorized(a, b) -> Column:
 
     udf = pandas_udf(_cosine_batch, "double")
     return udf(_c(a), _c(b))
+
+
+def vector_to_json(v) -> Column:
+    """Vector as JSON array text (storage format of the source tables)."""
+    return F.when(_c(v).isNotNull(), F.to_json(_c(v)))
+
+
+def vector_from_json(text) -> Column:
+    """JSON array text -> ARRAY<FLOAT>; NULL stays NULL, "[]" is an empty (absent) vector."""
+    return F.from_json(_c(text), "array<float>")

@@ -185,3 +185,33 @@ def cvs_from_rows(rows: DataFrame, limit: int | None = 2000, random_sample: bool
         .otherwise(split_items(F.col("Experience")))
     exps = children(r, "cv_id", exp_items, 10, 255, "title").withColumn("company", F.lit(""))
     return {"users": users, "cvs": cvs, "cv_skills": skills, "work_experiences": exps}
+
+
+def ingest_all(spark, companies_csv: str | None, jobs_csv: str | None, cvs_csv: str | None,
+               skills_dictionary: list[str], cv_limit: int | None = 2000, seed: int = 42,
+               partitions: int | None = None) -> dict[str, DataFrame]:
+    """Companies, then jobs (which may add companies), then CVs; returns every output table."""
+    from matchspark.sources.csv_files import read_companies, read_cvs, read_jobs
+
+    out: dict[str, DataFrame] = {}
+    companies = None
+    if companies_csv:
+        companies = companies_from_rows(read_companies(spark, companies_csv, partitions))
+    if jobs_csv:
+        if companies is None:
+            companies = spark.createDataFrame([], "id string, name string, description string, company_size string, "
+                                                  "address string, industry string, email string, status string")
+        out.update(jobs_from_rows(read_jobs(spark, jobs_csv, partitions), companies, skills_dictionary))
+        companies = out["companies"]
+    if cvs_csv:
+        out.update(cvs_from_rows(read_cvs(spark, cvs_csv, partitions), limit=cv_limit, seed=seed))
+    if companies is not None:
+        out["companies"] = companies
+    return out
+
+
+def write_tables(tables: dict[str, DataFrame], base: str, mode: str = "overwrite") -> None:
+    """One Parquet folder per output table (an atomic job commit each)."""
+    import os
+    for name, df in tables.items():
+        df.write.mode(mode).parquet(os.path.join(base, name))

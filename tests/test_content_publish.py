@@ -105,3 +105,23 @@ def test_publish_snapshots(spark, tmp_path):
     e2 = spark.createDataFrame([(1, 11, 0.9)], "k long, d long, s double")
     publish_edges(spark, base, e2, "k")
     assert sorted(tuple(r) for r in read_current(spark, base).collect()) == [(1, 11, 0.9), (2, 20, 0.6)]
+
+
+def test_vector_json_roundtrip(spark):
+    from matchspark.functions.vector import vector_from_json, vector_to_json
+    df = spark.createDataFrame([([0.5, -1.25],), ([],), (None,)], "v array<float>")
+    rows = df.select(vector_to_json("v").alias("j")).select("j", vector_from_json("j").alias("v")).collect()
+    assert rows[0]["j"] == "[0.5,-1.25]" and rows[0]["v"] == [0.5, -1.25]
+    assert rows[1]["v"] == [] and rows[2]["j"] is None and rows[2]["v"] is None
+
+
+def test_point_reads(spark):
+    import datetime as dt
+    from matchspark.operators.serve import recommendations_for, similar_for
+    recs = spark.createDataFrame([(1, 10, 0.2), (1, 11, 0.9), (2, 10, 0.5)], "cv_id long, job_id long, similarity double")
+    jobs = spark.createDataFrame([(10, "ACTIVE", None), (11, "INACTIVE", None), (12, "ACTIVE", dt.datetime(2020, 1, 1))],
+                                 "job_id long, status string, expires_at timestamp")
+    assert [r["job_id"] for r in recommendations_for(recs, jobs, 1, limit=1).collect()] == [11]
+    edges = spark.createDataFrame([(9, 10, 0.1), (9, 11, 0.9), (9, 12, 0.8)], "job_id long, similar_job_id long, similarity double")
+    got = similar_for(edges, jobs, 9, dt.datetime(2024, 6, 1)).collect()
+    assert [(r["similar_job_id"], r["position"]) for r in got] == [(10, 1)]   # inactive and expired dropped
