@@ -73,6 +73,9 @@ def word_pattern(entry_lower: str) -> str:
     return pre + re.escape(entry_lower).replace("\\ ", " ") + post
 
 
+INLINE_DICTIONARY_MAX = 512  # larger dictionaries use one Aho-Corasick pass per text
+
+
 def extract_skills(text, dictionary: list[str], limit: int = 20) -> Column:
     """Dictionary entries found in the text, in dictionary order, at most ``limit``.
 
@@ -88,6 +91,9 @@ def extract_skills(text, dictionary: list[str], limit: int = 20) -> Column:
             entries.append(s)
     if not entries:
         return F.array().cast("array<string>")
+    if len(entries) > INLINE_DICTIONARY_MAX:
+        return extract_skills_scan(text, entries, limit)
+
     def scan(t: Column) -> Column:
         hits = []
         for s in entries:
@@ -101,6 +107,52 @@ def extract_skills(text, dictionary: list[str], limit: int = 20) -> Column:
     return F.element_at(F.transform(lowered, scan), 1)
 
 
+def extract_skills_scan(text, entries: list[str], limit: int = 20) -> Column:
+    """Same rule for large dictionaries: an Arrow-batched pandas UDF that scans each lower-cased
+    text once with an Aho-Corasick automaton (long entries) and checks short entries with
+    Python's Unicode word-boundary regex. The automaton is built once per Python worker."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    state: dict = {}
+
+    def build():
+        import ahocorasick
+        auto = ahocorasick.Automaton()
+        short = []
+        for i, s in enumerate(entries):
+            low = s.lower()
+            if len(s) > 2:
+                if low in auto:
+                    auto.add_word(low, auto.get(low) + [i])
+                else:
+                    auto.add_word(low, [i])
+            else:
+                short.append((i, re.compile(r"\b" + re.escape(low) + r"\b")))
+        if len(auto):
+            auto.make_automaton()
+        return auto, short
+
+    def run(texts):
+        if "a" not in state:
+            state["a"] = build()
+        auto, short = state["a"]
+        out = []
+        for t in texts:
+            low = (t or "").lower()
+            hit = set()
+            if len(auto):
+                for _, idxs in auto.iter(low):
+                    hit.update(idxs)
+            for i, rx in short:
+                if rx.search(low):
+                    hit.add(i)
+            out.append([entries[i] for i in sorted(hit)][:limit])
+        return pd.Series(out)
+
+    return pandas_udf(run, "array<string>")(_c(text))
+
+
 def map_enum(value, mapping: dict[str, str], default: str | None = None) -> Column:
     """Lower-cased, stripped exact lookup; empty / unknown -> default."""
     v = _c(value)

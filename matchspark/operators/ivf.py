@@ -175,8 +175,8 @@ def search(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_
            exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
     """Top-k per query over the probed cells: (out_query, out_item, similarity, rank).
 
-    Each (cell, split) is one corpus block; the queries probing it are cut into blocks of at
-    most ``block_rows`` (block count per (cell, split) from a small count aggregate), and every
+    Each (cell, split) is one corpus block; the queries probing it are cut into blocks of about
+    ``block_rows`` or fewer (block count from the busiest (cell, split)), and every
     (query block, corpus block) pair with the same (cell, split) is scored by one matrix
     product in the exact-search kernel, which keeps the local top-k per query.
     """
@@ -192,22 +192,16 @@ def search(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_
         .select("_q", "_v", F.explode("_cells").alias("cell"))
         .withColumn("split", F.explode(F.sequence(F.lit(0), split_expr(F.col("cell")) - 1)))
     )
-    counts = q.groupBy("cell", "split").count().collect()  # one row per (cell, split): bounded
+    # Query blocks: the busiest (cell, split) decides how many blocks each one may use; groups
+    # only exist where rows exist, so quiet cells just get smaller blocks. One scalar to the driver.
+    stats = q.groupBy("cell", "split").count().agg(F.max("count").alias("m")).first()
     spark = queries.sparkSession
     schema_out = (f"{out_query} {queries.schema[query_id].dataType.simpleString()}, "
                   f"{out_item} {index.cells.schema[index.id_col].dataType.simpleString()}, "
                   "similarity double, rank int")
-    if not counts:
+    if stats is None or stats["m"] is None:
         return spark.createDataFrame([], schema_out)
-    nqb = {(int(r["cell"]), int(r["split"])): max(1, math.ceil(r["count"] / block_rows)) for r in counts}
-    if max(nqb.values()) == 1:
-        qb_count = F.lit(1)
-    else:
-        kv = []
-        for (c, sp), n in sorted(nqb.items()):
-            kv += [F.lit(c * 1_000_003 + sp), F.lit(n)]
-        qb_count = F.coalesce(F.try_element_at(F.create_map(*kv), F.col("cell") * 1_000_003 + F.col("split")),
-                              F.lit(1))
+    qb_count = F.lit(max(1, math.ceil(stats["m"] / block_rows)))
     q = q.withColumn("qb", F.pmod(F.xxhash64(F.col("_q")), qb_count).cast("int"))
     qblocks = pack_group_blocks(q, ["cell", "split", "qb"], "_q", "_v", "q_")
     cblocks = pack_group_blocks(index.cells, ["cell", "split"], index.id_col, "unit", "c_")

@@ -46,20 +46,22 @@ def shared_index(spark: SparkSession, jobs: DataFrame, cfg: MatchConfig, warehou
     return idx
 
 
-def choose_strategy(cfg: MatchConfig, n_corpus: int) -> MatchConfig:
-    """``strategy="auto"``: exact search while the corpus is at most ``exact_max_rows``
-    vectors, the IVF index beyond that."""
+def choose_strategy(cfg: MatchConfig, corpus: DataFrame, vec: str = "title_vec") -> MatchConfig:
+    """``strategy="auto"``: exact search while the corpus vectors fit the broadcast bound
+    (rows x dim x 4 bytes) and ``exact_max_rows``; the IVF index beyond that."""
     if cfg.strategy != "auto":
         return cfg
     from dataclasses import replace
-    return replace(cfg, strategy="exact" if n_corpus <= cfg.exact_max_rows else "ivf")
+    r = corpus.where(present(vec)).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    n, d = int(r["n"] or 0), int(r["d"] or 0)
+    small = n <= cfg.exact_max_rows and n * d * 4 <= cfg.broadcast_limit_bytes
+    return replace(cfg, strategy="exact" if small else "ivf")
 
 
 def recommend(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchConfig,
               warehouse: str, index=None) -> RunResult:
     """CV -> job lists (cascade by default, else plain top-k), published by keyed replace."""
-    if cfg.strategy == "auto":
-        cfg = choose_strategy(cfg, jobs.where(present("title_vec")).count())
+    cfg = choose_strategy(cfg, jobs)
     queries = cvs.where(present("title_vec"))
     if cfg.strategy == "ivf" and index is None:
         index = shared_index(spark, jobs, cfg, warehouse)
@@ -87,8 +89,7 @@ def recommend(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchCo
 def similar(spark: SparkSession, jobs: DataFrame, cfg: MatchConfig, warehouse: str, index=None) -> RunResult:
     """Job -> job neighbours (self excluded), published by keyed replace."""
     corpus = jobs.where(present("title_vec"))
-    if cfg.strategy == "auto":
-        cfg = choose_strategy(cfg, corpus.count())
+    cfg = choose_strategy(cfg, jobs)
     if cfg.strategy == "ivf":
         index = index or shared_index(spark, jobs, cfg, warehouse)
         sims = ivf_ops.search(index, corpus, cfg.similar_top_k, query_id="job_id", query_vec="title_vec",
@@ -110,8 +111,7 @@ def similar(spark: SparkSession, jobs: DataFrame, cfg: MatchConfig, warehouse: s
 def full_run(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchConfig,
              warehouse: str, reverse: bool = False) -> RunResult:
     """Both runs sharing one index; ``reverse`` runs job similarity first (same tables)."""
-    if cfg.strategy == "auto":
-        cfg = choose_strategy(cfg, jobs.where(present("title_vec")).count())
+    cfg = choose_strategy(cfg, jobs)
     index = shared_index(spark, jobs, cfg, warehouse) if cfg.strategy == "ivf" else None
     steps = [lambda: similar(spark, jobs, cfg, warehouse, index), lambda: recommend(spark, cvs, jobs, cfg, warehouse, index)]
     if not reverse:

@@ -105,3 +105,12 @@ def test_labelled_summary(spark):
     got = [r["s"] for r in df.select(labelled_summary([("A: ", F.col("a")), ("B: ", F.col("b")),
                                                        ("C: ", F.col("c"))]).alias("s")).collect()]
     assert got == ["A: IT. C: 1000", None, "A:  . B: HN"]
+
+
+def test_extract_skills_large_dictionary_same_rule(spark):
+    from matchspark.functions import text as T
+    d = ["Java", "JavaScript", "R", "C#", "Go", "API", "SQL"] + [f"zz{i:04d}" for i in range(600)]
+    texts = ["I write JavaScript and R code", "C# dev; go-lang; capital", "c#x", "ágo zz0007 zz0599", None]
+    big = _col(spark, texts, lambda c: T.extract_skills(c, d))
+    small = _col(spark, texts, lambda c: T.extract_skills(c, d[:7] + ["zz0007", "zz0599"]))
+    assert big == small
