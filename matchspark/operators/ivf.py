@@ -95,7 +95,9 @@ def train_centroids(corpus: DataFrame, vec: str, nlist: int, seed: int = 42,
 
     feats = corpus.where(present(vec) & (dot(vec, vec) > 0)).select(
         array_to_vector(l2_normalize(vec)).alias("features"))
-    km = KMeans(k=nlist, distanceMeasure="cosine", seed=seed, maxIter=max_iter, featuresCol="features")
+    # Random initial centroids drawn from the training vectors (as classic IVF training does).
+    km = KMeans(k=nlist, distanceMeasure="cosine", seed=seed, maxIter=max_iter, featuresCol="features",
+                initMode="random")
     model = km.fit(feats)
     return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()], dtype=np.float64)
 

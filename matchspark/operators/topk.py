@@ -41,6 +41,14 @@ def _block_stats(df: DataFrame, vec: str) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["d"] or 0)
 
 
+def _pair_stats(q: DataFrame, qvec: str, c: DataFrame, cvec: str) -> tuple[int, int, int]:
+    """(query rows, corpus rows, corpus dim) in one job (two aggregates unioned)."""
+    a = q.agg(F.lit(0).alias("side"), F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("d"))
+    b = c.agg(F.lit(1).alias("side"), F.count(F.lit(1)).alias("n"), F.max(F.size(cvec)).alias("d"))
+    rows = {r["side"]: r for r in a.unionByName(b).collect()}
+    return int(rows[0]["n"] or 0), int(rows[1]["n"] or 0), int(rows[1]["d"] or 0)
+
+
 def pack_blocks(df: DataFrame, id_col: str, vec_col: str, n_blocks: int, prefix: str) -> DataFrame:
     """One row per block: (<prefix>b, <prefix>ids ARRAY<id>, <prefix>mat BINARY row-major).
 
@@ -172,14 +180,13 @@ def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int, *,
         raise ValueError("query and item output columns need different names (set out_item)")
     q = queries.where(present(query_vec)).select(query_id, query_vec)
     if absent_items_score_zero:
-        n_c, dim = _block_stats(corpus.where(present(item_vec)), item_vec)
+        n_q, _, dim = _pair_stats(q, query_vec, corpus.where(present(item_vec)), item_vec)
         c = corpus.select(item_id, F.when(present(item_vec), F.col(item_vec))
                           .otherwise(F.array_repeat(F.lit(0.0).cast("float"), dim)).alias(item_vec))
         n_c = c.count() if dim > 0 else 0
     else:
         c = corpus.where(present(item_vec)).select(item_id, item_vec)
-        n_c, dim = _block_stats(c, item_vec)
-    n_q, _ = _block_stats(q, query_vec)
+        n_q, n_c, dim = _pair_stats(q, query_vec, c, item_vec)
     spark = queries.sparkSession
     schema_out = (f"{out_query} {queries.schema[query_id].dataType.simpleString()}, "
                   f"{out_item} {corpus.schema[item_id].dataType.simpleString()}, "
@@ -221,9 +228,8 @@ def weighted_top_k(queries: DataFrame, corpus: DataFrame, k: int, fields: list[t
     from matchspark.functions.vector import l2_normalize
 
     total = float(sum(w for _, _, w in fields))
-    dims = {}
-    for qf, cf, _ in fields:
-        dims[qf] = _block_stats(corpus.where(present(cf)), cf)[1]
+    row = corpus.agg(*[F.max(F.size(cf)).alias(f"d{i}") for i, (_, cf, _) in enumerate(fields)]).first()
+    dims = {qf: int(row[f"d{i}"] or 0) for i, (qf, _, _) in enumerate(fields)}
 
     def side(df, idc, cols_w):
         parts = []

@@ -14,6 +14,7 @@ _MODULES = (
     "matchspark.plans.q_content",
     "matchspark.plans.q_publish",
     "matchspark.plans.q_ingest",
+    "matchspark.plans.q_ingest_jobs",
     "matchspark.plans.q_eval",
     "matchspark.plans.q_runs",
 )
