@@ -15,6 +15,7 @@ _MODULES = (
     "matchspark.plans.q_publish",
     "matchspark.plans.q_ingest",
     "matchspark.plans.q_ingest_jobs",
+    "matchspark.plans.q_ingest_cvs",
     "matchspark.plans.q_eval",
     "matchspark.plans.q_runs",
 )
