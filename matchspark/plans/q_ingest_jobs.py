@@ -167,3 +167,10 @@ def q_ingest_job_children(spark, sf):
 
 
 __all__ = ["SIZE_TEXT_SQL"]
+
+
+@register("ingest_quarantine", f"WITH {ROWS_SQL}\n" + """
+SELECT rn AS _row, 'salary does not fit DECIMAL(12,2)' AS reason FROM s WHERE overflow""")
+def q_ingest_quarantine(spark, sf):
+    """Job rows set aside by the ingest (salary digits too long), with the reason."""
+    return ingest(spark, sf)["quarantine"]

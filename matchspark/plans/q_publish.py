@@ -161,3 +161,40 @@ def q_enum_violations(spark, sf):
         F.col("event_id").alias("key"), "event_type")
     return domain_violations(jobs, "key", {"status": ENUMS["Status"]}).unionByName(
         domain_violations(ev, "key", {"event_type": INTERACTIONS}))
+
+
+@register("serve_one_cv", with_views(title_topk_cte("old", 20, queries="v_cv")) + """
+SELECT o.i_id AS job_id, round(o.sim, 6) AS similarity, j.label, j.status
+FROM old o JOIN v_job j ON j.job_id = o.i_id
+WHERE o.q_id = (SELECT min(cv_id) FROM main_cv)
+ORDER BY o.sim DESC, o.i_id LIMIT 20""")
+def q_serve_one_cv(spark, sf):
+    """Point read: the stored list of one CV (the main CV with the smallest id), best first."""
+    from matchspark.operators.serve import recommendations_for
+    cv_id = main_cv_df(spark, sf).agg(F.min("cv_id")).first()[0]
+    recs = old_recs(spark, sf).select("cv_id", "job_id", "similarity")
+    r = recommendations_for(recs, job_view(spark, sf), cv_id, limit=20, job_cols=["label", "status"])
+    return r.select("job_id", _r("similarity").alias("similarity"), "label", "status")
+
+
+@register("serve_one_job", with_views(SIMILAR_ALL) + """
+SELECT t.job_id AS target_job_id, t.status AS target_status, t.label AS target_label,
+       x.similar_job_id, x.similarity, x.position FROM (
+  SELECT s.q_id AS job_id, s.i_id AS similar_job_id, round(s.sim, 6) AS similarity,
+         CAST(row_number() OVER (ORDER BY s.sim DESC, s.i_id) AS INTEGER) AS position
+  FROM sim s JOIN active_job a ON a.job_id = s.i_id
+  WHERE s.q_id = (SELECT min(job_id) FROM active_job)
+  ORDER BY s.sim DESC, s.i_id LIMIT 10) x
+JOIN v_job t ON t.job_id = x.job_id""")
+def q_serve_one_job(spark, sf):
+    """Point read: header of one job (the active job with the smallest id) and its shown
+    neighbours (active, unexpired only), numbered 1..n."""
+    from matchspark.operators.serve import similar_for
+    job_id = active_job_df(spark, sf).agg(F.min("job_id")).first()[0]
+    edges = stored_similar(spark, sf).select("job_id", "similar_job_id", "similarity")
+    jobs = job_view(spark, sf)
+    lst = similar_for(edges, jobs, job_id, AS_OF, limit=10)
+    head = jobs.select(F.col("job_id"), F.col("status").alias("target_status"), F.col("label").alias("target_label"))
+    return lst.join(head, "job_id").select(
+        F.col("job_id").alias("target_job_id"), "target_status", "target_label", "similar_job_id",
+        _r("similarity").alias("similarity"), F.col("position").cast("int").alias("position"))

@@ -47,3 +47,11 @@ def q_run_stats(spark, sf):
     res = runs.full_run(spark, main_cv_df(spark, sf), active_job_df(spark, sf), FULL_PROBE,
                         runs.fresh_warehouse(spark))
     return res.stats
+
+
+@register("full_run_reverse", cascade_sql(1000, 100, 10))
+def q_full_run_reverse(spark, sf):
+    """Similar jobs first, then recommendations, sharing one index: same published tables."""
+    res = runs.full_run(spark, main_cv_df(spark, sf), active_job_df(spark, sf), FULL_PROBE,
+                        runs.fresh_warehouse(spark), reverse=True)
+    return res.recommendations.select("cv_id", "job_id", _r("similarity").alias("similarity"), "rank")

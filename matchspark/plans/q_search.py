@@ -167,3 +167,19 @@ def q_weighted(spark, sf):
 
 
 __all__ = ["clamp01"]
+
+
+@register("all_jobs", with_views() + """
+SELECT job_id, status, expires_at, label FROM v_job""")
+def q_all_jobs(spark, sf):
+    """Every job whatever its status (the unused all-jobs scan)."""
+    return job_view(spark, sf).select("job_id", "status", "expires_at", "label")
+
+
+@register("vector_json", with_views() + """
+SELECT cv_id, list_transform(experience_vec, lambda x: round(x, 6)) AS vec FROM v_cv""")
+def q_vector_json(spark, sf):
+    """Vectors written as JSON text and read back (storage round trip), rounded for comparison."""
+    from matchspark.functions.vector import vector_from_json, vector_to_json
+    cv = cv_view(spark, sf).select("cv_id", vector_to_json("experience_vec").alias("j"))
+    return cv.select("cv_id", F.transform(vector_from_json("j"), lambda x: F.round(x.cast("double"), 6)).alias("vec"))
