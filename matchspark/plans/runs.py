@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from matchspark.config import MatchConfig
 from matchspark.functions.vector import present
 from matchspark.operators import ivf as ivf_ops
-from matchspark.operators.cascade import cascade
+from matchspark.operators.cascade import cascade, round1
 from matchspark.operators.publish import publish_edges, read_current
 from matchspark.operators.topk import exact_top_k
-from matchspark.session import ensure_checkpoint_dir
+from matchspark.session import cut_lineage, ensure_checkpoint_dir
 
 
 @dataclass
@@ -66,10 +66,16 @@ def recommend(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchCo
     if cfg.strategy == "ivf" and index is None:
         index = shared_index(spark, jobs, cfg, warehouse)
     if cfg.use_cascade:
-        recs = cascade(queries, jobs.where(present("title_vec")), k1=cfg.cascade_k1, k2=cfg.cascade_k2,
-                       k3=cfg.cascade_k3, strategy=cfg.strategy, index=index,
-                       **({} if cfg.strategy == "ivf" else {"block_rows": cfg.block_rows,
-                                                            "broadcast_limit_bytes": cfg.broadcast_limit_bytes}))
+        corpus = jobs.where(present("title_vec"))
+        kw = {} if cfg.strategy == "ivf" else {"block_rows": cfg.block_rows,
+                                               "broadcast_limit_bytes": cfg.broadcast_limit_bytes}
+        cand = round1(queries, corpus, cfg.cascade_k1, strategy=cfg.strategy, index=index, **kw)
+        if cfg.checkpoint_candidates:
+            # The most expensive stage: keep its output in the shared checkpoint folder so a lost
+            # executor in rounds 2-3 or the publish does not recompute the search.
+            cand = cut_lineage(cand)
+        recs = cascade(queries, corpus, k1=cfg.cascade_k1, k2=cfg.cascade_k2, k3=cfg.cascade_k3,
+                       candidates=cand)
     elif cfg.strategy == "ivf":
         recs = ivf_ops.search(index, queries, cfg.top_k_jobs, query_id="cv_id", query_vec="title_vec",
                               out_item="job_id")
