@@ -254,9 +254,10 @@ def save_index(index: IvfIndex, path: str) -> None:
         [(i, [float(x) for x in row]) for i, row in enumerate(index.centroids)],
         "cell int, vec array<double>")
     cent.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "centroids"))
-    # One folder per cell (a probe reads only its cells), one file per cell.
-    index.cells.repartition("cell").write.mode("overwrite").partitionBy("cell") \
-        .parquet(os.path.join(path, "cells"))
+    # Rows of a cell are clustered in one file and sorted, so row-group statistics on ``cell``
+    # let a reader skip cells; searches read every probed cell block once.
+    index.cells.repartition("cell").sortWithinPartitions("cell", "split") \
+        .write.mode("overwrite").parquet(os.path.join(path, "cells"))
     meta = {"id_col": index.id_col, "nprobe": index.nprobe, "nlist": index.nlist,
             "dim": int(index.centroids.shape[1]), "fingerprint": list(index.fingerprint),
             "splits": {str(k): v for k, v in index.splits.items()}}

@@ -22,7 +22,7 @@ from matchspark.operators import ivf as ivf_ops
 from matchspark.operators.cascade import cascade, round1
 from matchspark.operators.publish import publish_edges, read_current
 from matchspark.operators.topk import exact_top_k
-from matchspark.session import cut_lineage, ensure_checkpoint_dir
+from matchspark.session import ensure_checkpoint_dir, materialize
 
 
 @dataclass
@@ -71,9 +71,9 @@ def recommend(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchCo
                                                "broadcast_limit_bytes": cfg.broadcast_limit_bytes}
         cand = round1(queries, corpus, cfg.cascade_k1, strategy=cfg.strategy, index=index, **kw)
         if cfg.checkpoint_candidates:
-            # The most expensive stage: keep its output in the shared checkpoint folder so a lost
-            # executor in rounds 2-3 or the publish does not recompute the search.
-            cand = cut_lineage(cand)
+            # The most expensive stage: keep its output as a table in the shared warehouse folder
+            # so a lost executor in rounds 2-3 or the publish does not recompute the search.
+            cand = materialize(cand, os.path.join(warehouse, "_round1_candidates"))
         recs = cascade(queries, corpus, k1=cfg.cascade_k1, k2=cfg.cascade_k2, k3=cfg.cascade_k3,
                        candidates=cand)
     elif cfg.strategy == "ivf":

@@ -58,3 +58,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as a Parquet table on shared storage and read it back (lineage cut at a
+    columnar table; survives executor loss like a reliable checkpoint)."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

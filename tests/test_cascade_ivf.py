@@ -130,3 +130,23 @@ def test_ivf_may_return_fewer_than_k(spark):
     got = ivf_ops.search(idx, q, 50, query_id="cv_id", query_vec="title_vec", out_item="job_id")
     counts = [r["count"] for r in got.groupBy("cv_id").count().collect()]
     assert all(c < 50 for c in counts)
+
+
+def test_hot_cell_is_split_and_search_stays_exact(spark):
+    # A third of the corpus sits on (almost) one direction: with given centroids it all lands in
+    # one cell, which must be cut into splits of at most split_rows.
+    rng = np.random.default_rng(11)
+    hot = [(i, [float(x) for x in (np.array([5.0, 0, 0, 0]) + 0.01 * rng.normal(size=4))]) for i in range(100)]
+    rest = [(100 + i, [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    jobs = spark.createDataFrame(hot + rest, "job_id long, title_vec array<float>")
+    cent = np.array([[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0], [0, 0, 0, 1.0], [-1.0, 0, 0, 0]])
+    idx = ivf_ops.build_index(jobs, "job_id", "title_vec", centroids=cent, nprobe=5, split_rows=20)
+    sizes = {r["cell"]: r["count"] for r in idx.cells.groupBy("cell").count().collect()}
+    hot_cell = max(sizes, key=sizes.get)
+    assert sizes[hot_cell] >= 100 and idx.splits[hot_cell] >= 5
+    per_key = idx.cells.groupBy("cell", "split").count().agg(F.max("count")).first()[0]
+    assert per_key <= 45                      # hash splits: about split_rows rows per join key
+    q = jobs.select(F.col("job_id").alias("cv_id"), "title_vec")
+    a = ivf_ops.search(idx, q, 5, query_id="cv_id", query_vec="title_vec", out_item="job_id", block_rows=16)
+    b = exact_top_k(q, jobs, 5, query_id="cv_id", query_vec="title_vec", item_id="job_id", item_vec="title_vec")
+    assert sorted((r["cv_id"], r["job_id"]) for r in a.collect()) == sorted((r["cv_id"], r["job_id"]) for r in b.collect())
