@@ -228,3 +228,43 @@ def q_tfidf_baseline(spark, sf):
 
 
 __all__ = ["present"]
+
+
+def _customer_part_skills(spark, sf):
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey"])
+    li = read_table(spark, sf, "lineitem", ["l_orderkey", "l_partkey"])
+    p = read_table(spark, sf, "part", ["p_partkey", "p_name"])
+    lines = li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey)
+    job_sk = lines.select(F.col("o_orderkey").alias("job_id"), F.col("p_name").alias("skill")).distinct()
+    cv_all = lines.groupBy(F.col("o_custkey").alias("cv_id")).agg(F.array_sort(F.collect_set("p_name")).alias("s"))
+    cv_sk = cv_all.select("cv_id", F.explode(F.slice("s", 1, 20)).alias("skill"))
+    pairs = o.select(F.col("o_custkey").alias("cv_id"), F.col("o_orderkey").alias("job_id"))
+    return pairs, cv_sk, job_sk
+
+
+@register("skill_match_levels", r"""
+WITH lines AS (
+  SELECT o.o_orderkey, o.o_custkey, p.p_name FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey
+  JOIN orders o ON o.o_orderkey = l.l_orderkey),
+cs AS (SELECT o_custkey AS cv_id, list_distinct(list(lower(p_name))) AS cs0 FROM lines GROUP BY o_custkey),
+cs2 AS (SELECT cv_id, list_sort(cs0)[1:20] AS cs FROM cs),
+js AS (SELECT o_orderkey AS job_id, list_distinct(list(lower(p_name))) AS js FROM lines GROUP BY o_orderkey),
+pr AS (SELECT o.o_custkey AS cv_id, o.o_orderkey AS job_id, coalesce(c.cs, []) AS cs, coalesce(j.js, []) AS js
+       FROM orders o LEFT JOIN cs2 c ON c.cv_id = o.o_custkey LEFT JOIN js j ON j.job_id = o.o_orderkey),
+lv AS (
+  SELECT cv_id, job_id, js, list_transform(js, lambda j: coalesce(list_max(list_transform(cs, lambda c:
+           CASE WHEN c = j THEN 5
+                WHEN NOT (contains(c, j) OR contains(j, c)) THEN 0
+                WHEN regexp_matches(c, '(^|[^\pL\pN_])\Q' || j || '\E($|[^\pL\pN_])')
+                  OR regexp_matches(j, '(^|[^\pL\pN_])\Q' || c || '\E($|[^\pL\pN_])') THEN 3
+                ELSE 2 END)), 0)) AS best
+  FROM pr)
+SELECT cv_id, job_id, CAST(len(js) AS INTEGER) AS n_job_skills, CAST(coalesce(list_max(best), 0) AS INTEGER) AS best_level,
+       CAST(len(list_filter(best, lambda x: x >= 3)) AS INTEGER) AS n_matched,
+       len(list_filter(best, lambda x: x >= 3)) > 0 AS skills_match
+FROM lv""")
+def q_skill_match_levels(spark, sf):
+    """Skill part of the rule labels for (customer CV, each of its orders as a job): CV skills =
+    the first 20 part names the customer ever ordered, job skills = the order's part names."""
+    pairs, cv_sk, job_sk = _customer_part_skills(spark, sf)
+    return ev.skill_match(pairs, cv_sk, job_sk)

@@ -77,3 +77,16 @@ def test_random_baseline_is_reproducible(spark):
     a = sorted(tuple(r) for r in ev.random_top_k(q, "cv_id", c, "job_id", 5).collect())
     b = sorted(tuple(r) for r in ev.random_top_k(q, "cv_id", c.repartition(3), "job_id", 5).collect())
     assert a == b and len(a) <= 100
+
+
+def test_skill_match_levels(spark):
+    pairs = spark.createDataFrame([(1, 10), (1, 11), (2, 10)], "cv_id long, job_id long")
+    cv = spark.createDataFrame([(1, "Python"), (1, "Kế toán"), (2, "React Native")], "cv_id long, skill string")
+    job = spark.createDataFrame([(10, "python "), (10, "React"), (11, "Accounting"), (11, "SQL Server")],
+                                "job_id long, skill string")
+    got = {(r["cv_id"], r["job_id"]): r for r in ev.skill_match(
+        pairs, cv, job, synonyms=[("kế toán", "accounting")], categories={"python": "backend", "sql server": "backend"}
+    ).collect()}
+    assert got[(1, 10)]["best_level"] == 5 and got[(1, 10)]["n_matched"] == 1      # exact (case / space folded)
+    assert got[(1, 11)]["best_level"] == 4 and got[(1, 11)]["n_matched"] == 1      # synonym; SQL Server only category
+    assert got[(2, 10)]["best_level"] == 3 and got[(2, 10)]["skills_match"]        # "react" a whole word of "react native"
