@@ -65,3 +65,20 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     columnar table; survives executor loss like a reliable checkpoint)."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Sizing for a cluster run: shuffle partitions so one partition holds about
+    ``target_partition_bytes`` of the largest shuffle (taken as the input size), at least two
+    waves of tasks; scan splits of 256 MB; AQE on (coalescing, skew-join splitting of hot keys)."""
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.sql.session.timeZone": "UTC",
+    }
