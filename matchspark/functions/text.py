@@ -98,7 +98,9 @@ def extract_skills(text, dictionary: list[str], limit: int = 20) -> Column:
         hits = []
         for s in entries:
             low = s.lower()
-            test = t.rlike(word_pattern(low)) if len(s) <= 2 else (F.instr(t, F.lit(low)) > 0)
+            found = t.contains(F.lit(low))
+            # A whole-word hit needs the substring: the cheap byte search gates the regex.
+            test = (found & t.rlike(word_pattern(low))) if len(s) <= 2 else found
             hits.append(F.when(test, F.lit(s)))
         return F.slice(F.filter(F.array(*hits), lambda x: x.isNotNull()), 1, limit)
 
