@@ -171,7 +171,7 @@ def map_contains_first(value, ordered: list[tuple[str, str]]) -> Column:
     v = _c(value)
     expr = F.lit(None).cast("string")
     for k, val in reversed(ordered):
-        expr = F.when(F.instr(v, k) > 0, F.lit(val)).otherwise(expr)
+        expr = F.when(v.contains(F.lit(k)), F.lit(val)).otherwise(expr)
     return F.when(v.isNull() | (v == ""), F.lit(None).cast("string")).otherwise(expr)
 
 
@@ -204,8 +204,9 @@ def company_email(name, domain: str = "gmail.com", fallback: str = "company") ->
     ascii_ = F.regexp_replace(strip_accents(name), f"[^a-zA-Z0-9{WS_CLASS[1:-1]}]", "")
     dotted = F.regexp_replace(F.replace(F.lower(ascii_), F.lit(" "), F.lit(".")), r"\.+", ".")
     prefix = F.regexp_replace(dotted, r"^\.+|\.+$", "")
-    return F.when(F.coalesce(prefix, F.lit("")) == "", F.lit(f"{fallback}@{domain}")) \
-        .otherwise(F.concat(prefix, F.lit(f"@{domain}")))
+    # Bind the prefix once per row (used by the test and the result).
+    return F.element_at(F.transform(F.array(prefix), lambda p: F.when(
+        F.coalesce(p, F.lit("")) == "", F.lit(f"{fallback}@{domain}")).otherwise(F.concat(p, F.lit(f"@{domain}")))), 1)
 
 
 # Texts meaning "salary negotiable".

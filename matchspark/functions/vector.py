@@ -43,11 +43,12 @@ def l2_normalize(v) -> Column:
 def cosine(a, b) -> Column:
     """Cosine similarity; 0.0 when a side is absent, shapes differ or a norm is zero."""
     a, b = _c(a), _c(b)
-    na, nb = norm(a), norm(b)
     ok = present(a) & present(b) & (F.size(a) == F.size(b))
-    return F.when(~ok, F.lit(0.0)).when(
-        (na == 0) | (nb == 0), F.lit(0.0)
-    ).otherwise(dot(a, b) / (na * nb))
+    # Bind the three reductions once per row (each is used twice below).
+    parts = F.array(F.struct(dot(a, b).alias("d"), norm(a).alias("na"), norm(b).alias("nb")))
+    value = F.element_at(F.transform(parts, lambda p: F.when((p["na"] == 0) | (p["nb"] == 0), F.lit(0.0))
+                                     .otherwise(p["d"] / (p["na"] * p["nb"]))), 1)
+    return F.when(~ok, F.lit(0.0)).otherwise(value)
 
 
 def clamp01(s) -> Column:
