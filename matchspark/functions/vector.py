@@ -32,12 +32,15 @@ def norm(v) -> Column:
 def l2_normalize(v) -> Column:
     """Unit-length copy as ARRAY<DOUBLE>; a zero vector is left as is (no division by zero)."""
     v = _c(v)
-    n = norm(v)
-    return F.when(
-        v.isNull(), F.lit(None).cast("array<double>")
-    ).when(
-        n > 0, F.transform(v, lambda x: x.cast("double") / n)
-    ).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+    # The norm is bound once per row (a lambda variable): referencing it inside the element
+    # lambda directly would recompute it for every element.
+    def scale(n):
+        return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)) \
+            .otherwise(F.transform(v, lambda x: x.cast("double")))
+
+    return F.when(v.isNull(), F.lit(None).cast("array<double>")) \
+        .otherwise(F.element_at(F.transform(F.array(norm(v)), scale), 1))
 
 
 def cosine(a, b) -> Column:
