@@ -208,6 +208,33 @@ def link_rows(rows: DataFrame, prefix: int, radius: int = RADIUS) -> DataFrame:
     return rows.select("fp", "key", "left").mapInArrow(run, "a long, b long")
 
 
+def groups(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For a bounded array of fingerprints: the least fingerprint reachable from each, on one machine."""
+    distinct, place = np.unique(fps, return_inverse=True)
+    p = prefix_bits(len(distinct), radius)
+    masks, used = flips(p, radius // 2)
+    key = ((distinct >> np.uint64(64 - p))[:, None] ^ masks[None, :]).ravel().astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    fp = np.repeat(distinct, len(masks))[order]
+    left = np.tile(radius // 2 - used, len(distinct))[order]
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    parent = {int(f): int(f) for f in distinct}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    step = max(1, len(starts) // max(1, -(-len(distinct) * 2081 // BLOCK)))
+    for i in range(0, len(starts), step):
+        a, b = starts[i], starts[i + step] if i + step < len(starts) else len(key)
+        for x, y in links_of_block(fp[a:b], key[a:b], left[a:b], p, radius).tolist():
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+    return np.array([root(int(f)) for f in distinct], np.uint64)[place.reshape(-1)]
+
+
 def variant_rows(fps: DataFrame, prefix: int, radius: int = RADIUS) -> DataFrame:
     """fp, key, left: the variants of each distinct ``fp`` in compact form, native."""
     masks, used = flips(prefix, radius // 2)
@@ -218,7 +245,9 @@ def variant_rows(fps: DataFrame, prefix: int, radius: int = RADIUS) -> DataFrame
 
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, n: int | None = None) -> DataFrame:
-    """Links among the distinct values of ``fp``."""
+    """Links among the distinct values of ``fp``; ``radius`` is even, so that half of it reaches from both sides."""
+    if radius % 2:
+        raise ValueError("radius must be even")
     p = prefix_bits(fps.count() if n is None else n, radius)
     rows = variant_rows(fps, p, radius)
     return link_rows(rows.repartition("key").sortWithinPartitions("key"), p, radius)
