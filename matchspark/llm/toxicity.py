@@ -6,7 +6,7 @@
    voters look at the density and number of different entries, exclamation marks, capitals and address, and may vote either way.
 2. **Label model.** A generative model of the votes given a hidden label: class-wise vote rates (the
    accuracies) and correlations of each pair of voters within a class, by expectation-maximisation over the
-   training sample, started from the labels. Correlated voters share their weight: a voter's log-odds are divided by one plus the
+   training sample, anchored by its labels. Correlated voters share their weight: a voter's log-odds are divided by one plus the
    sum of its positive correlations.
 3. **Classifier.** A logistic regression over entry counts and pattern values, trained on the posterior labels. Its score is the result.
 
@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import stored, texts_of
+from matchspark.llm import simhash
+from matchspark.llm.common import bytes_of, stored, texts_of
 
 FIT_ROWS = 20_000       # labelled rows of the training sample, about
 LEXICON = 4_000         # entries at most
 LEXICON_VOTERS = 32
 PREFIXES = (3, 4, 5)    # word beginnings looked at
 MIN_ROWS = 3            # toxic training rows an entry needs
+CHANCE_ENTRIES = 5      # entries expected to pass by chance
 THRESHOLD = 0.7
 EDGES = ".,;:!?\"'()[]{}<>#*$%&|"
 ADDRESS = frozenset(("you", "your", "du", "dich", "ihr", "tu", "toi", "vous", "usted", "eres"))
@@ -79,7 +81,10 @@ def mine_lexicon(sample: DataFrame, most: int = LEXICON) -> list[tuple[str, floa
     llr = 2 * (part(F.col("t"), n1 * share) + part(F.col("c"), n0 * share)
                + part(n1 - F.col("t"), n1 * (1 - share)) + part(n0 - F.col("c"), n0 * (1 - share)))
     odds = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
-    top = rows.select("entry", llr.alias("llr"), odds.alias("odds")).where("llr > 10").orderBy(F.desc("llr"), "entry").limit(most)
+    rows = stored(rows.select("entry", llr.alias("llr"), odds.alias("odds")), "toxic-entries")
+    # a ratio of x arises by chance with probability of about exp(-x / 2): a few chance entries among all
+    enough = max(8.0, 2 * np.log(max(1, rows.count()) / CHANCE_ENTRIES))
+    top = rows.where(F.col("llr") > float(enough)).orderBy(F.desc("llr"), "entry").limit(most)
     return [(r["entry"], r["odds"]) for r in top.collect()]
 
 
@@ -156,33 +161,37 @@ def votes_of(model: ToxicityModel, rows: list[tuple[dict[int, int], list[float]]
     return votes
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row, vote rates (class, vote + 1, voter) and within-class correlations, by EM."""
-    post = np.clip(start.astype(float), 0.02, 0.98)
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of each row given its votes, vote rates (class, vote + 1, voter) and within-class correlations, by EM.
+
+    The E-step sees votes only. The M-step weighs rows by the mean of label and posterior: the labels keep the classes
+    from drifting into what correlated voters agree on, the posteriors overrule single wrong labels."""
+    labels = labels.astype(float)
+    prior = float(np.clip(labels.mean(), 1e-4, 1 - 1e-4))
     onehot = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)
-    rates = corr = None
+    post, rates, corr = labels, None, None
     for _ in range(rounds):
-        weight = np.stack([1 - post, post])
+        own = (labels + post) / 2
+        weight = np.stack([1 - own, own])
         rates = np.einsum("cr,vrj->cvj", weight, onehot) + 1.0
         rates /= rates.sum(axis=1, keepdims=True)
         corr = np.zeros((votes.shape[1], votes.shape[1]))
         for w in weight:
-            mean = (w[:, None] * votes).sum(0) / w.sum()
-            d = votes - mean
+            if w.sum() < 1:
+                continue
+            d = votes - (w[:, None] * votes).sum(0) / w.sum()
             cov = (d * w[:, None]).T @ d / w.sum()
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr += w.sum() / len(post) * np.where(np.outer(sd, sd) > 1e-6, cov / np.outer(sd, sd), 0)
+            sd = np.sqrt(np.maximum(np.diag(cov), 0))
+            both = np.outer(sd, sd)
+            corr += np.where(both > 1e-4, cov / np.maximum(both, 1e-4), 0) / 2
         np.fill_diagonal(corr, 0)
         share = 1 / (1 + np.maximum(corr, 0).sum(0))
-        prior = np.log(post.mean() / (1 - post.mean()))
-        logits = np.log(rates[1] / rates[0])
-        z = prior + np.einsum("vrj,vj,j->r", onehot, logits, share)
+        z = np.log(prior / (1 - prior)) + np.einsum("vrj,vj,j->r", onehot, np.log(rates[1] / rates[0]), share)
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        new = np.clip(new, 1e-6, 1 - 1e-6)
-        if np.abs(new - post).max() < 1e-4:
-            post = new
-            break
+        done = np.abs(new - post).max() < 1e-4
         post = new
+        if done:
+            break
     return post, rates, corr
 
 
@@ -192,7 +201,8 @@ def logistic(at: list[list[int]], values: list[list[float]], target: np.ndarray,
     row = np.repeat(np.arange(len(at)), [len(a) for a in at])
     col = np.fromiter((i for a in at for i in a), np.int64, len(row))
     val = np.fromiter((v for a in values for v in a), float, len(row))
-    w, b = np.zeros(size), float(np.log(target.mean() / (1 - target.mean())))
+    mean = float(np.clip(target.mean(), 1e-4, 1 - 1e-4))
+    w, b = np.zeros(size), float(np.log(mean / (1 - mean)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
         z = np.bincount(row, val * w[col], len(at)) + b
@@ -214,8 +224,25 @@ def training_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: s
         truth = truth.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
     chosen = truth.select(F.col("doc_id").alias("__id"), "toxic").limit(2 * fit_rows)  # bounded: broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return stored(rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["__id"]).select("text", "toxic")
-                  .limit(2 * fit_rows), "toxic-sample")
+    sample = stored(rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["__id"]).select("text", "toxic")
+                    .limit(2 * fit_rows).withColumn("row", F.monotonically_increasing_id()), "toxic-sample")
+    return sample.join(F.broadcast(_one_of_each(sample)), "row").select("text", "toxic")
+
+
+def _one_of_each(sample: DataFrame) -> DataFrame:
+    """row: one row of each group of near copies in the bounded sample (by SimHash), so that the words of a text with
+    many copies don't pass for a lexicon; of a group with both labels one row of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([simhash.fingerprint(t) for t in bytes_of(batch.column(0))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(fps.view(np.int64))],
+                                             names=["toxic", "row", "fp"])
+
+    got = sample.select("text", "toxic", "row").mapInArrow(run, "toxic int, row long, fp long").toPandas()
+    own = got["fp"].to_numpy().view(np.uint64)
+    group = simhash.groups(own)
+    first = got.assign(g=group).sort_values("row").drop_duplicates(["g", "toxic"])
+    return sample.sparkSession.createDataFrame([(int(r),) for r in first["row"]], "row long")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id",
