@@ -1,7 +1,7 @@
 """Operator 7: quality classifier from weak labels.
 
 1. **Labellers.** Eight heuristics (``VOTES``) look at the measures of a whole text and vote good (1), bad (-1) or not
-   at all (0). They overlap and none needs a label.
+   at all (0); five only detect one kind of junk. They overlap and none needs a label.
 2. **Weak-label model.** Expectation-maximisation over a naive Bayes model of the votes estimates each
    labeller's accuracy and the share of good documents. The votes of all documents are counted per
    pattern in one aggregate, and the model is fitted on these counts: at most 3^8 rows, exact for any corpus.
@@ -55,11 +55,8 @@ def looked_at(text: bytes) -> dict[str, float]:
 def votes(m: dict[str, float]) -> tuple[int, ...]:
     """In the order of VOTES."""
     n = m["n"]
-    return (-1 if m["symbols"] >= 0.05 else 1 if m["symbols"] == 0 and n else 0,
-            -1 if m["dup_lines"] >= 0.35 else 1 if m["dup_lines"] < 0.1 and n >= 20 else 0,
-            -1 if m["repeats"] > 0.3 else 1 if m["repeats"] == 0 and n >= 20 else 0,
-            -1 if m["same_words"] >= 0.6 else 1 if m["same_words"] < 0.45 and n >= 20 else 0,
-            -1 if m["stutter"] >= 0.2 else 1 if m["stutter"] < 0.05 and n >= 20 else 0,
+    return (-1 if m["symbols"] >= 0.05 else 0, -1 if m["dup_lines"] >= 0.35 else 0, -1 if m["repeats"] > 0.3 else 0,
+            -1 if m["same_words"] >= 0.6 else 0, -1 if m["stutter"] >= 0.2 else 0,
             -1 if n and not 3 <= m["word_length"] <= 7 else 1 if 4 <= m["word_length"] <= 6 else 0,
             -1 if n < 3 else 1 if n >= 40 else 0,
             -1 if n >= 60 and not m["ends"] else 1 if 0.02 <= m["ends"] <= 0.5 else 0)
