@@ -27,13 +27,15 @@ import re
 
 import numpy as np
 
-CACHED = 400_000  # entries in each of the two halves of a worker's cache
+CACHED = 600_000  # entries in each of the two halves of a worker's cache
 JOINED = 500      # words in one string for the library
 BARE = "\x02"     # marks a piece that has no space before it
 
 # A stop or comma may be cut off only behind a letter or digit; İ is lowered to a letter and a mark.
-_PLAIN_SPACES = re.compile(r"[^\w][.,]|_[.,]|\s\s|[\x02\x1c-\x1f]")
-_PLAIN_BLANKS = re.compile(r"[^\w][.,]|_[.,]|[\x1c-\x1fİ]")
+# Both patterns start with a set of rare characters, which is the fastest search.
+_ODD_SPACES = re.compile(r"[.,\x02\x1c-\x1f](?<![^\W_][.,])")
+_ODD_BLANKS = re.compile(r"[.,\x1c-\x1fİ](?<![^\W_][.,])")
+_TWO_BLANKS = re.compile(r"\s\s")
 _BLANK_SPACE = re.compile(r"\s |\x02")
 
 
@@ -86,10 +88,10 @@ class LibraryEncoder:
     def _pieces(self, text: str) -> list[str] | None:
         """Pieces whose ids, one after the other, are those of the text; None: it can't be cut."""
         if self.cut == "blanks":
-            if _PLAIN_BLANKS.search(text) is None:
+            if _ODD_BLANKS.search(text) is None:
                 return text.replace(",", " ,").replace(".", " .").split()
             return [p.decode() for p in text.encode().split()]
-        if _PLAIN_SPACES.search(text) is None:
+        if _ODD_SPACES.search(text) is None and _TWO_BLANKS.search(text) is None:
             text = text.replace(",", " \x02,").replace(".", " \x02.").replace("\n", " \x02\n \x02")
         elif _BLANK_SPACE.search(text):
             return None
@@ -120,36 +122,52 @@ class LibraryEncoder:
         ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(strings)), "right")
         return _sliced(np.array(e.ids, "<u4"), ends.tolist())
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > self.cached:
-            self.older, self.known = self.known, {}
-        older = self.older
-        letters, others = [], []
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the newer half of the cache lacks; they go there."""
+        older, found, letters, others = self.older, {}, [], []
         for p in pieces:
             if (ids := older.get(p)) is not None:
-                self.known[p] = ids
+                found[p] = ids
             elif p.isalpha() and "İ" not in p:
                 letters.append(p)
             else:
                 others.append(p)
-        self.known.update(zip(letters, self._letters(letters)))
+        found.update(zip(letters, self._letters(letters)))
         asked = others if self.cut == "blanks" else [p[1:] if p[:1] == BARE else " " + p for p in others]
-        self.known.update(zip(others, self._strings(asked)))
+        found.update(zip(others, self._strings(asked)))
+        if len(self.known) + len(found) > self.cached:
+            self.older, self.known = self.known, {}
+        self.known.update(found)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text."""
         if self.cut == "whole":
             return self._whole(texts)
-        cut = [self._pieces(t) for t in texts]
-        every = set().union(*[p for p in cut if p is not None])
-        new = every.difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.cached:
-                new = every  # the halves of the cache change places: take over what this batch needs
-            self._learn(new)
-        get = self.known.__getitem__
-        whole = iter(self._whole([t for t, p in zip(texts, cut) if p is None]))
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in cut]
+        out: list[bytes | None] = [None] * len(texts)
+        whole, waiting, new = [], [], set()
+        look = self.known.get
+        for n, text in enumerate(texts):
+            pieces = self._pieces(text)
+            if pieces is None:
+                whole.append(n)
+                continue
+            ids = list(map(look, pieces))
+            if None not in ids:
+                out[n] = b"".join(ids)
+                continue
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            missing = [pieces[i] for i in gaps]
+            new.update(missing)
+            waiting.append((n, ids, gaps, missing))
+        found = self._learn(new)
+        for n, ids, gaps, missing in waiting:
+            for i, p in zip(gaps, missing):
+                ids[i] = found[p]
+            out[n] = b"".join(ids)
+        for n, ids in zip(whole, self._whole([texts[n] for n in whole])):
+            out[n] = ids
+        return out
 
 
 def _sliced(ids: np.ndarray, ends: list[int]) -> list[bytes]:
@@ -165,7 +183,7 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def byte_slices(texts: list[str], most: int = 8 << 20):
+def byte_slices(texts: list[str], most: int = 16 << 20):
     """Runs of texts of about ``most`` characters together: what one call to the encoder holds."""
     part, size = [], 0
     for t in texts:
