@@ -26,8 +26,13 @@ from matchspark.llm.common import BROADCAST_IDS, shared_folder, stored, without_
 
 BLANKS = " \t\n\x0b\x0c\r"
 FILES_PER_BATCH = 1000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: state on disk, and no store kept open after its task: a store reserves some MB of local disk while it is open
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
+BROADCAST_DIGESTS = 100_000  # digests are broadcast up to this many (64 bytes each), else shuffled
 
 
 def normalised(text: Column) -> Column:
@@ -55,14 +60,16 @@ def update_state(digests: DataFrame, folder: str, checkpoint: str, files_per_bat
     best = F.struct(F.col("code_points"), F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("row").alias("not_row"),
                     F.col("file"))  # ~x turns the order around: smallest id first, null last
     state = stream.groupBy("digest").agg(F.max(best).alias("keep"), F.count("*").alias("group_size"))
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         run = (state.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
                .format("noop").trigger(availableNow=True).start())
         run.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     entries = spark.read.format("statestore").load(checkpoint)
     return entries.select(F.col("key")[entries.schema["key"].dataType.names[0]].alias("digest"),
                           F.col("value.max").alias("keep"), F.col("value.count").alias("group_size"))
@@ -86,7 +93,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     state = stored(update_state(digests, folder, checkpoint, files_per_batch)
                    .select("digest", "group_size", *_pick(F.col("keep"))), "dedup-groups")
     hits = state.where("group_size > 1").select("digest")
-    hits = F.broadcast(hits) if hits.count() <= BROADCAST_IDS else hits
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_DIGESTS else hits
     # full bytes of all hits: one row per different text and task goes through the shuffle
     texts = docs.select(normalised(F.col(text_col)).alias("text")).withColumn("digest", digest(F.col("text")))
     clashes = (texts.join(hits, "digest", "left_semi").groupBy("digest", "text").agg(F.lit(1).alias("one"))
@@ -96,7 +103,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                "digest", "keep_file", "keep_row"]
     if clashes.isEmpty():
         return digests.join(state, "digest").select(*columns)
-    plain = digests.join(F.broadcast(clashes) if clashes.count() <= BROADCAST_IDS else clashes, "digest", "left_anti")
+    plain = digests.join(F.broadcast(clashes) if clashes.count() <= BROADCAST_DIGESTS else clashes, "digest", "left_anti")
     return plain.join(state, "digest").select(*columns).unionByName(
         _by_text(docs, clashes, id_col, text_col, digest).select(*columns))
 
