@@ -43,6 +43,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def collected(df: DataFrame):
+    """A bounded table as a pandas frame on the driver, through Arrow whatever the session's settings."""
+    return df.toArrow().to_pandas()
+
+
 def narrow(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """``doc_id`` (long), ``text`` (null as empty) and the columns ``more``, nothing else."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"),

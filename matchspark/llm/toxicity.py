@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.llm import simhash
-from matchspark.llm.common import bytes_of, stored, texts_of
+from matchspark.llm.common import bytes_of, collected, stored, texts_of
 
 FIT_ROWS = 20_000       # labelled rows of the training sample, about
 LEXICON = 4_000         # entries at most
@@ -41,6 +41,8 @@ LEXICON_VOTERS = 32
 PREFIXES = (3, 4, 5)    # word beginnings looked at
 MIN_ROWS = 3            # toxic training rows an entry needs
 CHANCE_ENTRIES = 5      # entries expected to pass by chance
+MIN_ODDS = 3.0          # log-odds an entry needs: words that are merely common in long texts don't count
+STRONG_ODDS = 5.0
 THRESHOLD = 0.7
 EDGES = ".,;:!?\"'()[]{}<>#*$%&|"
 ADDRESS = frozenset(("you", "your", "du", "dich", "ihr", "tu", "toi", "vous", "usted", "eres"))
@@ -84,7 +86,7 @@ def mine_lexicon(sample: DataFrame, most: int = LEXICON) -> list[tuple[str, floa
     rows = stored(rows.select("entry", llr.alias("llr"), odds.alias("odds")), "toxic-entries")
     # a ratio of x arises by chance with probability of about exp(-x / 2): a few chance entries among all
     enough = max(8.0, 2 * np.log(max(1, rows.count()) / CHANCE_ENTRIES))
-    top = rows.where(F.col("llr") > float(enough)).orderBy(F.desc("llr"), "entry").limit(most)
+    top = rows.where((F.col("llr") > float(enough)) & (F.col("odds") > MIN_ODDS)).orderBy(F.desc("llr"), "entry").limit(most)
     return [(r["entry"], r["odds"]) for r in top.collect()]
 
 
@@ -105,7 +107,7 @@ class ToxicityModel:
         """(entries, strong, capitals, address) of a word as written; None if there is nothing to it."""
         lower = word.lower()
         found = tuple(self.entries[e] for e in entries_of(lower) if e in self.entries)
-        strong = bool(found) and max(self.odds[e] for e in found) > 3.0
+        strong = bool(found) and max(self.odds[e] for e in found) > STRONG_ODDS
         capitals, address = len(word) > 2 and word.isupper(), lower in ADDRESS
         return (found, strong, capitals, address) if found or capitals or address else None
 
@@ -238,7 +240,7 @@ def _one_of_each(sample: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(fps.view(np.int64))],
                                              names=["toxic", "row", "fp"])
 
-    got = sample.select("text", "toxic", "row").mapInArrow(run, "toxic int, row long, fp long").toPandas()
+    got = collected(sample.select("text", "toxic", "row").mapInArrow(run, "toxic int, row long, fp long"))
     own = got["fp"].to_numpy().view(np.uint64)
     group = simhash.groups(own)
     first = got.assign(g=group).sort_values("row").drop_duplicates(["g", "toxic"])
@@ -263,8 +265,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
                 pa.array([list(h.values()) for h, _ in rows], pa.list_(pa.int32())),
                 pa.array([p for _, p in rows], pa.list_(pa.float64()))], names=["toxic", "entries", "counts", "patterns"])
 
-    got = sample.select("text", "toxic").mapInArrow(
-        run, "toxic int, entries array<int>, counts array<int>, patterns array<double>").toPandas()  # bounded by fit_rows
+    got = collected(sample.select("text", "toxic").mapInArrow(  # bounded by fit_rows
+        run, "toxic int, entries array<int>, counts array<int>, patterns array<double>"))
     rows = [(dict(zip(e.tolist(), c.tolist())), p.tolist()) for e, c, p in zip(got["entries"], got["counts"], got["patterns"])]
     start = got["toxic"].to_numpy(float)
     post, model.accuracies, model.correlations = label_model(votes_of(model, rows), start)

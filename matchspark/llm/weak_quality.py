@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import bytes_of, stored
+from matchspark.llm.common import bytes_of, collected, stored
 from matchspark.llm.quality_rules import measures
 from matchspark.llm.toxicity import logistic
 
@@ -179,8 +179,8 @@ def fit_quality(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id
                 batch.column(1), pa.array([a for a, _ in rows], pa.list_(pa.int32())),
                 pa.array([v for _, v in rows], pa.list_(pa.float32()))], names=["votes", "at", "values"])
 
-    got = (texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__id"]).select("text", "votes").limit(3 * fit_rows)
-           .mapInArrow(run, "votes string, at array<int>, values array<float>").toPandas())
+    got = collected(texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__id"]).select("text", "votes")
+                    .limit(3 * fit_rows).mapInArrow(run, "votes string, at array<int>, values array<float>"))
     if not len(got):
         model.bias = float(np.log(share / (1 - share)))
         return model

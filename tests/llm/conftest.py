@@ -14,6 +14,12 @@ EDGE = [
 SCHEMA = "doc_id long, text string, lang string"
 
 
+@pytest.fixture(scope="session", autouse=True)
+def plain_session(spark):
+    """The operators don't rely on a session setting that a cluster may lack."""
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+
+
 @pytest.fixture(scope="session")
 def edge(spark):
     """The edge rows with extra columns whose names clash with those the operators use inside."""
