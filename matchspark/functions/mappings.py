@@ -60,14 +60,6 @@ COMPANY_SIZE_ORDER = [
     ("trên 1000", "ENTERPRISE"),
 ]
 
-# Fixed values.
-SKILL_LEVEL_MAP = {
-    "beginner": "BEGINNER",
-    "intermediate": "INTERMEDIATE",
-    "advanced": "ADVANCED",
-    "expert": "EXPERT",
-}
-
 # Labels of the CV summary parts and default texts.
 SUMMARY_LABELS = ("Ngành: ", "Nơi làm việc: ", "Mức lương mong muốn: ")
 UNTITLED = "Untitled"

@@ -13,6 +13,7 @@ Python-compatible details that matter for equal results:
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -38,19 +39,20 @@ def _ranges(chars: list[int]) -> str:
 
 
 # Rule: the characters Python treats as whitespace (str.isspace) in the BMP.
-WS_CLASS = "[" + _ranges([i for i in range(0x10000) if chr(i).isspace()]) + "]"
+WS_CHARS = "".join(chr(i) for i in range(0x10000) if chr(i).isspace())
+WS_CLASS = "[" + _ranges([ord(c) for c in WS_CHARS]) + "]"
 WORD_CLASS = r"[\pL\pN_]"
 NON_WORD_CLASS = r"[^\pL\pN_]"
 
 
 def py_strip(c) -> Column:
     """Python ``str.strip()``."""
-    return F.regexp_replace(F.regexp_replace(_c(c), f"^{WS_CLASS}+", ""), f"{WS_CLASS}+$", "")
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def is_blank(c) -> Column:
     """NULL, empty or only whitespace."""
-    return F.coalesce(F.regexp_replace(_c(c), f"{WS_CLASS}+", "") == "", F.lit(True))
+    return F.coalesce(py_strip(c) == "", F.lit(True))
 
 
 # Item delimiters of the split rule.
@@ -73,86 +75,44 @@ def word_pattern(entry_lower: str) -> str:
     return pre + re.escape(entry_lower).replace("\\ ", " ") + post
 
 
-INLINE_DICTIONARY_MAX = 512  # larger dictionaries use one Aho-Corasick pass per text
+DICTIONARY_SCHEMA = "array<struct<skill:string,low:string,whole:string>>"
 
 
-def extract_skills(text, dictionary: list[str], limit: int = 20) -> Column:
-    """Dictionary entries found in the text, in dictionary order, at most ``limit``.
+def _entry(skill: str) -> dict:
+    low = skill.lower()
+    return {"skill": skill, "low": low, "whole": word_pattern(low) if len(skill) <= 2 else None}
+
+
+def dictionary_of(table, skill: str = "skill", order: str = "pos") -> list[str]:
+    """The dictionary for ``extract_skills`` from a table of entries, in the order of ``order`` (first row of an entry).
+    The dictionary is reference data: it is read by the driver, however many entries it has, and sent with the plan."""
+    s = F.col(skill)
+    rows = table.where(s.isNotNull() & (s != "")).groupBy(s.alias("skill")).agg(F.min(order).alias("pos"))
+    return [r["skill"] for r in rows.orderBy("pos", "skill").collect()]
+
+
+def extract_skills(text, dictionary: list[str], limit: int | None = None) -> Column:
+    """Dictionary entries found in the text, in dictionary order (at most ``limit`` if given).
 
     Entries of at most 2 characters must stand as whole words; longer ones match as plain
     lower-case substrings ("java" is found inside "javascript"). Duplicate entries count once.
-    The dictionary is inlined as one test per entry (bounded by the dictionary's own size), so
-    there is no join with the text rows; the text is lower-cased once per row.
+    The dictionary is one literal array, so dictionaries of any size take the same way, there is no join with the
+    text rows, and the text is lower-cased once per row.
     """
-    seen, entries = set(), []
-    for s in dictionary:
-        if s not in seen:
-            seen.add(s)
-            entries.append(s)
-    if not entries:
-        return F.array().cast("array<string>")
-    if len(entries) > INLINE_DICTIONARY_MAX:
-        return extract_skills_scan(text, entries, limit)
-
-    def scan(t: Column) -> Column:
-        hits = []
-        for s in entries:
-            low = s.lower()
-            found = t.contains(F.lit(low))
-            # A whole-word hit needs the substring: the cheap byte search gates the regex.
-            test = (found & t.rlike(word_pattern(low))) if len(s) <= 2 else found
-            hits.append(F.when(test, F.lit(s)))
-        return F.slice(F.filter(F.array(*hits), lambda x: x.isNotNull()), 1, limit)
+    entries = [_entry(s) for s in dict.fromkeys(dictionary) if s]
+    listed = F.from_json(F.lit(json.dumps(entries)), DICTIONARY_SCHEMA)  # folded to one literal
+
+    def scan(row: Column) -> Column:
+        t = row["text"]
+        # A whole-word hit needs the substring: the cheap byte search gates the regex.
+        hits = F.filter(row["entries"], lambda e: t.contains(e["low"])
+                        & (e["whole"].isNull() | F.regexp_like(t, F.coalesce(e["whole"], F.lit("")))))
+        names = F.transform(hits, lambda e: e["skill"])
+        return names if limit is None else F.slice(names, 1, limit)
 
     # Bind the lower-cased text once per row (lambda variable), then run every entry test on it.
-    lowered = F.array(F.lower(F.coalesce(_c(text), F.lit(""))))
-    return F.element_at(F.transform(lowered, scan), 1)
-
-
-def extract_skills_scan(text, entries: list[str], limit: int = 20) -> Column:
-    """Same rule for large dictionaries: an Arrow-batched pandas UDF that scans each lower-cased
-    text once with an Aho-Corasick automaton (long entries) and checks short entries with
-    Python's Unicode word-boundary regex. The automaton is built once per Python worker."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    state: dict = {}
-
-    def build():
-        import ahocorasick
-        auto = ahocorasick.Automaton()
-        short = []
-        for i, s in enumerate(entries):
-            low = s.lower()
-            if len(s) > 2:
-                if low in auto:
-                    auto.add_word(low, auto.get(low) + [i])
-                else:
-                    auto.add_word(low, [i])
-            else:
-                short.append((i, re.compile(r"\b" + re.escape(low) + r"\b")))
-        if len(auto):
-            auto.make_automaton()
-        return auto, short
-
-    def run(texts):
-        if "a" not in state:
-            state["a"] = build()
-        auto, short = state["a"]
-        out = []
-        for t in texts:
-            low = (t or "").lower()
-            hit = set()
-            if len(auto):
-                for _, idxs in auto.iter(low):
-                    hit.update(idxs)
-            for i, rx in short:
-                if rx.search(low):
-                    hit.add(i)
-            out.append([entries[i] for i in sorted(hit)][:limit])
-        return pd.Series(out)
-
-    return pandas_udf(run, "array<string>")(_c(text))
+    lowered = F.array(F.struct(F.lower(F.coalesce(_c(text), F.lit(""))).alias("text"), listed.alias("entries")))
+    return F.coalesce(F.element_at(F.transform(lowered, scan), 1), F.array().cast("array<string>"))
 
 
 def map_enum(value, mapping: dict[str, str], default: str | None = None) -> Column:

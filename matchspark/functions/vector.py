@@ -59,34 +59,28 @@ def clamp01(s) -> Column:
 
 
 def defaulted_similarity(query_vec, item_vec, query_absent: float = 0.3,
-                         item_absent: float = 0.5, vectorized: bool = False) -> Column:
+                         item_absent: float = 0.5) -> Column:
     """Cascade field score: query side absent first, then item side absent, else cosine."""
-    sim = cosine_vectorized(query_vec, item_vec) if vectorized else cosine(query_vec, item_vec)
     return (
         F.when(~present(query_vec), F.lit(float(query_absent)))
         .when(~present(item_vec), F.lit(float(item_absent)))
-        .otherwise(sim)
+        .otherwise(cosine(query_vec, item_vec))
     )
 
 
-def defaulted_unit_similarity(query_unit, item_unit, query_absent: float = 0.3,
-                              item_absent: float = 0.5) -> Column:
-    """``defaulted_similarity`` on vectors already L2-normalised once per entity (zero vectors
-    kept as zeros): one dot product per pair instead of a dot and two norms."""
-    q, i = _c(query_unit), _c(item_unit)
+def defaulted_normed_similarity(query_vec, query_norm, item_vec, item_norm, query_absent: float = 0.3,
+                                item_absent: float = 0.5) -> Column:
+    """``defaulted_similarity`` with the norms computed once per entity: one dot product per pair instead of
+    a dot and two norms, on the vectors in their stored (float) form."""
+    q, i, scale = _c(query_vec), _c(item_vec), _c(query_norm) * _c(item_norm)
     return (
         F.when(~present(q), F.lit(float(query_absent)))
         .when(~present(i), F.lit(float(item_absent)))
-        .when(F.size(q) != F.size(i), F.lit(0.0))
-        .otherwise(dot(q, i))
+        .when((F.size(q) != F.size(i)) | (scale == 0), F.lit(0.0))
+        .otherwise(dot(q, i) / scale)
     )
 
 
-def unit_or_null(v) -> Column:
-    """L2-normalised vector, NULL when absent (NULL or empty)."""
-    return F.when(present(v), l2_normalize(v))
-
-
 def weighted_similarity(pairs: list[tuple[Column, float]]) -> Column:
     """Sum(w_i * s_i) / Sum(w_i); 0.0 when the weights sum to zero."""
     total = float(sum(w for _, w in pairs))
@@ -99,36 +93,6 @@ def weighted_similarity(pairs: list[tuple[Column, float]]) -> Column:
     return expr / F.lit(total)
 
 
-def _cosine_batch(a, b):
-    import numpy as np
-    import pandas as pd
-
-    n = len(a)
-    out = np.zeros(n, dtype=np.float64)
-    la = np.fromiter((-1 if x is None else len(x) for x in a), dtype=np.int64, count=n)
-    lb = np.fromiter((-1 if x is None else len(x) for x in b), dtype=np.int64, count=n)
-    ok = (la > 0) & (la == lb)
-    for d in np.unique(la[ok]):
-        idx = np.nonzero(ok & (la == d))[0]
-        A = np.stack([np.asarray(a.iat[i], dtype=np.float64) for i in idx])
-        B = np.stack([np.asarray(b.iat[i], dtype=np.float64) for i in idx])
-        dots = np.einsum("ij,ij->i", A, B)
-        na = np.sqrt(np.einsum("ij,ij->i", A, A))
-        nb = np.sqrt(np.einsum("ij,ij->i", B, B))
-        den = na * nb
-        out[idx] = np.where(den > 0, dots / np.where(den > 0, den, 1.0), 0.0)
-    return pd.Series(out)
-
-
-def cosine_vectorized(a, b) -> Column:
-    """Same value as ``cosine`` computed on Arrow batches with NumPy (for many row pairs of
-    wide vectors, where the interpreted higher-order functions are slow)."""
-    from pyspark.sql.functions import pandas_udf
-
-    udf = pandas_udf(_cosine_batch, "double")
-    return udf(_c(a), _c(b))
-
-
 def vector_to_json(v) -> Column:
     """Vector as JSON array text (storage format of the source tables)."""
     return F.when(_c(v).isNotNull(), F.to_json(_c(v)))

@@ -22,18 +22,3 @@ ENUMS: dict[str, tuple[str, ...]] = {
     "CompanyRole": ("OWNER", "MANAGER", "RECRUITER", "VIEWER"),
     "InvitationStatus": ("PENDING", "ACCEPTED", "REJECTED", "CANCELLED", "EXPIRED"),
 }
-
-EDGE_SCHEMA = "src_id STRING, dst_id STRING, similarity DOUBLE, rank INT, updated_at TIMESTAMP"
-
-JOB_ENTITY = (
-    "id STRING, title STRING, skills ARRAY<STRING>, "
-    "requirements ARRAY<STRUCT<title: STRING, description: STRING>>, "
-    "title_vec ARRAY<FLOAT>, skills_vec ARRAY<FLOAT>, requirement_vec ARRAY<FLOAT>, "
-    "content_hash STRING, status STRING, expires_at TIMESTAMP"
-)
-CV_ENTITY = (
-    "id STRING, title STRING, current_position STRING, skills ARRAY<STRING>, "
-    "experiences ARRAY<STRUCT<title: STRING, description: STRING>>, "
-    "title_vec ARRAY<FLOAT>, skills_vec ARRAY<FLOAT>, experience_vec ARRAY<FLOAT>, "
-    "content_hash STRING, is_main BOOLEAN"
-)
