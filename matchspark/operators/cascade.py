@@ -1,13 +1,15 @@
 """Three-round candidate cascade: title -> experience vs requirements -> skills.
 
 Round 1 keeps the K1 best jobs per CV by title cosine (exact kernel or IVF index). Rounds 2
-and 3 only score those candidates: the candidate edges are joined once to the CV and job
-vector fields (shuffle joins on the ids; AQE broadcasts a side that is small at run time)
-and ranked by a window per CV, each CV holding at most K1 rows, so no window partition
-grows with the data.
+and 3 only score those candidates: each round joins its one pair of fields to the candidate
+edges, keeps the score alone (the vectors are dropped before the window) and ranks by a window
+per CV, each CV holding at most K1 rows, so no window partition grows with the data. The
+skills vectors are fetched for the K2 survivors only.
 
-Field vectors are L2-normalised once per entity before the candidate join, so a round costs
-one JVM-side dot product per candidate pair (not a dot product and two norms).
+Norms are computed once per entity; the vectors are joined in their stored (float) form and scores are
+computed in double. A job that a large share of all candidate lists names is a hot join key: edges carry a salt of
+``JOB_SALTS`` values, and each job's vector is there once per salt, so its edges are spread over
+that many tasks.
 
 Field score with missing data: CV side absent -> 0.3 (tested first), else job side absent
 -> 0.5, else cosine. Ties keep the previous round's order (rank columns ``r1``/``r2``); the
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.functions.vector import defaulted_unit_similarity, unit_or_null
+from matchspark.functions.vector import defaulted_normed_similarity, norm
 from matchspark.operators import ivf as ivf_ops
 from matchspark.operators.topk import exact_top_k, rank_top_k
 
@@ -49,28 +51,32 @@ def cascade(cvs: DataFrame, jobs: DataFrame, *, k1: int = 1000, k2: int = 100, k
     if rounds == 1:
         return rank_top_k(c1, "cv_id", "job_id", "title_sim", k3, tie_cols=["r1"]) \
             .select("cv_id", "job_id", F.col("title_sim").alias("similarity"), "rank")
-    cv_f = cvs.select("cv_id", unit_or_null("experience_vec").alias("cv_exp"),
-                      unit_or_null("skills_vec").alias("cv_skl"))
-    job_f = jobs.select("job_id", unit_or_null("requirement_vec").alias("job_req"),
-                        unit_or_null("skills_vec").alias("job_skl"))
-    # Unknown job ids (not among the jobs) are dropped by the inner join.
-    c = c1.join(cv_f, "cv_id").join(job_f, "job_id")
-    c2 = rank_top_k(c.withColumn("exp_sim", defaulted_unit_similarity("cv_exp", "job_req")),
-                    "cv_id", "job_id", "exp_sim", k2 if rounds == 3 else k3, rank_col="r2",
-                    tie_cols=["r1"])
+    c2 = rank_top_k(_scored(c1, cvs, jobs, "experience_vec", "requirement_vec", "exp_sim"), "cv_id", "job_id", "exp_sim",
+                    k2 if rounds == 3 else k3, rank_col="r2", tie_cols=["r1"])
     if rounds == 2:
         return c2.select("cv_id", "job_id", F.col("exp_sim").alias("similarity"), F.col("r2").alias("rank"))
-    c3 = rank_top_k(c2.withColumn("skill_sim", defaulted_unit_similarity("cv_skl", "job_skl")),
+    c3 = rank_top_k(_scored(c2.select("cv_id", "job_id", "r2"), cvs, jobs, "skills_vec", "skills_vec", "skill_sim"),
                     "cv_id", "job_id", "skill_sim", k3, tie_cols=["r2"])
     return c3.select("cv_id", "job_id", F.col("skill_sim").alias("similarity"), "rank")
 
 
+#: tasks that the edges of one job are spread over
+JOB_SALTS = 8
+
+
+def _scored(edges: DataFrame, cvs: DataFrame, jobs: DataFrame, cv_field: str, job_field: str, score: str) -> DataFrame:
+    """``edges`` with the score of one field pair; edges to unknown jobs are dropped (inner join)."""
+    cv_f = cvs.select("cv_id", F.col(cv_field).alias("_cv"), norm(cv_field).alias("_cv_norm"))
+    job_f = jobs.select("job_id", F.col(job_field).alias("_job"), norm(job_field).alias("_job_norm"),
+                        F.explode(F.sequence(F.lit(0), F.lit(JOB_SALTS - 1))).alias("_salt"))
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("cv_id"), F.lit(JOB_SALTS)).cast("int"))
+    return (salted.join(job_f, ["job_id", "_salt"]).join(cv_f, "cv_id")
+            .withColumn(score, defaulted_normed_similarity("_cv", "_cv_norm", "_job", "_job_norm"))
+            .select(*edges.columns, score))
+
+
 def round2_candidates(cvs: DataFrame, jobs: DataFrame, *, k1: int, k2: int, **kw) -> DataFrame:
     """Round-2 survivors with their ranks: (cv_id, job_id, exp_sim, r1, r2)."""
     c1 = round1(cvs, jobs, k1, **kw)
-    cv_f = cvs.select("cv_id", unit_or_null("experience_vec").alias("cv_exp"))
-    job_f = jobs.select("job_id", unit_or_null("requirement_vec").alias("job_req"))
-    c = c1.join(cv_f, "cv_id").join(job_f, "job_id")
-    return rank_top_k(c.withColumn("exp_sim", defaulted_unit_similarity("cv_exp", "job_req")),
-                      "cv_id", "job_id", "exp_sim", k2, rank_col="r2", tie_cols=["r1"]) \
-        .select("cv_id", "job_id", "exp_sim", "r1", "r2")
+    return rank_top_k(_scored(c1, cvs, jobs, "experience_vec", "requirement_vec", "exp_sim"), "cv_id", "job_id", "exp_sim",
+                      k2, rank_col="r2", tie_cols=["r1"]).select("cv_id", "job_id", "exp_sim", "r1", "r2")

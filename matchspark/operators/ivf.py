@@ -12,6 +12,11 @@ the final top-k per query is a ``row_number()`` window (partial + final
 ``WindowGroupLimit``). A query can get fewer than k rows when its probed cells hold fewer
 vectors. With ``nprobe = nlist`` the answer equals exact search.
 
+Recall: the number of cells to probe is measured, not guessed (``calibrate_nprobe``): for a bounded set of
+corpus vectors the exact neighbours are searched among all rows, and the smallest number of probes
+that reaches ``target_recall`` of them is kept in the index. Corpora too small to train on have one cell; an
+empty corpus has an empty index that finds nothing.
+
 Skew: a cell may hold a third of the corpus. It is then cut into ``ceil(size / split_rows)``
 splits by ``pmod(xxhash64(id), splits)``; a query probing it is replicated once per split
 (split counts come from an nlist-row aggregate), so no join key carries more than about
@@ -23,6 +28,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchspark.functions.vector import dot, l2_normalize, present
-from matchspark.operators.topk import _kernel, pack_group_blocks, rank_top_k
+from matchspark.operators.publish import commit_snapshot, current_snapshot, snapshot_path
+from matchspark.operators.topk import KERNEL_COLUMNS, _kernel, exact_top_k, pack_group_blocks, rank_top_k
 
 
 def effective_nlist(n: int, nlist: int) -> int:
@@ -102,6 +109,34 @@ def train_centroids(corpus: DataFrame, vec: str, nlist: int, seed: int = 42,
     return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()], dtype=np.float64)
 
 
+#: corpus vectors (chosen by a hash of the id) whose exact neighbours set the number of probes
+CALIBRATION_QUERIES = 256
+
+
+def calibrate_nprobe(corpus: DataFrame, id_col: str, vec: str, centroids: np.ndarray, n: int, k: int,
+                     target_recall: float, queries: int = CALIBRATION_QUERIES) -> int:
+    """Smallest number of probed cells that finds ``target_recall`` of the exact k neighbours of a bounded set of
+    corpus vectors. The search is exact over all rows; one number per probe count reaches the driver."""
+    nlist = centroids.shape[0]
+    if nlist <= 1:
+        return nlist
+    rows = corpus.where(present(vec) & (F.size(vec) == centroids.shape[1])).select(id_col, vec)
+    share = min(1.0, queries / max(1, n))
+    asked = rows.where(F.pmod(F.xxhash64(F.lit("calibration"), F.col(id_col)), F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
+    asked = asked.limit(4 * queries)
+    found = exact_top_k(asked, rows.withColumnRenamed(id_col, "_item"), k, query_id=id_col, query_vec=vec, item_id="_item",
+                        item_vec=vec, exclude_self=True).select(id_col, "_item")
+    cells = rows.select(F.col(id_col).alias("_item"), assign_cell_udf(centroids)(F.col(vec)).alias("cell"))
+    probes = asked.select(id_col, F.posexplode(probe_cells_udf(centroids, nlist)(F.col(vec))).alias("pos", "cell"))
+    at = found.join(cells, "_item").join(probes, [id_col, "cell"]).groupBy("pos").count().collect()  # <= nlist rows
+    counts = np.zeros(nlist)
+    for r in at:
+        counts[r["pos"]] = r["count"]
+    if not counts.sum():
+        return nlist
+    return int(np.searchsorted(np.cumsum(counts) / counts.sum(), target_recall) + 1)
+
+
 def label_mean_centroids(corpus: DataFrame, vec: str, label: str) -> tuple[np.ndarray, list]:
     """Supervised quantiser: one cell per label value, centroid = mean unit vector of the label.
 
@@ -143,17 +178,30 @@ def corpus_fingerprint(corpus: DataFrame, id_col: str, vec: str) -> tuple[int, i
     return int(r["n"]), int(r["h"])
 
 
-def build_index(corpus: DataFrame, id_col: str, vec: str, *, nlist: int = 100, nprobe: int = 10,
+def build_index(corpus: DataFrame, id_col: str, vec: str, *, nlist: int = 100, nprobe: int | None = None,
                 seed: int = 42, centroids: np.ndarray | None = None, split_rows: int = 2048,
-                cell_labels: list | None = None, fingerprint: tuple | None = None) -> IvfIndex:
-    """Train (unless centroids are given), assign every present vector, size the cell splits."""
+                cell_labels: list | None = None, fingerprint: tuple | None = None,
+                target_recall: float = 0.97, recall_k: int = 20) -> IvfIndex:
+    """Train (unless centroids are given), assign every present vector, size the cell splits.
+
+    ``nprobe=None`` measures the number of probes for ``target_recall`` of the first ``recall_k`` neighbours.
+    Vectors whose dimension is not that of most vectors have no cosine with the queries and are left out."""
     fp = fingerprint or corpus_fingerprint(corpus, id_col, vec)
     if centroids is None:
-        n_eff = effective_nlist(fp[0], nlist)
-        centroids = train_centroids(corpus, vec, n_eff, seed)
+        dims = corpus.where(present(vec)).groupBy(F.size(vec).alias("d")).count().orderBy(F.desc("count"), "d").first()
+        if dims is None:
+            return IvfIndex(np.zeros((0, 0)), _no_cells(corpus, id_col), {}, id_col, 0, fp, cell_labels)
+        dim, n = int(dims["d"]), int(dims["count"])
+        usable = corpus.where(present(vec) & (F.size(vec) == dim))
+        n_eff = effective_nlist(n, nlist)
+        centroids = train_centroids(usable, vec, n_eff, seed) if n_eff > 1 else np.zeros((1, dim))
+    else:
+        dim, n = int(centroids.shape[1]), fp[0]
+        usable = corpus.where(present(vec) & (F.size(vec) == dim))
+    if nprobe is None:
+        nprobe = calibrate_nprobe(usable, id_col, vec, centroids, n, recall_k, target_recall)
     assign = assign_cell_udf(centroids)
-    members = corpus.where(present(vec)).select(
-        F.col(id_col), l2_normalize(vec).alias("unit"), assign(F.col(vec)).alias("cell"))
+    members = usable.select(F.col(id_col), l2_normalize(vec).alias("unit"), assign(F.col(vec)).alias("cell"))
     sizes = members.groupBy("cell").count().collect()  # <= nlist rows
     splits = {int(r["cell"]): max(1, math.ceil(r["count"] / split_rows)) for r in sizes}
     split_expr = _split_lookup(splits)
@@ -162,6 +210,11 @@ def build_index(corpus: DataFrame, id_col: str, vec: str, *, nlist: int = 100, n
     return IvfIndex(centroids, cells, splits, id_col, min(nprobe, centroids.shape[0]), fp, cell_labels)
 
 
+def _no_cells(corpus: DataFrame, id_col: str) -> DataFrame:
+    kind = corpus.schema[id_col].dataType.simpleString()
+    return corpus.sparkSession.createDataFrame([], f"`{id_col}` {kind}, unit array<double>, cell int, split int")
+
+
 def _split_lookup(splits: dict):
     if not splits or max(splits.values()) == 1:
         return lambda c: F.lit(1)
@@ -172,6 +225,12 @@ def _split_lookup(splits: dict):
     return lambda c: F.coalesce(F.try_element_at(m, c), F.lit(1))
 
 
+def _no_result(index: IvfIndex, queries: DataFrame, query_id: str, out_query: str, out_item: str) -> DataFrame:
+    return queries.sparkSession.createDataFrame([], (
+        f"{out_query} {queries.schema[query_id].dataType.simpleString()}, "
+        f"{out_item} {index.cells.schema[index.id_col].dataType.simpleString()}, similarity double, rank int"))
+
+
 def search(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_vec: str,
            out_query: str | None = None, out_item: str | None = None, nprobe: int | None = None,
            exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
@@ -185,10 +244,12 @@ def search(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_
     out_query = out_query or query_id
     out_item = out_item or index.id_col
     p = min(nprobe or index.nprobe, index.nlist)
+    if p == 0 or k <= 0:
+        return _no_result(index, queries, query_id, out_query, out_item)
     probe = probe_cells_udf(index.centroids, p)
     split_expr = _split_lookup(index.splits)
     q = (
-        queries.where(present(query_vec))
+        queries.where(present(query_vec) & (F.size(query_vec) == index.centroids.shape[1]))
         .select(F.col(query_id).alias("_q"), F.col(query_vec).alias("_v"),
                 probe(F.col(query_vec)).alias("_cells"))
         .select("_q", "_v", F.explode("_cells").alias("cell"))
@@ -197,18 +258,13 @@ def search(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_
     # Query blocks: the busiest (cell, split) decides how many blocks each one may use; groups
     # only exist where rows exist, so quiet cells just get smaller blocks. One scalar to the driver.
     stats = q.groupBy("cell", "split").count().agg(F.max("count").alias("m")).first()
-    spark = queries.sparkSession
-    schema_out = (f"{out_query} {queries.schema[query_id].dataType.simpleString()}, "
-                  f"{out_item} {index.cells.schema[index.id_col].dataType.simpleString()}, "
-                  "similarity double, rank int")
     if stats is None or stats["m"] is None:
-        return spark.createDataFrame([], schema_out)
+        return _no_result(index, queries, query_id, out_query, out_item)
     qb_count = F.lit(max(1, math.ceil(stats["m"] / block_rows)))
     q = q.withColumn("qb", F.pmod(F.xxhash64(F.col("_q")), qb_count).cast("int"))
     qblocks = pack_group_blocks(q, ["cell", "split", "qb"], "_q", "_v", "q_")
     cblocks = pack_group_blocks(index.cells, ["cell", "split"], index.id_col, "unit", "c_")
-    pairs = qblocks.join(cblocks, ["cell", "split"]).select("q_ids", "q_mat", "c_ids", "c_mat")
-    dim = int(index.centroids.shape[1])
+    pairs = qblocks.join(cblocks, ["cell", "split"]).select(*KERNEL_COLUMNS)
     id_type = queries.schema[query_id].dataType
     item_type = index.cells.schema[index.id_col].dataType
     kernel_schema = T.StructType([
@@ -216,7 +272,7 @@ def search(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_
     ])
     q_dtype = np.float64 if isinstance(queries.schema[query_vec].dataType.elementType, T.DoubleType) else np.float32
     local = pairs.mapInPandas(
-        _kernel(k, dim, exclude_self, False, False, q_dtype, np.float64, True), kernel_schema)
+        _kernel(k, exclude_self, False, False, q_dtype, np.float64), kernel_schema)
     scored = local.select(F.col("q").alias(out_query), F.col("c").alias(out_item), F.col("s").alias("similarity"))
     return rank_top_k(scored, out_query, out_item, "similarity", k)
 
@@ -232,7 +288,7 @@ def search_pairs(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str,
     probe = probe_cells_udf(index.centroids, p)
     split_expr = _split_lookup(index.splits)
     q = (
-        queries.where(present(query_vec))
+        queries.where(present(query_vec) & (F.size(query_vec) == index.centroids.shape[1]))
         .select(F.col(query_id).alias("_q"), l2_normalize(query_vec).alias("_qu"),
                 probe(F.col(query_vec)).alias("_cells"))
         .select("_q", "_qu", F.explode("_cells").alias("cell"))
@@ -248,28 +304,33 @@ def search_pairs(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str,
 
 
 # ---------------------------------------------------------------- persistence (S17, I6)
-def save_index(index: IvfIndex, path: str) -> None:
+def save_index(index: IvfIndex, path: str) -> str:
+    """Write the index as a new snapshot (centroids, cells, meta) and make it current when all are complete."""
     spark = index.cells.sparkSession
+    before, snapshot_id = current_snapshot(spark, path), uuid.uuid4().hex
+    folder = snapshot_path(path, (0, snapshot_id))
     cent = spark.createDataFrame(
         [(i, [float(x) for x in row]) for i, row in enumerate(index.centroids)],
         "cell int, vec array<double>")
-    cent.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "centroids"))
-    # Rows of a cell are clustered in one file and sorted, so row-group statistics on ``cell``
-    # let a reader skip cells; searches read every probed cell block once.
-    index.cells.repartition("cell").sortWithinPartitions("cell", "split") \
-        .write.mode("overwrite").parquet(os.path.join(path, "cells"))
+    cent.coalesce(1).write.parquet(os.path.join(folder, "centroids"))
+    # The rows of one (cell, split) are clustered in one file and sorted, so row-group statistics on
+    # ``cell`` let a reader skip cells and a hot cell is written by as many tasks as it has splits.
+    index.cells.repartition("cell", "split").sortWithinPartitions("cell", "split") \
+        .write.parquet(os.path.join(folder, "cells"))
     meta = {"id_col": index.id_col, "nprobe": index.nprobe, "nlist": index.nlist,
             "dim": int(index.centroids.shape[1]), "fingerprint": list(index.fingerprint),
             "splits": {str(k): v for k, v in index.splits.items()}}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
-        .write.mode("overwrite").text(os.path.join(path, "meta"))
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.text(os.path.join(folder, "meta"))
+    commit_snapshot(spark, path, snapshot_id, before)
+    return folder
 
 
 def load_index(spark: SparkSession, path: str) -> IvfIndex:
-    meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()["value"])
-    rows = spark.read.parquet(os.path.join(path, "centroids")).orderBy("cell").collect()
-    cent = np.array([r["vec"] for r in rows], dtype=np.float64)
-    cells = spark.read.parquet(os.path.join(path, "cells"))
+    folder = snapshot_path(path, current_snapshot(spark, path))
+    meta = json.loads(spark.read.text(os.path.join(folder, "meta")).first()["value"])
+    rows = spark.read.parquet(os.path.join(folder, "centroids")).orderBy("cell").collect()
+    cent = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), meta["dim"])
+    cells = spark.read.parquet(os.path.join(folder, "cells"))
     return IvfIndex(cent, cells.select("cell", "split", meta["id_col"], "unit"),
                     {int(k): v for k, v in meta["splits"].items()}, meta["id_col"],
                     meta["nprobe"], tuple(meta["fingerprint"]))
@@ -282,7 +343,7 @@ def load_or_build(corpus: DataFrame, id_col: str, vec: str, path: str | None, **
     """
     spark = corpus.sparkSession
     fp = corpus_fingerprint(corpus, id_col, vec)
-    if path and _exists(spark, os.path.join(path, "meta")):
+    if path and current_snapshot(spark, path) is not None:
         idx = load_index(spark, path)
         if tuple(idx.fingerprint) == fp:
             return idx, True
@@ -291,10 +352,3 @@ def load_or_build(corpus: DataFrame, id_col: str, vec: str, path: str | None, **
         save_index(idx, path)
         idx = load_index(spark, path)
     return idx, False
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)

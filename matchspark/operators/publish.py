@@ -10,6 +10,7 @@ failed job leaves the previous snapshot intact.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,42 +54,62 @@ def fill_null_update(base: DataFrame, incoming: DataFrame, key: str, column: str
 
 
 # ---------------------------------------------------------------- snapshot tables
-def _pointer(base: str) -> str:
-    return os.path.join(base, "_CURRENT")
+# <base>/data/<id>        one folder per snapshot, under a name of its own
+# <base>/versions/<n>-<id> one empty file per version, made once its snapshot is complete; the highest
+#                          one is the table. An aborted write leaves a folder that nothing points to.
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def current_snapshot(spark: SparkSession, base: str) -> tuple[int, str] | None:
+    """(version, snapshot id) of the table; None only if it has no version. Storage errors are raised."""
+    fs, folder = _fs(spark, os.path.join(base, "versions"))
+    if not fs.exists(folder):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    found = [(int(n[:8]), n[9:]) for n in names if len(n) > 9 and n[:8].isdigit() and n[8] == "-"]
+    return max(found, default=None)
 
 
-def current_snapshot(spark: SparkSession, base: str) -> str | None:
-    p = _pointer(base)
-    try:
-        return spark.read.text(p).first()["value"].strip()
-    except Exception:
-        return None
+def snapshot_path(base: str, snapshot: tuple[int, str]) -> str:
+    return os.path.join(base, "data", snapshot[1])
+
+
+def commit_snapshot(spark: SparkSession, base: str, snapshot_id: str, after: tuple[int, str] | None) -> tuple[int, str]:
+    """Make a completely written snapshot the next version."""
+    version = (after[0] if after else 0) + 1
+    fs, pointer = _fs(spark, os.path.join(base, "versions", f"{version:08d}-{snapshot_id}"))
+    fs.create(pointer, False).close()
+    return version, snapshot_id
 
 
 def read_current(spark: SparkSession, base: str, schema: str | None = None) -> DataFrame | None:
     snap = current_snapshot(spark, base)
     if snap is None:
         return spark.createDataFrame([], schema) if schema else None
-    return spark.read.parquet(os.path.join(base, snap))
+    return spark.read.parquet(snapshot_path(base, snap))
 
 
-def write_snapshot(df: DataFrame, base: str, partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as the next snapshot folder and make it current; returns its name."""
+def write_snapshot(df: DataFrame, base: str, partition_by: list[str] | None = None,
+                   sort_by: str | None = None) -> tuple[int, str]:
+    """Write ``df`` as a new snapshot and make it current. ``sort_by``: files are ranges of this column, so
+    row-group statistics let a read of one key skip the rest."""
     spark = df.sparkSession
-    prev = current_snapshot(spark, base)
-    n = int(prev.split("=")[1]) + 1 if prev else 1
-    name = f"snapshot={n:06d}"
+    before, snapshot_id = current_snapshot(spark, base), uuid.uuid4().hex
+    if sort_by:
+        df = df.repartitionByRange(sort_by).sortWithinPartitions(sort_by)
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(os.path.join(base, name))
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(_pointer(base))
-    return name
+    w.parquet(os.path.join(base, "data", snapshot_id))
+    return commit_snapshot(spark, base, snapshot_id, before)
 
 
 def publish_edges(spark: SparkSession, base: str, new: DataFrame, key: str,
-                  processed_keys: DataFrame | None = None, keep_stale: bool = False) -> str:
-    """Keyed replace of ``new`` into the table at ``base`` (first run: plain write)."""
+                  processed_keys: DataFrame | None = None, keep_stale: bool = False) -> tuple[int, str]:
+    """Keyed replace of ``new`` into the table at ``base`` (first run: plain write). A failed read of the old
+    table stops the run; it never counts as an empty one."""
     old = read_current(spark, base)
     out = new if old is None else keyed_replace(old, new, key, processed_keys, keep_stale)
-    return write_snapshot(out, base)
+    return write_snapshot(out, base, sort_by=key)

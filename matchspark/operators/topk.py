@@ -5,11 +5,14 @@ B = ceil(rows / block_rows), so a block never grows with the data). A block is p
 raw float32 bytes. Query blocks meet corpus blocks through an equi-join on the corpus block
 number (query blocks are replicated once per corpus block, never per corpus row). Each
 (query block, corpus block) pair is scored by one NumPy product in float64 inside
-``mapInPandas``; only the local top-k per query (ties at the cut kept) leaves the task, and
-the global top-k is a window ``row_number() <= k`` which Spark runs as a partial +
-final ``WindowGroupLimit``.
+``mapInPandas``; only the local top-k per query leaves the task, at most k rows each (ties at the
+cut are broken by the item id, as the global order does), and the global top-k is a
+window ``row_number() <= k`` which Spark runs as a partial + final ``WindowGroupLimit``.
 
-The corpus block table is broadcast only when ``rows * dim * 4`` bytes is at most
+A block holds vectors of one dimension only and carries it. Vectors of different dimensions
+have no cosine: such pairs are left out, or score 0 where the search keeps absent items as 0.
+
+The corpus block table is broadcast only when its vectors (4 or 8 bytes a number) take at most
 ``broadcast_limit_bytes``; beyond that the pairs are formed by a shuffle join on the block.
 
 Scores are cosine similarities: vectors are L2-normalised in float64 (zero vectors kept as
@@ -28,6 +31,9 @@ from pyspark.sql import types as T
 
 from matchspark.functions.vector import present
 
+#: a pair of blocks as the kernel reads it
+KERNEL_COLUMNS = ["q_ids", "q_d", "q_mat", "c_ids", "c_d", "c_mat"]
+
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
     m = m.astype(np.float64)
@@ -36,11 +42,6 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / n[:, None]
 
 
-def _block_stats(df: DataFrame, vec: str) -> tuple[int, int]:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    return int(row["n"] or 0), int(row["d"] or 0)
-
-
 def _pair_stats(q: DataFrame, qvec: str, c: DataFrame, cvec: str) -> tuple[int, int, int]:
     """(query rows, corpus rows, corpus dim) in one job (two aggregates unioned)."""
     a = q.agg(F.lit(0).alias("side"), F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("d"))
@@ -50,92 +51,77 @@ def _pair_stats(q: DataFrame, qvec: str, c: DataFrame, cvec: str) -> tuple[int,
 
 
 def pack_blocks(df: DataFrame, id_col: str, vec_col: str, n_blocks: int, prefix: str) -> DataFrame:
-    """One row per block: (<prefix>b, <prefix>ids ARRAY<id>, <prefix>mat BINARY row-major).
-
-    FLOAT vectors are stored as float32 bytes, DOUBLE vectors as float64 bytes (no rounding).
-    """
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType([
-        T.StructField(f"{prefix}b", T.IntegerType()),
-        T.StructField(f"{prefix}ids", T.ArrayType(id_type)),
-        T.StructField(f"{prefix}mat", T.BinaryType()),
-    ])
+    """One row per block and dimension: (<prefix>b, <prefix>d, <prefix>ids ARRAY<id>,
+    <prefix>mat BINARY row-major)."""
     bcol = f"{prefix}b"
-
-    el = df.schema[vec_col].dataType.elementType
-    dtype = np.float64 if isinstance(el, T.DoubleType) else np.float32
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        mat = np.stack([np.asarray(v, dtype=dtype) for v in pdf["v"].values])
-        return pd.DataFrame({
-            bcol: [int(pdf[bcol].iloc[0])],
-            f"{prefix}ids": [pdf["i"].tolist()],
-            f"{prefix}mat": [mat.tobytes()],
-        })
-
-    return (
-        df.select(
-            F.col(id_col).alias("i"),
-            F.col(vec_col).alias("v"),
-            F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int").alias(bcol),
-        )
-        .groupBy(bcol)
-        .applyInPandas(pack, schema)
-    )
+    rows = df.select(F.col(id_col), F.col(vec_col),
+                     F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int").alias(bcol))
+    return pack_group_blocks(rows, [bcol], id_col, vec_col, prefix)
 
 
 def pack_group_blocks(df: DataFrame, keys: list[str], id_col: str, vec_col: str, prefix: str) -> DataFrame:
-    """Pack every group of ``keys`` (already bounded in size) into one block row:
-    (keys..., <prefix>ids, <prefix>mat)."""
+    """Pack every group of ``keys`` (already bounded in size) and dimension into one block row:
+    (keys..., <prefix>d, <prefix>ids, <prefix>mat).
+
+    FLOAT vectors are stored as float32 bytes, DOUBLE vectors as float64 bytes (no rounding).
+    Rows of a block are ordered by id, so the kernel's first of equals is the smallest id.
+    """
     id_type = df.schema[id_col].dataType
-    el = df.schema[vec_col].dataType.elementType
-    dtype = np.float64 if isinstance(el, T.DoubleType) else np.float32
-    key_fields = [df.schema[k] for k in keys]
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in key_fields] + [
+    dtype = _np_dtype(df, vec_col)
+    dcol = f"{prefix}d"
+    schema = T.StructType([T.StructField(df.schema[k].name, df.schema[k].dataType) for k in keys] + [
+        T.StructField(dcol, T.IntegerType()),
         T.StructField(f"{prefix}ids", T.ArrayType(id_type)),
         T.StructField(f"{prefix}mat", T.BinaryType()),
     ])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        mat = np.stack([np.asarray(v, dtype=dtype) for v in pdf["_v"].values])
-        row = {k: [pdf[k].iloc[0]] for k in keys}
+        pdf = pdf.sort_values("_i")
+        row = {k: [pdf[k].iloc[0]] for k in (*keys, dcol)}
         row[f"{prefix}ids"] = [pdf["_i"].tolist()]
-        row[f"{prefix}mat"] = [mat.tobytes()]
+        row[f"{prefix}mat"] = [b"".join(np.asarray(v, dtype=dtype).tobytes() for v in pdf["_v"].values)]
         return pd.DataFrame(row)
 
-    return (df.select(*keys, F.col(id_col).alias("_i"), F.col(vec_col).alias("_v"))
-            .groupBy(*keys).applyInPandas(pack, schema))
+    return (df.select(*keys, F.size(vec_col).alias(dcol), F.col(id_col).alias("_i"), F.col(vec_col).alias("_v"))
+            .groupBy(*keys, dcol).applyInPandas(pack, schema))
 
 
-def _kernel(k: int, dim: int, exclude_self: bool, clamp: bool, positive_only: bool,
-            q_dtype, c_dtype, normalize: bool = True):
+def _best(s: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the k best finite scores of each row; among equals the first columns."""
+    k = min(k, s.shape[1])
+    if k <= 0:
+        return np.zeros_like(s, dtype=bool)
+    if k == s.shape[1]:
+        return np.isfinite(s)
+    kth = -np.partition(-s, k - 1, axis=1)[:, k - 1:k]
+    above, tie = s > kth, s == kth
+    room = k - above.sum(axis=1, keepdims=True)
+    return (above | (tie & (np.cumsum(tie, axis=1) <= room))) & np.isfinite(s)
+
+
+def _kernel(k: int, exclude_self: bool, clamp: bool, positive_only: bool, q_dtype, c_dtype,
+            normalize: bool = True, other_dim_zero: bool = False):
     prep = _unit_rows if normalize else (lambda m: m.astype(np.float64))
 
     def run(it):
         for pdf in it:
             qs, cs, ss = [], [], []
-            for qids, qmat, cids, cmat in zip(pdf["q_ids"], pdf["q_mat"], pdf["c_ids"], pdf["c_mat"]):
-                q = prep(np.frombuffer(qmat, dtype=q_dtype).reshape(-1, dim))
-                c = prep(np.frombuffer(cmat, dtype=c_dtype).reshape(-1, dim))
-                s = q @ c.T
+            for qids, qd, qmat, cids, cd, cmat in zip(*(pdf[c] for c in KERNEL_COLUMNS)):
+                qid, cid = np.asarray(qids), np.asarray(cids)
+                if qd == cd:
+                    s = (prep(np.frombuffer(qmat, dtype=q_dtype).reshape(len(qid), qd))
+                         @ prep(np.frombuffer(cmat, dtype=c_dtype).reshape(len(cid), cd)).T)
+                elif other_dim_zero:
+                    s = np.zeros((len(qid), len(cid)))
+                else:
+                    continue
                 if clamp:
                     np.clip(s, 0.0, 1.0, out=s)
                 if positive_only:
                     s[s <= 0] = -np.inf
-                qid = np.asarray(qids)
-                cid = np.asarray(cids)
                 if exclude_self:
                     s[qid[:, None] == cid[None, :]] = -np.inf
-                kk = min(k, s.shape[1])
-                if kk <= 0:
-                    continue
-                if kk < s.shape[1]:
-                    kth = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
-                    keep = s >= kth[:, None]  # ties at the cut survive; the window decides
-                else:
-                    keep = np.ones_like(s, dtype=bool)
-                keep &= np.isfinite(s)
-                r, c_ix = np.nonzero(keep)
+                r, c_ix = np.nonzero(_best(s, k))
                 qs.append(qid[r])
                 cs.append(cid[c_ix])
                 ss.append(s[r, c_ix])
@@ -179,14 +165,12 @@ def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int, *,
     if out_query == out_item:
         raise ValueError("query and item output columns need different names (set out_item)")
     q = queries.where(present(query_vec)).select(query_id, query_vec)
-    if absent_items_score_zero:
-        n_q, _, dim = _pair_stats(q, query_vec, corpus.where(present(item_vec)), item_vec)
-        c = corpus.select(item_id, F.when(present(item_vec), F.col(item_vec))
-                          .otherwise(F.array_repeat(F.lit(0.0).cast("float"), dim)).alias(item_vec))
-        n_c = c.count() if dim > 0 else 0
+    if absent_items_score_zero:  # an absent vector has dimension 0, which no query has
+        empty = F.array().cast(corpus.schema[item_vec].dataType)
+        c = corpus.select(item_id, F.when(present(item_vec), F.col(item_vec)).otherwise(empty).alias(item_vec))
     else:
         c = corpus.where(present(item_vec)).select(item_id, item_vec)
-        n_q, n_c, dim = _pair_stats(q, query_vec, c, item_vec)
+    n_q, n_c, dim = _pair_stats(q, query_vec, c, item_vec)
     spark = queries.sparkSession
     schema_out = (f"{out_query} {queries.schema[query_id].dataType.simpleString()}, "
                   f"{out_item} {corpus.schema[item_id].dataType.simpleString()}, "
@@ -197,20 +181,21 @@ def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int, *,
     cb = max(1, math.ceil(n_c / block_rows))
     qblocks = pack_blocks(q, query_id, query_vec, qb, "q_")
     cblocks = pack_blocks(c, item_id, item_vec, cb, "c_")
-    if n_c * dim * 4 <= broadcast_limit_bytes:
+    if n_c * dim * np.dtype(_np_dtype(c, item_vec)).itemsize <= broadcast_limit_bytes:
         cblocks = F.broadcast(cblocks)
     pairs = (
         qblocks.withColumn("c_b", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
         .join(cblocks, "c_b")
-        .select("q_ids", "q_mat", "c_ids", "c_mat")
+        .select(*KERNEL_COLUMNS)
     )
     id_type = queries.schema[query_id].dataType
     item_type = corpus.schema[item_id].dataType
     kernel_schema = T.StructType([
         T.StructField("q", id_type), T.StructField("c", item_type), T.StructField("s", T.DoubleType()),
     ])
-    local = pairs.mapInPandas(_kernel(k, dim, exclude_self, clamp, positive_only,
-                _np_dtype(q, query_vec), _np_dtype(c, item_vec), normalize), kernel_schema)
+    local = pairs.mapInPandas(_kernel(
+        k, exclude_self, clamp, positive_only, _np_dtype(q, query_vec), _np_dtype(c, item_vec), normalize,
+        absent_items_score_zero), kernel_schema)
     local = local.select(F.col("q").alias(out_query), F.col("c").alias(out_item), F.col("s").alias("similarity"))
     return rank_top_k(local, out_query, out_item, "similarity", k)
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matchspark.functions.text import email_for_user
 from matchspark.operators.cascade import cascade, round1
-from matchspark.operators.publish import dedupe_last, keyed_replace
-from matchspark.operators.quality import domain_violations, orphans, record_counts, unique_violations
+from matchspark.operators.publish import dedupe_last, keyed_replace, publish_edges, read_current
+from matchspark.operators.quality import cascade_delete, domain_violations, orphans, record_counts, unique_violations
 from matchspark.operators.serve import recommendations_with_jobs, similar_active, similar_counts
 from matchspark.operators.topk import exact_top_k
+from matchspark.plans import runs
 from matchspark.plans.catalog import register
 from matchspark.plans.q_search import active_job_df, main_cv_df
 from matchspark.plans.sqlparts import cascade_ctes, title_topk_cte, with_views
@@ -24,10 +26,25 @@ def _r(c):
     return F.round(c, 6)
 
 
+_PUBLISHED: dict[tuple[str, str, str], str] = {}
+
+
+def published(spark, sf, name, key, make):
+    """The table ``name`` as an earlier run published it: written once per session and data folder, then
+    read from its files, clustered by ``key`` (a filter on the key reaches the scan)."""
+    at = (spark.sparkContext.applicationId, sf, name)
+    if at not in _PUBLISHED:
+        base = f"{runs.fresh_warehouse(spark)}/{name}"
+        publish_edges(spark, base, make(), key)
+        _PUBLISHED[at] = base
+    return read_current(spark, _PUBLISHED[at])
+
+
 def old_recs(spark, sf):
     """Previous run: title-only top 20 for every CV (main or not)."""
-    return exact_top_k(cv_view(spark, sf), active_job_df(spark, sf), 20, query_id="cv_id",
-                       query_vec="title_vec", item_id="job_id", item_vec="title_vec")
+    return published(spark, sf, "recommend_jobs_for_cv", "cv_id", lambda: exact_top_k(
+        cv_view(spark, sf), active_job_df(spark, sf), 20, query_id="cv_id",
+        query_vec="title_vec", item_id="job_id", item_vec="title_vec"))
 
 
 def new_recs(spark, sf):
@@ -38,8 +55,9 @@ def new_recs(spark, sf):
 def stored_similar(spark, sf):
     """Neighbour lists stored when every job was still listed (10 per job, self excluded)."""
     jobs = job_view(spark, sf)
-    return exact_top_k(jobs, jobs, 10, query_id="job_id", query_vec="title_vec", item_id="job_id",
-                       item_vec="title_vec", out_item="similar_job_id", exclude_self=True)
+    return published(spark, sf, "similar_jobs", "job_id", lambda: exact_top_k(
+        jobs, jobs, 10, query_id="job_id", query_vec="title_vec", item_id="job_id",
+        item_vec="title_vec", out_item="similar_job_id", exclude_self=True))
 
 
 OLD_NEW = [title_topk_cte("old", 20, queries="v_cv")] + cascade_ctes(50, 20, 10)
@@ -129,6 +147,43 @@ def q_orphan_edges(spark, sf):
     return orphans(edges, active_job_df(spark, sf), "similar_job_id", "job_id")
 
 
+@register("cascade_delete", with_views(SIMILAR_ALL) + """
+SELECT q_id AS job_id, i_id AS similar_job_id FROM sim
+WHERE q_id IN (SELECT job_id FROM active_job) AND i_id IN (SELECT job_id FROM active_job)""")
+def q_cascade_delete(spark, sf):
+    """Stored edges left after deleting the jobs that are no longer active, on either end."""
+    edges, jobs = stored_similar(spark, sf).select("job_id", "similar_job_id"), active_job_df(spark, sf)
+    return cascade_delete(cascade_delete(edges, jobs, "job_id", "job_id"), jobs, "similar_job_id", "job_id").select(
+        "job_id", "similar_job_id")
+
+
+@register("unique_key_report", with_views(SIMILAR_ALL) + """
+SELECT 'similar_jobs.job_id,similar_job_id' AS key, count(*) AS n FROM
+  (SELECT 1 FROM (SELECT * FROM sim UNION ALL SELECT * FROM sim) GROUP BY q_id, i_id HAVING count(*) > 1)
+UNION ALL SELECT 'users.email', count(*) FROM (SELECT 1 FROM events GROUP BY user_id HAVING count(*) > 1)
+UNION ALL SELECT 'salaries.job_id', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)""")
+def q_unique_key_report(spark, sf):
+    """Violations of the other unique keys: the similar pair (a batch that writes the lists twice),
+    the e-mail of users (one per event row) and the job of a salary (one per order line)."""
+    sim = stored_similar(spark, sf).select("job_id", "similar_job_id")
+    users = read_table(spark, sf, "events", ["user_id"]).select(email_for_user(F.col("user_id").cast("string")).alias("email"))
+    salaries = read_table(spark, sf, "lineitem", ["l_orderkey"]).withColumnRenamed("l_orderkey", "job_id")
+    return record_counts({
+        "similar_jobs.job_id,similar_job_id": unique_violations(sim.unionByName(sim), ["job_id", "similar_job_id"]),
+        "users.email": unique_violations(users, ["email"]),
+        "salaries.job_id": unique_violations(salaries, ["job_id"])}).withColumnRenamed("table_name", "key")
+
+
+@register("not_null_violations", with_views() + """
+SELECT job_id AS key, 'title_vec' AS "column", CAST(NULL AS VARCHAR) AS value FROM v_job WHERE title_vec IS NULL
+UNION ALL SELECT job_id, 'requirement_vec', NULL FROM v_job WHERE requirement_vec IS NULL
+UNION ALL SELECT job_id, 'skills_vec', NULL FROM v_job WHERE skills_vec IS NULL""")
+def q_not_null_violations(spark, sf):
+    """Job vectors that are NULL where a value is required."""
+    jobs = job_view(spark, sf).withColumnRenamed("job_id", "key")
+    return domain_violations(jobs, "key", {}, not_null=("title_vec", "requirement_vec", "skills_vec"))
+
+
 @register("record_counts", with_views() + """
 SELECT 'cvs' AS table_name, count(*) AS n FROM v_cv
 UNION ALL SELECT 'main_cvs', count(*) FROM main_cv

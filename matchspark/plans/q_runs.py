@@ -10,9 +10,10 @@ from matchspark.plans.catalog import register
 from matchspark.plans.q_search import SIMILAR_SQL, active_job_df, main_cv_df
 from matchspark.plans.sqlparts import cascade_ctes, cascade_sql, present, title_topk_cte, with_views
 
-# Reference defaults (cascade 1000 / 100 / 10, 10 neighbours), IVF index probed in every cell
-# so that the published lists equal exact search and can be checked against SQL.
-FULL_PROBE = MatchConfig(strategy="ivf", nprobe=100)
+# Reference defaults (cascade 1000 / 100 / 10, 10 neighbours) with exact search, so that the published
+# lists can be checked against SQL; the IVF runs below use the shipped settings and check their recall.
+EXACT = MatchConfig(strategy="exact")
+SHIPPED = MatchConfig()
 
 
 def _r(c):
@@ -21,15 +22,15 @@ def _r(c):
 
 @register("recommend_run", cascade_sql(1000, 100, 10))
 def q_recommend_run(spark, sf):
-    """Load, index, cascade, publish (keyed replace) and read back the published table."""
-    res = runs.recommend(spark, main_cv_df(spark, sf), active_job_df(spark, sf), FULL_PROBE,
+    """Load, search, cascade, publish (keyed replace) and read back the published table."""
+    res = runs.recommend(spark, main_cv_df(spark, sf), active_job_df(spark, sf), EXACT,
                          runs.fresh_warehouse(spark))
     return res.recommendations.select("cv_id", "job_id", _r("similarity").alias("similarity"), "rank")
 
 
 @register("similar_run", SIMILAR_SQL)
 def q_similar_run(spark, sf):
-    res = runs.similar(spark, active_job_df(spark, sf), FULL_PROBE, runs.fresh_warehouse(spark))
+    res = runs.similar(spark, active_job_df(spark, sf), EXACT, runs.fresh_warehouse(spark))
     return res.similar.select("job_id", "similar_job_id", _r("similarity").alias("similarity"), "rank")
 
 
@@ -44,7 +45,7 @@ UNION ALL SELECT 'jobs_processed', (SELECT count(*) FROM active_job)
 UNION ALL SELECT 'jobs_with_vector', (SELECT count(*) FROM active_job WHERE {present('title_vec')})""")
 def q_run_stats(spark, sf):
     """Counters of a full run (recommendations first, then similar jobs, shared index)."""
-    res = runs.full_run(spark, main_cv_df(spark, sf), active_job_df(spark, sf), FULL_PROBE,
+    res = runs.full_run(spark, main_cv_df(spark, sf), active_job_df(spark, sf), EXACT,
                         runs.fresh_warehouse(spark))
     return res.stats
 
@@ -52,6 +53,31 @@ def q_run_stats(spark, sf):
 @register("full_run_reverse", cascade_sql(1000, 100, 10))
 def q_full_run_reverse(spark, sf):
     """Similar jobs first, then recommendations, sharing one index: same published tables."""
-    res = runs.full_run(spark, main_cv_df(spark, sf), active_job_df(spark, sf), FULL_PROBE,
+    res = runs.full_run(spark, main_cv_df(spark, sf), active_job_df(spark, sf), EXACT,
                         runs.fresh_warehouse(spark), reverse=True)
     return res.recommendations.select("cv_id", "job_id", _r("similarity").alias("similarity"), "rank")
+
+
+@register("similar_run_ivf", with_views(title_topk_cte("sim", 10, exclude_self=True, queries="active_job", qid="job_id")) + """
+SELECT (SELECT count(DISTINCT q_id) FROM sim) AS jobs, TRUE AS recall_ok""")
+def q_similar_run_ivf(spark, sf):
+    """The run with shipped settings (IVF, measured probes): recall of its published lists is at least 0.95."""
+    jobs, warehouse = active_job_df(spark, sf), runs.fresh_warehouse(spark)
+    found = runs.similar(spark, jobs, SHIPPED, warehouse).similar.select("job_id", "similar_job_id", F.lit(1).alias("hit"))
+    exact = runs.similar(spark, jobs, EXACT, runs.fresh_warehouse(spark)).similar
+    both = exact.join(found, ["job_id", "similar_job_id"], "left")
+    return both.agg(F.count_distinct("job_id").alias("jobs"),
+                    (F.count("hit") / F.count(F.lit(1)) >= 0.95).alias("recall_ok"))
+
+
+@register("recommend_run_ivf", with_views(title_topk_cte("t20", 20)) + """
+SELECT (SELECT count(DISTINCT q_id) FROM t20) AS cvs, TRUE AS recall_ok""")
+def q_recommend_run_ivf(spark, sf):
+    """Plain top-20 run with shipped settings: recall of its published lists is at least 0.95."""
+    from dataclasses import replace
+    cvs, jobs = main_cv_df(spark, sf), active_job_df(spark, sf)
+    found, exact = (runs.recommend(spark, cvs, jobs, replace(c, use_cascade=False), runs.fresh_warehouse(spark)).recommendations
+                    for c in (SHIPPED, EXACT))
+    both = exact.join(found.select("cv_id", "job_id", F.lit(1).alias("hit")), ["cv_id", "job_id"], "left")
+    return both.agg(F.count_distinct("cv_id").alias("cvs"),
+                    (F.count("hit") / F.count(F.lit(1)) >= 0.95).alias("recall_ok"))

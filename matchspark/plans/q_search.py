@@ -166,8 +166,6 @@ def q_weighted(spark, sf):
     return r.select("cv_id", "job_id", _r("similarity").alias("similarity"), "rank")
 
 
-__all__ = ["clamp01"]
-
 
 @register("all_jobs", with_views() + """
 SELECT job_id, status, expires_at, label FROM v_job""")

@@ -20,7 +20,8 @@ from matchspark.config import MatchConfig
 from matchspark.functions.vector import present
 from matchspark.operators import ivf as ivf_ops
 from matchspark.operators.cascade import cascade, round1
-from matchspark.operators.publish import publish_edges, read_current
+from matchspark.operators.embed import incremental_embed
+from matchspark.operators.publish import keyed_replace, publish_edges, read_current, write_snapshot
 from matchspark.operators.topk import exact_top_k
 from matchspark.session import ensure_checkpoint_dir, materialize
 
@@ -41,27 +42,14 @@ def shared_index(spark: SparkSession, jobs: DataFrame, cfg: MatchConfig, warehou
     """Index over active jobs with a title vector (I5/I6): reused while the corpus is unchanged."""
     corpus = jobs.where(present("title_vec")).select("job_id", "title_vec")
     idx, _ = ivf_ops.load_or_build(corpus, "job_id", "title_vec", os.path.join(warehouse, "job_index"),
-                                   nlist=cfg.nlist, nprobe=cfg.nprobe, seed=cfg.seed,
-                                   split_rows=cfg.cell_split_rows)
+                                   nlist=cfg.nlist, nprobe=cfg.nprobe, seed=cfg.seed, split_rows=cfg.cell_split_rows,
+                                   target_recall=cfg.target_recall, recall_k=cfg.top_k_jobs)
     return idx
 
 
-def choose_strategy(cfg: MatchConfig, corpus: DataFrame, vec: str = "title_vec") -> MatchConfig:
-    """``strategy="auto"``: exact search while the corpus vectors fit the broadcast bound
-    (rows x dim x 4 bytes) and ``exact_max_rows``; the IVF index beyond that."""
-    if cfg.strategy != "auto":
-        return cfg
-    from dataclasses import replace
-    r = corpus.where(present(vec)).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    n, d = int(r["n"] or 0), int(r["d"] or 0)
-    small = n <= cfg.exact_max_rows and n * d * 4 <= cfg.broadcast_limit_bytes
-    return replace(cfg, strategy="exact" if small else "ivf")
-
-
 def recommend(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchConfig,
               warehouse: str, index=None) -> RunResult:
     """CV -> job lists (cascade by default, else plain top-k), published by keyed replace."""
-    cfg = choose_strategy(cfg, jobs)
     queries = cvs.where(present("title_vec"))
     if cfg.strategy == "ivf" and index is None:
         index = shared_index(spark, jobs, cfg, warehouse)
@@ -73,7 +61,7 @@ def recommend(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchCo
         if cfg.checkpoint_candidates:
             # The most expensive stage: keep its output as a table in the shared warehouse folder
             # so a lost executor in rounds 2-3 or the publish does not recompute the search.
-            cand = materialize(cand, os.path.join(warehouse, "_round1_candidates"))
+            cand = materialize(cand, os.path.join(warehouse, f"_round1_candidates/{uuid.uuid4().hex}"))
         recs = cascade(queries, corpus, k1=cfg.cascade_k1, k2=cfg.cascade_k2, k3=cfg.cascade_k3,
                        candidates=cand)
     elif cfg.strategy == "ivf":
@@ -95,7 +83,6 @@ def recommend(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchCo
 def similar(spark: SparkSession, jobs: DataFrame, cfg: MatchConfig, warehouse: str, index=None) -> RunResult:
     """Job -> job neighbours (self excluded), published by keyed replace."""
     corpus = jobs.where(present("title_vec"))
-    cfg = choose_strategy(cfg, jobs)
     if cfg.strategy == "ivf":
         index = index or shared_index(spark, jobs, cfg, warehouse)
         sims = ivf_ops.search(index, corpus, cfg.similar_top_k, query_id="job_id", query_vec="title_vec",
@@ -117,7 +104,6 @@ def similar(spark: SparkSession, jobs: DataFrame, cfg: MatchConfig, warehouse: s
 def full_run(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchConfig,
              warehouse: str, reverse: bool = False) -> RunResult:
     """Both runs sharing one index; ``reverse`` runs job similarity first (same tables)."""
-    cfg = choose_strategy(cfg, jobs)
     index = shared_index(spark, jobs, cfg, warehouse) if cfg.strategy == "ivf" else None
     steps = [lambda: similar(spark, jobs, cfg, warehouse, index), lambda: recommend(spark, cvs, jobs, cfg, warehouse, index)]
     if not reverse:
@@ -130,9 +116,13 @@ def full_run(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchCon
 
 
 def run_stats(rec_stats: DataFrame, sim_stats: DataFrame, recs: DataFrame, sims: DataFrame) -> DataFrame:
-    """Counters as (metric, value) rows: each is a one-row aggregate, the parts are unioned."""
-    parts = [recs.agg(F.count(F.lit(1)).alias("recommendations")),
-             sims.agg(F.count(F.lit(1)).alias("similar_pairs")), rec_stats, sim_stats]
+    """Counters as (metric, value) rows."""
+    return counter_rows([recs.agg(F.count(F.lit(1)).alias("recommendations")),
+                         sims.agg(F.count(F.lit(1)).alias("similar_pairs")), rec_stats, sim_stats])
+
+
+def counter_rows(parts: list[DataFrame]) -> DataFrame:
+    """(metric, value) rows of one-row aggregates."""
     out = None
     for p in parts:
         for c in p.columns:
@@ -141,5 +131,46 @@ def run_stats(rec_stats: DataFrame, sim_stats: DataFrame, recs: DataFrame, sims:
     return out
 
 
+CV_FIELDS = {"title": "title_vec", "skills_text": "skills_vec", "experience_text": "experience_vec"}
+JOB_FIELDS = {"title": "title_vec", "skills_text": "skills_vec", "requirement_text": "requirement_vec"}
+
+
+def embed_stage(spark: SparkSession, entities: DataFrame, key: str, fields: dict[str, str], base: str,
+                dim: int = 256, encoder_factory=None, batch_size: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Load the stored vectors at ``base``, embed what is new, changed or without a vector, write the vectors
+    and hashes back (keyed replace; entities that are not in this run keep theirs).
+
+    ``entities``: key, content_hash and the text columns of ``fields``. Returns the entities with their
+    vectors, and one row of counters (processed, embedded, failed)."""
+    schema = (f"{key} {dict(entities.dtypes)[key]}, content_hash string, "
+              + ", ".join(f"{v} array<float>" for v in fields.values()) + ", embedded boolean, failed boolean")
+    stored = read_current(spark, base, schema)
+    new = incremental_embed(entities, stored, key=key, fields=fields, title_field="title", dim=dim,
+                            encoder_factory=encoder_factory, batch_size=batch_size)
+    # rows of this run first, so that its flags can be told from those of entities it did not see
+    write_snapshot(keyed_replace(stored, new, key, processed_keys=entities.select(key)), base, sort_by=key)
+    own = read_current(spark, base).join(entities.select(key), key, "left_semi")
+    counters = own.agg(F.count(F.lit(1)).alias("processed"), F.count_if("embedded").alias("embedded"),
+                       F.count_if("failed").alias("failed"))
+    return own.drop("embedded", "failed"), counters
+
+
+def entity_run(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchConfig, warehouse: str,
+               reverse: bool = False, dim: int = 256, encoder_factory=None) -> RunResult:
+    """The whole run from entity rows: embed both sides incrementally, search, publish, count.
+
+    ``cvs``: cv_id, content_hash, title, skills_text, experience_text; ``jobs``: job_id, content_hash, title,
+    skills_text, requirement_text."""
+    cv_vecs, cv_count = embed_stage(spark, cvs, "cv_id", CV_FIELDS, os.path.join(warehouse, "cv_vectors"), dim,
+                                    encoder_factory, cfg.encode_batch_size)
+    job_vecs, job_count = embed_stage(spark, jobs, "job_id", JOB_FIELDS, os.path.join(warehouse, "job_vectors"), dim,
+                                      encoder_factory, cfg.encode_batch_size)
+    res = full_run(spark, cv_vecs, job_vecs, cfg, warehouse, reverse=reverse)
+    parts = [c.select(*[F.col(x).alias(f"{side}_{x}") for x in ("embedded", "failed")])
+             for side, c in (("cvs", cv_count), ("jobs", job_count))]
+    res.stats = res.stats.unionByName(counter_rows(parts))
+    return res
+
+
 def fresh_warehouse(spark: SparkSession) -> str:
     return warehouse_dir(spark, f"run-{uuid.uuid4().hex[:12]}")

@@ -124,3 +124,28 @@ def test_weighted_equals_formula(spark):
     for r in got.orderBy("id", "rank").collect():
         g.setdefault(r["id"], []).append(r["o"])
     assert g == best
+
+
+def test_all_tied_scores_give_exactly_k(spark):
+    """Every score is clamped to 0: each block emits k rows per query, the smallest ids win."""
+    q = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20)], "q long, v array<float>")
+    c = spark.createDataFrame([(i, [-1.0, 0.0]) for i in range(300)], "c long, v array<float>")
+    r = exact_top_k(q, c, 2, query_id="q", query_vec="v", item_id="c", item_vec="v", clamp=True, block_rows=64)
+    got = {}
+    for row in r.collect():
+        got.setdefault(row["q"], []).append((row["rank"], row["c"], row["similarity"]))
+    assert all(sorted(x) == [(1, 0, 0.0), (2, 1, 0.0)] for x in got.values()) and len(got) == 20
+    from matchspark.operators.topk import _best
+    s = np.array([[0.5, 0.9, 0.5, 0.5], [0.1, 0.1, 0.1, 0.1]])
+    assert _best(s, 2).tolist() == [[True, True, False, False], [True, True, False, False]]
+
+
+def test_mixed_dimensions(spark):
+    """Vectors of different dimensions have no cosine: left out, or 0 where absent items count as 0."""
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0])], "q long, v array<float>")
+    c = spark.createDataFrame([(10, [1.0, 1.0, 0.0, 0.0]), (11, [0.0, 1.0]), (12, [2.0, 0.0])], "c long, v array<float>")
+    kw = dict(query_id="q", query_vec="v", item_id="c", item_vec="v")
+    got = sorted((r["q"], r["c"], round(r["similarity"], 6)) for r in exact_top_k(q, c, 5, **kw).collect())
+    assert got == [(1, 11, 0.0), (1, 12, 1.0), (2, 10, 0.707107)]
+    got = sorted((r["q"], r["c"], round(r["similarity"], 6)) for r in exact_top_k(q, c, 5, absent_items_score_zero=True, **kw).collect())
+    assert got == [(1, 10, 0.0), (1, 11, 0.0), (1, 12, 1.0), (2, 10, 0.707107), (2, 11, 0.0), (2, 12, 0.0)]
