@@ -125,3 +125,67 @@ def test_point_reads(spark):
     edges = spark.createDataFrame([(9, 10, 0.1), (9, 11, 0.9), (9, 12, 0.8)], "job_id long, similar_job_id long, similarity double")
     got = similar_for(edges, jobs, 9, dt.datetime(2024, 6, 1)).collect()
     assert [(r["similar_job_id"], r["position"]) for r in got] == [(10, 1)]   # inactive and expired dropped
+
+
+def test_publish_after_an_aborted_write(spark, tmp_path, monkeypatch):
+    from matchspark.operators import publish
+    base = str(tmp_path / "edges")
+    e1 = spark.createDataFrame([(1, 10, 0.5), (2, 20, 0.6)], "k long, d long, s double")
+    publish_edges(spark, base, e1, "k")
+
+    def fail(*a):
+        raise RuntimeError("stopped after the data, before the version")
+
+    with monkeypatch.context() as m:
+        m.setattr(publish, "commit_snapshot", fail)
+        with pytest.raises(RuntimeError):
+            publish_edges(spark, base, e1.where("k = 1"), "k")
+    assert read_current(spark, base).count() == 2          # readers still see the last complete version
+    publish_edges(spark, base, spark.createDataFrame([(1, 11, 0.9)], "k long, d long, s double"), "k")
+    assert sorted(tuple(r) for r in read_current(spark, base).collect()) == [(1, 11, 0.9), (2, 20, 0.6)]
+
+
+def test_publish_stops_on_a_read_error(spark, tmp_path, monkeypatch):
+    """A table that cannot be read is not an empty table."""
+    from matchspark.operators import publish
+    base = str(tmp_path / "edges")
+    e1 = spark.createDataFrame([(1, 10, 0.5), (2, 20, 0.6)], "k long, d long, s double")
+    publish_edges(spark, base, e1, "k")
+
+    def broken(*a):
+        raise OSError("storage does not answer")
+
+    with monkeypatch.context() as m:
+        m.setattr(publish, "_fs", broken)
+        with pytest.raises(OSError):
+            publish_edges(spark, base, e1.where("k = 1"), "k")
+    assert read_current(spark, base).count() == 2
+
+
+def test_point_read_of_a_published_table_is_pruned(spark, tmp_path):
+    base = str(tmp_path / "edges")
+    publish_edges(spark, base, spark.range(1000).selectExpr("id as k", "id * 2 as d", "0.5 as s"), "k")
+    one = read_current(spark, base).where("k = 77")
+    assert [r["d"] for r in one.collect()] == [154]
+    assert "EqualTo(k,77)" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_failing_text_keeps_its_old_hash(spark):
+    """One text that the encoder refuses: the others of its call keep their vectors, it is tried again next time."""
+    def factory():
+        import numpy as np
+
+        def encode(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("refused")
+            return np.ones((len(texts), 4))
+        return encode
+
+    cur = spark.createDataFrame([(i, f"h{i}", "bad" if i == 3 else f"t{i}", "s") for i in range(8)],
+                                "id long, content_hash string, title string, skills string").coalesce(1)
+    stored = spark.createDataFrame([(3, "old", [0.5], [0.5])], "id long, content_hash string, title_vec array<float>, skills_vec array<float>")
+    out = {r["id"]: r for r in incremental_embed(cur, stored, key="id", fields={"title": "title_vec", "skills": "skills_vec"},
+                                                 title_field="title", encoder_factory=factory, batch_size=4).collect()}
+    assert [i for i, r in out.items() if r["failed"]] == [3]
+    assert out[3]["content_hash"] == "old" and out[3]["title_vec"] == [] and out[3]["skills_vec"] == [1.0] * 4
+    assert all(out[i]["title_vec"] == [1.0] * 4 and out[i]["content_hash"] == f"h{i}" for i in range(8) if i != 3)
