@@ -1,7 +1,7 @@
 """Ingest: raw company / job / CV rows -> normalised entity tables.
 
-Every rule is a column expression; child tables come from ``posexplode`` of bounded arrays
-(first 10 requirements, 10 benefits, 20 skills, 10 experiences). Dimension lookups
+Every rule is a column expression; child tables come from ``posexplode`` of the item arrays. Item counts and
+widths are cut only if the caller passes ``caps`` (``SOURCE_CAPS`` are those of the source system). Dimension lookups
 (get-or-create) are set operations: dedupe the incoming keys (first row wins, by the row
 ordinal taken at the scan), ``left_anti`` against the existing table, union, then an equi-join
 gives the fact rows their key. A row that breaks a rule goes to a quarantine table with a
@@ -13,11 +13,13 @@ ids and the same output.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.functions import mappings as M
-from matchspark.functions.text import (company_email, email_for_user, extract_skills, has_salary_row,
+from matchspark.functions.text import (company_email, dictionary_of, email_for_user, extract_skills, has_salary_row,
                                        labelled_summary, map_contains_first, map_enum, parse_deadline,
                                        parse_salary, py_strip, split_items, truncate)
 
@@ -26,6 +28,25 @@ def entity_id(table: str, *keys) -> Column:
     return F.md5(F.concat_ws(":", F.lit(table), *[F.col(k) if isinstance(k, str) else k for k in keys]))
 
 
+def row_key(rows: DataFrame) -> str:
+    """The column that names a row for ids: ``_key`` of a CSV scan, else ``_row``."""
+    return "_key" if "_key" in rows.columns else "_row"
+
+
+def split_corrupt(rows: DataFrame, reason: str = "fields do not match the header") -> tuple[DataFrame, DataFrame]:
+    """(good rows, quarantine): rows whose record could not be read go to the quarantine (_row, reason)."""
+    if "_corrupt" not in rows.columns:
+        return rows, rows.where(F.lit(False)).select("_row", F.lit(reason).alias("reason"))
+    bad = F.col("_corrupt").isNotNull()
+    return rows.where(~bad).drop("_corrupt"), rows.where(bad).select("_row", F.lit(reason).alias("reason"))
+
+
+def import_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n) of the imported and the quarantined rows."""
+    from matchspark.operators.quality import record_counts
+    return record_counts(tables)
+
+
 def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -81,6 +102,7 @@ def _make_companies(inc: DataFrame) -> DataFrame:
 def companies_from_rows(rows: DataFrame, existing: DataFrame | None = None, strip_name: bool = True) -> DataFrame:
     """Company dimension from raw rows: blank names dropped, first row wins per name, industry
     = first non-empty; existing companies keep their row and only gain a missing industry."""
+    rows, _ = split_corrupt(rows)
     name = py_strip(_col("Name Company")) if strip_name else _col("Name Company")
     inc = rows.select(
         name.alias("name"), _col("Company Overview").alias("description"),
@@ -93,14 +115,25 @@ def companies_from_rows(rows: DataFrame, existing: DataFrame | None = None, stri
     return get_or_create(existing.select(*COMPANY_COLS), inc, "name", _make_companies, ["industry"])
 
 
+# Item count and text width of each child list in the source system.
+SOURCE_CAPS: dict[str, tuple[int, int]] = {
+    "job_requirements": (10, 500), "job_benefits": (10, 500), "job_skills": (20, 100),
+    "cv_skills": (20, 100), "work_experiences": (10, 255),
+}
+NO_CAP = (None, None)
+
+
 # ---------------------------------------------------------------- jobs
-def jobs_from_rows(rows: DataFrame, companies: DataFrame, skills_dictionary: list[str]) -> dict[str, DataFrame]:
-    """Job rows -> jobs, salaries, job_requirements, job_benefits, job_skills, companies, quarantine."""
-    r = rows.withColumn("job_id", entity_id("job", "_row")) \
-        .withColumn("company_name", F.coalesce(_col("Name Company"), F.lit(M.UNKNOWN_COMPANY))) \
+def jobs_from_rows(rows: DataFrame, companies: DataFrame, skills_dictionary: list[str] | DataFrame,
+                   caps: dict[str, tuple[int, int]] | None = None) -> dict[str, DataFrame]:
+    """Job rows -> jobs, salaries, job_requirements, job_benefits, job_skills, companies, quarantine.
+    A blank company name is the unknown company, however it was written."""
+    rows, corrupt = split_corrupt(rows)
+    company = F.when(_blank(_col("Name Company")), F.lit(M.UNKNOWN_COMPANY)).otherwise(_col("Name Company"))
+    r = rows.withColumn("job_id", entity_id("job", row_key(rows))).withColumn("company_name", company) \
         .withColumn("_sal", parse_salary(_col("Salary")))
     bad = F.col("_sal.overflow")
-    quarantine = r.where(bad).select("_row", F.lit("salary does not fit DECIMAL(12,2)").alias("reason"))
+    quarantine = r.where(bad).select("_row", F.lit("salary does not fit DECIMAL(12,2)").alias("reason")).unionByName(corrupt)
     good = r.where(~bad)
 
     comp_rows = good.select(F.col("company_name").alias("Name Company"), "Company Overview", "Company Size",
@@ -127,42 +160,51 @@ def jobs_from_rows(rows: DataFrame, companies: DataFrame, skills_dictionary: lis
     salaries = jobs0.where(has_salary_row(F.col("_sal"))).select(
         entity_id("salary", "job_id").alias("id"), "job_id", "_sal.min_amount", "_sal.max_amount",
         "_sal.is_negotiable")
-    reqs = children(jobs0, "job_id", split_items(F.col("raw_requirements")), 10, 500, "title")
-    bens = children(jobs0, "job_id", split_items(F.col("raw_benefits")), 10, 500, "title")
+    caps = caps or {}
+    reqs = children(jobs0, "job_id", split_items(F.col("raw_requirements")), *caps.get("job_requirements", NO_CAP), "title")
+    bens = children(jobs0, "job_id", split_items(F.col("raw_benefits")), *caps.get("job_benefits", NO_CAP), "title")
     combined = F.concat(F.coalesce(F.col("raw_requirements"), F.lit("")), F.lit(" "),
                         F.coalesce(F.col("raw_description"), F.lit("")))
-    skills = children(jobs0, "job_id", extract_skills(combined, skills_dictionary, limit=20), 20, 100,
+    dictionary = dictionary_of(skills_dictionary) if isinstance(skills_dictionary, DataFrame) else skills_dictionary
+    skills = children(jobs0, "job_id", extract_skills(combined, dictionary), *caps.get("job_skills", NO_CAP),
                       "skill_name").withColumn("level", F.lit("INTERMEDIATE"))
     return {"jobs": jobs_out, "salaries": salaries, "job_requirements": reqs, "job_benefits": bens,
             "job_skills": skills, "companies": companies, "quarantine": quarantine}
 
 
-def children(parents: DataFrame, key: str, items: Column, limit: int, width: int, name: str) -> DataFrame:
-    """First ``limit`` items of an array as child rows (ord, text cut to ``width`` chars)."""
-    return parents.select(key, F.posexplode(F.slice(items, 1, limit)).alias("ord", "_v")).select(
-        key, "ord", truncate(F.col("_v"), width).alias(name))
+def children(parents: DataFrame, key: str, items: Column, limit: int | None, width: int | None, name: str) -> DataFrame:
+    """The items of an array as child rows (ord, text); the first ``limit`` only and cut to ``width`` characters if given."""
+    rows = parents.select(key, F.posexplode(items if limit is None else F.slice(items, 1, limit)).alias("ord", "_v"))
+    return rows.select(key, "ord", (F.col("_v") if width is None else truncate(F.col("_v"), width)).alias(name))
 
 
 # ---------------------------------------------------------------- CVs
 def sample_exact(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """Exactly ``min(n, count)`` rows, reproducible: the n smallest ``xxhash64(seed, key)``.
+    """Exactly ``min(n, count)`` rows, reproducible: the n smallest ``md5('<seed>:<key>')``.
 
     Planned as a top-n (``TakeOrderedAndProject``): each partition keeps n candidates.
     """
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")), F.col(key)).limit(n)
 
 
 def first_rows(df: DataFrame, n: int, order: str = "_row") -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def cvs_from_rows(rows: DataFrame, limit: int | None = 2000, random_sample: bool = True,
-                  seed: int = 42) -> dict[str, DataFrame]:
-    """CV rows -> users, cvs, cv_skills, work_experiences (at most ``limit`` rows taken)."""
+def cvs_from_rows(rows: DataFrame, limit: int | None = None, random_sample: bool = True,
+                  seed: int = 42, caps: dict[str, tuple[int, int]] | None = None,
+                  existing_users: DataFrame | None = None) -> dict[str, DataFrame]:
+    """CV rows -> users, cvs, cv_skills, work_experiences, quarantine (a sample of ``limit`` rows only if asked for).
+
+    ``existing_users`` (id, email, ...): a user that is there already keeps its row and id; ``users`` holds the
+    existing and the new ones, one per e-mail."""
+    caps = caps or {}
+    rows, corrupt = split_corrupt(rows)
+    key = row_key(rows)
     if limit:
-        rows = sample_exact(rows, limit, seed, "_row") if random_sample else first_rows(rows, limit)
-    r = rows.withColumn("cv_id", entity_id("cv", "_row")).withColumn(
-        "userid", F.coalesce(F.col("userid"), entity_id("user-row", "_row"))).withColumn(
+        rows = sample_exact(rows, limit, seed, key) if random_sample else first_rows(rows, limit)
+    r = rows.withColumn("cv_id", entity_id("cv", key)).withColumn(
+        "userid", F.coalesce(F.col("userid"), entity_id("user-row", key))).withColumn(
         "user_name", F.coalesce(F.col("user_name"), F.lit("Unknown")))
     r = r.withColumn("email", email_for_user(F.col("userid")))
     users = dedupe_first(r.select("email", "user_name", "gender", "_row"), "email", "_row",
@@ -170,48 +212,75 @@ def cvs_from_rows(rows: DataFrame, limit: int | None = 2000, random_sample: bool
         entity_id("user", "email").alias("id"), "email", F.col("user_name").alias("full_name"),
         map_enum(F.col("gender"), M.GENDER_MAP).alias("gender"),
         F.lit("CANDIDATE").alias("role"), F.lit("ACTIVE").alias("status"))
+    user_id = entity_id("user", "email")
+    if existing_users is not None:
+        known = existing_users.select(*users.columns)
+        users = known.unionByName(users.join(known.select("email"), "email", "left_anti"))
+        r = r.join(known.select("email", F.col("id").alias("_known_id")), "email", "left")
+        user_id = F.coalesce(F.col("_known_id"), user_id)
     cv_title = F.coalesce(F.col("desired_job_translated"), F.concat(F.lit(M.CV_TITLE_PREFIX), F.col("user_name")))
     summary = labelled_summary([(M.SUMMARY_LABELS[0], F.col("industry")),
                                 (M.SUMMARY_LABELS[1], F.col("workplace_desired")),
                                 (M.SUMMARY_LABELS[2], F.col("desired_salary"))])
-    cvs = r.select("cv_id", entity_id("user", "email").alias("user_id"), truncate(cv_title, 255).alias("title"),
+    cvs = r.select("cv_id", user_id.alias("user_id"), truncate(cv_title, 255).alias("title"),
                    F.lit(True).alias("is_main"), F.col("user_name").alias("full_name"),
                    truncate(cv_title, 255).alias("current_position"), summary.alias("summary"),
                    F.lit(True).alias("is_open_for_job"))
-    skills = children(r, "cv_id", split_items(F.col("Skills")), 20, 100, "skill_name") \
+    skills = children(r, "cv_id", split_items(F.col("Skills")), *caps.get("cv_skills", NO_CAP), "skill_name") \
         .withColumn("level", F.lit("INTERMEDIATE"))
     exp_items = F.when(~_blank(F.col("work_experience")),
                        F.concat(F.array(F.col("work_experience")), split_items(F.col("Experience")))) \
         .otherwise(split_items(F.col("Experience")))
-    exps = children(r, "cv_id", exp_items, 10, 255, "title").withColumn("company", F.lit(""))
-    return {"users": users, "cvs": cvs, "cv_skills": skills, "work_experiences": exps}
+    exps = children(r, "cv_id", exp_items, *caps.get("work_experiences", NO_CAP), "title").withColumn("company", F.lit(""))
+    return {"users": users, "cvs": cvs, "cv_skills": skills, "work_experiences": exps, "quarantine": corrupt}
 
 
 def ingest_all(spark, companies_csv: str | None, jobs_csv: str | None, cvs_csv: str | None,
-               skills_dictionary: list[str], cv_limit: int | None = 2000, seed: int = 42,
-               partitions: int | None = None) -> dict[str, DataFrame]:
+               skills_dictionary: list[str] | DataFrame, cv_limit: int | None = None, seed: int = 42,
+               partitions: int | None = None, caps: dict[str, tuple[int, int]] | None = None,
+               existing_users: DataFrame | None = None) -> dict[str, DataFrame]:
     """Companies, then jobs (which may add companies), then CVs; returns every output table."""
     from matchspark.sources.csv_files import read_companies, read_cvs, read_jobs
 
     out: dict[str, DataFrame] = {}
-    companies = None
+    companies, quarantine = None, []
     if companies_csv:
-        companies = companies_from_rows(read_companies(spark, companies_csv, partitions))
+        rows = read_companies(spark, companies_csv, partitions)
+        companies = companies_from_rows(rows)
+        quarantine.append(split_corrupt(rows)[1])
     if jobs_csv:
         if companies is None:
             companies = spark.createDataFrame([], "id string, name string, description string, company_size string, "
                                                   "address string, industry string, email string, status string")
-        out.update(jobs_from_rows(read_jobs(spark, jobs_csv, partitions), companies, skills_dictionary))
+        out.update(jobs_from_rows(read_jobs(spark, jobs_csv, partitions), companies, skills_dictionary, caps))
         companies = out["companies"]
+        quarantine.append(out["quarantine"])
     if cvs_csv:
-        out.update(cvs_from_rows(read_cvs(spark, cvs_csv, partitions), limit=cv_limit, seed=seed))
+        out.update(cvs_from_rows(read_cvs(spark, cvs_csv, partitions), limit=cv_limit, seed=seed, caps=caps,
+                                 existing_users=existing_users))
+        quarantine.append(out["quarantine"])
     if companies is not None:
         out["companies"] = companies
+    if quarantine:
+        out["quarantine"] = reduce(DataFrame.unionByName, quarantine)
     return out
 
 
-def write_tables(tables: dict[str, DataFrame], base: str, mode: str = "overwrite") -> None:
-    """One Parquet folder per output table (an atomic job commit each)."""
+#: what names a row of each output table
+TABLE_KEYS = {"companies": "id", "jobs": "job_id", "salaries": "job_id", "job_requirements": "job_id", "job_benefits": "job_id",
+              "job_skills": "job_id", "users": "id", "cvs": "cv_id", "cv_skills": "cv_id", "work_experiences": "cv_id"}
+
+
+def write_tables(tables: dict[str, DataFrame], base: str) -> None:
+    """Bring an import into the tables under ``base``: rows of a key that was imported before are replaced, all others
+    stay. Each table gets a new version in one step (see ``publish``); the quarantine is appended."""
     import os
+
+    from matchspark.operators.publish import publish_edges, read_current, write_snapshot
     for name, df in tables.items():
-        df.write.mode(mode).parquet(os.path.join(base, name))
+        path = os.path.join(base, name)
+        if name in TABLE_KEYS:
+            publish_edges(df.sparkSession, path, df, TABLE_KEYS[name])
+        else:
+            old = read_current(df.sparkSession, path)
+            write_snapshot(df if old is None else old.unionByName(df), path)

@@ -11,20 +11,16 @@ Inputs (same rules in Spark and SQL):
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchspark.functions import mappings as M
-from matchspark.functions.text import (WS_CLASS, company_email, extract_skills, has_salary_row,
+from matchspark.functions.text import (WS_CLASS, company_email, dictionary_of, extract_skills, has_salary_row,
                                        labelled_summary, map_contains_first, map_enum, parse_deadline,
-                                       parse_salary, split_items, truncate, word_pattern)
-from matchspark.operators.ingest import COMPANY_COLS, children, companies_from_rows, entity_id, sample_exact
+                                       parse_salary, split_items)
+from matchspark.operators.ingest import COMPANY_COLS, children, companies_from_rows, entity_id, first_rows, sample_exact
 from matchspark.plans.catalog import register
 from matchspark.sources.tables import read_table
 
-DICT_LIMIT = 100_000  # a dictionary is collected to the driver only below this size
-
-
 def _sql_strip(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^{WS_CLASS}+', ''), '{WS_CLASS}+$', '')"
 
@@ -66,26 +62,13 @@ def q_truncate_children(spark, sf):
 
 
 # ---------------------------------------------------------------- skills
-def skill_dictionary(spark, sf) -> list[str]:
-    """Distinct words of part names (first appearance), then language codes (first doc)."""
+def skill_dictionary(spark, sf):
+    """Distinct words of part names (first appearance), then language codes (first doc): (skill, pos)."""
     part = read_table(spark, sf, "part", ["p_partkey", "p_name"])
-    words = part.select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("pos", "w")).where("w <> ''")
-    pw = words.groupBy("w").agg(F.min(F.struct("p_partkey", "pos")).alias("o")).select(
-        "w", F.lit(0).alias("grp"), F.col("o.p_partkey").alias("o1"), F.col("o.pos").alias("o2"))
-    docs = read_table(spark, sf, "documents", ["doc_id", "lang"])
-    lw = docs.where("lang IS NOT NULL AND lang <> ''").groupBy(F.col("lang").alias("w")).agg(
-        F.min("doc_id").alias("o1")).select("w", F.lit(1).alias("grp"), "o1", F.lit(0).alias("o2"))
-    d = pw.unionByName(lw)
-    n = d.count()
-    if n > DICT_LIMIT:
-        raise ValueError(f"dictionary of {n} entries is too large to inline")
-    rows = d.orderBy("grp", "o1", "o2").collect()
-    out, seen = [], set()
-    for r in rows:
-        if r["w"] not in seen:
-            seen.add(r["w"])
-            out.append(r["w"])
-    return out
+    words = part.select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "skill")).where("skill <> ''")
+    docs = read_table(spark, sf, "documents", ["doc_id", "lang"]).where("lang IS NOT NULL AND lang <> ''")
+    return words.select("skill", F.struct(F.lit(0).alias("g"), F.col("p_partkey").alias("a"), F.col("i").alias("b")).alias("pos")).unionByName(
+        docs.select(F.col("lang").alias("skill"), F.struct(F.lit(1).alias("g"), F.col("doc_id").alias("a"), F.lit(0).alias("b")).alias("pos")))
 
 
 SKILLS_SQL = f"""
@@ -104,18 +87,33 @@ hits AS (
     CASE WHEN length(k.w) <= 2
          THEN regexp_matches(lower(coalesce(d.text, '')), '(^|[^\\pL\\pN_])' || lower(k.w) || '($|[^\\pL\\pN_])')
          ELSE contains(lower(coalesce(d.text, '')), lower(k.w)) END)
-SELECT doc_id, list(w ORDER BY pos)[1:20] AS skills FROM hits GROUP BY doc_id"""
+SELECT doc_id, list(w ORDER BY pos) AS skills FROM hits GROUP BY doc_id"""
 
 
 @register("extract_skills", SKILLS_SQL)
 def q_extract_skills(spark, sf):
-    """Dictionary skills found in each whole document (dictionary order, at most 20)."""
-    dictionary = skill_dictionary(spark, sf)
+    """Dictionary skills found in each whole document, in dictionary order."""
+    dictionary = dictionary_of(skill_dictionary(spark, sf))
     docs = read_table(spark, sf, "documents", ["doc_id", "text"])
-    out = docs.select("doc_id", extract_skills(F.col("text"), dictionary, 20).alias("skills"))
+    out = docs.select("doc_id", extract_skills(F.col("text"), dictionary).alias("skills"))
     return out.where(F.size("skills") > 0)
 
 
+@register("extract_skills_large", r"""
+WITH dict AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 9),
+hits AS (
+  SELECT d.doc_id, k.w FROM documents d JOIN dict k ON contains(lower(coalesce(d.text, '')), lower(k.w)))
+SELECT doc_id, count(*) AS n_skills, md5(string_agg(w, ' ' ORDER BY encode(w))) AS skills FROM hits GROUP BY doc_id""")
+def q_extract_skills_large(spark, sf):
+    """The same matcher with a dictionary of thousands of entries: every word of the benchmark texts of nine characters or more."""
+    words = read_table(spark, sf, "benchmark", ["text"]).select(F.explode(F.split("text", " ")).alias("skill")).where(F.length("skill") >= 9)
+    dictionary = dictionary_of(words.withColumn("pos", F.col("skill")))
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    out = docs.select("doc_id", extract_skills(F.col("text"), dictionary).alias("s")).where(F.size("s") > 0)
+    return out.select("doc_id", F.size("s").cast("long").alias("n_skills"),
+                      F.md5(F.array_join(F.array_sort("s"), " ").cast("binary")).alias("skills"))
+
+
 # ---------------------------------------------------------------- enum maps
 JT_IN = list(M.JOB_TYPE_MAP) + ["", "Remote", "  Part-Time "]
 EXP_IN = list(M.EXPERIENCE_LEVEL_MAP) + ["", "xyz", " SENIOR "]
@@ -352,11 +350,16 @@ def q_fill_industry(spark, sf):
     return out.join(ex.select("name"), "name", "left_semi").select("name", "industry")
 
 
-@register("sample_exact_n")
+@register("sample_exact_n", """
+SELECT c_custkey, c_name FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 1000""")
 def q_sample_exact_n(spark, sf):
-    """Exactly min(2000, n) customers, reproducible (seeded hash order)."""
+    """Exactly min(1000, n) customers, reproducible (seeded md5 order)."""
     c = read_table(spark, sf, "customer", ["c_custkey", "c_name"])
-    return sample_exact(c, 2000, 42, "c_custkey")
+    return sample_exact(c, 1000, 42, "c_custkey")
 
 
-__all__ = ["Window", "truncate", "word_pattern"]
+@register("first_rows_n", """
+SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 1000""")
+def q_first_rows_n(spark, sf):
+    """The first min(1000, n) customers in order."""
+    return first_rows(read_table(spark, sf, "customer", ["c_custkey", "c_name"]), 1000, "c_custkey")

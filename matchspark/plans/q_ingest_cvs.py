@@ -13,7 +13,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchspark.functions import mappings as M
-from matchspark.operators.ingest import cvs_from_rows
+from matchspark.functions.text import email_for_user
+from matchspark.operators.ingest import cvs_from_rows, write_tables
+from matchspark.operators.publish import read_current
+from matchspark.operators.quality import record_counts
+from matchspark.plans import runs
 from matchspark.plans.catalog import register
 from matchspark.plans.q_ingest import EXP_IN, GEN_IN, _pick, _sql_list, _sql_split_items, _sql_strip
 from matchspark.sources.tables import read_table
@@ -81,19 +85,49 @@ def q_ingest_cvs(spark, sf):
 
 
 @register("ingest_cv_children", f"WITH {ROWS_SQL}\n" + f"""
-SELECT cv_id, 'skill' AS kind, CAST(pos - 1 AS INTEGER) AS ord, substr(item, 1, 100) AS text FROM (
-  SELECT cv_id, unnest(items[1:20]) AS item, unnest(generate_series(1, len(items[1:20]))) AS pos
+SELECT cv_id, 'skill' AS kind, CAST(pos - 1 AS INTEGER) AS ord, item AS text FROM (
+  SELECT cv_id, unnest(items) AS item, unnest(generate_series(1, len(items))) AS pos
   FROM (SELECT cv_id, {_sql_split_items('skills')} AS items FROM raw))
 UNION ALL
-SELECT cv_id, 'experience', CAST(pos - 1 AS INTEGER), substr(item, 1, 255) FROM (
-  SELECT cv_id, unnest(items[1:10]) AS item, unnest(generate_series(1, len(items[1:10]))) AS pos
+SELECT cv_id, 'experience', CAST(pos - 1 AS INTEGER), item FROM (
+  SELECT cv_id, unnest(items) AS item, unnest(generate_series(1, len(items))) AS pos
   FROM (SELECT cv_id,
                CASE WHEN work_exp IS NOT NULL AND {_sql_strip('work_exp')} <> ''
                     THEN list_concat([work_exp], {_sql_split_items('experience')})
                     ELSE {_sql_split_items('experience')} END AS items FROM raw))""")
 def q_ingest_cv_children(spark, sf):
-    """Skill rows (first 20) and experience rows (work experience first, then the first 10)."""
+    """Skill rows and experience rows (work experience first) of every CV."""
     out = ingest(spark, sf)
     s = out["cv_skills"].select("cv_id", F.lit("skill").alias("kind"), "ord", F.col("skill_name").alias("text"))
     e = out["work_experiences"].select("cv_id", F.lit("experience").alias("kind"), "ord", F.col("title").alias("text"))
     return s.unionByName(e)
+
+
+@register("ingest_users_existing", f"WITH {ROWS_SQL}\n" + """,
+existing AS (SELECT DISTINCT 'user_' || user_id || '@imported.local' AS email FROM events),
+incoming AS (SELECT DISTINCT 'user_' || userid || '@imported.local' AS email FROM raw)
+SELECT email, md5('known:' || email) AS id, TRUE AS known FROM existing
+UNION ALL SELECT email, md5('user:' || email), FALSE FROM incoming WHERE email NOT IN (SELECT email FROM existing)""")
+def q_ingest_users_existing(spark, sf):
+    """Users after an import into a table that already has the users of the events: these keep their rows and ids."""
+    known = read_table(spark, sf, "events", ["user_id"]).distinct().select(
+        email_for_user(F.col("user_id").cast("string")).alias("email"))
+    known = known.select(F.md5(F.concat(F.lit("known:"), "email").cast("binary")).alias("id"), "email",
+                         F.lit("known").alias("full_name"), F.lit(None).cast("string").alias("gender"),
+                         F.lit("CANDIDATE").alias("role"), F.lit("ACTIVE").alias("status"))
+    users = cvs_from_rows(cv_rows(spark, sf), existing_users=known)["users"]
+    return users.select("email", "id", (F.col("full_name") == "known").alias("known"))
+
+
+@register("ingest_second_import", """
+SELECT 'users' AS table_name, count(*) AS n FROM customer
+UNION ALL SELECT 'cvs', count(*) FROM customer
+UNION ALL SELECT 'cv_skills', 3 * count(*) FROM customer""")
+def q_ingest_second_import(spark, sf):
+    """Two imports, the second repeating a part of the first: tables grow by what is new and repeat nothing."""
+    base, rows = runs.fresh_warehouse(spark) + "/import", cv_rows(spark, sf)
+    first = cvs_from_rows(rows.where(F.col("_row") <= 1000))
+    write_tables({k: first[k] for k in ("users", "cvs", "cv_skills")}, base)
+    again = cvs_from_rows(rows, existing_users=read_current(spark, f"{base}/users"))
+    write_tables({k: again[k] for k in ("users", "cvs", "cv_skills")}, base)
+    return record_counts({k: read_current(spark, f"{base}/{k}") for k in ("users", "cvs", "cv_skills")})

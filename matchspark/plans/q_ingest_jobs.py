@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchspark.functions import mappings as M
-from matchspark.operators.ingest import jobs_from_rows
+from matchspark.operators.ingest import SOURCE_CAPS, jobs_from_rows
 from matchspark.plans.catalog import register
 from matchspark.plans.q_ingest import (EXP_IN, JT_IN, SALARY_TEXT_SQL, SIZE_TEXT_SQL, _pick, _size_text, _sql_case,
                                        _sql_list, _sql_split_items, _sql_strip, existing_companies, salary_text,
@@ -55,8 +55,8 @@ def job_rows(spark, sf):
         F.col("o_orderkey").alias("_row"))
 
 
-def ingest(spark, sf):
-    return jobs_from_rows(job_rows(spark, sf), existing_companies(spark, sf), skill_dictionary(spark, sf))
+def ingest(spark, sf, caps=None):
+    return jobs_from_rows(job_rows(spark, sf), existing_companies(spark, sf), skill_dictionary(spark, sf), caps)
 
 
 DICT_SQL = """pw AS (
@@ -135,10 +135,11 @@ def q_ingest_salaries(spark, sf):
     return ingest(spark, sf)["salaries"]
 
 
-def _children_sql(kind: str, items: str, n: int, width: int) -> str:
-    return f"""SELECT job_id, '{kind}' AS kind, CAST(pos - 1 AS INTEGER) AS ord, substr(item, 1, {width}) AS text FROM (
-  SELECT job_id, unnest(items[1:{n}]) AS item, unnest(generate_series(1, len(items[1:{n}]))) AS pos
-  FROM (SELECT job_id, {items} AS items FROM good))"""
+def _children_sql(kind: str, items: str, cap: tuple | None, source: str = "good") -> str:
+    some, text = (f"[1:{cap[0]}]", f"substr(item, 1, {cap[1]})") if cap else ("", "item")
+    return f"""SELECT job_id, '{kind}' AS kind, CAST(pos - 1 AS INTEGER) AS ord, {text} AS text FROM (
+  SELECT job_id, unnest(items{some}) AS item, unnest(generate_series(1, len(items{some}))) AS pos
+  FROM (SELECT job_id, {items} AS items FROM {source}))"""
 
 
 SKILL_LIST = """(SELECT job_id, list(w ORDER BY dpos) AS items FROM (
@@ -150,15 +151,15 @@ SKILL_LIST = """(SELECT job_id, list(w ORDER BY dpos) AS items FROM (
   GROUP BY job_id)"""
 
 
-@register("ingest_job_children", f"WITH {DICT_SQL},\n{ROWS_SQL}\n" + "\nUNION ALL\n".join([
-    _children_sql("requirement", _sql_split_items("reqs"), 10, 500),
-    _children_sql("benefit", _sql_split_items("benefits"), 10, 500),
-    f"""SELECT job_id, 'skill' AS kind, CAST(pos - 1 AS INTEGER) AS ord, substr(item, 1, 100) AS text FROM (
-  SELECT job_id, unnest(items[1:20]) AS item, unnest(generate_series(1, len(items[1:20]))) AS pos
-  FROM {SKILL_LIST})"""]))
-def q_ingest_job_children(spark, sf):
-    """Requirement, benefit and skill rows of every ingested job (first 10 / 10 / 20 items)."""
-    out = ingest(spark, sf)
+def _all_children_sql(caps: dict) -> str:
+    return f"WITH {DICT_SQL},\n{ROWS_SQL}\n" + "\nUNION ALL\n".join([
+        _children_sql("requirement", _sql_split_items("reqs"), caps.get("job_requirements")),
+        _children_sql("benefit", _sql_split_items("benefits"), caps.get("job_benefits")),
+        _children_sql("skill", "items", caps.get("job_skills"), SKILL_LIST)])
+
+
+def _all_children(spark, sf, caps):
+    out = ingest(spark, sf, caps)
     req = out["job_requirements"].select("job_id", F.lit("requirement").alias("kind"), "ord",
                                          F.col("title").alias("text"))
     ben = out["job_benefits"].select("job_id", F.lit("benefit").alias("kind"), "ord", F.col("title").alias("text"))
@@ -166,7 +167,16 @@ def q_ingest_job_children(spark, sf):
     return req.unionByName(ben).unionByName(skl)
 
 
-__all__ = ["SIZE_TEXT_SQL"]
+@register("ingest_job_children", _all_children_sql({}))
+def q_ingest_job_children(spark, sf):
+    """Every requirement, benefit and skill row of every ingested job."""
+    return _all_children(spark, sf, None)
+
+
+@register("ingest_job_children_capped", _all_children_sql(SOURCE_CAPS))
+def q_ingest_job_children_capped(spark, sf):
+    """The same with the caps of the source system (first 10 / 10 / 20 items, 500 / 500 / 100 characters)."""
+    return _all_children(spark, sf, SOURCE_CAPS)
 
 
 @register("ingest_quarantine", f"WITH {ROWS_SQL}\n" + """

@@ -1,15 +1,18 @@
 """CSV sources of the ingest step (companies, jobs, candidate CVs).
 
 Files are read as header-named string columns (no inference); fields may span lines, so a
-file is one input split; callers repartition right after the scan. An empty field stays ""
-(not NULL); a column missing from the header reads as NULL so the ingest rules can apply
-their defaults. ``_row`` is a per-file ordinal taken before any shuffle (first-row-wins).
+file is one input split; callers repartition right after the scan. An empty field is "" (quoted or
+not); a column missing from the header reads as NULL so the ingest rules can apply their
+defaults. Every row has ``_row`` = (file, line): the record's ordinal in its file, which does not
+depend on how files are packed into splits, ``_key`` (the same as a string, for ids) and ``_corrupt``
+(the raw text of a record whose fields do not match the header, else NULL).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Column names of the three CSV files.
 COMPANY_COLUMNS = ["Name Company", "Company Overview", "Company Size", "Company Address", "Industry"]
@@ -24,12 +27,21 @@ CV_COLUMNS = [
 
 
 def read_csv_strings(spark: SparkSession, path: str, columns: list[str], partitions: int | None = None) -> DataFrame:
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .option("nullValue", "\u0000").option("emptyValue", "").option("mode", "PERMISSIVE")
-           .csv(path))
-    present = set(raw.columns)
-    cols = [F.col(f"`{c}`") if c in present else F.lit(None).cast("string").alias(c) for c in columns]
-    df = raw.select(*cols).withColumn("_row", F.monotonically_increasing_id())
+    options = dict(header=True, multiLine=True, escape='"', nullValue="\u0000", emptyValue="", mode="PERMISSIVE")
+    header = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_corrupt"]])
+    raw = spark.read.options(**options, columnNameOfCorruptRecord="_corrupt").schema(schema).csv(path)
+    present = set(header)
+    cols = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in present else F.lit(None).cast("string").alias(c)
+            for c in columns]
+    # the parser sees a broken record only if it reads all of its fields, so the mark refers to every column
+    every = [F.substring(F.col(f"`{c}`"), 1, 0) for c in header]
+    corrupt = F.when(F.length(F.concat_ws("", "_corrupt", *every)) > 0, F.col("_corrupt")).alias("_corrupt")
+    rows = raw.select(*cols, corrupt, F.col("_metadata.file_path").alias("_file")).withColumn(
+        "_at", F.monotonically_increasing_id())
+    first = rows.groupBy("_file").agg(F.min("_at").alias("_first"))  # one row per file
+    df = rows.join(first, "_file").withColumn("_row", F.struct(F.col("_file").alias("file"), (F.col("_at") - F.col("_first")).alias("line")))
+    df = df.withColumn("_key", F.concat_ws("#", "_row.file", "_row.line")).drop("_at", "_first", "_file")
     return df.repartition(partitions) if partitions else df
 
 

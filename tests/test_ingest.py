@@ -92,3 +92,41 @@ def test_missing_column_reads_as_null(spark, tmp_path):
     _write(p, ["Name Company"], [["X"]])
     df = read_companies(spark, str(p))
     assert df.select(F.col("Industry").isNull().alias("n")).first()["n"]
+
+
+def test_csv_rows_keys_and_corrupt_records(spark, tmp_path):
+    """Ordinals count within each file, empty fields are alike however written, broken records are quarantined."""
+    header = "Name Company,Job Title,Salary\n"
+    (tmp_path / "a.csv").write_text(header + "ACME,One,0\n,Two,0\n\"\",Three,0\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text(header + "ACME,One,0\nACME,too,many,fields\n", encoding="utf-8")
+    rows = read_jobs(spark, str(tmp_path / "*.csv"))
+    assert sorted(r["_row"]["line"] for r in rows.collect()) == [0, 0, 1, 1, 2]
+    none = companies_from_rows(read_companies(spark, str(tmp_path / "a.csv")).limit(0))
+    out = jobs_from_rows(rows, none, [])
+    jobs = out["jobs"].collect()
+    assert len(jobs) == 4 and len({j["job_id"] for j in jobs}) == 4 and all(j["company_id"] for j in jobs)
+    assert {c["name"] for c in out["companies"].collect()} == {"ACME", "Unknown Company"}
+    bad = out["quarantine"].collect()
+    assert [(r["_row"]["line"], r["reason"]) for r in bad] == [(1, "fields do not match the header")]
+
+
+def test_ingest_all_and_second_import(spark, tmp_path):
+    from matchspark.operators.ingest import ingest_all, write_tables
+    from matchspark.operators.publish import read_current
+    cv = "user_name,userid,gender,Skills,Experience,work_experience\n"
+    (tmp_path / "cv1.csv").write_text(cv + "An,1,,Python,A long one,\nBinh,2,,Java,,\n", encoding="utf-8")
+    (tmp_path / "co.csv").write_text("Name Company,Industry\nACME,IT\nbroken,too,many\n", encoding="utf-8")
+    base = str(tmp_path / "tables")
+    first = ingest_all(spark, str(tmp_path / "co.csv"), None, str(tmp_path / "cv1.csv"), [])
+    write_tables(first, base)
+    assert read_current(spark, base + "/users").count() == 2 and read_current(spark, base + "/quarantine").count() == 1
+    (tmp_path / "cv2.csv").write_text(cv + "An again,1,,SQL,,\nChi,3,,Go lang,,\n", encoding="utf-8")
+    more = ingest_all(spark, None, None, str(tmp_path / "cv2.csv"), [], existing_users=read_current(spark, base + "/users"))
+    write_tables(more, base)
+    users = {r["email"]: r["full_name"] for r in read_current(spark, base + "/users").collect()}
+    assert sorted(users.values()) == ["An", "Binh", "Chi"]          # the user keeps its first row
+    assert read_current(spark, base + "/cvs").count() == 4
+    cvs = read_current(spark, base + "/cvs").collect()
+    assert len({c["user_id"] for c in cvs}) == 3
+    write_tables(more, base)                                        # the same import once more changes nothing
+    assert read_current(spark, base + "/cvs").count() == 4
