@@ -8,9 +8,11 @@ aggregates per query followed by a global average; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchspark.functions.vector import dot
+
 
 def _dcg_term(rank: Column) -> Column:
     return F.lit(1.0) / F.log2(rank.cast("double") + 1)
@@ -71,15 +73,18 @@ def coverage_ratio(recs: DataFrame, item: str, corpus: DataFrame, corpus_item: s
 def diversity(recs_with_vec: DataFrame, q: str, unit_vec: str) -> DataFrame:
     """Mean intra-list diversity: average over pairs (i<j) of 1 - cos(u_i, u_j) per list.
 
-    Uses sum_{i!=j} u_i.u_j = |sum u|^2 - sum |u|^2, so no pairs are formed: one per-query
-    element-wise vector sum (posexplode + group by (query, position)).
+    Uses sum_{i!=j} u_i.u_j = |sum u|^2 - sum |u|^2, so no pairs are formed: one vector sum per
+    query (``Summarizer``, partial sums before the shuffle, one row per list and task).
     """
-    e = recs_with_vec.select(q, F.posexplode(unit_vec).alias("pos", "x"))
-    sums = e.groupBy(q, "pos").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("sq"))
-    per = sums.groupBy(q).agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.sum("sq").alias("sq"))
-    m = recs_with_vec.groupBy(q).agg(F.count(F.lit(1)).alias("m"))
-    d = per.join(m, q).where(F.col("m") >= 2).withColumn(
-        "div", F.lit(1.0) - (F.col("s2") - F.col("sq")) / (F.col("m") * (F.col("m") - 1)))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    unit = F.col(unit_vec)
+    lists = recs_with_vec.where(unit.isNotNull()).groupBy(q).agg(
+        Summarizer.sum(array_to_vector(unit)).alias("s"), F.sum(dot(unit, unit)).alias("sq"), F.count(F.lit(1)).alias("m"))
+    total = vector_to_array("s")
+    d = lists.where(F.col("m") >= 2).select((F.lit(1.0) - (dot(total, total) - F.col("sq"))
+                                             / (F.col("m") * (F.col("m") - 1))).alias("div"))
     return d.agg(F.count(F.lit(1)).alias("lists"), F.avg("div").alias("diversity"))
 
 
@@ -122,22 +127,33 @@ def title_rule_label(parts: list[Column], threshold: float = 0.6) -> Column:
     return mean > F.lit(threshold)
 
 
+def hash_number(*parts: Column) -> Column:
+    """The first 60 bits of md5 over the parts joined by ``:``, as a long."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def dense_positions(items: DataFrame, item: str, out: str = "_pos") -> DataFrame:
+    """Items numbered 0..n-1 in the order (first two hex digits of md5(item), item), without a global sort: a
+    window per md5 bucket plus the sizes of the buckets before it (256 rows)."""
+    rows = items.select(item).distinct().withColumn("_b", F.substring(F.md5(F.col(item).cast("string").cast("binary")), 1, 2))
+    base = rows.groupBy("_b").count().withColumn(
+        "_base", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_b").orderBy(item)) - 1
+    return rows.withColumn("_i", within).join(F.broadcast(base.select("_b", "_base")), "_b").select(
+        item, (F.col("_base") + F.col("_i")).alias(out))
+
+
 def random_top_k(queries: DataFrame, q: str, corpus: DataFrame, item: str, k: int, seed: int = 7) -> DataFrame:
-    """Random baseline: each query draws 2k corpus positions by a seeded hash, keeps the first k
-    distinct ones. Corpus positions are dense (``zipWithIndex``), so no query x corpus pairs."""
-    spark = corpus.sparkSession
-    n = corpus.count()
-    if n == 0:
-        return spark.createDataFrame([], f"{q} long, {item} long, rank int")
-    indexed = spark.createDataFrame(
-        corpus.select(item).orderBy(item).rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])),
-        f"{item} {corpus.schema[item].dataType.simpleString()}, _pos long")
-    draws = queries.select(q, F.explode(F.sequence(F.lit(0), F.lit(2 * k - 1))).alias("_d")).withColumn(
-        "_pos", F.pmod(F.xxhash64(F.lit(seed), F.col(q), F.col("_d")), F.lit(n)))
-    j = draws.join(indexed, "_pos").groupBy(q, item).agg(F.min("_d").alias("_d"))
-    from pyspark.sql import Window
-    w = Window.partitionBy(q).orderBy("_d")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(q, item, "rank")
+    """Random baseline: each query draws 2k corpus positions by a seeded md5, then the k positions behind the first draw, and
+    keeps the first k distinct ones (all items if there are fewer). No query x corpus pairs."""
+    n = corpus.select(item).distinct().count()
+    draws = queries.select(q, F.explode(F.sequence(F.lit(0), F.lit(3 * k - 1))).alias("_d"))
+    drawn = F.when(F.col("_d") < 2 * k, hash_number(F.lit(seed), F.col(q), F.col("_d"))).otherwise(
+        hash_number(F.lit(seed), F.col(q), F.lit(0)) + F.col("_d"))
+    draws = draws.withColumn("_pos", F.pmod(drawn, F.lit(max(1, n))))
+    first = draws.groupBy(q, "_pos").agg(F.min("_d").alias("_d"))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(q).orderBy("_d"))).where(F.col("rank") <= k)
+    return ranked.join(dense_positions(corpus, item), "_pos").select(q, item, "rank")
 
 
 def tfidf_vectors(df: DataFrame, text: str, out: str, num_features: int = 1024) -> DataFrame:
@@ -183,9 +199,8 @@ def skill_match(pairs: DataFrame, cv_skills: DataFrame, job_skills: DataFrame, *
     """Per (cv_id, job_id): number of job skills, best level per job skill summarised as
     ``best_level``, ``n_matched`` (job skills matched at >= ``min_level``) and ``skills_match``.
 
-    Skill lists are bounded per entity (20 each), so each pair costs at most 20 x 20 tests,
-    done with higher-order functions on the two arrays (no exploded pairs). ``synonyms`` and
-    ``categories`` are small dictionaries inlined as literals.
+    A pair costs (CV skills) x (job skills) tests, done with higher-order functions on the two arrays (no
+    exploded pairs). ``synonyms`` and ``categories`` are small dictionaries inlined as literals.
     """
     from matchspark.functions.text import py_strip
 

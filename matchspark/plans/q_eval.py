@@ -210,12 +210,21 @@ def q_jaccard(spark, sf):
     return j.select("cv_id", "job_id", _r(ev.jaccard(F.col("a"), F.col("b"))).alias("jaccard"))
 
 
-@register("random_baseline")
+_HASH = "('0x' || substr(md5('7:' || {q} || ':' || {d}), 1, 15))::BIGINT"
+
+
+@register("random_baseline", with_views(f"""pos AS (
+  SELECT job_id, row_number() OVER (ORDER BY substr(md5(job_id::VARCHAR), 1, 2), job_id) - 1 AS pos FROM active_job)""",
+    "jobs_n AS (SELECT count(*) AS n FROM active_job)", f"""draws AS (
+  SELECT cv_id, d, CASE WHEN d < 20 THEN {_HASH.format(q='cv_id', d='d')} ELSE {_HASH.format(q='cv_id', d="'0'")} + d END % n AS pos
+  FROM main_cv, jobs_n, generate_series(0, 29) AS s(d) WHERE title_vec IS NOT NULL)""",
+    "firsts AS (SELECT cv_id, pos, min(d) AS d FROM draws GROUP BY cv_id, pos)", """ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY cv_id ORDER BY d) AS INTEGER) AS rank FROM firsts)""") + """
+SELECT cv_id, job_id, rank FROM ranked JOIN pos USING (pos) WHERE rank <= 10""")
 def q_random_baseline(spark, sf):
-    """Random top-10 jobs per main CV (seeded), with label relevance for comparison."""
+    """Random top-10 jobs per main CV (seeded by md5, which both engines share)."""
     cvs, jobs = main_cv_df(spark, sf), active_job_df(spark, sf)
-    r = ev.random_top_k(cvs.where(F.col("title_vec").isNotNull()), "cv_id", jobs, "job_id", 10)
-    return r
+    return ev.random_top_k(cvs.where(F.col("title_vec").isNotNull()), "cv_id", jobs, "job_id", 10)
 
 
 @register("tfidf_baseline")
@@ -227,8 +236,6 @@ def q_tfidf_baseline(spark, sf):
                        out_item="similar_doc_id", exclude_self=True)
 
 
-__all__ = ["present"]
-
 
 def _customer_part_skills(spark, sf):
     o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey"])
@@ -236,8 +243,8 @@ def _customer_part_skills(spark, sf):
     p = read_table(spark, sf, "part", ["p_partkey", "p_name"])
     lines = li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey)
     job_sk = lines.select(F.col("o_orderkey").alias("job_id"), F.col("p_name").alias("skill")).distinct()
-    cv_all = lines.groupBy(F.col("o_custkey").alias("cv_id")).agg(F.array_sort(F.collect_set("p_name")).alias("s"))
-    cv_sk = cv_all.select("cv_id", F.explode(F.slice("s", 1, 20)).alias("skill"))
+    cv_all = lines.groupBy(F.col("o_custkey").alias("cv_id")).agg(F.collect_set("p_name").alias("s"))
+    cv_sk = cv_all.select("cv_id", F.explode("s").alias("skill"))
     pairs = o.select(F.col("o_custkey").alias("cv_id"), F.col("o_orderkey").alias("job_id"))
     return pairs, cv_sk, job_sk
 
@@ -247,7 +254,7 @@ WITH lines AS (
   SELECT o.o_orderkey, o.o_custkey, p.p_name FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey
   JOIN orders o ON o.o_orderkey = l.l_orderkey),
 cs AS (SELECT o_custkey AS cv_id, list_distinct(list(lower(p_name))) AS cs0 FROM lines GROUP BY o_custkey),
-cs2 AS (SELECT cv_id, list_sort(cs0)[1:20] AS cs FROM cs),
+cs2 AS (SELECT cv_id, cs0 AS cs FROM cs),
 js AS (SELECT o_orderkey AS job_id, list_distinct(list(lower(p_name))) AS js FROM lines GROUP BY o_orderkey),
 pr AS (SELECT o.o_custkey AS cv_id, o.o_orderkey AS job_id, coalesce(c.cs, []) AS cs, coalesce(j.js, []) AS js
        FROM orders o LEFT JOIN cs2 c ON c.cv_id = o.o_custkey LEFT JOIN js j ON j.job_id = o.o_orderkey),
@@ -265,6 +272,6 @@ SELECT cv_id, job_id, CAST(len(js) AS INTEGER) AS n_job_skills, CAST(coalesce(li
 FROM lv""")
 def q_skill_match_levels(spark, sf):
     """Skill part of the rule labels for (customer CV, each of its orders as a job): CV skills =
-    the first 20 part names the customer ever ordered, job skills = the order's part names."""
+    the part names the customer ever ordered, job skills = the order's part names."""
     pairs, cv_sk, job_sk = _customer_part_skills(spark, sf)
     return ev.skill_match(pairs, cv_sk, job_sk)

@@ -2,16 +2,19 @@
 
 The library never creates machine-local scratch space on a cluster: lineage is cut with
 ``DataFrame.checkpoint()`` into the folder the cluster names in ``spark.checkpoint.dir``.
-Only when that setting is absent (unit tests, local runs) a directory is chosen here.
+Only when that setting is absent and the master is local (unit tests) a directory is chosen here.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
     "spark.sql.adaptive.enabled": "true",
@@ -28,6 +31,8 @@ LOCAL_CONF = {
 
 def local_session(cpus: int | str = "*", app: str = "matchspark") -> SparkSession:
     """Session for tests and local benchmarks (the cluster supplies its own)."""
+    if PACKAGE_ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # for the Python workers
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [PACKAGE_ROOT, os.environ.get("PYTHONPATH")]))
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for k, v in LOCAL_CONF.items():
         builder = builder.config(k, v)
@@ -45,17 +50,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="matchspark-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
@@ -82,3 +83,9 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
         "spark.sql.session.timeZone": "UTC",
     }
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors as a zip file, where it is not installed there."""
+    with tempfile.TemporaryDirectory() as work:
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(work, "matchspark"), "zip", PACKAGE_ROOT, "matchspark"))
