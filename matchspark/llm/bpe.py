@@ -38,7 +38,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from matchspark.llm.common import lists_of_int32, narrow, texts_of
+from matchspark.llm.common import batch_slices, lists_of_int32, narrow, texts_of
 
 CHUNK = 1 << 16       # characters read at a time
 LONG = 4096           # a word that grows beyond this goes through the window
@@ -381,9 +381,10 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     A map over the scan, no shuffle. ``path`` must be readable on the executors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            ids = [enc.encode(t) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists_of_int32(ids)], names=["doc_id", "ids"])
+        for whole in batches:
+            for batch in batch_slices(whole, 1):
+                ids = [enc.encode(t) for t in texts_of(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists_of_int32(ids)], names=["doc_id", "ids"])
 
     return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 

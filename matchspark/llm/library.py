@@ -27,15 +27,15 @@ import re
 
 import numpy as np
 
-CACHED = 600_000  # entries in each of the two halves of a worker's cache
-JOINED = 500      # words in one string for the library
+CACHED = 300_000  # entries in each of the two halves of a worker's cache
+JOINED = 50       # words in one string for the library
 BARE = "\x02"     # marks a piece that has no space before it
 
 # A stop or comma may be cut off only behind a letter or digit; İ is lowered to a letter and a mark.
-# Both patterns start with a set of rare characters, which is the fastest search.
-_ODD_SPACES = re.compile(r"[.,\x02\x1c-\x1f](?<![^\W_][.,])")
+# The patterns start with a set of rare characters, which is the fastest search.
 _ODD_BLANKS = re.compile(r"[.,\x1c-\x1fİ](?<![^\W_][.,])")
-_TWO_BLANKS = re.compile(r"\s\s")
+_ODD_SPACES = re.compile(r"[.,\x02\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000](?<![^\W_][.,])")
+_TWO_BLANKS = ("  ", "\n ", " \n", "\n\n")
 _BLANK_SPACE = re.compile(r"\s |\x02")
 
 
@@ -79,6 +79,7 @@ class LibraryEncoder:
         mark = spec["model"].get("end_of_word_suffix") or "Ġ"
         for t, i in vocab.items():
             self.edge[i] = t.endswith(mark) if self.cut == "blanks" else t.startswith(mark)
+        self.line_break = vocab.get("Ċ", -1)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.cached = cached
@@ -91,7 +92,7 @@ class LibraryEncoder:
             if _ODD_BLANKS.search(text) is None:
                 return text.replace(",", " ,").replace(".", " .").split()
             return [p.decode() for p in text.encode().split()]
-        if _ODD_SPACES.search(text) is None and _TWO_BLANKS.search(text) is None:
+        if _ODD_SPACES.search(text) is None and not any(b in text for b in _TWO_BLANKS):
             text = text.replace(",", " \x02,").replace(".", " \x02.").replace("\n", " \x02\n \x02")
         elif _BLANK_SPACE.search(text):
             return None
@@ -114,6 +115,15 @@ class LibraryEncoder:
         ends = [*at[1:].tolist(), len(ids)] if self.cut == "spaces" else (at + 1).tolist()
         return _sliced(ids, ends)
 
+    def _bare_letters(self, words: list[str]) -> list[bytes]:
+        """``spaces``: words of letters without a space before them, one to a line."""
+        joined = ["\n".join(words[i:i + JOINED]) + "\n" for i in range(0, len(words), JOINED)]
+        parts = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, "<u4")
+        breaks = ids == self.line_break
+        ends = np.flatnonzero(breaks) - np.arange(int(breaks.sum()))
+        return _sliced(ids[~breaks], ends.tolist()) if len(ends) == len(words) else self._strings(words)
+
     def _strings(self, strings: list[str]) -> list[bytes]:
         """Any short strings; each counts as a text of its own."""
         if not strings:
@@ -124,15 +134,21 @@ class LibraryEncoder:
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the newer half of the cache lacks; they go there."""
-        older, found, letters, others = self.older, {}, [], []
+        older, found, letters, bare, others = self.older, {}, [], [], []
         for p in pieces:
             if (ids := older.get(p)) is not None:
                 found[p] = ids
             elif p.isalpha() and "İ" not in p:
                 letters.append(p)
+            elif self.cut == "spaces" and p[:1] == BARE and p[1:].isalpha():
+                bare.append(p)
             else:
                 others.append(p)
+        letters.sort()  # neighbours take the same ways through the merges
         found.update(zip(letters, self._letters(letters)))
+        if bare:
+            bare.sort()
+            found.update(zip(bare, self._bare_letters([p[1:] for p in bare])))
         asked = others if self.cut == "blanks" else [p[1:] if p[:1] == BARE else " " + p for p in others]
         found.update(zip(others, self._strings(asked)))
         if len(self.known) + len(found) > self.cached:
@@ -178,19 +194,8 @@ def _sliced(ids: np.ndarray, ends: list[int]) -> list[bytes]:
     return out
 
 
-@functools.lru_cache(maxsize=4)
-def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
-
+@functools.lru_cache(maxsize=1)
+def library_encoder(path: str, cached: int = CACHED) -> LibraryEncoder:
+    """One per Python worker, the last file and cache size asked for."""
+    return LibraryEncoder(path, cached)
 
-def byte_slices(texts: list[str], most: int = 16 << 20):
-    """Runs of texts of about ``most`` characters together: what one call to the encoder holds."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import narrow, texts_of
+from matchspark.llm.common import batch_slices, narrow, texts_of
 
 WINDOW = 2048
 END_ID = 1
@@ -41,12 +41,11 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int | None =
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from matchspark.llm.library import byte_slices, library_encoder
+        from matchspark.llm.library import library_encoder
         enc = library_encoder(path)
-        for batch in batches:
-            at = 0
-            for some in byte_slices(texts_of(batch.column(1))):
-                ids = [i + tail for i in enc.encode(some)]
+        for whole in batches:
+            for batch in batch_slices(whole, 1):
+                ids = [i + tail for i in enc.encode(texts_of(batch.column(1)))]
                 pieces = [piece_lengths(len(i) // 4, window) for i in ids]
                 counts = np.fromiter(map(len, pieces), np.int64, len(ids))
                 lengths = np.fromiter((n for p in pieces for n in p), np.int64, int(counts.sum()))
@@ -56,12 +55,11 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int | None =
                 offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
                 data = pa.Array.from_buffers(pa.binary(), len(lengths),
                                              [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(ids))])
-                which = pa.array(np.repeat(np.arange(at, at + len(ids)), counts))
+                which = pa.array(np.repeat(np.arange(len(ids)), counts))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(which), pa.array(ends - lengths - first), pa.array(lengths),
                      pa.array(np.repeat(total, counts)), data],
                     names=["doc_id", "start", "length", "doc_tokens", "ids"])
-                at += len(ids)
 
     return (narrow(docs, id_col, text_col).mapInArrow(run, SCHEMA)
             .withColumn("sequence_id", F.monotonically_increasing_id())

@@ -19,12 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import int32_lists, lists_of_int32, narrow, texts_of
+from matchspark.llm.common import batch_slices, int32_lists, lists_of_int32, narrow, texts_of
 
 END_ID = 2
+CACHED = 500_000  # words in each half of a worker's cache
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 10_000
 SCHEMA = "part int, doc_id long, start long, n_tokens long, ids array<int>"
@@ -39,20 +41,33 @@ def encode_rows(docs: DataFrame, path: str, end_id: int | None = END_ID, id_col:
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from matchspark.llm.library import byte_slices, library_encoder
-        enc, part, before = library_encoder(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids = [i + tail for s in byte_slices(texts_of(batch.column(1))) for i in enc.encode(s)]
-            n = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
-            ends = before + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), part, np.int32)), batch.column(0), pa.array(ends - n), pa.array(n),
-                 lists_of_int32(ids)], names=["part", "doc_id", "start", "n_tokens", "ids"])
-            before += int(n.sum())
-
-    rows = narrow(docs, id_col, text_col)
+        from matchspark.llm.library import library_encoder
+        enc, part, before = library_encoder(path, CACHED), TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for batch in batch_slices(whole, 1):
+                ids = [i + tail for i in enc.encode(texts_of(batch.column(1)))]
+                n = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
+                ends = before + np.cumsum(n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), part, np.int32)), batch.column(0), pa.array(ends - n), pa.array(n),
+                     lists_of_int32(ids)], names=["part", "doc_id", "start", "n_tokens", "ids"])
+                before += int(n.sum())
+
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
+    rows = by_id_range(narrow(docs, id_col, text_col), n)
+    return rows.sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def by_id_range(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` in n ranges of doc_id, null first. The cuts come from a scan of the ids alone, where Spark's own range
+    partitioning would read the texts once more to sample them."""
+    cuts = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)))  # n numbers at most
+    if not cuts:
+        return rows.repartitionById(n, F.lit(0))
+    ranges = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__id", outputCol="__range", handleInvalid="keep")
+    keyed = ranges.transform(rows.withColumn("__id", F.col("doc_id").cast("double")))
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("__range").cast("int"))
+    return keyed.repartitionById(n, part).select(*rows.columns)
 
 
 def write_token_orc(docs: DataFrame, folder: str, path: str, **options) -> None:
@@ -61,7 +76,8 @@ def write_token_orc(docs: DataFrame, folder: str, path: str, **options) -> None:
     (encode_rows(docs, path, **options).write
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.create.index", "true").option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
-     .option("orc.stripe.size", str(STRIPE_BYTES)).option("compression", "zstd").orc(f"{folder}/ids"))
+     .option("orc.stripe.size", str(STRIPE_BYTES)).option("compression", "lz4")
+     .orc(f"{folder}/ids"))
     (spark.read.schema(SCHEMA).orc(f"{folder}/ids").groupBy("part")
      .agg(F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
      .coalesce(1).write.parquet(f"{folder}/parts"))
