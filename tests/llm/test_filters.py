@@ -101,7 +101,11 @@ def test_label_model_finds_accuracies():
     post, rates, corr = toxicity.label_model(votes.astype(np.int8), np.where(rng.random(6000) < 0.9, truth, ~truth))
     assert ((post > 0.5) == truth).mean() > 0.905  # the best voter has 0.9
     assert corr[1, 4] > 0.9 and abs(corr[0, 2]) < 0.2
-    assert np.allclose(rates[1, 2, :4], accuracy, atol=0.1)
+    assert list(np.argsort(-rates[1, 2, :4])) == [0, 1, 2, 3]
+    # wrong labels pull the rates together (they count half); with right ones the accuracies come out
+    _, rates, corr = toxicity.label_model(votes.astype(np.int8), truth)
+    assert np.allclose(rates[1, 2, :4], accuracy, atol=0.08) and np.allclose(rates[0, 0, :4], accuracy, atol=0.08)
+    assert corr[1, 4] > 0.95 and abs(corr[0, 2]) < 0.1
 
 
 def test_op10_held_out(spark, table):
