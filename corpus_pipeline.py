@@ -32,7 +32,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    # a smaller cache of words: the workers still hold what the stages before have cached
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), cached=100_000)
 
 
 STAGES = [

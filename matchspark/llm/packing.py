@@ -23,6 +23,7 @@ from matchspark.llm.common import batch_slices, narrow, texts_of
 
 WINDOW = 2048
 END_ID = 1
+CACHED = 300_000  # words in each half of a worker's cache
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -33,7 +34,7 @@ def piece_lengths(n: int, window: int = WINDOW) -> list[int]:
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int | None = END_ID, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", cached: int = CACHED) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit),
     sequence_id, offset (0)."""
     if window < 1 or window & (window - 1):
@@ -42,7 +43,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from matchspark.llm.library import library_encoder
-        enc = library_encoder(path)
+        enc = library_encoder(path, cached)
         for whole in batches:
             for batch in batch_slices(whole, 1):
                 ids = [i + tail for i in enc.encode(texts_of(batch.column(1)))]

@@ -48,7 +48,7 @@ from matchspark.llm.components import components
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-BLOCK = 1 << 21     # variants spelled out at a time
+BLOCK = 1 << 20     # variants spelled out at a time
 PER_KEY = 1 << 11   # fingerprint rows wanted per shuffle key on average
 
 
@@ -113,12 +113,14 @@ def collide(fp: np.ndarray, base: np.ndarray, left: np.ndarray, bits: int, radiu
         if len(at):
             masks = flips(bits, k)[0]
             variants.append((base[at, None] ^ masks[None, :]).ravel())
-            owner.append(np.repeat(at, len(masks)))
+            owner.append(np.repeat(at.astype(np.int32), len(masks)))
     if not variants:
         return np.zeros((0, 2), np.uint64)
     v = np.concatenate(variants)
+    del variants
     ordered = np.sort(v)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
     if not len(twice):
         return np.zeros((0, 2), np.uint64)
     place = np.minimum(np.searchsorted(twice, v), len(twice) - 1)

@@ -16,7 +16,7 @@ rows and whole texts in a map over the scan.
 
 Defined cases: null and empty texts get the classifier's score for a text without entries; null ids are not used for
 training and are not held out; labels that contradict each other count as toxic; without labels every score
-is 0; repeated rows get equal scores.
+is 0; repeated rows get equal scores (of rows that share an id the smallest text is trained on).
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ MIN_ROWS = 3            # toxic training rows an entry needs
 CHANCE_ENTRIES = 5      # entries expected to pass by chance
 MIN_ODDS = 3.0          # log-odds an entry needs: words that are merely common in long texts don't count
 STRONG_ODDS = 5.0
+CACHED = 100_000        # words in a worker's cache
 THRESHOLD = 0.7
 EDGES = ".,;:!?\"'()[]{}<>#*$%&|"
 ADDRESS = frozenset(("you", "your", "du", "dich", "ihr", "tu", "toi", "vous", "usted", "eres"))
@@ -114,7 +115,7 @@ class ToxicityModel:
     def row(self, text: str) -> tuple[dict[int, int], list[float]]:
         """Counts of lexicon entries, and the values of PATTERNS."""
         words, known = text.split(), self.words
-        if len(known) > 500_000:
+        if len(known) > CACHED:
             known.clear()
         hits: Counter = Counter()
         strong = capitals = address = 0
@@ -226,8 +227,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: s
         truth = truth.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
     chosen = truth.select(F.col("doc_id").alias("__id"), "toxic").limit(2 * fit_rows)  # bounded: broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = stored(rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["__id"]).select("text", "toxic")
-                    .limit(2 * fit_rows).withColumn("row", F.monotonically_increasing_id()), "toxic-sample")
+    rows = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["__id"])
+    # one row per id, so that the chosen ids bound the sample; it stays spread over the tasks
+    sample = stored(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+                    .select("text", "toxic", F.monotonically_increasing_id().alias("row")), "toxic-sample")
     return sample.join(F.broadcast(_one_of_each(sample)), "row").select("text", "toxic")
 
 
@@ -275,7 +278,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
     return model
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _loaded(packed: bytes) -> ToxicityModel:
     return pickle.loads(packed)
 

@@ -36,6 +36,7 @@ from matchspark.llm.toxicity import logistic
 BUCKETS = 1 << 16
 FIT_ROWS = 6_000       # documents whose features train the scorer, about
 THRESHOLD = 0.5
+CACHED = 100_000       # words in a worker's cache
 
 VOTES = ("symbols", "dup_lines", "repeats", "same_words", "stutter", "word_length", "words", "ends")
 #: first guess of a labeller: the probability of its vote being right
@@ -118,7 +119,7 @@ class QualityModel:
         """Score, and posterior of the votes."""
         m = looked_at(text)
         words, known, weights = text.split(), self.words, self.weights
-        if len(known) > 500_000:
+        if len(known) > CACHED:
             known.clear()
         total = 0.0
         for w, times in Counter(words).items():
@@ -179,8 +180,9 @@ def fit_quality(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id
                 batch.column(1), pa.array([a for a, _ in rows], pa.list_(pa.int32())),
                 pa.array([v for _, v in rows], pa.list_(pa.float32()))], names=["votes", "at", "values"])
 
-    got = collected(texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__id"]).select("text", "votes")
-                    .limit(3 * fit_rows).mapInArrow(run, "votes string, at array<int>, values array<float>"))
+    # one row per id, so that the chosen ids bound the sample; it stays spread over the tasks
+    got = collected(texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__id"]).groupBy("doc_id", "votes")
+                    .agg(F.min("text").alias("text")).select("text", "votes").mapInArrow(run, "votes string, at array<int>, values array<float>"))
     if not len(got):
         model.bias = float(np.log(share / (1 - share)))
         return model
@@ -190,7 +192,7 @@ def fit_quality(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id
     return model
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _loaded(packed: bytes) -> QualityModel:
     return pickle.loads(packed)
 
