@@ -7,7 +7,7 @@ of ``STRIDE``: one aggregate per round gives the bytes of the deepest prefixes,
 ancestors gives for each the shallowest bucket that fits (sizes only shrink with depth), and only
 the rows of buckets that still do not fit go into the next round. Rounds: about log2(total/limit)/STRIDE + 1.
 
-Only (id, key bits, bytes) is shuffled, never a text; directory entries stay a table. The hot bucket of a
+To assign shards only (row number, id, key bits, bytes) is shuffled, never a text; directory entries stay a table. The hot bucket of a
 repeated id is split by the row bits like any other. A single document larger than the limit cannot be
 split: it gets a shard of its own (``shard`` ends in ``!`` and its digest), and does not count
 against the others.
@@ -37,25 +37,29 @@ def hex_bits(digest: Column) -> Column:
     return F.concat(*words)
 
 
-def key_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (md5 of the id), row (number of the row among all), bytes: a narrow stored table, so that row
-    numbers stay what they are when a task runs again."""
+def key_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """doc_id, key (md5 of the id), row (number of the row among all, taken here if not given), bytes: a narrow stored
+    table, so that row numbers stay what they are when a task runs again."""
     return stored(docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")).alias("key"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes")), "shard-keys")
 
 
 def assign_shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, bytes, shard (bits of its bucket), shard_bytes: every bucket holds at most ``limit`` bytes."""
-    keys = key_table(docs, id_col, text_col)
+    return _assigned(key_table(docs, id_col, text_col), limit).drop("row")
+
+
+def _assigned(keys: DataFrame, limit: int) -> DataFrame:
+    """The same with the row number, one row for each of ``keys``."""
     fits = F.col("bytes") <= limit
     alone = keys.where(~fits).select(
-        "doc_id", "bytes", F.concat(F.lit("!"), F.md5(F.concat_ws(":", "key", "row").cast("binary"))).alias("shard"),
+        "row", "doc_id", "bytes", F.concat(F.lit("!"), F.md5(F.concat_ws(":", "key", "row").cast("binary"))).alias("shard"),
         F.col("bytes").alias("shard_bytes"))
     total = keys.where(fits).agg(F.sum("bytes")).first()[0] or 0
-    rest = keys.where(fits).select("doc_id", "bytes", F.concat(
+    rest = keys.where(fits).select("row", "doc_id", "bytes", F.concat(
         hex_bits(F.col("key")), hex_bits(F.md5(F.col("row").cast("string").cast("binary")))).alias("bits"))
     parts = [alone]
     low, high = 0, max(0, math.ceil(math.log2(max(1, total / limit)))) + FIRST_SPARE
@@ -71,7 +75,7 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", t
         directory = stored(directory.select("cell", "leaf.depth", "leaf.shard_bytes"), "shard-directory")
         keyed = rest.withColumn("cell", F.substring("bits", 1, high))
         parts.append(keyed.join(directory, "cell").select(
-            "doc_id", "bytes", F.expr("substring(cell, 1, depth)").alias("shard"), "shard_bytes"))
+            "row", "doc_id", "bytes", F.expr("substring(cell, 1, depth)").alias("shard"), "shard_bytes"))
         left = cells.join(directory, "cell", "left_anti")
         if high >= 256 or left.isEmpty():
             break
@@ -84,7 +88,10 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", t
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents as one folder per shard; ids are taken to be unique here."""
-    shards = assign_shards(docs, limit, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"))
-    rows = docs.join(shards, docs[id_col].cast("long").eqNullSafe(shards["__id"])).drop("__id")
-    rows.repartition("__shard").write.partitionBy("__shard").parquet(folder)
+    """Write every row once, as one folder per shard named ``s_`` and the shard, so that no name reads as a number or null.
+
+    The documents are stored once with their row numbers, and a row finds its shard by that number: ids may repeat or be null."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "shard-documents")
+    shards = _assigned(key_table(rows, f"doc.{id_col}", f"doc.{text_col}", F.col("row")), limit)
+    named = rows.join(shards.select("row", F.concat(F.lit("s_"), "shard").alias("__shard")), "row").select("doc.*", "__shard")
+    named.repartition("__shard").write.partitionBy("__shard").parquet(folder)

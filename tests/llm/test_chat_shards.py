@@ -11,6 +11,7 @@ from tests.llm.conftest import EDGE, SF
 from tests.oracle_compare import compare, duck
 
 from matchspark.llm import chat, sharding
+from matchspark.llm.common import shared_folder
 from matchspark.llm.queries import QUERIES
 from matchspark.llm.sql import ORACLE
 
@@ -107,6 +108,43 @@ def test_op5_edges(spark, edge, nothing):
     assert sharding.assign_shards(nothing).count() == 0
 
 
+def _read_back(spark, docs, limit):
+    folder = shared_folder(spark, "test-shards")
+    sharding.write_shards(docs, folder, limit)
+    return spark.read.parquet(folder)
+
+
+def test_op5_written_copies_of_one_id(spark):
+    """Every row is written once, whatever ids repeat or are missing, and no shard exceeds the limit."""
+    df = spark.range(300).selectExpr("if(id % 3 = 0, 5L, if(id % 3 = 1, id, null)) as doc_id", "repeat('x', 100) as text", "id as n")
+    got = _read_back(spark, df, 2000).collect()
+    assert sorted(r["n"] for r in got) == list(range(300))
+    assert {(r["n"], r["doc_id"]) for r in got} == {(r["n"], r["doc_id"]) for r in df.collect()}
+    sizes = {}
+    for r in got:
+        sizes[r["__shard"]] = sizes.get(r["__shard"], 0) + 100
+    assert max(sizes.values()) <= 2000 and len(sizes) >= 15
+
+
+def test_op5_written_names(spark):
+    """A single bucket and names of digits only are read back as the strings that were written."""
+    df = spark.range(40).selectExpr("id as doc_id", "repeat('x', 100) as text")
+    assert {r["__shard"] for r in _read_back(spark, df, 1 << 20).collect()} == {"s_"}
+    want = {(r["doc_id"], "s_" + r["shard"]) for r in sharding.assign_shards(df, 1000).collect()}
+    assert {(r["doc_id"], r["__shard"]) for r in _read_back(spark, df, 1000).collect()} == want
+
+
+def test_op5_written_edges(spark, edge, nothing):
+    back = _read_back(spark, edge, 5000)
+    assert back.columns == [*edge.columns, "__shard"]
+    got = back.collect()
+    assert sorted(map(str, (tuple(r)[:-1] for r in got))) == sorted(map(str, map(tuple, edge.collect())))
+    assert {r["doc_id"] for r in got if r["__shard"].startswith("s_!")} == {6, 7, 10}
+    folder = shared_folder(spark, "test-shards")
+    sharding.write_shards(nothing, folder)
+    assert spark.read.schema(nothing.schema).parquet(folder).count() == 0
+
+
 def test_op5_is_native(spark):
     plan = sharding.assign_shards(spark.read.parquet(f"{SF}/documents.parquet"), 1 << 15)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
