@@ -219,22 +219,21 @@ class Encoder:
 
     def feed(self, chunk: str) -> bytes:
         """Ids that no later text can change."""
-        buf, out = self.tail + chunk, []
+        buf, out, done = self.tail + chunk, [], 0
         self.tail = ""
-        for special in self.merges.added:
-            if special in buf:
-                return self._with_added(buf)
+        first = {s: i for s in self.merges.added if (i := buf.find(s)) >= 0}
+        while first:
+            at, special = min((i, s) for s, i in first.items())
+            out += [self._text(buf[done:at]), self._end(), _packed([self.merges.added[special]])]
+            done = at + len(special)
+            first = {s: j for s, i in first.items() if (j := i if i >= done else buf.find(s, done)) >= 0}
+        buf = buf[done:]
         hold = max((k for s in self.merges.added for k in range(1, len(s)) if buf.endswith(s[:k])), default=0)
         held = buf[len(buf) - hold:] if hold else ""
         out.append(self._text(buf[:len(buf) - hold] if hold else buf))
         self.tail += held
         return b"".join(out)
 
-    def _with_added(self, buf: str) -> bytes:
-        at, special = min((buf.find(s), s) for s in self.merges.added if s in buf)
-        done = self._text(buf[:at]) + self._end()
-        return done + _packed([self.merges.added[special]]) + self.feed(buf[at + len(special):])
-
     def _text(self, buf: str) -> bytes:
         """Settled ids of ``buf``; what may still change goes to ``tail``, ``run`` or ``pending``."""
         out = []

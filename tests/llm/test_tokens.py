@@ -66,6 +66,14 @@ def test_small_chunks_and_windows(merges, monkeypatch):
         assert ids_of(enc.encode(text)) == _library(BYTE, text)
 
 
+def test_many_control_strings_in_one_chunk(merges):
+    """Their number within a chunk is not bounded."""
+    end = "<|endoftext|>"
+    enc = bpe.Encoder(merges)
+    for text in (end * 5000, f"a b{end}" * 4000, f"x \n {end} '{end}<|end" * 2000, f" {end}" * 5000 + "a" * 9000 + end):
+        assert ids_of(enc.encode(text)) == _library(BYTE, text)
+
+
 def test_lookahead_of_small_lists():
     """Brute force: past the lookahead no continuation moves a boundary."""
     letters = {b: b for b in range(256)}
