@@ -1,22 +1,23 @@
 """Operator 10: toxicity by weak supervision.
 
-1. **Voters.** From labelled training rows, words and word beginnings that stand in toxic documents far more often than
+1. **Voters.** From all labelled training rows (near copies counted once), words and word beginnings that stand in toxic documents far more often than
    elsewhere (log-likelihood ratio) are mined in one aggregate; by kind and rank they are dealt to
    ``LEXICON_VOTERS`` lexicon voters. A lexicon voter votes toxic if the text has an entry of it, else abstains. Pattern
    voters look at the density and number of different entries, exclamation marks, capitals and address, and may vote either way.
 2. **Label model.** A generative model of the votes given a hidden label: class-wise vote rates (the
-   accuracies) and correlations of each pair of voters within a class, by expectation-maximisation over the
-   training sample, anchored by its labels. Correlated voters share their weight: a voter's log-odds are divided by one plus the
+   accuracies) and correlations of each pair of voters within a class, by expectation-maximisation over a
+   sample, anchored by its labels; the share of toxic rows is that of all training rows. Correlated voters share their weight: a voter's log-odds are divided by one plus the
    sum of its positive correlations.
-3. **Classifier.** A logistic regression over entry counts and pattern values, trained on the posterior labels. Its score is the result.
+3. **Classifier.** A logistic regression over entry counts and pattern values, trained on the posterior labels,
+   the rows of a class weighed so that it counts as it does among all training rows. Its score is the result.
 
 Labels are learned only from rows whose crc32(id as text) mod 3 is not 1. language, source, id and labels are
-never inputs of a score. The sample is bounded by ``FIT_ROWS`` labelled rows, chosen by a hash of the id; scoring covers all
-rows and whole texts in a map over the scan.
+never inputs of a score. The sample of steps 2 and 3 holds about ``FIT_ROWS`` labelled rows at most, chosen by a hash of the id within
+each class: all toxic rows up to half of it. Scoring covers all rows and whole texts in a map over the scan.
 
 Defined cases: null and empty texts get the classifier's score for a text without entries; null ids are not used for
-training and are not held out; labels that contradict each other count as toxic; without labels every score
-is 0; repeated rows get equal scores (of rows that share an id the smallest text is trained on).
+training and are not held out; labels that contradict each other count as toxic; without labels of both classes every score
+is 0, without a lexicon entry the patterns alone decide; repeated rows get equal scores (of rows that share an id the smallest text is trained on).
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.llm import simhash
-from matchspark.llm.common import bytes_of, collected, stored, texts_of
+from matchspark.llm.common import BROADCAST_IDS, batch_slices, collected, stored, texts_of
 
 FIT_ROWS = 20_000       # labelled rows of the training sample, about
+COUNTED = 200_000       # entries a task counts before it hands them on
 LEXICON = 4_000         # entries at most
 LEXICON_VOTERS = 32
 PREFIXES = (3, 4, 5)    # word beginnings looked at
@@ -60,21 +62,27 @@ def entries_of(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in PREFIXES if len(word) > k)] if word else []
 
 
-def mine_lexicon(sample: DataFrame, most: int = LEXICON) -> list[tuple[str, float]]:
-    """(entry, log-odds of toxic), strongest first. ``sample``: text, toxic. Rows are counted per task before the shuffle."""
+def mine_lexicon(labelled: DataFrame, n1: int, n0: int, most: int = LEXICON) -> list[tuple[str, float]]:
+    """(entry, log-odds of toxic), strongest first. ``labelled``: text, toxic; n1 rows are toxic, n0 not. Rows are counted
+    per task before the shuffle, a bounded number of entries at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                count[toxic].update({e for w in set(text.lower().split()) for e in entries_of(w)})
-        names = list(count[0] | count[1])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(
-            pa.array([count[k][e] for e in names], pa.int64()) for k in (1, 0))], names=["entry", "toxic", "clean"])
-
-    n1, n0 = (sample.where(f"toxic = {k}").count() for k in (1, 0))
-    if not n1 or not n0:
-        return []
-    rows = (sample.select("text", "toxic").mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry")
+
+        def counted() -> pa.RecordBatch:
+            names = list(count[0] | count[1])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(
+                pa.array([count[k][e] for e in names], pa.int64()) for k in (1, 0))], names=["entry", "toxic", "clean"])
+
+        for whole in batches:
+            for batch in batch_slices(whole, 0):
+                for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
+                    count[toxic].update({e for w in set(text.lower().split()) for e in entries_of(w)})
+                    if len(count[0]) + len(count[1]) >= COUNTED:
+                        yield counted()
+                        count = {0: Counter(), 1: Counter()}
+        yield counted()
+
+    rows = (labelled.select("text", "toxic").mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry")
             .agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(f"t >= {MIN_ROWS} and t * {n0} > 2 * c * {n1}"))
     share = (F.col("t") + F.col("c")) / (n1 + n0)
 
@@ -164,14 +172,15 @@ def votes_of(model: ToxicityModel, rows: list[tuple[dict[int, int], list[float]]
     return votes
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, share_toxic: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of each row given its votes, vote rates (class, vote + 1, voter) and within-class correlations, by EM.
 
-    The E-step sees votes only. The M-step weighs rows by the mean of label and posterior: the labels keep the classes
+    ``share_toxic`` is the share of toxic rows where the sample was drawn, if not that of ``labels``. The E-step sees votes only. The M-step weighs rows by the mean of label and posterior: the labels keep the classes
     from drifting into what correlated voters agree on, the posteriors overrule single wrong labels."""
     labels = labels.astype(float)
-    prior = float(np.clip(labels.mean(), 1e-4, 1 - 1e-4))
+    prior = float(np.clip(labels.mean() if share_toxic is None else share_toxic, 1e-4, 1 - 1e-4))
     onehot = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)
+    varied = (votes != votes[:1]).any(axis=0)  # a voter without entries says the same of every row, that is nothing
     post, rates, corr = labels, None, None
     for _ in range(rounds):
         own = (labels + post) / 2
@@ -188,7 +197,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tupl
             both = np.outer(sd, sd)
             corr += np.where(both > 1e-4, cov / np.maximum(both, 1e-4), 0) / 2
         np.fill_diagonal(corr, 0)
-        share = 1 / (1 + np.maximum(corr, 0).sum(0))
+        share = varied / (1 + np.maximum(corr, 0).sum(0))
         z = np.log(prior / (1 - prior)) + np.einsum("vrj,vj,j->r", onehot, np.log(rates[1] / rates[0]), share)
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         done = np.abs(new - post).max() < 1e-4
@@ -199,17 +208,18 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tupl
 
 
 def logistic(at: list[list[int]], values: list[list[float]], target: np.ndarray, size: int, l2: float = 1e-4,
-             steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias for soft targets: full-batch gradient steps with momentum and scaling (Adam)."""
+             steps: int = 400, rate: float = 0.1, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias for soft targets of rows of some weight: full-batch gradient steps with momentum and scaling (Adam)."""
     row = np.repeat(np.arange(len(at)), [len(a) for a in at])
     col = np.fromiter((i for a in at for i in a), np.int64, len(row))
     val = np.fromiter((v for a in values for v in a), float, len(row))
-    mean = float(np.clip(target.mean(), 1e-4, 1 - 1e-4))
+    weight = np.ones(len(at)) if weight is None else weight * len(at) / weight.sum()
+    mean = float(np.clip(np.average(target, weights=weight), 1e-4, 1 - 1e-4))
     w, b = np.zeros(size), float(np.log(mean / (1 - mean)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
         z = np.bincount(row, val * w[col], len(at)) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / len(at)
+        err = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / len(at)
         g = np.append(np.bincount(col, val * err[row], size) + l2 * w, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-10)
@@ -217,45 +227,42 @@ def logistic(at: list[list[int]], values: list[list[float]], target: np.ndarray,
     return w, b
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """text, toxic of about ``fit_rows`` labelled rows that are not held out (at most twice as many)."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, toxic of all labelled rows that are not held out: one row per id, and one of each group of near copies
+    (by SimHash), so that the words of a text with many copies don't pass for a lexicon; of a group with both labels
+    one row of each."""
     truth = (labels.where("doc_id is not null and toxic is not null").where(~held_out())
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    truth = stored(truth.where("toxic in (0, 1)"), "toxic-truth")
-    n = truth.count()
-    if n > fit_rows:
-        truth = truth.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
-    chosen = truth.select(F.col("doc_id").alias("__id"), "toxic").limit(2 * fit_rows)  # bounded: broadcast
+    truth = stored(truth.where("toxic in (0, 1)").select(F.col("doc_id").alias("__id"), "toxic"), "toxic-truth")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["__id"])
-    # one row per id, so that the chosen ids bound the sample; it stays spread over the tasks
-    sample = stored(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-                    .select("text", "toxic", F.monotonically_increasing_id().alias("row")), "toxic-sample")
-    return sample.join(F.broadcast(_one_of_each(sample)), "row").select("text", "toxic")
+    rows = rows.join(_side(truth), rows["doc_id"] == truth["__id"])
+    rows = stored(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+                  .select("doc_id", "text", "toxic", F.monotonically_increasing_id().alias("row")), "toxic-labelled")
+    near = simhash.near_duplicates(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    first = near.join(rows.select("row", "toxic"), "row").groupBy("component_id", "toxic").agg(F.min("row").alias("row"))
+    return rows.join(_side(stored(first.select("row"), "toxic-first")), "row").select("doc_id", "text", "toxic")
 
 
-def _one_of_each(sample: DataFrame) -> DataFrame:
-    """row: one row of each group of near copies in the bounded sample (by SimHash), so that the words of a text with
-    many copies don't pass for a lexicon; of a group with both labels one row of each."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([simhash.fingerprint(t) for t in bytes_of(batch.column(0))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(fps.view(np.int64))],
-                                             names=["toxic", "row", "fp"])
+def _side(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
 
-    got = collected(sample.select("text", "toxic", "row").mapInArrow(run, "toxic int, row long, fp long"))
-    own = got["fp"].to_numpy().view(np.uint64)
-    group = simhash.groups(own)
-    first = got.assign(g=group).sort_values("row").drop_duplicates(["g", "toxic"])
-    return sample.sparkSession.createDataFrame([(int(r),) for r in first["row"]], "row long")
+def training_sample(labelled: DataFrame, n1: int, n0: int, fit_rows: int) -> DataFrame:
+    """text, toxic of about ``fit_rows`` of the n1 toxic and n0 other rows: all toxic ones up to half of ``fit_rows``, and
+    more if the others leave room."""
+    toxic = min(n1, max(fit_rows // 2, fit_rows - n0))
+    clean = min(n0, fit_rows - toxic)
+    share = F.when(F.col("toxic") == 1, toxic / n1).otherwise(clean / n0)
+    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "toxic")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id",
                  text_col: str = "text") -> ToxicityModel:
-    sample = training_sample(docs, labels, fit_rows, id_col, text_col)
-    lexicon = mine_lexicon(sample)
-    if not lexicon:
+    labelled = labelled_rows(docs, labels, id_col, text_col)
+    n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    if len(n) < 2:
         return ToxicityModel()
+    lexicon = mine_lexicon(labelled, n[1], n[0])
     model = ToxicityModel({e: i for i, (e, _) in enumerate(lexicon)}, np.array([o for _, o in lexicon]))
     packed = pickle.dumps(model)
 
@@ -268,13 +275,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
                 pa.array([list(h.values()) for h, _ in rows], pa.list_(pa.int32())),
                 pa.array([p for _, p in rows], pa.list_(pa.float64()))], names=["toxic", "entries", "counts", "patterns"])
 
-    got = collected(sample.select("text", "toxic").mapInArrow(  # bounded by fit_rows
+    got = collected(training_sample(labelled, n[1], n[0], fit_rows).mapInArrow(  # bounded by fit_rows
         run, "toxic int, entries array<int>, counts array<int>, patterns array<double>"))
     rows = [(dict(zip(e.tolist(), c.tolist())), p.tolist()) for e, c, p in zip(got["entries"], got["counts"], got["patterns"])]
     start = got["toxic"].to_numpy(float)
-    post, model.accuracies, model.correlations = label_model(votes_of(model, rows), start)
+    post, model.accuracies, model.correlations = label_model(votes_of(model, rows), start, share_toxic=n[1] / (n[0] + n[1]))
+    weight = np.where(start == 1, n[1] / max(1, start.sum()), n[0] / max(1, (1 - start).sum()))  # rows that one stands for
     pairs = [model.features(h, p) for h, p in rows]
-    model.weights, model.bias = logistic([a for a, _ in pairs], [v for _, v in pairs], post, len(lexicon) + len(PATTERNS))
+    model.weights, model.bias = logistic([a for a, _ in pairs], [v for _, v in pairs], post, len(lexicon) + len(PATTERNS),
+                                          weight=weight)
     return model
 
 

@@ -147,6 +147,38 @@ def test_op10_planted(spark):
     assert wrong <= 10
 
 
+def _plain(rng, words=80):
+    return ["".join(rng.choice(["on", "er", "th", "in"]) for _ in range(3)) for _ in range(words)]
+
+
+def test_op10_rare_toxic_rows_all_count(spark):
+    """1 % toxic and a sample of a tenth: the lexicon is counted on all labelled rows, and all toxic ones are in the sample."""
+    rng = random.Random(6)
+
+    def text(toxic):
+        w = _plain(rng)
+        for _ in range(4 * toxic):
+            w[rng.randrange(80)] = rng.choice(["idiot", "scum", "moron", "vermin"])
+        return " ".join(w)
+
+    docs = spark.createDataFrame([(i, text(i % 100 == 0)) for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 100 == 0)) for i in range(4000)], LABELS)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, labels, fit_rows=400).collect()}
+    assert sum(got[i] for i in range(0, 4000, 100)) >= 36
+    assert sum(got[i] for i in range(4000) if i % 100) <= 10
+
+
+def test_op10_patterns_without_lexicon(spark):
+    """Toxic rows with the words of all others: no entry is found, shouting still counts."""
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, " ".join(w + "!" * (i % 4 == 0) for w in _plain(rng))) for i in range(400)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], LABELS)
+    assert not toxicity.fit_toxicity(docs, labels).entries
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert all(got[i] == (i % 4 == 0) for i in range(400))
+
+
 def test_op10_edges(spark, edge, nothing):
     for labels in ([], [(1, None, None), (None, 1, 1), (4, 1, 1), (4, 1, 0), (6, 1, 0)]):
         df = spark.createDataFrame(labels, LABELS)
