@@ -1,7 +1,8 @@
 """Ingest: raw company / job / CV rows -> normalised entity tables.
 
 Every rule is a column expression; child tables come from ``posexplode`` of the item arrays. Item counts and
-widths are cut only if the caller passes ``caps`` (``SOURCE_CAPS`` are those of the source system). Dimension lookups
+widths are cut only if the caller passes ``caps`` (``SOURCE_CAPS`` are those of the source system); but a CV's title and
+current position are cut to 255 characters unless ``caps`` says otherwise (``"cv_title": NO_CAP``). Dimension lookups
 (get-or-create) are set operations: dedupe the incoming keys (first row wins, by the row
 ordinal taken at the scan), ``left_anti`` against the existing table, union, then an equi-join
 gives the fact rows their key. A row that breaks a rule goes to a quarantine table with a
@@ -115,10 +116,10 @@ def companies_from_rows(rows: DataFrame, existing: DataFrame | None = None, stri
     return get_or_create(existing.select(*COMPANY_COLS), inc, "name", _make_companies, ["industry"])
 
 
-# Item count and text width of each child list in the source system.
+# Item count and text width of each child list in the source system, and the width of a CV's title (one value).
 SOURCE_CAPS: dict[str, tuple[int, int]] = {
     "job_requirements": (10, 500), "job_benefits": (10, 500), "job_skills": (20, 100),
-    "cv_skills": (20, 100), "work_experiences": (10, 255),
+    "cv_skills": (20, 100), "work_experiences": (10, 255), "cv_title": (1, 255),
 }
 NO_CAP = (None, None)
 
@@ -222,9 +223,12 @@ def cvs_from_rows(rows: DataFrame, limit: int | None = None, random_sample: bool
     summary = labelled_summary([(M.SUMMARY_LABELS[0], F.col("industry")),
                                 (M.SUMMARY_LABELS[1], F.col("workplace_desired")),
                                 (M.SUMMARY_LABELS[2], F.col("desired_salary"))])
-    cvs = r.select("cv_id", user_id.alias("user_id"), truncate(cv_title, 255).alias("title"),
+    width = caps.get("cv_title", SOURCE_CAPS["cv_title"])[1]
+    if width is not None:
+        cv_title = truncate(cv_title, width)
+    cvs = r.select("cv_id", user_id.alias("user_id"), cv_title.alias("title"),
                    F.lit(True).alias("is_main"), F.col("user_name").alias("full_name"),
-                   truncate(cv_title, 255).alias("current_position"), summary.alias("summary"),
+                   cv_title.alias("current_position"), summary.alias("summary"),
                    F.lit(True).alias("is_open_for_job"))
     skills = children(r, "cv_id", split_items(F.col("Skills")), *caps.get("cv_skills", NO_CAP), "skill_name") \
         .withColumn("level", F.lit("INTERMEDIATE"))

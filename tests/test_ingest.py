@@ -4,7 +4,7 @@ import csv
 
 from pyspark.sql import functions as F
 
-from matchspark.operators.ingest import companies_from_rows, cvs_from_rows, jobs_from_rows, sample_exact
+from matchspark.operators.ingest import NO_CAP, companies_from_rows, cvs_from_rows, jobs_from_rows, sample_exact
 from matchspark.sources.csv_files import read_companies, read_cvs, read_jobs
 from matchspark.sources.tables import jdbc_options_from_url
 
@@ -74,6 +74,16 @@ def test_cvs(spark, tmp_path):
     assert exps == ["1-3 năm", "B long", "C item"]                # work_experience first
 
 
+def test_cv_title_uncut(spark, tmp_path):
+    p = tmp_path / "cvs.csv"
+    _write(p, ["user_name", "userid", "gender", "desired_job_translated", "industry", "workplace_desired",
+               "desired_salary", "work_experience", "Skills", "Experience"],
+           [["Binh", "17", "Nam", "x" * 300, "", "", "", "", "", ""]])
+    for caps, n in (({"cv_title": NO_CAP}, 300), ({"cv_title": (1, 20)}, 20)):
+        cv = cvs_from_rows(read_cvs(spark, str(p)), caps=caps)["cvs"].first()
+        assert cv["title"] == cv["current_position"] == "x" * n
+
+
 def test_sample_exact_n(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     a = sample_exact(df, 37, 7, "k")
