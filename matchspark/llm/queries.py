@@ -1,4 +1,4 @@
-"""The eleven registered queries of this subpackage. Each is thin: it calls its operator with production
+"""The registered queries of this subpackage. Each is thin: it calls its operator with production
 parameters on whole tables and derives the digest columns."""
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm import (bpe, chat, exact_dedup, packing, quality_rules, sharding, simhash, token_orc, toxicity,
-                            weak_quality)
+from matchspark.llm import (bpe, chat, exact_dedup, filter_audit, line_dedup, packing, quality_rules, sharding, simhash, structure,
+                            token_orc, toxicity, weak_quality)
 from matchspark.llm.common import int32_lists, read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return structure.conversation_reports(structure.repair(structure.damaged(turns), turns.select("conv_id")))
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
