@@ -280,11 +280,10 @@ def write_tables(tables: dict[str, DataFrame], base: str) -> None:
     stay. Each table gets a new version in one step (see ``publish``); the quarantine is appended."""
     import os
 
-    from matchspark.operators.publish import publish_edges, read_current, write_snapshot
+    from matchspark.operators.publish import append_rows, publish_edges
     for name, df in tables.items():
         path = os.path.join(base, name)
         if name in TABLE_KEYS:
             publish_edges(df.sparkSession, path, df, TABLE_KEYS[name])
         else:
-            old = read_current(df.sparkSession, path)
-            write_snapshot(df if old is None else old.unionByName(df), path)
+            append_rows(df, path)

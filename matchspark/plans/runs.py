@@ -21,7 +21,7 @@ from matchspark.functions.vector import present
 from matchspark.operators import ivf as ivf_ops
 from matchspark.operators.cascade import cascade, round1
 from matchspark.operators.embed import incremental_embed
-from matchspark.operators.publish import keyed_replace, publish_edges, read_current, write_snapshot
+from matchspark.operators.publish import publish_edges, read_current
 from matchspark.operators.topk import exact_top_k
 from matchspark.session import ensure_checkpoint_dir, materialize
 
@@ -148,7 +148,7 @@ def embed_stage(spark: SparkSession, entities: DataFrame, key: str, fields: dict
     new = incremental_embed(entities, stored, key=key, fields=fields, title_field="title", dim=dim,
                             encoder_factory=encoder_factory, batch_size=batch_size)
     # rows of this run first, so that its flags can be told from those of entities it did not see
-    write_snapshot(keyed_replace(stored, new, key, processed_keys=entities.select(key)), base, sort_by=key)
+    publish_edges(spark, base, new.select(*stored.columns), key, processed_keys=entities.select(key))
     own = read_current(spark, base).join(entities.select(key), key, "left_semi")
     counters = own.agg(F.count(F.lit(1)).alias("processed"), F.count_if("embedded").alias("embedded"),
                        F.count_if("failed").alias("failed"))

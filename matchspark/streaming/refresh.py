@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from matchspark.config import MatchConfig
 from matchspark.operators.entities import active_jobs
-from matchspark.operators.publish import dedupe_last, keyed_replace, read_current, write_snapshot
+from matchspark.operators.publish import dedupe_last, publish_edges, read_current
 from matchspark.plans import runs
 
 
@@ -27,9 +27,7 @@ def merge_jobs(spark: SparkSession, warehouse: str, changes: DataFrame) -> DataF
     base = os.path.join(warehouse, "jobs")
     cols = [c for c in changes.columns if c != "_seq"]
     latest = dedupe_last(changes, ["job_id"], "_seq", [c for c in cols if c != "job_id"])
-    old = read_current(spark, base)
-    new = latest.select(*cols) if old is None else keyed_replace(old, latest.select(*old.columns), "job_id")
-    write_snapshot(new, base)
+    publish_edges(spark, base, latest.select(*cols), "job_id")
     return read_current(spark, base)
 
 

@@ -137,7 +137,7 @@ def test_publish_after_an_aborted_write(spark, tmp_path, monkeypatch):
         raise RuntimeError("stopped after the data, before the version")
 
     with monkeypatch.context() as m:
-        m.setattr(publish, "commit_snapshot", fail)
+        m.setattr(publish, "commit_version", fail)
         with pytest.raises(RuntimeError):
             publish_edges(spark, base, e1.where("k = 1"), "k")
     assert read_current(spark, base).count() == 2          # readers still see the last complete version
@@ -189,3 +189,72 @@ def test_failing_text_keeps_its_old_hash(spark):
     assert [i for i, r in out.items() if r["failed"]] == [3]
     assert out[3]["content_hash"] == "old" and out[3]["title_vec"] == [] and out[3]["skills_vec"] == [1.0] * 4
     assert all(out[i]["title_vec"] == [1.0] * 4 and out[i]["content_hash"] == f"h{i}" for i in range(8) if i != 3)
+
+
+def _rows(spark, keys, value):
+    return spark.createDataFrame([(k, k * 10 + value, float(value)) for k in keys], "k long, d long, s double")
+
+
+def test_one_changed_key_rewrites_one_bucket(spark, tmp_path):
+    from matchspark.operators import publish
+    base = str(tmp_path / "edges")
+    assert publish_edges(spark, base, _rows(spark, range(3000), 0), "k", buckets=1000)[1] == 1000
+    before = publish.current_version(spark, base)[1]["of"]
+    assert publish_edges(spark, base, _rows(spark, [77], 5), "k") == (2, 1)
+    after = publish.current_version(spark, base)[1]["of"]
+    assert sum(before.get(b) != after.get(b) for b in {*before, *after}) == 1
+    assert [tuple(r) for r in publish.read_key(spark, base, 77).collect()] == [(77, 775, 5.0)]
+    assert read_current(spark, base).count() == 3000
+
+
+@pytest.mark.parametrize("one, two", [([1, 2], [2, 3]), ([1], [40]), ([5], [])])
+def test_two_overlapping_writers_both_survive(spark, tmp_path, one, two):
+    from matchspark.operators import publish
+    base = str(tmp_path / "edges")
+    publish_edges(spark, base, _rows(spark, range(50), 0), "k")
+    a = publish.prepare_replace(spark, base, _rows(spark, one, 1), "k")
+    b = publish.prepare_replace(spark, base, _rows(spark, two, 2), "k", processed_keys=spark.createDataFrame([(x,) for x in [*two, 9]], "k long"))
+    assert publish.commit_replace(spark, a)[0] == 2 and publish.commit_replace(spark, b)[0] == 3
+    want = {k: k * 10 for k in range(50)} | {k: k * 10 + 1 for k in one} | {k: k * 10 + 2 for k in two}
+    want.pop(9)
+    assert {r["k"]: r["d"] for r in read_current(spark, base).collect()} == want
+
+
+def test_two_first_writers_both_survive(spark, tmp_path):
+    from matchspark.operators import publish
+    base = str(tmp_path / "edges")
+    a, b = (publish.prepare_replace(spark, base, _rows(spark, k, 1), "k") for k in ([1], [2, 3]))
+    publish.commit_replace(spark, a), publish.commit_replace(spark, b)
+    assert sorted(r["k"] for r in read_current(spark, base).collect()) == [1, 2, 3]
+
+
+def test_version_is_made_by_one_writer_only(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from matchspark.operators import publish
+    base = str(tmp_path / "t")
+
+    def write(i):
+        try:
+            return publish.commit_version(spark, base, {"ids": [str(i)]}, 0)
+        except publish.VersionConflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sorted(pool.map(write, range(24)), key=str).count(1) == 1
+
+
+def test_appends_and_vacuum(spark, tmp_path):
+    from matchspark.operators import publish
+    base = str(tmp_path / "q")
+    for i in range(3):
+        publish.append_rows(_rows(spark, [i], 0), base)
+    assert read_current(spark, base).count() == 3
+    edges = str(tmp_path / "edges")
+    for i in range(4):
+        publish_edges(spark, edges, _rows(spark, range(40), i), "k")
+    assert publish.vacuum(spark, edges) == []                                       # too young
+    gone = publish.vacuum(spark, edges, keep_versions=1, older_than_s=-5)
+    assert len(gone) == 3 and {r["s"] for r in read_current(spark, edges).collect()} == {3.0}
+    publish_edges(spark, edges, _rows(spark, [1], 9), "k")
+    assert read_current(spark, edges).count() == 40
