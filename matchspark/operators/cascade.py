@@ -7,9 +7,8 @@ per CV, each CV holding at most K1 rows, so no window partition grows with the d
 skills vectors are fetched for the K2 survivors only.
 
 Norms are computed once per entity; the vectors are joined in their stored (float) form and scores are
-computed in double. A job that a large share of all candidate lists names is a hot join key: edges carry a salt of
-``JOB_SALTS`` values, and each job's vector is there once per salt, so its edges are spread over
-that many tasks.
+computed in double. A job that more than ``EDGES_PER_TASK`` candidate lists name is a hot join key: only its edges carry a salt and
+only its vector is there once per salt, so they are spread over as many tasks as their number asks for.
 
 Field score with missing data: CV side absent -> 0.3 (tested first), else job side absent
 -> 0.5, else cosine. Ties keep the previous round's order (rank columns ``r1``/``r2``); the
@@ -27,12 +26,13 @@ from matchspark.operators.topk import exact_top_k, rank_top_k
 
 
 def round1(cvs: DataFrame, jobs: DataFrame, k1: int, *, strategy: str = "exact",
-           index: ivf_ops.IvfIndex | None = None, **kw) -> DataFrame:
-    """(cv_id, job_id, title_sim, r1)."""
+           index: ivf_ops.IvfIndex | None = None, bounded: bool = True, **kw) -> DataFrame:
+    """(cv_id, job_id, title_sim, r1). An index is searched by its bounds (exact) unless ``bounded`` is false."""
     if strategy == "ivf":
         if index is None:
             index = ivf_ops.build_index(jobs, "job_id", "title_vec", **kw)
-        r = ivf_ops.search(index, cvs, k1, query_id="cv_id", query_vec="title_vec", out_item="job_id")
+        find = (lambda *a, **b: ivf_ops.search_bounded(*a, **b).result) if bounded else ivf_ops.search
+        r = find(index, cvs, k1, query_id="cv_id", query_vec="title_vec", out_item="job_id")
     else:
         r = exact_top_k(cvs, jobs, k1, query_id="cv_id", query_vec="title_vec", item_id="job_id",
                         item_vec="title_vec", **kw)
@@ -60,17 +60,24 @@ def cascade(cvs: DataFrame, jobs: DataFrame, *, k1: int = 1000, k2: int = 100, k
     return c3.select("cv_id", "job_id", F.col("skill_sim").alias("similarity"), "rank")
 
 
-#: tasks that the edges of one job are spread over
-JOB_SALTS = 8
+#: edges of one job that one task may hold; a job with more is there several times, once per so many edges
+EDGES_PER_TASK = 100_000
 
 
 def _scored(edges: DataFrame, cvs: DataFrame, jobs: DataFrame, cv_field: str, job_field: str, score: str) -> DataFrame:
     """``edges`` with the score of one field pair; edges to unknown jobs are dropped (inner join)."""
     cv_f = cvs.select("cv_id", F.col(cv_field).alias("_cv"), norm(cv_field).alias("_cv_norm"))
-    job_f = jobs.select("job_id", F.col(job_field).alias("_job"), norm(job_field).alias("_job_norm"),
-                        F.explode(F.sequence(F.lit(0), F.lit(JOB_SALTS - 1))).alias("_salt"))
-    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("cv_id"), F.lit(JOB_SALTS)).cast("int"))
-    return (salted.join(job_f, ["job_id", "_salt"]).join(cv_f, "cv_id")
+    job_f = jobs.select("job_id", F.col(job_field).alias("_job"), norm(job_field).alias("_job_norm"))
+    lists = cv_f.count()        # no job has more edges than there are lists: below the bound none is hot, and nothing is counted
+    if lists > EDGES_PER_TASK:
+        hot = (edges.groupBy("job_id").count().where(F.col("count") > EDGES_PER_TASK)
+               .select("job_id", F.ceil(F.col("count") / EDGES_PER_TASK).cast("int").alias("_salts")))
+        edges_s = edges.join(hot, "job_id", "left").withColumn("_salt", F.pmod(F.xxhash64("cv_id"), F.coalesce("_salts", F.lit(1))).cast("int"))
+        job_f = job_f.join(hot, "job_id", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        met = edges_s.drop("_salts").join(job_f, ["job_id", "_salt"])
+    else:
+        met = edges.join(job_f, "job_id")
+    return (met.join(cv_f, "cv_id")
             .withColumn(score, defaulted_normed_similarity("_cv", "_cv_norm", "_job", "_job_norm"))
             .select(*edges.columns, score))
 

@@ -12,7 +12,19 @@ the final top-k per query is a ``row_number()`` window (partial + final
 ``WindowGroupLimit``). A query can get fewer than k rows when its probed cells hold fewer
 vectors. With ``nprobe = nlist`` the answer equals exact search.
 
-Recall: the number of cells to probe is measured, not guessed (``calibrate_nprobe``): for a bounded set of
+Exact by bounds (``search_bounded``): every cell knows the least and the largest angle between its members and its centroid, so
+no member can score better against a query at angle t to the centroid than the cosine of max(0, t - largest, least - t). A query reads cells in
+the order of that bound, in rounds, and stops when its k-th score is above every bound that is left; only unfinished queries go
+to the next round. The result equals exact search whatever the data; on data without structure it reads everything.
+
+Many cells: beyond ``TREE_CELLS`` the quantiser is a tree of two levels: k-means of about sqrt(cells) branches, then the
+cells of each branch trained on a bounded sample of its own rows, all branches in one grouped stage.
+
+Maintenance (``load_or_build`` on a changed corpus): bucketed fingerprints tell which hash buckets of ids changed, only
+those are compared row by row; changed rows are appended as a delta (latest row per id counts, a deleted id is a row
+without a vector), cell bounds grow with them, and beyond ``COMPACT_SHARE`` of changed rows the index is built anew.
+
+Recall of ``search``: the number of cells to probe is measured, not guessed (``calibrate_nprobe``): for a bounded set of
 corpus vectors the exact neighbours are searched among all rows, and the smallest number of probes
 that reaches ``target_recall`` of them is kept in the index. Corpora too small to train on have one cell; an
 empty corpus has an empty index that finds nothing.
@@ -29,7 +41,7 @@ import json
 import math
 import os
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -38,13 +50,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchspark.functions.vector import dot, l2_normalize, present
-from matchspark.operators.publish import commit_snapshot, current_snapshot, snapshot_path
+from matchspark.operators.publish import VersionConflict, commit_version, current_version, snapshot_path
 from matchspark.operators.topk import KERNEL_COLUMNS, _kernel, exact_top_k, pack_group_blocks, rank_top_k
+from matchspark.session import ensure_checkpoint_dir, materialize
 
+#: more cells than this are trained as a tree of two levels
+TREE_CELLS = 256
+#: rows a branch of the tree is trained on at most, and rows per cell looked for
+BRANCH_ROWS, ROWS_PER_CELL = 65_536, 128
+#: share of the rows that deltas may hold before the index is built anew
+COMPACT_SHARE = 0.2
+FINGERPRINT_BUCKETS = 256
+#: room for rounding in the comparison of a bound with a score
+SLACK = 1e-9
 
-def effective_nlist(n: int, nlist: int) -> int:
-    """Adaptive cell count: min(nlist, max(1, n // 10))."""
-    return min(nlist, max(1, n // 10))
+
+def effective_nlist(n: int, nlist: int | None) -> int:
+    """Adaptive cell count: min(nlist, max(1, n // 10)); without ``nlist`` four times the square root of n, 100 at least."""
+    return min(nlist or max(100, math.ceil(4 * math.sqrt(n))), max(1, n // 10))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -109,6 +132,61 @@ def train_centroids(corpus: DataFrame, vec: str, nlist: int, seed: int = 42,
     return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()], dtype=np.float64)
 
 
+def train_tree(corpus: DataFrame, id_col: str, vec: str, cells: int, n: int, seed: int = 42, max_iter: int = 10) -> np.ndarray:
+    """Two-level quantiser of about ``cells`` centroids: branches by k-means over a bounded sample, then the cells of each branch (their number
+    by the branch's share of the rows) by cosine k-means over at most ``BRANCH_ROWS`` of its rows, one task per branch.
+    Only counts per branch and the centroids (a number that grows with the square root of the corpus) reach the driver."""
+    rows = corpus.where(present(vec) & (dot(vec, vec) > 0)).select(F.col(id_col).alias("_id"), F.col(vec).alias("_v"))
+    draw = F.pmod(F.xxhash64(F.lit("tree"), F.lit(seed), "_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    k1 = max(2, math.ceil(math.sqrt(cells)))
+    top = train_centroids(rows.where(draw < min(1.0, BRANCH_ROWS / max(1, n))), "_v", k1, seed)
+    branched = rows.select("_v", draw.alias("_draw"), assign_cell_udf(top)(F.col("_v")).alias("branch"))
+    sizes = {r["branch"]: r["count"] for r in branched.groupBy("branch").count().collect()}     # k1 rows
+    total = sum(sizes.values())
+    wanted = {b: max(1, round(cells * c / total)) for b, c in sizes.items()}
+    share = _lookup({b: min(1.0, ROWS_PER_CELL * wanted[b] / c, BRANCH_ROWS / c) for b, c in sizes.items()}, 1.0)
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        branch = int(pdf["branch"].iloc[0])
+        x = _unit(np.stack(pdf.sort_values("_draw")["_v"].to_numpy()))
+        c = x[:wanted[branch]].copy()                       # the rows of the smallest draws: random and repeatable
+        for _ in range(max_iter):
+            best = (x @ c.T).argmax(axis=1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, best, x)
+            c = np.where(np.bincount(best, minlength=len(c))[:, None] > 0, _unit(sums), c)
+        return pd.DataFrame({"branch": branch, "pos": range(len(c)), "c": c.tolist()})
+
+    found = (branched.where(F.col("_draw") < share(F.col("branch"))).groupBy("branch")
+             .applyInPandas(train, "branch int, pos int, c array<double>").orderBy("branch", "pos").toPandas())
+    return np.array(found["c"].tolist(), dtype=np.float64)
+
+
+def _lookup(values: dict, default):
+    """Column -> the value of its key in a small dictionary."""
+    if not values:
+        return lambda c: F.lit(default)
+    m = F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv])
+    return lambda c: F.coalesce(F.try_element_at(m, c), F.lit(default))
+
+
+def assign_with_angle_udf(centroids: np.ndarray):
+    """Pandas UDF: best cell of each vector and the angle to its centroid (null for a zero vector, which has none)."""
+    cu = _unit(centroids)
+
+    @F.pandas_udf("cell int, angle double")
+    def assign(v: pd.Series) -> pd.DataFrame:
+        m = _unit(_stack(v, cu.shape[1]))
+        if len(m) == 0:
+            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "angle": pd.Series([], dtype="float64")})
+        s = m @ cu.T
+        best = np.argmax(s, axis=1)
+        angle = np.arccos(np.clip(s[np.arange(len(m)), best], -1.0, 1.0))
+        return pd.DataFrame({"cell": best.astype("int32"), "angle": np.where(m.any(axis=1), angle, np.nan)})
+
+    return assign
+
+
 #: corpus vectors (chosen by a hash of the id) whose exact neighbours set the number of probes
 CALIBRATION_QUERIES = 256
 
@@ -163,56 +241,101 @@ class IvfIndex:
     nprobe: int
     fingerprint: tuple = ()
     cell_labels: list | None = None  # external cell names (row order of centroids)
+    bounds: np.ndarray | None = None  # nlist x 4: rows, least angle, largest angle, rows without direction
+    others: DataFrame | None = None  # (id, vec) of the vectors of other dimensions, searched exactly
+    settings: dict = field(default_factory=dict)
+    buckets: dict = field(default_factory=dict)  # fingerprints by bucket of ids
+    delta_rows: int = 0
 
     @property
     def nlist(self) -> int:
         return int(self.centroids.shape[0])
 
 
+def _row_hash(id_col: str, vec: str):
+    return F.xxhash64(F.col(id_col), F.col(vec))
+
+
+def bucket_fingerprints(corpus: DataFrame, id_col: str, vec: str) -> dict[str, list]:
+    """Per bucket of ids: rows and sum of row hashes (a wide sum, so repeated rows do not cancel out)."""
+    rows = corpus.where(present(vec)).groupBy(F.pmod(F.xxhash64(F.col(id_col)), F.lit(FINGERPRINT_BUCKETS)).alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(_row_hash(id_col, vec).cast("decimal(38,0)")).alias("h")).collect()  # at most 256 rows
+    return {str(r["b"]): [int(r["n"]), int(r["h"])] for r in rows}
+
+
+def _total(buckets: dict[str, list]) -> tuple[int, int]:
+    return sum(n for n, _ in buckets.values()), sum(h for _, h in buckets.values())
+
+
 def corpus_fingerprint(corpus: DataFrame, id_col: str, vec: str) -> tuple[int, int]:
-    """(row count, xor of row hashes): changes when any vector or id changes."""
-    r = corpus.where(present(vec)).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.bit_xor(F.xxhash64(F.col(id_col), F.col(vec))), F.lit(0)).alias("h"),
-    ).first()
-    return int(r["n"]), int(r["h"])
+    """(row count, sum of row hashes): changes when any vector or id changes."""
+    return _total(bucket_fingerprints(corpus, id_col, vec))
 
 
-def build_index(corpus: DataFrame, id_col: str, vec: str, *, nlist: int = 100, nprobe: int | None = None,
+def build_index(corpus: DataFrame, id_col: str, vec: str, *, nlist: int | None = 100, nprobe: int | None = None,
                 seed: int = 42, centroids: np.ndarray | None = None, split_rows: int = 2048,
-                cell_labels: list | None = None, fingerprint: tuple | None = None,
-                target_recall: float = 0.97, recall_k: int = 20) -> IvfIndex:
+                cell_labels: list | None = None, buckets: dict | None = None,
+                target_recall: float = 0.97, recall_k: int = 20, calibrate: bool = True) -> IvfIndex:
     """Train (unless centroids are given), assign every present vector, size the cell splits.
 
-    ``nprobe=None`` measures the number of probes for ``target_recall`` of the first ``recall_k`` neighbours.
-    Vectors whose dimension is not that of most vectors have no cosine with the queries and are left out."""
-    fp = fingerprint or corpus_fingerprint(corpus, id_col, vec)
+    ``nprobe=None`` measures the number of probes for ``target_recall`` of the first ``recall_k`` neighbours (a sixteenth of the
+    cells if not ``calibrate``: a start for ``search_bounded``). ``nlist=None``: the number of cells grows with the square root of the corpus.
+    Cells hold the dimension that most vectors have; the others are kept beside them and searched exactly."""
+    settings = {"nlist": nlist, "nprobe": nprobe, "seed": seed, "split_rows": split_rows, "target_recall": target_recall,
+                "recall_k": recall_k, "calibrate": calibrate, "given": centroids is not None}
+    buckets = bucket_fingerprints(corpus, id_col, vec) if buckets is None else buckets
+    fp = _total(buckets)
+    rows = corpus.where(present(vec))
     if centroids is None:
-        dims = corpus.where(present(vec)).groupBy(F.size(vec).alias("d")).count().orderBy(F.desc("count"), "d").first()
+        dims = rows.groupBy(F.size(vec).alias("d")).count().orderBy(F.desc("count"), "d").first()
         if dims is None:
-            return IvfIndex(np.zeros((0, 0)), _no_cells(corpus, id_col), {}, id_col, 0, fp, cell_labels)
+            return IvfIndex(np.zeros((0, 0)), _no_cells(corpus, id_col), {}, id_col, 0, fp, cell_labels, np.zeros((0, 4)), None, settings, buckets)
         dim, n = int(dims["d"]), int(dims["count"])
-        usable = corpus.where(present(vec) & (F.size(vec) == dim))
+        usable = rows.where(F.size(vec) == dim)
         n_eff = effective_nlist(n, nlist)
-        centroids = train_centroids(usable, vec, n_eff, seed) if n_eff > 1 else np.zeros((1, dim))
+        if n_eff <= 1:
+            centroids = np.zeros((1, dim))
+        elif n_eff > TREE_CELLS:
+            centroids = train_tree(usable, id_col, vec, n_eff, n, seed)
+        else:
+            centroids = train_centroids(usable, vec, n_eff, seed)
     else:
         dim, n = int(centroids.shape[1]), fp[0]
-        usable = corpus.where(present(vec) & (F.size(vec) == dim))
+        usable = rows.where(F.size(vec) == dim)
     if nprobe is None:
-        nprobe = calibrate_nprobe(usable, id_col, vec, centroids, n, recall_k, target_recall)
-    assign = assign_cell_udf(centroids)
-    members = usable.select(F.col(id_col), l2_normalize(vec).alias("unit"), assign(F.col(vec)).alias("cell"))
-    sizes = members.groupBy("cell").count().collect()  # <= nlist rows
-    splits = {int(r["cell"]): max(1, math.ceil(r["count"] / split_rows)) for r in sizes}
-    split_expr = _split_lookup(splits)
-    cells = members.withColumn(
-        "split", F.pmod(F.xxhash64(F.col(id_col)), split_expr(F.col("cell"))).cast("int"))
-    return IvfIndex(centroids, cells, splits, id_col, min(nprobe, centroids.shape[0]), fp, cell_labels)
+        nprobe = (calibrate_nprobe(usable, id_col, vec, centroids, n, recall_k, target_recall) if calibrate
+                  else math.ceil(centroids.shape[0] / 16))
+    members = _members(usable, id_col, vec, centroids)
+    bounds = _cell_bounds(members, centroids.shape[0])
+    splits = {i: max(1, math.ceil(c / split_rows)) for i, c in enumerate(bounds[:, 0]) if c}
+    cells = _with_split(members, id_col, splits)
+    others = rows.where(F.size(vec) != dim).select(id_col, F.col(vec).alias("vec")) if n < fp[0] else None
+    return IvfIndex(centroids, cells, splits, id_col, min(nprobe, centroids.shape[0]), fp, cell_labels, bounds, others, settings, buckets)
+
+
+def _members(rows: DataFrame, id_col: str, vec: str, centroids: np.ndarray) -> DataFrame:
+    placed = rows.select(F.col(id_col), l2_normalize(vec).alias("unit"), _row_hash(id_col, vec).alias("h"),
+                         assign_with_angle_udf(centroids)(F.col(vec)).alias("_a"))
+    return placed.select(id_col, "unit", "h", "_a.cell", F.when(~F.isnan("_a.angle"), F.col("_a.angle")).alias("angle"))
+
+
+def _with_split(members: DataFrame, id_col: str, splits: dict) -> DataFrame:
+    return members.withColumn("split", F.pmod(F.xxhash64(F.col(id_col)), _split_lookup(splits)(F.col("cell"))).cast("int"))
+
+
+def _cell_bounds(members: DataFrame, nlist: int) -> np.ndarray:
+    """Per cell: rows, least and largest angle to the centroid, rows without direction; ``nlist`` rows reach the driver."""
+    out = np.zeros((nlist, 4))
+    out[:, 1], out[:, 2] = np.pi, 0.0
+    for r in members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"),
+                                         F.count_if(F.col("angle").isNull()).alias("zeros")).collect():
+        out[r["cell"]] = (r["n"], np.pi if r["lo"] is None else r["lo"], 0.0 if r["hi"] is None else r["hi"], r["zeros"])
+    return out
 
 
 def _no_cells(corpus: DataFrame, id_col: str) -> DataFrame:
     kind = corpus.schema[id_col].dataType.simpleString()
-    return corpus.sparkSession.createDataFrame([], f"`{id_col}` {kind}, unit array<double>, cell int, split int")
+    return corpus.sparkSession.createDataFrame([], f"`{id_col}` {kind}, unit array<double>, h bigint, cell int, angle double, split int")
 
 
 def _split_lookup(splits: dict):
@@ -231,50 +354,156 @@ def _no_result(index: IvfIndex, queries: DataFrame, query_id: str, out_query: st
         f"{out_item} {index.cells.schema[index.id_col].dataType.simpleString()}, similarity double, rank int"))
 
 
-def search(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_vec: str,
-           out_query: str | None = None, out_item: str | None = None, nprobe: int | None = None,
-           exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
-    """Top-k per query over the probed cells: (out_query, out_item, similarity, rank).
+def _other_dimensions(index: IvfIndex, queries: DataFrame, k: int, query_id: str, query_vec: str, out_query: str, out_item: str,
+                      exclude_self: bool, block_rows: int) -> DataFrame | None:
+    """Queries of other dimensions meet the vectors of their dimension by the exact kernel."""
+    if index.others is None:
+        return None
+    asked = queries.where(present(query_vec) & (F.size(query_vec) != index.centroids.shape[1])).select(query_id, query_vec)
+    return exact_top_k(asked, index.others.withColumnRenamed(index.id_col, "_item"), k, query_id=query_id, query_vec=query_vec, item_id="_item",
+                       item_vec="vec", out_query=out_query, out_item=out_item, exclude_self=exclude_self, block_rows=block_rows)
+
+
+def _score_cells(index: IvfIndex, probes: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame | None:
+    """(q, c, s): the local top k of every query (_q, _v, cell) in each (cell, split) it reads; None if it reads none.
 
     Each (cell, split) is one corpus block; the queries probing it are cut into blocks of about
     ``block_rows`` or fewer (block count from the busiest (cell, split)), and every
     (query block, corpus block) pair with the same (cell, split) is scored by one matrix
-    product in the exact-search kernel, which keeps the local top-k per query.
-    """
-    out_query = out_query or query_id
-    out_item = out_item or index.id_col
-    p = min(nprobe or index.nprobe, index.nlist)
-    if p == 0 or k <= 0:
-        return _no_result(index, queries, query_id, out_query, out_item)
-    probe = probe_cells_udf(index.centroids, p)
+    product in the exact-search kernel, which keeps the local top-k per query."""
     split_expr = _split_lookup(index.splits)
-    q = (
-        queries.where(present(query_vec) & (F.size(query_vec) == index.centroids.shape[1]))
-        .select(F.col(query_id).alias("_q"), F.col(query_vec).alias("_v"),
-                probe(F.col(query_vec)).alias("_cells"))
-        .select("_q", "_v", F.explode("_cells").alias("cell"))
-        .withColumn("split", F.explode(F.sequence(F.lit(0), split_expr(F.col("cell")) - 1)))
-    )
+    q = probes.withColumn("split", F.explode(F.sequence(F.lit(0), split_expr(F.col("cell")) - 1)))
     # Query blocks: the busiest (cell, split) decides how many blocks each one may use; groups
     # only exist where rows exist, so quiet cells just get smaller blocks. One scalar to the driver.
     stats = q.groupBy("cell", "split").count().agg(F.max("count").alias("m")).first()
     if stats is None or stats["m"] is None:
-        return _no_result(index, queries, query_id, out_query, out_item)
+        return None
     qb_count = F.lit(max(1, math.ceil(stats["m"] / block_rows)))
     q = q.withColumn("qb", F.pmod(F.xxhash64(F.col("_q")), qb_count).cast("int"))
     qblocks = pack_group_blocks(q, ["cell", "split", "qb"], "_q", "_v", "q_")
     cblocks = pack_group_blocks(index.cells, ["cell", "split"], index.id_col, "unit", "c_")
     pairs = qblocks.join(cblocks, ["cell", "split"]).select(*KERNEL_COLUMNS)
-    id_type = queries.schema[query_id].dataType
-    item_type = index.cells.schema[index.id_col].dataType
     kernel_schema = T.StructType([
-        T.StructField("q", id_type), T.StructField("c", item_type), T.StructField("s", T.DoubleType()),
+        T.StructField("q", probes.schema["_q"].dataType), T.StructField("c", index.cells.schema[index.id_col].dataType),
+        T.StructField("s", T.DoubleType()),
     ])
-    q_dtype = np.float64 if isinstance(queries.schema[query_vec].dataType.elementType, T.DoubleType) else np.float32
-    local = pairs.mapInPandas(
-        _kernel(k, exclude_self, False, False, q_dtype, np.float64), kernel_schema)
-    scored = local.select(F.col("q").alias(out_query), F.col("c").alias(out_item), F.col("s").alias("similarity"))
-    return rank_top_k(scored, out_query, out_item, "similarity", k)
+    q_dtype = np.float64 if isinstance(probes.schema["_v"].dataType.elementType, T.DoubleType) else np.float32
+    return pairs.mapInPandas(_kernel(k, exclude_self, False, False, q_dtype, np.float64), kernel_schema)
+
+
+def search(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_vec: str,
+           out_query: str | None = None, out_item: str | None = None, nprobe: int | None = None,
+           exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
+    """Top-k per query over the ``nprobe`` best cells: (out_query, out_item, similarity, rank). Queries of another
+    dimension than that of the cells are searched exactly among the vectors of their own."""
+    out_query = out_query or query_id
+    out_item = out_item or index.id_col
+    p = min(nprobe or index.nprobe, index.nlist)
+    if p == 0 or k <= 0:
+        return _no_result(index, queries, query_id, out_query, out_item)
+    probe = probe_cells_udf(index.centroids, p)
+    q = (
+        queries.where(present(query_vec) & (F.size(query_vec) == index.centroids.shape[1]))
+        .select(F.col(query_id).alias("_q"), F.col(query_vec).alias("_v"),
+                probe(F.col(query_vec)).alias("_cells"))
+        .select("_q", "_v", F.explode("_cells").alias("cell"))
+    )
+    local = _score_cells(index, q, k, exclude_self, block_rows)
+    if local is None:
+        found = _no_result(index, queries, query_id, out_query, out_item)
+    else:
+        scored = local.select(F.col("q").alias(out_query), F.col("c").alias(out_item), F.col("s").alias("similarity"))
+        found = rank_top_k(scored, out_query, out_item, "similarity", k)
+    more = _other_dimensions(index, queries, k, query_id, query_vec, out_query, out_item, exclude_self, block_rows)
+    return found if more is None else found.unionByName(more)
+
+
+def plan_cells_udf(centroids: np.ndarray, bounds: np.ndarray, take: int):
+    """Pandas UDF of (vector, cells read, score to beat): the next ``take`` cells in the order of their best possible score that may
+    hold a row at least as good, and the number of corpus rows in them."""
+    cu = _unit(centroids)
+
+    @F.pandas_udf("cells array<int>, rows long")
+    def plan(v: pd.Series, done: pd.Series, beat: pd.Series) -> pd.DataFrame:
+        m = _unit(_stack(v, cu.shape[1]))
+        if len(m) == 0:
+            return pd.DataFrame({"cells": pd.Series([], dtype=object), "rows": pd.Series([], dtype="int64")})
+        angle = np.arccos(np.clip(m @ cu.T, -1.0, 1.0))
+        best = np.cos(np.maximum(0.0, np.maximum(angle - bounds[:, 2], bounds[:, 1] - angle)))
+        best = np.where(bounds[:, 3] > 0, np.maximum(best, 0.0), best)      # a zero vector scores 0
+        best[:, bounds[:, 0] == 0] = -np.inf
+        best[~m.any(axis=1)] = np.where(bounds[:, 0] > 0, 0.0, -np.inf)     # a zero query scores 0 everywhere
+        order = np.argsort(-best, axis=1, kind="stable")
+        cells, rows = [], []
+        for o, b, d, t in zip(order, best, done.to_numpy(), beat.to_numpy()):
+            part = o[d:d + take]
+            part = part[(b[part] >= t - SLACK) & np.isfinite(b[part])]
+            cells.append(part.astype("int32").tolist())
+            rows.append(int(bounds[part, 0].sum()))
+        return pd.DataFrame({"cells": cells, "rows": rows})
+
+    return plan
+
+
+@dataclass
+class BoundedSearch:
+    result: DataFrame    # (out_query, out_item, similarity, rank), equal to exact search
+    read: DataFrame      # (query, cells, rows): what each query has read
+    folder: str          # the rounds' tables; may be removed once the result is written
+
+
+def search_bounded(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_vec: str, out_query: str | None = None,
+                   out_item: str | None = None, exclude_self: bool = False, block_rows: int = 2048, growth: int = 4,
+                   folder: str | None = None) -> BoundedSearch:
+    """Exact top-k per query that reads only the cells which may hold a better row, in rounds of ``growth`` times as many cells.
+
+    Each round is a join of the unfinished queries with their next cells; its lists (at most k rows a query) and what is left
+    to read are tables in ``folder`` (shared storage), so a lost executor costs one round at most."""
+    spark = queries.sparkSession
+    out_query = out_query or query_id
+    out_item = out_item or index.id_col
+    folder = folder or os.path.join(ensure_checkpoint_dir(spark), f"ivf-search-{uuid.uuid4().hex}")
+    kind = queries.schema[query_id].dataType.simpleString()
+    none = _no_result(index, queries, query_id, out_query, out_item)
+    read = [spark.createDataFrame([], f"`{query_id}` {kind}, cells int, rows long")]
+    filled = int(index.bounds[:, 0].sum()) if index.nlist else 0
+    found = none
+    if filled and k > 0:
+        # the first round reads enough cells for k rows on average
+        take = min(index.nlist, max(index.nprobe, math.ceil(2 * k * index.nlist / filled)))
+        left = queries.where(present(query_vec) & (F.size(query_vec) == index.centroids.shape[1])).select(
+            F.col(query_id).alias("_q"), F.col(query_vec).alias("_v"), F.lit(0).alias("_done"), F.lit(-2.0).alias("_beat"))
+        lists, parts, done, rounds = None, [], 0, 0
+        while done < index.nlist:
+            plan = plan_cells_udf(index.centroids, index.bounds, take)
+            asked = left.select("_q", "_v", plan("_v", "_done", "_beat").alias("_p")).select("_q", "_v", "_p.cells", "_p.rows")
+            asked = materialize(asked.where(F.size("cells") > 0), os.path.join(folder, f"asked-{rounds}"))
+            if lists is not None:       # lists of finished queries are not touched again
+                ids = asked.select(F.col("_q").alias("q"))
+                parts.append(lists.join(ids, "q", "left_anti"))
+                lists = lists.join(ids, "q", "left_semi")
+            local = _score_cells(index, asked.select("_q", "_v", F.explode("cells").alias("cell")), k, exclude_self, block_rows)
+            if local is None:
+                lists = None
+                break
+            read.append(asked.select(F.col("_q").alias(query_id), F.size("cells").alias("cells"), "rows"))
+            lists = rank_top_k(local if lists is None else local.unionByName(lists), "q", "c", "s", k).drop("rank")
+            lists = materialize(lists, os.path.join(folder, f"lists-{rounds}"))
+            done, rounds = done + take, rounds + 1
+            kth = lists.groupBy(F.col("q").alias("_q")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s"))
+            left = (asked.select("_q", "_v").join(kth, "_q", "left")
+                    .select("_q", "_v", F.lit(done).alias("_done"), F.when(F.col("n") >= k, F.col("s")).otherwise(F.lit(-2.0)).alias("_beat")))
+            take *= growth
+        parts += [lists] if lists is not None else []
+        for part in parts:
+            found = found.unionByName(rank_top_k(part.select(F.col("q").alias(out_query), F.col("c").alias(out_item), F.col("s").alias("similarity")),
+                                                 out_query, out_item, "similarity", k))
+    more = _other_dimensions(index, queries, k, query_id, query_vec, out_query, out_item, exclude_self, block_rows)
+    what = read[0]
+    for r in read[1:]:
+        what = what.unionByName(r)
+    what = what.groupBy(query_id).agg(F.sum("cells").alias("cells"), F.sum("rows").alias("rows"))
+    return BoundedSearch(found if more is None else found.unionByName(more), what, folder)
 
 
 def search_pairs(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_vec: str,
@@ -304,11 +533,13 @@ def search_pairs(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str,
 
 
 # ---------------------------------------------------------------- persistence (S17, I6)
+# A version names the folders of the index: the first is complete (centroids, cells, others, meta), further ones are
+# deltas (cells, others, meta): their rows replace those of the same id before them, a row without a vector deletes.
 def save_index(index: IvfIndex, path: str) -> str:
-    """Write the index as a new snapshot (centroids, cells, meta) and make it current when all are complete."""
+    """Write the complete index and make it current when all is there. If another writer was first, this index is the next version."""
     spark = index.cells.sparkSession
-    before, snapshot_id = current_snapshot(spark, path), uuid.uuid4().hex
-    folder = snapshot_path(path, (0, snapshot_id))
+    own = uuid.uuid4().hex
+    folder = snapshot_path(path, (0, own))
     cent = spark.createDataFrame(
         [(i, [float(x) for x in row]) for i, row in enumerate(index.centroids)],
         "cell int, vec array<double>")
@@ -317,38 +548,122 @@ def save_index(index: IvfIndex, path: str) -> str:
     # ``cell`` let a reader skip cells and a hot cell is written by as many tasks as it has splits.
     index.cells.repartition("cell", "split").sortWithinPartitions("cell", "split") \
         .write.parquet(os.path.join(folder, "cells"))
-    meta = {"id_col": index.id_col, "nprobe": index.nprobe, "nlist": index.nlist,
-            "dim": int(index.centroids.shape[1]), "fingerprint": list(index.fingerprint),
-            "splits": {str(k): v for k, v in index.splits.items()}}
+    if index.others is not None:
+        index.others.write.parquet(os.path.join(folder, "others"))
+    _write_meta(spark, index, folder)
+    while True:
+        before = current_version(spark, path)
+        try:
+            commit_version(spark, path, {"ids": [own]}, before[0] if before else 0)
+            return folder
+        except VersionConflict:
+            continue
+
+
+def _write_meta(spark: SparkSession, index: IvfIndex, folder: str) -> None:
+    meta = {"id_col": index.id_col, "nprobe": index.nprobe, "dim": int(index.centroids.shape[1]), "settings": index.settings,
+            "splits": {str(k): v for k, v in index.splits.items()}, "bounds": index.bounds.tolist(), "buckets": index.buckets,
+            "others": index.others is not None, "delta_rows": index.delta_rows}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.text(os.path.join(folder, "meta"))
-    commit_snapshot(spark, path, snapshot_id, before)
-    return folder
+
+
+def _meta(spark: SparkSession, folder: str) -> dict:
+    return json.loads(spark.read.text(os.path.join(folder, "meta"), wholetext=True).first()["value"])
 
 
 def load_index(spark: SparkSession, path: str) -> IvfIndex:
-    folder = snapshot_path(path, current_snapshot(spark, path))
-    meta = json.loads(spark.read.text(os.path.join(folder, "meta")).first()["value"])
-    rows = spark.read.parquet(os.path.join(folder, "centroids")).orderBy("cell").collect()
+    base, *deltas = [snapshot_path(path, (0, i)) for i in current_version(spark, path)[1]["ids"]]
+    first = _meta(spark, base)
+    meta = _meta(spark, deltas[-1]) if deltas else first
+    rows = spark.read.parquet(os.path.join(base, "centroids")).orderBy("cell").collect()
     cent = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), meta["dim"])
-    cells = spark.read.parquet(os.path.join(folder, "cells"))
-    return IvfIndex(cent, cells.select("cell", "split", meta["id_col"], "unit"),
-                    {int(k): v for k, v in meta["splits"].items()}, meta["id_col"],
-                    meta["nprobe"], tuple(meta["fingerprint"]))
+    id_col = meta["id_col"]
+    cells = spark.read.parquet(os.path.join(base, "cells"))
+    others = spark.read.parquet(os.path.join(base, "others")) if first["others"] else None
+    if deltas:
+        later = None
+        for n, d in enumerate(deltas):
+            part = spark.read.parquet(os.path.join(d, "cells")).withColumn("_n", F.lit(n))
+            later = part if later is None else later.unionByName(part)
+        newest = later.groupBy(id_col).agg(F.max("_n").alias("_n"))
+        last = later.join(newest, [id_col, "_n"]).drop("_n")
+        cells = cells.join(newest.select(id_col), id_col, "left_anti").unionByName(
+            last.where("unit is not null and cell is not null").select(*cells.columns))
+        if meta["others"]:
+            side = last.where("unit is not null and cell is null").select(id_col, F.col("unit").alias("vec"))
+            others = side if others is None else others.select(id_col, F.col("vec").cast("array<double>").alias("vec")).join(
+                newest.select(id_col), id_col, "left_anti").unionByName(side)
+    return IvfIndex(cent, cells, {int(k): v for k, v in meta["splits"].items()}, id_col, meta["nprobe"], _total(meta["buckets"]), None,
+                    np.array(meta["bounds"]).reshape(-1, 4), others if meta["others"] else None, meta["settings"], meta["buckets"], meta["delta_rows"])
+
+
+def update_index(corpus: DataFrame, id_col: str, vec: str, path: str, buckets: dict | None = None) -> IvfIndex | None:
+    """Bring the saved index to the rows of ``corpus`` by a delta; None if too much has changed (or it is empty): build anew.
+
+    Only the rows whose bucket fingerprint differs are compared, by id and row hash. Ids are taken to be unique, as they
+    are in an entity table (repeated ids: None)."""
+    spark = corpus.sparkSession
+    n, content = current_version(spark, path)
+    index = load_index(spark, path)
+    buckets = bucket_fingerprints(corpus, id_col, vec) if buckets is None else buckets
+    differ = sorted(int(b) for b in {*buckets, *index.buckets} if buckets.get(b) != index.buckets.get(b))
+    if not index.nlist or not differ:
+        return None
+    in_bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FINGERPRINT_BUCKETS)).isin(differ)
+    now = corpus.where(present(vec) & in_bucket).select(F.col(id_col), F.col(vec).alias("_v"), _row_hash(id_col, vec).alias("_h"))
+    if now.groupBy(id_col).count().where("count > 1").limit(1).count():
+        return None
+    held = index.cells.where(in_bucket).select(F.col(id_col), F.col("h").alias("_old"))
+    if index.others is not None:        # their row hash is not kept: rows of differing buckets count as changed
+        held = held.unionByName(index.others.where(in_bucket).select(F.col(id_col), F.lit(None).cast("long").alias("_old")))
+    own = uuid.uuid4().hex
+    folder = snapshot_path(path, (0, own))
+    diff = now.join(held.withColumn("_held", F.lit(True)), id_col, "full").where(~F.col("_h").eqNullSafe(F.col("_old"))).select(id_col, "_v")
+    diff = materialize(diff, os.path.join(folder, "changes"))
+    changed, dim = diff.count(), index.centroids.shape[1]
+    if index.delta_rows + changed > COMPACT_SHARE * max(1, index.fingerprint[0]):
+        return None
+    fits = present("_v") & (F.size("_v") == dim)
+    placed = _with_split(_members(diff.where(fits), id_col, "_v", index.centroids), id_col, index.splits)
+    empty = [F.lit(None).cast(index.cells.schema[c].dataType).alias(c) for c in ("h", "cell", "angle", "split")]
+    rest = diff.where(~F.coalesce(fits, F.lit(False))).select(id_col, F.col("_v").cast("array<double>").alias("unit"), *empty)
+    delta = placed.select(id_col, "unit", "h", "cell", "angle", "split").unionByName(rest)
+    delta.write.parquet(os.path.join(folder, "cells"))
+    fresh = _cell_bounds(spark.read.parquet(os.path.join(folder, "cells")).where("cell is not null"), index.nlist)
+    index.bounds = np.column_stack([index.bounds[:, 0] + fresh[:, 0], np.minimum(index.bounds[:, 1], fresh[:, 1]),
+                                    np.maximum(index.bounds[:, 2], fresh[:, 2]), index.bounds[:, 3] + fresh[:, 3]])
+    for cell in np.flatnonzero(fresh[:, 0]):
+        index.splits.setdefault(int(cell), 1)
+    index.buckets, index.delta_rows = buckets, index.delta_rows + changed
+    index.others = index.others if rest.where("unit is not null").limit(1).count() == 0 else rest
+    _write_meta(spark, index, folder)
+    commit_version(spark, path, {"ids": [*content["ids"], own]}, n)
+    return load_index(spark, path)
 
 
 def load_or_build(corpus: DataFrame, id_col: str, vec: str, path: str | None, **kw) -> tuple[IvfIndex, bool]:
-    """Reuse the saved index when its corpus fingerprint matches, else build and save it.
-
-    Returns (index, reused). Unlike a never-invalidated file, a changed corpus forces a rebuild.
-    """
+    """Reuse the saved index when its corpus fingerprint and settings match; bring it up to date by a delta if only rows have
+    changed, few of them; else build and save it. Returns (index, reused)."""
     spark = corpus.sparkSession
-    fp = corpus_fingerprint(corpus, id_col, vec)
-    if path and current_snapshot(spark, path) is not None:
+    buckets = bucket_fingerprints(corpus, id_col, vec)
+    if path and current_version(spark, path) is not None:
         idx = load_index(spark, path)
-        if tuple(idx.fingerprint) == fp:
-            return idx, True
-    idx = build_index(corpus, id_col, vec, fingerprint=fp, **kw)
+        asked = {f: kw.get(f, d) for f, d in DEFAULTS.items()} | {"given": kw.get("centroids") is not None}
+        if idx.settings == asked and not asked["given"]:
+            if idx.buckets == buckets:
+                return idx, True
+            try:
+                idx = update_index(corpus, id_col, vec, path, buckets)
+            except VersionConflict:     # another writer was first: look again
+                return load_or_build(corpus, id_col, vec, path, **kw)
+            if idx is not None:
+                return idx, False
+    idx = build_index(corpus, id_col, vec, buckets=buckets, **kw)
     if path:
         save_index(idx, path)
         idx = load_index(spark, path)
     return idx, False
+
+
+#: settings of ``build_index`` that a saved index must share to be used
+DEFAULTS = {"nlist": 100, "nprobe": None, "seed": 42, "split_rows": 2048, "target_recall": 0.97, "recall_k": 20, "calibrate": True}

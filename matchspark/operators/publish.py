@@ -283,11 +283,16 @@ def commit_replace(spark: SparkSession, r: Replace) -> tuple[int, int]:
                 r = _write_buckets(spark, r)
     else:
         raise VersionConflict(f"{r.base}: {MOST_TRIES} versions by other writers came first")
-    fs, path = _fs(spark, r.staged)
-    fs.delete(path, True)
+    remove_folder(spark, r.staged)
     return version, len(r.touched)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables that this run made."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def publish_edges(spark: SparkSession, base: str, new: DataFrame, key: str, processed_keys: DataFrame | None = None,
                   keep_stale: bool = False, buckets: int | None = None) -> tuple[int, int]:
     """Keyed replace of ``new`` into the table at ``base`` (first run: plain write); (version, buckets written). A failed read of the old

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from matchspark.functions.text import email_for_user
 from matchspark.operators.cascade import cascade, round1
-from matchspark.operators.publish import dedupe_last, keyed_replace, publish_edges, read_current
+from matchspark.operators.publish import commit_replace, dedupe_last, keyed_replace, prepare_replace, publish_edges, read_current, read_key
 from matchspark.operators.quality import cascade_delete, domain_violations, orphans, record_counts, unique_violations
 from matchspark.operators.serve import recommendations_with_jobs, similar_active, similar_counts
 from matchspark.operators.topk import exact_top_k
@@ -77,6 +77,35 @@ def q_publish_replace(spark, sf):
     return out.select("cv_id", "job_id", _r("similarity").alias("similarity"), "rank", "source")
 
 
+@register("publish_two_writers", with_views(*OLD_NEW) + """
+SELECT q_id AS cv_id, i_id AS job_id, round(sim, 6) AS similarity, rnk AS rank FROM old WHERE q_id NOT IN (SELECT cv_id FROM main_cv)
+UNION ALL SELECT q_id, i_id, round(s3, 6), rnk3 FROM r3""")
+def q_publish_two_writers(spark, sf):
+    """Two writers start from the same version, each with half of the processed CVs: the second merges on top of the first and
+    both survive."""
+    base = f"{runs.fresh_warehouse(spark)}/recommend_jobs_for_cv"
+    publish_edges(spark, base, old_recs(spark, sf).select("cv_id", "job_id", "similarity", "rank"), "cv_id")
+    new, cvs = new_recs(spark, sf), main_cv_df(spark, sf).select("cv_id")
+    halves = [prepare_replace(spark, base, new.where(F.col("cv_id") % 2 == i), "cv_id", cvs.where(F.col("cv_id") % 2 == i)) for i in (0, 1)]
+    for half in halves:
+        commit_replace(spark, half)
+    return read_current(spark, base).select("cv_id", "job_id", _r("similarity").alias("similarity"), "rank")
+
+
+@register("publish_one_bucket", with_views(title_topk_cte("old", 20, queries="v_cv")) + """
+SELECT i_id AS job_id, round(sim / 2, 6) AS similarity, rnk AS rank, 1 AS buckets_written
+FROM old WHERE q_id = (SELECT min(cv_id) FROM main_cv)""")
+def q_publish_one_bucket(spark, sf):
+    """A replace of one CV of a table in 1,000 buckets writes one bucket; the list is read back from it."""
+    base = f"{runs.fresh_warehouse(spark)}/recommend_jobs_for_cv"
+    recs = old_recs(spark, sf).select("cv_id", "job_id", "similarity", "rank")
+    publish_edges(spark, base, recs, "cv_id", buckets=1000)
+    cv_id = main_cv_df(spark, sf).agg(F.min("cv_id")).first()[0]
+    one = recs.where(F.col("cv_id") == cv_id).withColumn("similarity", F.col("similarity") / 2)
+    _, written = publish_edges(spark, base, one, "cv_id")
+    return read_key(spark, base, cv_id).select("job_id", _r("similarity").alias("similarity"), "rank", F.lit(written).alias("buckets_written"))
+
+
 def _batch(spark, sf):
     c1 = round1(main_cv_df(spark, sf), active_job_df(spark, sf), 50).select(
         "cv_id", "job_id", F.col("title_sim").alias("similarity"), F.lit(1).alias("seq"))

@@ -1,8 +1,8 @@
 """Job runs: CV->job recommendation, job->job similarity, and both in either order.
 
 A run takes the entity tables (main CVs, active jobs with vectors), reuses or builds the
-shared IVF index (stored under the warehouse folder, rebuilt when the job corpus changes),
-computes the lists, publishes them with a keyed replace into snapshot tables and returns the
+shared IVF index (stored under the warehouse folder, kept up to date when the job corpus changes),
+computes the lists (exactly, whether by blocks or by the bounds of the index's cells), publishes them with a keyed replace into snapshot tables and returns the
 statistics as a one-row DataFrame. The warehouse folder must be shared storage on a cluster;
 by default it is ``<spark.checkpoint.dir>/warehouse``.
 """
@@ -13,15 +13,16 @@ import os
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from matchspark.config import MatchConfig
 from matchspark.functions.vector import present
 from matchspark.operators import ivf as ivf_ops
-from matchspark.operators.cascade import cascade, round1
+from matchspark.operators.cascade import cascade
 from matchspark.operators.embed import incremental_embed
-from matchspark.operators.publish import publish_edges, read_current
+from matchspark.operators.increment import changed_ids, entity_hashes, update_lists
+from matchspark.operators.publish import publish_edges, read_current, remove_folder
 from matchspark.operators.topk import exact_top_k
 from matchspark.session import ensure_checkpoint_dir, materialize
 
@@ -39,66 +40,89 @@ def warehouse_dir(spark: SparkSession, name: str | None = None) -> str:
 
 
 def shared_index(spark: SparkSession, jobs: DataFrame, cfg: MatchConfig, warehouse: str):
-    """Index over active jobs with a title vector (I5/I6): reused while the corpus is unchanged."""
+    """Index over active jobs with a title vector (I5/I6): reused while corpus and settings are the same, brought up to date by
+    a delta after few changes."""
     corpus = jobs.where(present("title_vec")).select("job_id", "title_vec")
     idx, _ = ivf_ops.load_or_build(corpus, "job_id", "title_vec", os.path.join(warehouse, "job_index"),
                                    nlist=cfg.nlist, nprobe=cfg.nprobe, seed=cfg.seed, split_rows=cfg.cell_split_rows,
-                                   target_recall=cfg.target_recall, recall_k=cfg.top_k_jobs)
+                                   target_recall=cfg.target_recall, recall_k=cfg.cascade_k1 if cfg.use_cascade else cfg.top_k_jobs,
+                                   calibrate=not cfg.bounded)
     return idx
 
 
+def title_search(queries: DataFrame, query_id: str, jobs: DataFrame, k: int, cfg: MatchConfig, index, out_item: str, folder: str,
+                 exclude_self: bool = False) -> DataFrame:
+    """(query_id, out_item, similarity, rank): the k best jobs by title, by the strategy of the run. ``folder``: the rounds' tables."""
+    kw = dict(query_id=query_id, query_vec="title_vec", out_item=out_item, exclude_self=exclude_self)
+    if cfg.strategy == "ivf" and cfg.bounded:
+        return ivf_ops.search_bounded(index, queries, k, folder=folder, **kw).result
+    if cfg.strategy == "ivf":
+        return ivf_ops.search(index, queries, k, **kw)
+    return exact_top_k(queries, jobs, k, item_id="job_id", item_vec="title_vec", block_rows=cfg.block_rows,
+                       broadcast_limit_bytes=cfg.broadcast_limit_bytes, **kw)
+
+
+def work_folder(warehouse: str) -> str:
+    """Intermediate tables of one run; removed when its results are published."""
+    return os.path.join(warehouse, f"_work/{uuid.uuid4().hex}")
+
+
+def counted(df: DataFrame, **counts) -> tuple[DataFrame, Observation]:
+    """The frame with counters that are filled while it is written (once)."""
+    seen = Observation()
+    return df.observe(seen, *[c.alias(n) for n, c in counts.items()]), seen
+
+
+def observed_rows(spark: SparkSession, *seen: Observation) -> DataFrame:
+    """(metric, value) rows of the counters."""
+    return spark.createDataFrame([(n, int(v)) for s in seen for n, v in s.get.items()], "metric string, value bigint")
+
+
 def recommend(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchConfig,
               warehouse: str, index=None) -> RunResult:
-    """CV -> job lists (cascade by default, else plain top-k), published by keyed replace."""
-    queries = cvs.where(present("title_vec"))
+    """CV -> job lists (cascade by default, else plain top-k), published by keyed replace. The counters are observed while the
+    lists and the processed keys are written."""
+    queries, work = cvs.where(present("title_vec")), work_folder(warehouse)
     if cfg.strategy == "ivf" and index is None:
         index = shared_index(spark, jobs, cfg, warehouse)
     if cfg.use_cascade:
         corpus = jobs.where(present("title_vec"))
-        kw = {} if cfg.strategy == "ivf" else {"block_rows": cfg.block_rows,
-                                               "broadcast_limit_bytes": cfg.broadcast_limit_bytes}
-        cand = round1(queries, corpus, cfg.cascade_k1, strategy=cfg.strategy, index=index, **kw)
+        cand = title_search(queries, "cv_id", corpus, cfg.cascade_k1, cfg, index, "job_id", work).select(
+            "cv_id", "job_id", F.col("similarity").alias("title_sim"), F.col("rank").alias("r1"))
         if cfg.checkpoint_candidates:
             # The most expensive stage: keep its output as a table in the shared warehouse folder
             # so a lost executor in rounds 2-3 or the publish does not recompute the search.
-            cand = materialize(cand, os.path.join(warehouse, f"_round1_candidates/{uuid.uuid4().hex}"))
+            cand = materialize(cand, os.path.join(work, "round1"))
         recs = cascade(queries, corpus, k1=cfg.cascade_k1, k2=cfg.cascade_k2, k3=cfg.cascade_k3,
                        candidates=cand)
-    elif cfg.strategy == "ivf":
-        recs = ivf_ops.search(index, queries, cfg.top_k_jobs, query_id="cv_id", query_vec="title_vec",
-                              out_item="job_id")
     else:
-        recs = exact_top_k(queries, jobs, cfg.top_k_jobs, query_id="cv_id", query_vec="title_vec",
-                           item_id="job_id", item_vec="title_vec", block_rows=cfg.block_rows,
-                           broadcast_limit_bytes=cfg.broadcast_limit_bytes)
+        recs = title_search(queries, "cv_id", jobs, cfg.top_k_jobs, cfg, index, "job_id", work)
     edges = recs.select("cv_id", "job_id", "similarity", "rank", F.lit(cfg.as_of).alias("updated_at"))
+    edges, made = counted(edges, recommendations=F.count(F.lit(1)))
+    keys, done = counted(cvs.select("cv_id", present("title_vec").alias("_v")), cvs_processed=F.count(F.lit(1)), cvs_with_vector=F.count_if("_v"))
     base = os.path.join(warehouse, "recommend_jobs_for_cv")
-    publish_edges(spark, base, edges, "cv_id", processed_keys=cvs.select("cv_id"), keep_stale=cfg.keep_stale)
-    out = read_current(spark, base)
-    stats = cvs.agg(F.count(F.lit(1)).alias("cvs_processed"),
-                    F.count_if(present("title_vec")).alias("cvs_with_vector"))
-    return RunResult(recommendations=out, stats=stats)
+    publish_edges(spark, base, edges, "cv_id", processed_keys=keys, keep_stale=cfg.keep_stale)
+    if cfg.keep_stale:      # the processed keys are not written then
+        keys.write.format("noop").mode("overwrite").save()
+    remove_folder(spark, work)
+    return RunResult(recommendations=read_current(spark, base), stats=observed_rows(spark, made, done))
 
 
 def similar(spark: SparkSession, jobs: DataFrame, cfg: MatchConfig, warehouse: str, index=None) -> RunResult:
     """Job -> job neighbours (self excluded), published by keyed replace."""
-    corpus = jobs.where(present("title_vec"))
+    corpus, work = jobs.where(present("title_vec")), work_folder(warehouse)
     if cfg.strategy == "ivf":
         index = index or shared_index(spark, jobs, cfg, warehouse)
-        sims = ivf_ops.search(index, corpus, cfg.similar_top_k, query_id="job_id", query_vec="title_vec",
-                              out_item="similar_job_id", exclude_self=True)
-    else:
-        sims = exact_top_k(corpus, corpus, cfg.similar_top_k, query_id="job_id", query_vec="title_vec",
-                           item_id="job_id", item_vec="title_vec", out_item="similar_job_id",
-                           exclude_self=True, block_rows=cfg.block_rows,
-                           broadcast_limit_bytes=cfg.broadcast_limit_bytes)
+    sims = title_search(corpus, "job_id", corpus, cfg.similar_top_k, cfg, index, "similar_job_id", work, exclude_self=True)
     edges = sims.select("job_id", "similar_job_id", "similarity", "rank", F.lit(cfg.as_of).alias("updated_at"))
+    edges, made = counted(edges, similar_pairs=F.count(F.lit(1)))
+    keys, done = counted(jobs.select("job_id", present("title_vec").alias("_v")), jobs_processed=F.count(F.lit(1)), jobs_with_vector=F.count_if("_v"))
     base = os.path.join(warehouse, "similar_jobs")
-    publish_edges(spark, base, edges, "job_id", processed_keys=jobs.select("job_id"), keep_stale=cfg.keep_stale)
-    out = read_current(spark, base)
-    stats = jobs.agg(F.count(F.lit(1)).alias("jobs_processed"),
-                     F.count_if(present("title_vec")).alias("jobs_with_vector"))
-    return RunResult(similar=out, stats=stats)
+    publish_edges(spark, base, edges, "job_id", processed_keys=keys, keep_stale=cfg.keep_stale)
+    if cfg.keep_stale:
+        keys.write.format("noop").mode("overwrite").save()
+    remove_folder(spark, work)
+    return RunResult(similar=read_current(spark, base), stats=observed_rows(spark, made, done))
 
 
 def full_run(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchConfig,
@@ -112,13 +136,70 @@ def full_run(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchCon
     rec = next(r for r in results if r.recommendations is not None)
     sim = next(r for r in results if r.similar is not None)
     return RunResult(recommendations=rec.recommendations, similar=sim.similar,
-                     stats=run_stats(rec.stats, sim.stats, rec.recommendations, sim.similar))
+                     stats=rec.stats.unionByName(sim.stats))
 
 
-def run_stats(rec_stats: DataFrame, sim_stats: DataFrame, recs: DataFrame, sims: DataFrame) -> DataFrame:
-    """Counters as (metric, value) rows."""
-    return counter_rows([recs.agg(F.count(F.lit(1)).alias("recommendations")),
-                         sims.agg(F.count(F.lit(1)).alias("similar_pairs")), rec_stats, sim_stats])
+# ---------------------------------------------------------------- incremental runs
+def _entity_changes(spark: SparkSession, entities: DataFrame, key: str, base: str, work: str) -> tuple[DataFrame, DataFrame]:
+    """(changed ids, hashes now): what is new, changed or gone since the hashes stored at ``base``."""
+    now = materialize(entity_hashes(entities, key), os.path.join(work, f"hashes-{key}"))
+    before = read_current(spark, base, now.schema.simpleString()[7:-1].replace(":", " "))
+    return materialize(changed_ids(now, before), os.path.join(work, f"changed-{key}")), now
+
+
+def incremental_run(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchConfig, warehouse: str) -> RunResult:
+    """Both runs after some entities have changed: only lists that a change can reach are made and published again; the tables
+    equal those of a full run over the same entities. The first run makes every list.
+
+    ``stats``: lists and searches of each side. State: hashes of the entities and lists by title (with ``cfg.reserve`` rows behind
+    each) under ``_state``, written last, so a run that fails is repeated by the next."""
+    work, state = work_folder(warehouse), os.path.join(warehouse, "_state")
+    queries, corpus = cvs.where(present("title_vec")), jobs.where(present("title_vec"))
+    index = shared_index(spark, jobs, cfg, warehouse) if cfg.strategy == "ivf" else None
+    changed_cvs, cv_hashes = _entity_changes(spark, queries, "cv_id", os.path.join(state, "cvs"), work)
+    changed_jobs, job_hashes = _entity_changes(spark, corpus, "job_id", os.path.join(state, "jobs"), work)
+    k_cv = cfg.cascade_k1 if cfg.use_cascade else cfg.top_k_jobs
+    out, counters = {}, []
+    for name, own, key, changed, k, self_out in (("cv", queries, "cv_id", changed_cvs, k_cv, False),
+                                                 ("job", corpus, "job_id", changed_jobs, cfg.similar_top_k, True)):
+        id_type = dict(own.dtypes)[key]
+        schema = f"q {id_type}, item {dict(corpus.dtypes)['job_id']}, similarity double, rank int, floor double, floor_item {dict(corpus.dtypes)['job_id']}"
+        old = read_current(spark, os.path.join(state, f"lists-{name}"), schema)
+
+        def search(asked, n, key=key, self_out=self_out, name=name):
+            found = title_search(asked, key, corpus, n, cfg, index, "_item", os.path.join(work, f"search-{name}"), exclude_self=self_out)
+            return materialize(found.select(F.col(key).alias("q"), F.col("_item").alias("item"), "similarity", "rank"), os.path.join(work, f"found-{name}"))
+
+        upd = update_lists(old, own, corpus, changed, changed_jobs, k=k, reserve=cfg.reserve, query_id=key, query_vec="title_vec", item_id="job_id",
+                           item_vec="title_vec", exclude_self=self_out, search=search,
+                           keep=lambda df, what, name=name: materialize(df, os.path.join(work, f"{name}-{what}")))
+        lists = materialize(upd.lists, os.path.join(work, f"{name}-lists"))
+        touched = materialize(upd.touched, os.path.join(work, f"{name}-touched"))
+        counters += [touched.join(own.select(F.col(key).alias("q")), "q", "left_semi").agg(F.count(F.lit(1)).alias(f"{name}_lists_made")),
+                     upd.searched.agg(F.count(F.lit(1)).alias(f"{name}_lists_searched")),
+                     own.agg(F.count(F.lit(1)).alias(f"{name}_lists"))]
+        out[name] = (lists, touched)
+    stats = counter_rows(counters)
+    stats = spark.createDataFrame(stats.collect(), stats.schema)      # a handful of counters; their tables go with the run
+    lists, touched = out["cv"]
+    best = lists.where(F.col("rank") <= k_cv).select(F.col("q").alias("cv_id"), F.col("item").alias("job_id"), "similarity", "rank")
+    if cfg.use_cascade:
+        recs = cascade(queries, corpus, k1=cfg.cascade_k1, k2=cfg.cascade_k2, k3=cfg.cascade_k3,
+                       candidates=best.withColumnsRenamed({"similarity": "title_sim", "rank": "r1"}))
+    else:
+        recs = best
+    stamp = F.lit(cfg.as_of).alias("updated_at")
+    rec_base, sim_base = os.path.join(warehouse, "recommend_jobs_for_cv"), os.path.join(warehouse, "similar_jobs")
+    publish_edges(spark, rec_base, recs.select("cv_id", "job_id", "similarity", "rank", stamp), "cv_id", processed_keys=touched.withColumnRenamed("q", "cv_id"))
+    publish_edges(spark, os.path.join(state, "lists-cv"), lists, "q", processed_keys=touched)
+    lists, touched = out["job"]
+    sims = lists.where(F.col("rank") <= cfg.similar_top_k).select(F.col("q").alias("job_id"), F.col("item").alias("similar_job_id"), "similarity", "rank", stamp)
+    publish_edges(spark, sim_base, sims, "job_id", processed_keys=touched.withColumnRenamed("q", "job_id"))
+    publish_edges(spark, os.path.join(state, "lists-job"), lists, "q", processed_keys=touched)
+    for name, hashes, changed in (("cvs", cv_hashes, changed_cvs), ("jobs", job_hashes, changed_jobs)):
+        publish_edges(spark, os.path.join(state, name), hashes.join(changed, "id", "left_semi"), "id", processed_keys=changed)
+    remove_folder(spark, work)
+    return RunResult(recommendations=read_current(spark, rec_base), similar=read_current(spark, sim_base), stats=stats)
 
 
 def counter_rows(parts: list[DataFrame]) -> DataFrame:

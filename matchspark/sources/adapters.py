@@ -3,7 +3,7 @@
 The reference's own data is not available, so CVs and jobs are derived from ``embeddings``
 (``vec_id`` runs 0..n-1). Every embedding row is both a CV and a job; the other vector fields
 and the attributes come from fixed rules so that absent vectors, inactive and expired jobs
-and non-main CVs all occur. The same rules are written in SQL in ``plans/oracle.py``.
+and non-main CVs all occur. The same rules are written in SQL in ``plans/sqlparts.py``.
 
 Fixed rules (shared with the oracle SQL):
   experience_vec / requirement_vec = embedding((7*id + 3) % n)
@@ -27,8 +27,15 @@ from matchspark.sources.tables import read_table
 AS_OF = _dt.datetime(2024, 6, 1)
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edited_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings after an edit: about one in a hundred is reversed (fixed rule, shared with the oracle SQL)."""
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    return emb.withColumn("embedding", F.when(F.col("vec_id") % 97 == 0, F.reverse("embedding")).otherwise(F.col("embedding")))
+
+
+def _vectors(spark: SparkSession, sf_dir: str, emb: DataFrame | None = None) -> DataFrame:
+    if emb is None:
+        emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     n = emb.count()  # one scalar; needed by the partner rules
     base = emb.select(
         F.col("vec_id").alias("id"),
@@ -42,8 +49,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(pe, "p_exp", "left").join(ps, "p_skl", "left").drop("p_exp", "p_skl")
 
 
-def cv_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
+def cv_view(spark: SparkSession, sf_dir: str, emb: DataFrame | None = None) -> DataFrame:
+    v = _vectors(spark, sf_dir, emb)
     i = F.col("id")
     return v.select(
         i.alias("cv_id"),
@@ -55,8 +62,8 @@ def cv_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def job_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
+def job_view(spark: SparkSession, sf_dir: str, emb: DataFrame | None = None) -> DataFrame:
+    v = _vectors(spark, sf_dir, emb)
     i = F.col("id")
     return v.select(
         i.alias("job_id"),

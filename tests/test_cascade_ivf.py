@@ -116,13 +116,100 @@ def test_ivf_small_corpora(spark, n):
     assert counts == ({i: min(5, n) for i in range(25)} if n else {}) or n == 25
 
 
-def test_ivf_other_dimensions_are_left_out(spark):
-    rows = [(i, [1.0, float(i), 0.5]) for i in range(40)] + [(100 + i, [1.0, 2.0]) for i in range(5)]
+def test_ivf_other_dimensions_are_searched_among_themselves(spark, tmp_path):
+    rows = [(i, [1.0, float(i), 0.5]) for i in range(40)] + [(100 + i, [1.0, float(i)]) for i in range(5)]
     jobs = spark.createDataFrame(rows, "job_id long, title_vec array<float>")
-    idx = ivf_ops.build_index(jobs, "job_id", "title_vec")
-    got = ivf_ops.search(idx, jobs.withColumnRenamed("job_id", "cv_id"), 3, query_id="cv_id", query_vec="title_vec", out_item="job_id")
-    ids = {(r["cv_id"], r["job_id"]) for r in got.collect()}
-    assert ids and all(a < 100 and b < 100 for a, b in ids)
+    q = jobs.withColumnRenamed("job_id", "cv_id")
+    want = _found(exact_top_k(q, jobs, 3, query_id="cv_id", query_vec="title_vec", item_id="job_id", item_vec="title_vec"))
+    kw = dict(query_id="cv_id", query_vec="title_vec", out_item="job_id")
+    for idx in (ivf_ops.build_index(jobs, "job_id", "title_vec"), ivf_ops.load_or_build(jobs, "job_id", "title_vec", str(tmp_path / "i"))[0]):
+        assert _found(ivf_ops.search(idx, q, 3, nprobe=100, **kw)) == want
+        assert _found(ivf_ops.search_bounded(idx, q, 3, **kw).result) == want
+
+
+def _found(df):
+    return sorted((r["cv_id"], r["job_id"], r["rank"], round(r["similarity"], 9)) for r in df.collect())
+
+
+def _clustered(spark, n=1500, d=16, groups=30, seed=5, noise=0.05):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, d))
+    rows = [(i, [float(x) for x in centres[i % groups] + noise * rng.normal(size=d)]) for i in range(n)]
+    return spark.createDataFrame(rows + [(n, [0.0] * d), (n + 1, None)], "job_id long, title_vec array<float>")
+
+
+@pytest.mark.parametrize("k", [5, 60, 3000])
+def test_bounded_search_equals_exact_and_reads_few_cells(spark, k):
+    jobs = _clustered(spark)
+    q = jobs.where("job_id % 10 = 0").withColumnRenamed("job_id", "cv_id")       # one query is the zero vector
+    idx = ivf_ops.build_index(jobs, "job_id", "title_vec", nlist=30, calibrate=False, split_rows=64)
+    got = ivf_ops.search_bounded(idx, q, k, query_id="cv_id", query_vec="title_vec", out_item="job_id")
+    want = exact_top_k(q, jobs, k, query_id="cv_id", query_vec="title_vec", item_id="job_id", item_vec="title_vec")
+    assert _found(got.result) == _found(want)
+    read = got.read.where("cv_id <> 1500").agg(F.avg("rows")).first()[0]
+    assert read <= (400 if k == 5 else 1501)
+
+
+def test_bounded_search_of_a_corpus_without_structure(spark):
+    jobs = _corpus(spark, n=400)
+    q = jobs.withColumnRenamed("job_id", "cv_id")
+    idx = ivf_ops.build_index(jobs, "job_id", "title_vec", nlist=40, calibrate=False)
+    got = ivf_ops.search_bounded(idx, q, 3, query_id="cv_id", query_vec="title_vec", out_item="job_id", growth=2, exclude_self=True)
+    want = exact_top_k(q, jobs, 3, query_id="cv_id", query_vec="title_vec", item_id="job_id", item_vec="title_vec", exclude_self=True)
+    assert _found(got.result) == _found(want)
+    empty = ivf_ops.build_index(jobs.where("false"), "job_id", "title_vec")
+    assert ivf_ops.search_bounded(empty, q, 3, query_id="cv_id", query_vec="title_vec", out_item="job_id").result.count() == 0
+
+
+def test_tree_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(ivf_ops, "TREE_CELLS", 20)
+    jobs = _clustered(spark, groups=60)
+    idx = ivf_ops.build_index(jobs, "job_id", "title_vec", nlist=60, nprobe=4)
+    assert 50 <= idx.nlist <= 70 and int(idx.bounds[:, 0].sum()) == 1501
+    q = jobs.where("job_id % 10 = 0 and job_id < 1500").withColumnRenamed("job_id", "cv_id")
+    kw = dict(query_id="cv_id", query_vec="title_vec")
+    want = set(x[:2] for x in _found(exact_top_k(q, jobs, 10, item_id="job_id", item_vec="title_vec", **kw)))
+    got = set(x[:2] for x in _found(ivf_ops.search(idx, q, 10, out_item="job_id", **kw)))
+    assert len(want & got) / len(want) >= 0.95                      # while 4 of about 60 cells are read
+    assert set(x[:2] for x in _found(ivf_ops.search_bounded(idx, q, 10, out_item="job_id", **kw).result)) == want
+
+
+def test_cells_grow_with_the_corpus():
+    assert [ivf_ops.effective_nlist(n, None) for n in (5, 1000, 10_000, 10**8)] == [1, 100, 400, 40_000]
+
+
+def test_index_deltas_equal_a_rebuilt_index(spark, tmp_path):
+    jobs, path = _clustered(spark, n=600), str(tmp_path / "idx")
+    kw = dict(nlist=20, calibrate=False)
+    ivf_ops.load_or_build(jobs, "job_id", "title_vec", path, **kw)
+    steps = [jobs.where("job_id % 50 <> 3"),                                            # deleted
+             jobs.where("job_id % 50 <> 3").withColumn("title_vec", F.when(F.col("job_id") % 40 == 1, F.reverse("title_vec")).otherwise(F.col("title_vec"))),
+             jobs.where("job_id % 50 <> 3").unionByName(spark.createDataFrame([(9000 + i, [float(i % 3)] * 16) for i in range(9)] + [(9100, [1.0, 2.0])], jobs.schema))]
+    for n, now in enumerate(steps, 2):
+        idx, reused = ivf_ops.load_or_build(now, "job_id", "title_vec", path, **kw)
+        assert not reused and len(ivf_ops.current_version(spark, path)[1]["ids"]) == n  # one more delta, no rebuild
+        q = now.withColumnRenamed("job_id", "cv_id")
+        ask = dict(query_id="cv_id", query_vec="title_vec")
+        want = _found(exact_top_k(q, now, 4, item_id="job_id", item_vec="title_vec", **ask))
+        assert _found(ivf_ops.search_bounded(idx, q, 4, out_item="job_id", **ask).result) == want
+        assert ivf_ops.load_or_build(now, "job_id", "title_vec", path, **kw)[1]
+    idx, reused = ivf_ops.load_or_build(now.where("job_id < 300"), "job_id", "title_vec", path, **kw)
+    assert not reused and len(ivf_ops.current_version(spark, path)[1]["ids"]) == 1      # too much has changed: built anew
+
+
+def test_other_settings_are_another_index(spark, tmp_path):
+    jobs, path = _corpus(spark, n=200), str(tmp_path / "idx")
+    ivf_ops.load_or_build(jobs, "job_id", "title_vec", path, nlist=10, nprobe=1)
+    idx, reused = ivf_ops.load_or_build(jobs, "job_id", "title_vec", path, nlist=15, nprobe=15)
+    assert not reused and (idx.nlist, idx.nprobe) == (15, 15)
+
+
+def test_fingerprint_sees_repeated_rows(spark):
+    one = _corpus(spark, n=20)
+    more = one.unionByName(one.where("job_id = 3")).unionByName(one.where("job_id = 3"))
+    other = one.unionByName(one.where("job_id = 4")).unionByName(one.where("job_id = 4"))
+    fp = [ivf_ops.corpus_fingerprint(x, "job_id", "title_vec") for x in (one, more, other)]
+    assert len(set(fp)) == 3
 
 
 def test_effective_nlist():
@@ -181,7 +268,7 @@ def test_aborted_index_write_leaves_the_old_one(spark, tmp_path, monkeypatch):
         raise RuntimeError("stopped before the new index is current")
 
     with monkeypatch.context() as m:
-        m.setattr(ivf_ops, "commit_snapshot", fail)
+        m.setattr(ivf_ops, "commit_version", fail)
         with pytest.raises(RuntimeError):
             ivf_ops.load_or_build(jobs.where("job_id > 5"), "job_id", "title_vec", path, nlist=4)
     assert ivf_ops.load_index(spark, path).fingerprint == tuple(idx.fingerprint)
