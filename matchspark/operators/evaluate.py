@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.functions.vector import dot
+from matchspark.operators.relevance import jaccard, skill_match, string_similarity, title_rule_label, word_set  # noqa: F401
 
 
 def _dcg_term(rank: Column) -> Column:
@@ -102,31 +103,6 @@ def interaction_rates(recs: DataFrame, events: DataFrame, keys: list[str], kind:
         (F.col("applies") / F.col("impressions")).alias("apply_rate"))
 
 
-def word_set(text: Column) -> Column:
-    """Distinct lower-case word tokens (letters, digits, underscore)."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\pL\pN_]+"),
-                                     lambda w: w != ""))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    inter = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - inter
-    return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
-
-
-def string_similarity(a: Column, b: Column, threshold: int | None = None) -> Column:
-    """1 - levenshtein / max length (for short texts such as titles)."""
-    d = F.levenshtein(a, b, threshold) if threshold is not None else F.levenshtein(a, b)
-    mx = F.greatest(F.length(a), F.length(b))
-    return F.when(mx > 0, F.lit(1.0) - d / mx).otherwise(F.lit(1.0))
-
-
-def title_rule_label(parts: list[Column], threshold: float = 0.6) -> Column:
-    """Title part of the rule label: mean of the given similarity parts above the threshold."""
-    mean = sum(parts[1:], parts[0]) / F.lit(float(len(parts)))
-    return mean > F.lit(threshold)
-
-
 def hash_number(*parts: Column) -> Column:
     """The first 60 bits of md5 over the parts joined by ``:``, as a long."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")
@@ -171,56 +147,3 @@ def tfidf_vectors(df: DataFrame, text: str, out: str, num_features: int = 1024)
     ])
     model = pipe.fit(src)
     return model.transform(src).withColumn(out, vector_to_array("_n", "float32")).drop("_t", "_tok", "_tf", "_idf", "_n")
-
-
-# Skill match levels of the rule labels (best level of each job skill over the CV's skills).
-SKILL_LEVELS = {"exact": 5, "synonym": 4, "pattern": 3, "partial": 2, "category": 1, "none": 0}
-
-
-def _level(c: Column, j: Column, synonyms: Column | None, categories: Column | None) -> Column:
-    """Level of one (cv skill, job skill) pair; both already lower-cased and stripped."""
-    word = lambda a, b: F.regexp_like(a, F.concat(F.lit(r"(^|[^\pL\pN_])\Q"), b, F.lit(r"\E($|[^\pL\pN_])")))
-    expr = F.when(c == j, F.lit(5))
-    if synonyms is not None:
-        expr = expr.when(F.array_contains(synonyms, F.concat_ws("\u0001", c, j))
-                         | F.array_contains(synonyms, F.concat_ws("\u0001", j, c)), F.lit(4))
-    # A whole-word hit implies a substring hit: test the cheap substring first, regex only then.
-    contained = c.contains(j) | j.contains(c)
-    expr = expr.when(contained & (word(c, j) | word(j, c)), F.lit(3)).when(contained, F.lit(2))
-    if categories is not None:
-        cat_c = F.try_element_at(categories, c)
-        expr = expr.when(cat_c.isNotNull() & (cat_c == F.try_element_at(categories, j)), F.lit(1))
-    return expr.otherwise(F.lit(0))
-
-
-def skill_match(pairs: DataFrame, cv_skills: DataFrame, job_skills: DataFrame, *,
-                synonyms: list[tuple[str, str]] | None = None, categories: dict[str, str] | None = None,
-                min_level: int = 3) -> DataFrame:
-    """Per (cv_id, job_id): number of job skills, best level per job skill summarised as
-    ``best_level``, ``n_matched`` (job skills matched at >= ``min_level``) and ``skills_match``.
-
-    A pair costs (CV skills) x (job skills) tests, done with higher-order functions on the two arrays (no
-    exploded pairs). ``synonyms`` and ``categories`` are small dictionaries inlined as literals.
-    """
-    from matchspark.functions.text import py_strip
-
-    norm = lambda s: F.lower(py_strip(s))
-    cs = cv_skills.groupBy("cv_id").agg(F.collect_set(norm(F.col("skill"))).alias("cs"))
-    js = job_skills.groupBy("job_id").agg(F.collect_set(norm(F.col("skill"))).alias("js"))
-    syn = F.array(*[F.lit(f"{a.lower()}\u0001{b.lower()}") for a, b in synonyms]) if synonyms else None
-    cat = None
-    if categories:
-        kv = []
-        for k, v in categories.items():
-            kv += [F.lit(k.lower()), F.lit(v)]
-        cat = F.create_map(*kv)
-    p = pairs.select("cv_id", "job_id").join(cs, "cv_id", "left").join(js, "job_id", "left") \
-        .withColumn("cs", F.coalesce("cs", F.array().cast("array<string>"))) \
-        .withColumn("js", F.coalesce("js", F.array().cast("array<string>")))
-    best = F.transform("js", lambda j: F.aggregate(F.transform("cs", lambda c: _level(c, j, syn, cat)),
-                                                   F.lit(0), lambda a, x: F.greatest(a, x)))
-    return p.select(
-        "cv_id", "job_id", F.size("js").alias("n_job_skills"),
-        F.coalesce(F.array_max(best), F.lit(0)).alias("best_level"),
-        F.size(F.filter(best, lambda x: x >= min_level)).alias("n_matched"),
-    ).withColumn("skills_match", F.col("n_matched") > 0)

@@ -26,15 +26,15 @@ from matchspark.operators.topk import exact_top_k, rank_top_k
 LIST = ["q", "item", "similarity", "rank", "floor", "floor_item"]
 
 
-def entity_hashes(entities: DataFrame, key: str) -> DataFrame:
-    """(id, h): a hash over all columns of an entity, to tell changed ones."""
-    return entities.select(F.col(key).alias("id"), F.xxhash64(*[c for c in entities.columns if c != key]).alias("h"))
+def entity_hashes(entities: DataFrame, key: str, title: str = "title_vec") -> DataFrame:
+    """(id, title, h): hashes of an entity's title vector and of all its columns, to tell what changed."""
+    return entities.select(F.col(key).alias("id"), F.xxhash64(title).alias("title"), F.xxhash64(*[c for c in entities.columns if c != key]).alias("h"))
 
 
-def changed_ids(now: DataFrame, before: DataFrame) -> DataFrame:
-    """Ids that are new, changed or gone between two tables of (id, h)."""
-    return (now.join(before.withColumnRenamed("h", "_before"), "id", "full")
-            .where(~F.col("h").eqNullSafe(F.col("_before"))).select("id"))
+def changed_ids(now: DataFrame, before: DataFrame, h: str = "h") -> DataFrame:
+    """Ids that are new, changed (in the hash ``h``) or gone between two tables of hashes."""
+    return (now.select("id", F.col(h).alias("_now")).join(before.select("id", F.col(h).alias("_before")), "id", "full")
+            .where(~F.col("_now").eqNullSafe(F.col("_before"))).select("id"))
 
 
 def with_floor(lists: DataFrame, k: int) -> DataFrame:

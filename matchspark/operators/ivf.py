@@ -116,31 +116,45 @@ def probe_cells_udf(centroids: np.ndarray, nprobe: int):
     return probe
 
 
-def train_centroids(corpus: DataFrame, vec: str, nlist: int, seed: int = 42,
-                    max_iter: int = 20) -> np.ndarray:
-    """Cosine k-means over the unit vectors (Spark ML, distributed). Zero vectors are left out
-    of training (cosine k-means rejects them) and later land in the cell they score best."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    feats = corpus.where(present(vec) & (dot(vec, vec) > 0)).select(
-        array_to_vector(l2_normalize(vec)).alias("features"))
-    # Random initial centroids drawn from the training vectors (as classic IVF training does).
-    km = KMeans(k=nlist, distanceMeasure="cosine", seed=seed, maxIter=max_iter, featuresCol="features",
-                initMode="random")
-    model = km.fit(feats)
-    return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()], dtype=np.float64)
+def _kmeans(x: np.ndarray, k: int, max_iter: int) -> np.ndarray:
+    """Cosine k-means of unit rows; starts from the first ``k`` (the caller orders them by a seeded draw)."""
+    c = x[:k].copy()
+    for _ in range(max_iter):
+        best = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, best, x)
+        moved = np.where(np.bincount(best, minlength=len(c))[:, None] > 0, _unit(sums), c)
+        if np.allclose(moved, c):
+            break
+        c = moved
+    return c
+
+
+def _drawn(corpus: DataFrame, id_col: str, vec: str, seed: int) -> DataFrame:
+    """(_v, _draw): vectors with a direction and a number in [0, 1) from a seeded hash of the id. Zero vectors have no part
+    in training; they later land in the cell they score best."""
+    draw = F.pmod(F.xxhash64(F.lit("train"), F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return corpus.where(present(vec) & (dot(vec, vec) > 0)).select(F.col(vec).alias("_v"), draw.alias("_draw"))
+
+
+def train_centroids(corpus: DataFrame, id_col: str, vec: str, nlist: int, n: int, seed: int = 42, max_iter: int = 20) -> np.ndarray:
+    """Cosine k-means of up to ``TREE_CELLS`` cells over a bounded sample (about ``BRANCH_ROWS`` rows at most) in one task."""
+    rows = _drawn(corpus, id_col, vec, seed).where(F.col("_draw") < min(1.0, BRANCH_ROWS / max(1, n)))
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(np.stack(pdf.sort_values("_draw")["_v"].to_numpy()))
+        return pd.DataFrame({"c": _kmeans(x, nlist, max_iter).tolist()})
+
+    found = rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(train, "c array<double>").toPandas()
+    return np.array(found["c"].tolist(), dtype=np.float64).reshape(len(found), -1)
 
 
 def train_tree(corpus: DataFrame, id_col: str, vec: str, cells: int, n: int, seed: int = 42, max_iter: int = 10) -> np.ndarray:
     """Two-level quantiser of about ``cells`` centroids: branches by k-means over a bounded sample, then the cells of each branch (their number
     by the branch's share of the rows) by cosine k-means over at most ``BRANCH_ROWS`` of its rows, one task per branch.
     Only counts per branch and the centroids (a number that grows with the square root of the corpus) reach the driver."""
-    rows = corpus.where(present(vec) & (dot(vec, vec) > 0)).select(F.col(id_col).alias("_id"), F.col(vec).alias("_v"))
-    draw = F.pmod(F.xxhash64(F.lit("tree"), F.lit(seed), "_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    k1 = max(2, math.ceil(math.sqrt(cells)))
-    top = train_centroids(rows.where(draw < min(1.0, BRANCH_ROWS / max(1, n))), "_v", k1, seed)
-    branched = rows.select("_v", draw.alias("_draw"), assign_cell_udf(top)(F.col("_v")).alias("branch"))
+    top = train_centroids(corpus, id_col, vec, max(2, math.ceil(math.sqrt(cells))), n, seed)
+    branched = _drawn(corpus, id_col, vec, seed).select("_v", "_draw", assign_cell_udf(top)(F.col("_v")).alias("branch"))
     sizes = {r["branch"]: r["count"] for r in branched.groupBy("branch").count().collect()}     # k1 rows
     total = sum(sizes.values())
     wanted = {b: max(1, round(cells * c / total)) for b, c in sizes.items()}
@@ -149,12 +163,7 @@ def train_tree(corpus: DataFrame, id_col: str, vec: str, cells: int, n: int, see
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         branch = int(pdf["branch"].iloc[0])
         x = _unit(np.stack(pdf.sort_values("_draw")["_v"].to_numpy()))
-        c = x[:wanted[branch]].copy()                       # the rows of the smallest draws: random and repeatable
-        for _ in range(max_iter):
-            best = (x @ c.T).argmax(axis=1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, best, x)
-            c = np.where(np.bincount(best, minlength=len(c))[:, None] > 0, _unit(sums), c)
+        c = _kmeans(x, wanted[branch], max_iter)
         return pd.DataFrame({"branch": branch, "pos": range(len(c)), "c": c.tolist()})
 
     found = (branched.where(F.col("_draw") < share(F.col("branch"))).groupBy("branch")
@@ -298,7 +307,8 @@ def build_index(corpus: DataFrame, id_col: str, vec: str, *, nlist: int | None =
         elif n_eff > TREE_CELLS:
             centroids = train_tree(usable, id_col, vec, n_eff, n, seed)
         else:
-            centroids = train_centroids(usable, vec, n_eff, seed)
+            centroids = train_centroids(usable, id_col, vec, n_eff, n, seed)
+            centroids = np.zeros((1, dim)) if not len(centroids) else centroids     # zero vectors only
     else:
         dim, n = int(centroids.shape[1]), fp[0]
         usable = rows.where(F.size(vec) == dim)

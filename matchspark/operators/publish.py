@@ -205,7 +205,9 @@ def append_rows(df: DataFrame, base: str) -> int:
 
 # ---------------------------------------------------------------- tables in buckets
 #: rows a bucket holds when a table is first written, and bounds of the number of buckets
-BUCKET_ROWS, FEWEST_BUCKETS, MOST_BUCKETS = 250_000, 16, 4096
+BUCKET_ROWS, FEWEST_BUCKETS, MOST_BUCKETS = 250_000, 4, 4096
+#: a table with a bucket of more bytes is cut into four times as many by the next replace that writes it
+MOST_BUCKET_BYTES = 512 << 20
 MOST_TRIES = 20
 
 
@@ -248,7 +250,12 @@ def _write_buckets(spark: SparkSession, r: Replace, buckets: int | None = None)
         base, n = dict(content), content["buckets"]
         found = keys.select(bucket_of(r.key, n).alias("b")).unionByName(new.select(bucket_of(r.key, n).alias("b"))).distinct().collect()
         r.touched = {x["b"] for x in found}                     # no more than there are buckets
-        old = read_version(spark, r.base, content, r.touched)
+        if n < MOST_BUCKETS and any(_bytes(spark, r.base, content, b) > MOST_BUCKET_BYTES for b in r.touched):
+            n = min(MOST_BUCKETS, 4 * n)
+            base, r.touched = base | {"buckets": n, "of": {}}, set(range(n))
+            old = read_version(spark, r.base, content)
+        else:
+            old = read_version(spark, r.base, content, r.touched)
     columns = [f["name"] for f in json.loads(base["schema"])["fields"]]
     rows = new.select(*columns) if old is None else old.join(keys, r.key, "left_anti").select(*columns).unionByName(new.select(*columns))
     own, of = uuid.uuid4().hex, {b: i for b, i in base["of"].items() if int(b) not in r.touched}
@@ -263,6 +270,14 @@ def _write_buckets(spark: SparkSession, r: Replace, buckets: int | None = None)
     return r
 
 
+def _bytes(spark: SparkSession, base: str, content: dict, bucket: int) -> int:
+    own = content["of"].get(str(bucket))
+    if own is None:
+        return 0
+    fs, path = _fs(spark, os.path.join(base, "data", own, f"bucket={bucket}"))
+    return fs.getContentSummary(path).getLength()
+
+
 def commit_replace(spark: SparkSession, r: Replace) -> tuple[int, int]:
     """(version, buckets written). If other writers were first, their version is the new base; only
     if they wrote a bucket that this replace writes too are the buckets merged again."""

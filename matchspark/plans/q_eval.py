@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from matchspark.functions.vector import l2_normalize
 from matchspark.operators import evaluate as ev
 from matchspark.operators.cascade import cascade
+from matchspark.operators.relevance import relevant_pairs
 from matchspark.operators.topk import exact_top_k
 from matchspark.plans.catalog import register
 from matchspark.plans.q_search import active_job_df, main_cv_df
-from matchspark.plans.sqlparts import cascade_ctes, dot, present, with_views
+from matchspark.plans.sqlparts import cascade_ctes, cos, dot, present, with_views
 from matchspark.sources.tables import read_table
 
 KS = [5, 10]
@@ -236,42 +237,140 @@ def q_tfidf_baseline(spark, sf):
                        out_item="similar_doc_id", exclude_self=True)
 
 
+# ---------------------------------------------------------------- rule labels
+# Fixed rules (shared with the SQL): a job asks for the part names of its order; a CV lists, by the key of the part, the name, its
+# first word or the name without its last letter; names of one colour or size whose things are in a chain of synonyms
+# are synonyms; the category of a skill is its last word.
+SYNONYM_THINGS = [("ring", "gizmo"), ("gizmo", "widget")]
 
-def _customer_part_skills(spark, sf):
-    o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey"])
+
+def _lines(spark, sf):
     li = read_table(spark, sf, "lineitem", ["l_orderkey", "l_partkey"])
     p = read_table(spark, sf, "part", ["p_partkey", "p_name"])
-    lines = li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey)
-    job_sk = lines.select(F.col("o_orderkey").alias("job_id"), F.col("p_name").alias("skill")).distinct()
-    cv_all = lines.groupBy(F.col("o_custkey").alias("cv_id")).agg(F.collect_set("p_name").alias("s"))
-    cv_sk = cv_all.select("cv_id", F.explode("s").alias("skill"))
-    pairs = o.select(F.col("o_custkey").alias("cv_id"), F.col("o_orderkey").alias("job_id"))
-    return pairs, cv_sk, job_sk
-
-
-@register("skill_match_levels", r"""
-WITH lines AS (
-  SELECT o.o_orderkey, o.o_custkey, p.p_name FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey
-  JOIN orders o ON o.o_orderkey = l.l_orderkey),
-cs AS (SELECT o_custkey AS cv_id, list_distinct(list(lower(p_name))) AS cs0 FROM lines GROUP BY o_custkey),
-cs2 AS (SELECT cv_id, cs0 AS cs FROM cs),
-js AS (SELECT o_orderkey AS job_id, list_distinct(list(lower(p_name))) AS js FROM lines GROUP BY o_orderkey),
-pr AS (SELECT o.o_custkey AS cv_id, o.o_orderkey AS job_id, coalesce(c.cs, []) AS cs, coalesce(j.js, []) AS js
-       FROM orders o LEFT JOIN cs2 c ON c.cv_id = o.o_custkey LEFT JOIN js j ON j.job_id = o.o_orderkey),
-lv AS (
-  SELECT cv_id, job_id, js, list_transform(js, lambda j: coalesce(list_max(list_transform(cs, lambda c:
-           CASE WHEN c = j THEN 5
-                WHEN NOT (contains(c, j) OR contains(j, c)) THEN 0
-                WHEN regexp_matches(c, '(^|[^\pL\pN_])\Q' || j || '\E($|[^\pL\pN_])')
-                  OR regexp_matches(j, '(^|[^\pL\pN_])\Q' || c || '\E($|[^\pL\pN_])') THEN 3
-                ELSE 2 END)), 0)) AS best
-  FROM pr)
-SELECT cv_id, job_id, CAST(len(js) AS INTEGER) AS n_job_skills, CAST(coalesce(list_max(best), 0) AS INTEGER) AS best_level,
-       CAST(len(list_filter(best, lambda x: x >= 3)) AS INTEGER) AS n_matched,
-       len(list_filter(best, lambda x: x >= 3)) > 0 AS skills_match
-FROM lv""")
+    return li.join(p, li.l_partkey == p.p_partkey)
+
+
+def cv_skill(key, name):
+    return F.when(key % 3 == 0, name).when(key % 3 == 1, F.split_part(name, F.lit(" "), F.lit(1))).otherwise(F.expr("left(p_name, length(p_name) - 1)"))
+
+
+def synonym_table(spark, sf):
+    names = read_table(spark, sf, "part", ["p_name"]).distinct().select(
+        "p_name", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("kind"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("thing"))
+    chain = spark.createDataFrame(SYNONYM_THINGS, "thing string, other string")
+    return (names.join(chain, "thing").join(names.select(F.col("p_name").alias("b"), "kind", F.col("thing").alias("other")), ["kind", "other"])
+            .select(F.col("p_name").alias("a"), "b"))
+
+
+def category_table(spark, sf):
+    return read_table(spark, sf, "part", ["p_name"]).distinct().select(F.col("p_name").alias("skill"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("category"))
+
+
+_CHAIN = " OR ".join(f"(a.thing = '{x}' AND b.thing = '{y}')" for x, y in SYNONYM_THINGS)
+SKILL_CTES = [
+    "names AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS kind, split_part(p_name, ' ', 2) AS thing FROM part)",
+    f"syn AS (SELECT a.p_name AS a, b.p_name AS b FROM names a JOIN names b ON a.kind = b.kind AND ({_CHAIN}))",
+    """reach(a, b) AS (
+  SELECT a, b FROM (SELECT a, b FROM syn UNION SELECT b, a FROM syn)
+  UNION SELECT r.a, s.b FROM reach r JOIN (SELECT a, b FROM syn UNION SELECT b, a FROM syn) s ON s.a = r.b)""",
+    """skl AS (SELECT l_orderkey, lower(p_name) AS job_skill, lower(CASE l_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 1)
+                ELSE left(p_name, length(p_name) - 1) END) AS cv_skill FROM lineitem JOIN part ON p_partkey = l_partkey)"""]
+
+
+def _level_sql(c: str, j: str) -> str:
+    """Grade of a CV skill and a job skill."""
+    return rf"""CASE WHEN {c} = {j} THEN 5 WHEN EXISTS (SELECT 1 FROM reach WHERE reach.a = {c} AND reach.b = {j}) THEN 4
+         WHEN (contains({c}, {j}) OR contains({j}, {c})) AND (regexp_matches({c}, '(^|[^\pL\pN_])\Q' || {j} || '\E($|[^\pL\pN_])')
+           OR regexp_matches({j}, '(^|[^\pL\pN_])\Q' || {c} || '\E($|[^\pL\pN_])')) THEN 3
+         WHEN contains({c}, {j}) OR contains({j}, {c}) THEN 2
+         WHEN EXISTS (SELECT 1 FROM names x JOIN names y ON x.thing = y.thing WHERE x.p_name = {c} AND y.p_name = {j}) THEN 1 ELSE 0 END"""
+
+
+@register("skill_match_levels", "WITH RECURSIVE " + ",\n".join(SKILL_CTES) + f""",
+cs AS (SELECT DISTINCT o_custkey AS cv_id, cv_skill FROM skl JOIN orders ON o_orderkey = l_orderkey),
+js AS (SELECT DISTINCT l_orderkey AS job_id, job_skill FROM skl),
+vocabulary AS (SELECT c.cv_skill, j.job_skill FROM (SELECT DISTINCT cv_skill FROM cs) c, (SELECT DISTINCT job_skill FROM js) j),
+grade AS (SELECT cv_skill, job_skill, {_level_sql('cv_skill', 'job_skill')} AS level FROM vocabulary),
+per AS (
+  SELECT o.o_custkey AS cv_id, o.o_orderkey AS job_id, js.job_skill, coalesce(max(g.level), 0) AS level
+  FROM orders o JOIN js ON js.job_id = o.o_orderkey LEFT JOIN cs ON cs.cv_id = o.o_custkey
+  LEFT JOIN grade g ON g.cv_skill = cs.cv_skill AND g.job_skill = js.job_skill GROUP BY ALL)
+SELECT o_custkey AS cv_id, o_orderkey AS job_id, count(job_skill)::INTEGER AS n_job_skills, coalesce(max(level), 0)::INTEGER AS best_level,
+       (count(*) FILTER (WHERE level >= 3))::INTEGER AS n_matched, count(*) FILTER (WHERE level >= 3) > 0 AS skills_match
+FROM orders LEFT JOIN per ON per.job_id = o_orderkey GROUP BY ALL""")
 def q_skill_match_levels(spark, sf):
-    """Skill part of the rule labels for (customer CV, each of its orders as a job): CV skills =
-    the part names the customer ever ordered, job skills = the order's part names."""
-    pairs, cv_sk, job_sk = _customer_part_skills(spark, sf)
-    return ev.skill_match(pairs, cv_sk, job_sk)
+    """Skill part of the rule labels for (customer CV, each of its orders as a job), with all five grades: synonyms and categories are
+    tables."""
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey"])
+    lines = _lines(spark, sf)
+    cv = lines.join(o, lines.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("cv_id"), cv_skill(F.col("p_partkey"), F.col("p_name")).alias("skill"))
+    pairs = o.select(F.col("o_custkey").alias("cv_id"), F.col("o_orderkey").alias("job_id"))
+    return ev.skill_match(pairs, cv, lines.select(F.col("l_orderkey").alias("job_id"), F.col("p_name").alias("skill")),
+                          synonyms=synonym_table(spark, sf), categories=category_table(spark, sf))
+
+
+def rule_relevant(spark, sf):
+    """Main CVs and active jobs with a title (name and type of the part with their id); the skills of a CV are those of the order
+    with its id, a job asks for those of the next order."""
+    part = read_table(spark, sf, "part", ["p_partkey", "p_name", "p_type"]).select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    cvs, jobs = main_cv_df(spark, sf), active_job_df(spark, sf)
+    cvs = cvs.join(part, cvs.cv_id == part.p_partkey).select("cv_id", "title", "title_vec")
+    jobs = jobs.join(part, jobs.job_id == part.p_partkey).select("job_id", "title", "title_vec")
+    lines = _lines(spark, sf)
+    cv = lines.select(F.col("l_orderkey").alias("cv_id"), cv_skill(F.col("p_partkey"), F.col("p_name")).alias("skill"))
+    job = lines.select((F.col("l_orderkey") - 1).alias("job_id"), F.col("p_name").alias("skill"))
+    return relevant_pairs(cvs, jobs, cv, job, synonyms=synonym_table(spark, sf), categories=category_table(spark, sf))
+
+
+RULE_CTES = SKILL_CTES + [
+    """tc AS (SELECT cv_id, p_name || ' ' || p_type AS title, title_vec FROM main_cv JOIN part ON p_partkey = cv_id)""",
+    """tj AS (SELECT job_id, p_name || ' ' || p_type AS title, title_vec FROM active_job JOIN part ON p_partkey = job_id)""",
+    """titles AS (SELECT title FROM tc UNION ALL SELECT title FROM tj)""",
+    """tw AS (SELECT title, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\pL\\pN_]+'), lambda w: w <> '')) AS ws FROM (SELECT DISTINCT title FROM titles))""",
+    """idf AS (SELECT w, ln(((SELECT count(*) FROM titles) + 1.0) / (count(*) + 1)) + 1 AS idf
+  FROM (SELECT unnest(ws) AS w FROM titles JOIN tw USING (title)) GROUP BY w)""",
+    """tn AS (SELECT title, any_value(ws) AS ws, sqrt(sum(idf * idf)) AS norm FROM (SELECT title, ws, unnest(ws) AS w FROM tw) JOIN idf USING (w) GROUP BY title)""",
+    """tt AS (
+  SELECT a.title AS cv_title, b.title AS job_title,
+         len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))
+         + 1.0 - levenshtein(lower(a.title), lower(b.title)) / greatest(length(a.title), length(b.title))
+         + coalesce((SELECT sum(idf * idf) FROM idf WHERE list_contains(a.ws, w) AND list_contains(b.ws, w)), 0) / (a.norm * b.norm) AS part
+  FROM tn a, tn b)""",
+    f"""tm AS (
+  SELECT cv_id, job_id, (part + {cos('tc.title_vec', 'tj.title_vec')}) / 4 AS title_score
+  FROM tt JOIN tc ON tc.title = cv_title JOIN tj ON tj.title = job_title
+  WHERE (part + {cos('tc.title_vec', 'tj.title_vec')}) / 4 > 0.6)""",
+    f"""sg AS (
+  SELECT cv_skill, job_skill, {_level_sql('cv_skill', 'job_skill')} AS level
+  FROM (SELECT DISTINCT cv_skill FROM skl) a, (SELECT DISTINCT job_skill FROM skl) b)""",
+    """sl AS (
+  SELECT cv_id, job_id, j.job_skill, coalesce(max(level), 0) AS level
+  FROM tm JOIN (SELECT DISTINCT l_orderkey - 1 AS k, job_skill FROM skl) j ON j.k = job_id
+  LEFT JOIN (SELECT DISTINCT l_orderkey AS k, cv_skill FROM skl) c ON c.k = cv_id
+  LEFT JOIN sg ON sg.cv_skill = c.cv_skill AND sg.job_skill = j.job_skill GROUP BY ALL)""",
+    """rule AS (
+  SELECT tm.cv_id, tm.job_id, title_score, count(job_skill)::INTEGER AS n_job_skills, coalesce(max(level), 0)::INTEGER AS best_level,
+         (count(*) FILTER (WHERE level >= 3))::INTEGER AS n_matched, count(*) FILTER (WHERE level >= 3) > 0 AS relevant
+  FROM tm LEFT JOIN sl ON sl.cv_id = tm.cv_id AND sl.job_id = tm.job_id GROUP BY ALL)"""]
+
+
+@register("relevant_pairs", with_views(*RULE_CTES).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT cv_id, job_id, round(title_score, 6) AS title_score, n_job_skills, best_level, n_matched, relevant FROM rule""")
+def q_relevant_pairs(spark, sf):
+    """Rule labels: all (CV, job) pairs whose titles match, graded by skills; relevant = titles and skills match."""
+    return rule_relevant(spark, sf).select("cv_id", "job_id", _r("title_score").alias("title_score"), "n_job_skills", "best_level", "n_matched", "relevant")
+
+
+@register("ndcg_rule_labels", with_views(*cascade_ctes(50, 20, 10), *RULE_CTES, """
+recs3 AS (SELECT q_id AS cv_id, i_id AS job_id, rnk3 AS rank, coalesce(rule.relevant, FALSE) AS rel
+          FROM r3 LEFT JOIN rule ON rule.cv_id = r3.q_id AND rule.job_id = r3.i_id)""", """
+nrel AS (SELECT cv_id, count(*) AS n_relevant FROM rule WHERE relevant GROUP BY cv_id)""", _pq_sql(3)).replace("WITH ", "WITH RECURSIVE ", 1) + _k_union(
+    {k: f"round(avg(ndcg_{k}), 6) AS ndcg, round(avg(CASE WHEN hits_{k} > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate" for k in KS}))
+def q_ndcg_rule(spark, sf):
+    """NDCG and hit rate of the cascade's lists against the rule labels."""
+    cvs, jobs = main_cv_df(spark, sf), active_job_df(spark, sf)
+    relevant = rule_relevant(spark, sf).where("relevant").select("cv_id", "job_id", F.lit(True).alias("_rel"))
+    recs = cascade(cvs, jobs, k1=50, k2=20, k3=10).join(relevant, ["cv_id", "job_id"], "left").withColumn("rel", F.coalesce("_rel", F.lit(False)))
+    pq = ev.per_query(recs, "cv_id", "rank", "rel", relevant.groupBy("cv_id").agg(F.count(F.lit(1)).alias("n_relevant")), KS)
+    return ev.at_k(pq, KS, {"ndcg": lambda k: _r(F.avg(f"ndcg_{k}")),
+                            "hit_rate": lambda k: _r(F.avg(F.when(F.col(f"hits_{k}") > 0, 1.0).otherwise(0.0)))})

@@ -121,12 +121,21 @@ def after_edit(spark, sf, cfg):
     return runs.incremental_run(spark, cvs, jobs, cfg, warehouse)
 
 
-@register("incremental_recommend", edited_sql(with_views(title_topk_cte("t20", 20)) + """
-SELECT q_id AS cv_id, i_id AS job_id, round(sim, 6) AS similarity, rnk AS rank FROM t20"""))
-def q_incremental_recommend(spark, sf):
-    """Plain top-20 lists after 1 % of edits: only lists that the edits reach are made again; all equal a full run."""
+@register("incremental_lists", edited_sql(with_views(title_topk_cte("t20", 20), title_topk_cte("t", 10, exclude_self=True, queries="active_job", qid="job_id")) + """
+SELECT 'cv' AS list, q_id AS id, i_id AS job_id, round(sim, 6) AS similarity, rnk AS rank FROM t20
+UNION ALL SELECT 'job', q_id, i_id, round(sim, 6), rnk FROM t
+UNION ALL SELECT 'cv lists, fewer than a fifth searched again, not all made again', count(*), NULL, NULL, NULL FROM main_cv WHERE title_vec IS NOT NULL"""))
+def q_incremental_lists(spark, sf):
+    """Top-20 and neighbour lists after 1 % of edits: only lists that the edits reach are made again, and few of them
+    by a search of the whole corpus; all equal a full run."""
     res = after_edit(spark, sf, replace(SHIPPED, use_cascade=False))
-    return res.recommendations.select("cv_id", "job_id", _r("similarity").alias("similarity"), "rank")
+    cv = res.recommendations.select(F.lit("cv").alias("list"), F.col("cv_id").alias("id"), "job_id", _r("similarity").alias("similarity"), "rank")
+    job = res.similar.select(F.lit("job"), "job_id", "similar_job_id", _r("similarity"), "rank")
+    value = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    said = F.concat(F.lit("cv lists, "), F.when(value("cv_lists_searched") < 0.2 * value("cv_lists"), "fewer than a fifth").otherwise("many"),
+                    F.lit(" searched again, "), F.when(value("cv_lists_made") < value("cv_lists"), "not all").otherwise("all"), F.lit(" made again"))
+    none = [F.lit(None).cast(k) for k in ("long", "double", "int")]
+    return cv.unionAll(job).unionAll(res.stats.agg(said.alias("list"), value("cv_lists").alias("id")).select("list", "id", *none))
 
 
 @register("incremental_cascade", edited_sql(cascade_sql(1000, 100, 10)))
@@ -134,20 +143,3 @@ def q_incremental_cascade(spark, sf):
     """Cascade lists after 1 % of edits, from title lists that were kept up to date."""
     res = after_edit(spark, sf, SHIPPED)
     return res.recommendations.select("cv_id", "job_id", _r("similarity").alias("similarity"), "rank")
-
-
-@register("incremental_similar", edited_sql(SIMILAR_SQL))
-def q_incremental_similar(spark, sf):
-    """Neighbour lists after 1 % of edits."""
-    res = after_edit(spark, sf, replace(SHIPPED, use_cascade=False))
-    return res.similar.select("job_id", "similar_job_id", _r("similarity").alias("similarity"), "rank")
-
-
-@register("incremental_counts", edited_sql(with_views() + f"""
-SELECT count(*) AS cv_lists, TRUE AS few_searched, TRUE AS not_all_made FROM main_cv WHERE {present('title_vec')}"""))
-def q_incremental_counts(spark, sf):
-    """How many lists the incremental run has made: fewer than all, and fewer still by a search of the whole corpus."""
-    stats = after_edit(spark, sf, replace(SHIPPED, use_cascade=False)).stats
-    value = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
-    return stats.agg(value("cv_lists").alias("cv_lists"), (value("cv_lists_searched") < 0.2 * value("cv_lists")).alias("few_searched"),
-                     (value("cv_lists_made") < value("cv_lists")).alias("not_all_made"))

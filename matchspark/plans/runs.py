@@ -21,7 +21,7 @@ from matchspark.functions.vector import present
 from matchspark.operators import ivf as ivf_ops
 from matchspark.operators.cascade import cascade
 from matchspark.operators.embed import incremental_embed
-from matchspark.operators.increment import changed_ids, entity_hashes, update_lists
+from matchspark.operators.increment import Updated, changed_ids, entity_hashes, update_lists, with_floor
 from matchspark.operators.publish import publish_edges, read_current, remove_folder
 from matchspark.operators.topk import exact_top_k
 from matchspark.session import ensure_checkpoint_dir, materialize
@@ -140,63 +140,74 @@ def full_run(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchCon
 
 
 # ---------------------------------------------------------------- incremental runs
-def _entity_changes(spark: SparkSession, entities: DataFrame, key: str, base: str, work: str) -> tuple[DataFrame, DataFrame]:
-    """(changed ids, hashes now): what is new, changed or gone since the hashes stored at ``base``."""
+def _entity_changes(spark: SparkSession, entities: DataFrame, key: str, base: str, work: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ids whose title changed, ids with any change, hashes now) since the hashes (id, title, h) stored at ``base``; new and gone ids
+    are among both."""
     now = materialize(entity_hashes(entities, key), os.path.join(work, f"hashes-{key}"))
-    before = read_current(spark, base, now.schema.simpleString()[7:-1].replace(":", " "))
-    return materialize(changed_ids(now, before), os.path.join(work, f"changed-{key}")), now
+    before = read_current(spark, base, f"id {dict(now.dtypes)['id']}, title bigint, h bigint")
+    any_ = materialize(changed_ids(now, before, "h"), os.path.join(work, f"changed-{key}"))
+    return materialize(changed_ids(now, before, "title"), os.path.join(work, f"titles-{key}")), any_, now
 
 
 def incremental_run(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: MatchConfig, warehouse: str) -> RunResult:
     """Both runs after some entities have changed: only lists that a change can reach are made and published again; the tables
     equal those of a full run over the same entities. The first run makes every list.
 
-    ``stats``: lists and searches of each side. State: hashes of the entities and lists by title (with ``cfg.reserve`` rows behind
-    each) under ``_state``, written last, so a run that fails is repeated by the next."""
+    ``stats``: lists in all, made again, and searched in the whole corpus, of each side. State: hashes of the entities and lists by title (with
+    ``cfg.reserve`` rows behind each) under ``_state``, the hashes written last, so what a failed run has left is made again by the next."""
     work, state = work_folder(warehouse), os.path.join(warehouse, "_state")
     queries, corpus = cvs.where(present("title_vec")), jobs.where(present("title_vec"))
     index = shared_index(spark, jobs, cfg, warehouse) if cfg.strategy == "ivf" else None
-    changed_cvs, cv_hashes = _entity_changes(spark, queries, "cv_id", os.path.join(state, "cvs"), work)
-    changed_jobs, job_hashes = _entity_changes(spark, corpus, "job_id", os.path.join(state, "jobs"), work)
+    cv_titles, cv_any, cv_hashes = _entity_changes(spark, queries, "cv_id", os.path.join(state, "cvs"), work)
+    job_titles, job_any, job_hashes = _entity_changes(spark, corpus, "job_id", os.path.join(state, "jobs"), work)
     k_cv = cfg.cascade_k1 if cfg.use_cascade else cfg.top_k_jobs
     out, counters = {}, []
-    for name, own, key, changed, k, self_out in (("cv", queries, "cv_id", changed_cvs, k_cv, False),
-                                                 ("job", corpus, "job_id", changed_jobs, cfg.similar_top_k, True)):
-        id_type = dict(own.dtypes)[key]
-        schema = f"q {id_type}, item {dict(corpus.dtypes)['job_id']}, similarity double, rank int, floor double, floor_item {dict(corpus.dtypes)['job_id']}"
-        old = read_current(spark, os.path.join(state, f"lists-{name}"), schema)
+    for name, own, key, changed, k, self_out in (("cv", queries, "cv_id", cv_titles, k_cv, False),
+                                                 ("job", corpus, "job_id", job_titles, cfg.similar_top_k, True)):
+        old = read_current(spark, os.path.join(state, f"lists-{name}"))
 
         def search(asked, n, key=key, self_out=self_out, name=name):
             found = title_search(asked, key, corpus, n, cfg, index, "_item", os.path.join(work, f"search-{name}"), exclude_self=self_out)
             return materialize(found.select(F.col(key).alias("q"), F.col("_item").alias("item"), "similarity", "rank"), os.path.join(work, f"found-{name}"))
 
-        upd = update_lists(old, own, corpus, changed, changed_jobs, k=k, reserve=cfg.reserve, query_id=key, query_vec="title_vec", item_id="job_id",
-                           item_vec="title_vec", exclude_self=self_out, search=search,
-                           keep=lambda df, what, name=name: materialize(df, os.path.join(work, f"{name}-{what}")))
-        lists = materialize(upd.lists, os.path.join(work, f"{name}-lists"))
-        touched = materialize(upd.touched, os.path.join(work, f"{name}-touched"))
-        counters += [touched.join(own.select(F.col(key).alias("q")), "q", "left_semi").agg(F.count(F.lit(1)).alias(f"{name}_lists_made")),
-                     upd.searched.agg(F.count(F.lit(1)).alias(f"{name}_lists_searched")),
-                     own.agg(F.count(F.lit(1)).alias(f"{name}_lists"))]
-        out[name] = (lists, touched)
+        def keep(df, what, name=name):
+            return materialize(df, os.path.join(work, f"{name}-{what}"))
+
+        ids = own.select(F.col(key).alias("q"))
+        if old is None:         # first run: every list
+            upd = Updated(with_floor(search(own, k + cfg.reserve), k + cfg.reserve), ids, ids)
+        else:
+            upd = update_lists(old, own, corpus, changed, job_titles, k=k, reserve=cfg.reserve, query_id=key, query_vec="title_vec", item_id="job_id",
+                               item_vec="title_vec", exclude_self=self_out, search=search, keep=keep)
+        lists, touched = keep(upd.lists, "lists"), keep(upd.touched, "touched")
+        counters += [touched.join(ids, "q", "left_semi").agg(F.count(F.lit(1)).alias(f"{name}_lists_made")),
+                     upd.searched.agg(F.count(F.lit(1)).alias(f"{name}_lists_searched")), ids.agg(F.count(F.lit(1)).alias(f"{name}_lists"))]
+        out[name] = (lists, touched, old)
     stats = counter_rows(counters)
     stats = spark.createDataFrame(stats.collect(), stats.schema)      # a handful of counters; their tables go with the run
-    lists, touched = out["cv"]
-    best = lists.where(F.col("rank") <= k_cv).select(F.col("q").alias("cv_id"), F.col("item").alias("job_id"), "similarity", "rank")
-    if cfg.use_cascade:
-        recs = cascade(queries, corpus, k1=cfg.cascade_k1, k2=cfg.cascade_k2, k3=cfg.cascade_k3,
-                       candidates=best.withColumnsRenamed({"similarity": "title_sim", "rank": "r1"}))
-    else:
-        recs = best
     stamp = F.lit(cfg.as_of).alias("updated_at")
     rec_base, sim_base = os.path.join(warehouse, "recommend_jobs_for_cv"), os.path.join(warehouse, "similar_jobs")
-    publish_edges(spark, rec_base, recs.select("cv_id", "job_id", "similarity", "rank", stamp), "cv_id", processed_keys=touched.withColumnRenamed("q", "cv_id"))
+    lists, touched, old = out["cv"]
+    redo = touched
+    if cfg.use_cascade and old is not None:
+        # lists whose titles stay, but whose CV or one of whose candidates has other skills, experience or requirements
+        rest = old.join(touched, "q", "left_anti").join(queries.select(F.col("cv_id").alias("q")), "q", "left_semi")
+        other = rest.join(cv_any.withColumnRenamed("id", "q"), "q", "left_semi").select("q").unionByName(
+            rest.join(job_any.withColumnRenamed("id", "item"), "item", "left_semi").select("q")).distinct()
+        other = materialize(other, os.path.join(work, "cv-other"))
+        redo, lists_now = touched.unionByName(other), lists.unionByName(rest.join(other, "q", "left_semi").select(*lists.columns))
+    else:
+        lists_now = lists
+    best = lists_now.where(F.col("rank") <= k_cv).select(F.col("q").alias("cv_id"), F.col("item").alias("job_id"), "similarity", "rank")
+    recs = cascade(queries, corpus, k1=cfg.cascade_k1, k2=cfg.cascade_k2, k3=cfg.cascade_k3,
+                   candidates=best.withColumnsRenamed({"similarity": "title_sim", "rank": "r1"})) if cfg.use_cascade else best
+    publish_edges(spark, rec_base, recs.select("cv_id", "job_id", "similarity", "rank", stamp), "cv_id", processed_keys=redo.withColumnRenamed("q", "cv_id"))
     publish_edges(spark, os.path.join(state, "lists-cv"), lists, "q", processed_keys=touched)
-    lists, touched = out["job"]
+    lists, touched, _ = out["job"]
     sims = lists.where(F.col("rank") <= cfg.similar_top_k).select(F.col("q").alias("job_id"), F.col("item").alias("similar_job_id"), "similarity", "rank", stamp)
     publish_edges(spark, sim_base, sims, "job_id", processed_keys=touched.withColumnRenamed("q", "job_id"))
     publish_edges(spark, os.path.join(state, "lists-job"), lists, "q", processed_keys=touched)
-    for name, hashes, changed in (("cvs", cv_hashes, changed_cvs), ("jobs", job_hashes, changed_jobs)):
+    for name, hashes, changed in (("cvs", cv_hashes, cv_any), ("jobs", job_hashes, job_any)):
         publish_edges(spark, os.path.join(state, name), hashes.join(changed, "id", "left_semi"), "id", processed_keys=changed)
     remove_folder(spark, work)
     return RunResult(recommendations=read_current(spark, rec_base), similar=read_current(spark, sim_base), stats=stats)

@@ -258,3 +258,13 @@ def test_appends_and_vacuum(spark, tmp_path):
     assert len(gone) == 3 and {r["s"] for r in read_current(spark, edges).collect()} == {3.0}
     publish_edges(spark, edges, _rows(spark, [1], 9), "k")
     assert read_current(spark, edges).count() == 40
+
+
+def test_a_bucket_that_has_grown_is_cut(spark, tmp_path, monkeypatch):
+    from matchspark.operators import publish
+    base = str(tmp_path / "edges")
+    publish_edges(spark, base, _rows(spark, range(500), 0), "k", buckets=4)
+    monkeypatch.setattr(publish, "MOST_BUCKET_BYTES", 1000)
+    assert publish_edges(spark, base, _rows(spark, [7], 5), "k") == (2, 16)
+    assert publish.current_version(spark, base)[1]["buckets"] == 16 and read_current(spark, base).count() == 500
+    assert [r["d"] for r in publish.read_key(spark, base, 7).collect()] == [75]
