@@ -103,6 +103,26 @@ def interaction_rates(recs: DataFrame, events: DataFrame, keys: list[str], kind:
         (F.col("applies") / F.col("impressions")).alias("apply_rate"))
 
 
+def rates_by_version(lists: DataFrame, versions: DataFrame, events: DataFrame, keys: list[str], at: str, kind: str, window_days: int,
+                     click: str = "click", apply: str = "purchase") -> DataFrame:
+    """Click and apply rates of each published version of the lists, by as-of attribution: an interaction counts for the version
+    that was current at its time, if that version listed the pair and was at most ``window_days`` old.
+
+    ``lists``: version and the pair's ``keys``; ``versions``: version, valid_from (a handful of rows, one per publish); a version
+    ends where the next begins. The pair is an equality key, so the range condition only looks at the events of one pair."""
+    spans = versions.select("version", "valid_from", F.lead("valid_from").over(Window.orderBy("valid_from")).alias("_next"))
+    spans = spans.withColumn("valid_to", F.least(F.col("valid_from") + F.make_dt_interval(F.lit(window_days)), "_next")).drop("_next")
+    shown = lists.select("version", *keys).distinct().join(F.broadcast(spans), "version")
+    seen = events.select(*keys, F.col(at).alias("_at"), F.col(kind).alias("_kind")).where(F.col(kind).isin(click, apply))
+    hits = (shown.join(seen, keys).where((F.col("_at") >= F.col("valid_from")) & (F.col("_at") < F.col("valid_to")))
+            .groupBy("version", *keys).agg(F.max((F.col("_kind") == click).cast("int")).alias("clicked"),
+                                           F.max((F.col("_kind") == apply).cast("int")).alias("applied")))
+    both = shown.select("version", *keys).join(hits, ["version", *keys], "left").fillna(0, ["clicked", "applied"])
+    return both.groupBy("version").agg(
+        F.count(F.lit(1)).alias("impressions"), F.sum("clicked").alias("clicks"), F.sum("applied").alias("applies"),
+        F.avg("clicked").alias("ctr"), F.avg("applied").alias("apply_rate"))
+
+
 def hash_number(*parts: Column) -> Column:
     """The first 60 bits of md5 over the parts joined by ``:``, as a long."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")

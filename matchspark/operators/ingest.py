@@ -1,8 +1,7 @@
 """Ingest: raw company / job / CV rows -> normalised entity tables.
 
 Every rule is a column expression; child tables come from ``posexplode`` of the item arrays. Item counts and
-widths are cut only if the caller passes ``caps`` (``SOURCE_CAPS`` are those of the source system); but a CV's title and
-current position are cut to 255 characters unless ``caps`` says otherwise (``"cv_title": NO_CAP``). Dimension lookups
+widths (a CV's title included) are cut only if the caller passes ``caps`` (``SOURCE_CAPS`` are those of the source system). Dimension lookups
 (get-or-create) are set operations: dedupe the incoming keys (first row wins, by the row
 ordinal taken at the scan), ``left_anti`` against the existing table, union, then an equi-join
 gives the fact rows their key. A row that breaks a rule goes to a quarantine table with a
@@ -223,7 +222,7 @@ def cvs_from_rows(rows: DataFrame, limit: int | None = None, random_sample: bool
     summary = labelled_summary([(M.SUMMARY_LABELS[0], F.col("industry")),
                                 (M.SUMMARY_LABELS[1], F.col("workplace_desired")),
                                 (M.SUMMARY_LABELS[2], F.col("desired_salary"))])
-    width = caps.get("cv_title", SOURCE_CAPS["cv_title"])[1]
+    width = caps.get("cv_title", NO_CAP)[1]
     if width is not None:
         cv_title = truncate(cv_title, width)
     cvs = r.select("cv_id", user_id.alias("user_id"), cv_title.alias("title"),

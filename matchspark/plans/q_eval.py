@@ -192,6 +192,37 @@ def q_ctr_apply(spark, sf):
     return r.select("impressions", "clicks", "applies", _r("ctr").alias("ctr"), _r("apply_rate").alias("apply_rate"))
 
 
+# Start of each published version of the lists, and the days that a version takes credit for.
+VERSIONS = [(1, "2024-01-03"), (2, "2024-01-12"), (3, "2024-01-26")]
+CREDIT_DAYS = 10
+
+
+@register("ctr_by_version", with_views(*cascade_ctes(50, 20, 10), "lists AS (" + " UNION ALL ".join(
+    f"SELECT {v} AS version, q_id AS cv_id, i_id AS job_id FROM {src}" for v, src in ((1, "r1 WHERE rnk <= 10"), (2, "r2 WHERE rnk2 <= 10"), (3, "r3"))) + ")",
+    "spans AS (SELECT * FROM (VALUES " + ", ".join(
+        f"({v}, TIMESTAMP '{d}', least(TIMESTAMP '{d}' + to_days({CREDIT_DAYS}), TIMESTAMP '{n}'))"
+        for (v, d), n in zip(VERSIONS, [x[1] for x in VERSIONS[1:]] + ["9999-01-01"])) + ") AS s(version, a, b))",
+    """ev AS (SELECT user_id AS cv_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS job_id, ts, event_type FROM events)""",
+    """per AS (
+  SELECT l.version, l.cv_id, l.job_id, coalesce(max((event_type = 'click')::INT), 0) AS clicked, coalesce(max((event_type = 'purchase')::INT), 0) AS applied
+  FROM lists l JOIN spans s USING (version)
+  LEFT JOIN ev e ON e.cv_id = l.cv_id AND e.job_id = l.job_id AND e.ts >= s.a AND e.ts < s.b GROUP BY ALL)""") + """
+SELECT version, count(*) AS impressions, sum(clicked)::BIGINT AS clicks, sum(applied)::BIGINT AS applies,
+       round(avg(clicked), 6) AS ctr, round(avg(applied), 6) AS apply_rate FROM per GROUP BY version""")
+def q_ctr_by_version(spark, sf):
+    """Three publishes of the lists (after one, two and three rounds): each event counts for the version that was current."""
+    cvs, jobs = main_cv_df(spark, sf), active_job_df(spark, sf)
+    lists = None
+    for v, _ in VERSIONS:
+        part = cascade(cvs, jobs, k1=50, k2=20, k3=10, rounds=v).select(F.lit(v).alias("version"), "cv_id", "job_id")
+        lists = part if lists is None else lists.unionByName(part)
+    versions = spark.createDataFrame(VERSIONS, "version int, d string").select("version", F.to_timestamp("d").alias("valid_from"))
+    e = read_table(spark, sf, "events", ["user_id", "event_type", "props", "ts"]).select(
+        F.col("user_id").alias("cv_id"), F.get_json_object("props", "$.k").cast("bigint").alias("job_id"), "event_type", "ts")
+    r = ev.rates_by_version(lists, versions, e, ["cv_id", "job_id"], "ts", "event_type", CREDIT_DAYS)
+    return r.select("version", "impressions", "clicks", "applies", _r("ctr").alias("ctr"), _r("apply_rate").alias("apply_rate"))
+
+
 @register("jaccard_labels", _base() + """
 , t AS (
   SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN_]+'),

@@ -70,9 +70,9 @@ raw AS (
 
 @register("ingest_cvs", f"WITH {ROWS_SQL}\n" + f"""
 SELECT cv_id, md5('user:' || 'user_' || userid || '@imported.local') AS user_id,
-       substr(coalesce(desired_job, '{M.CV_TITLE_PREFIX}' || user_name), 1, 255) AS title, TRUE AS is_main,
+       coalesce(desired_job, '{M.CV_TITLE_PREFIX}' || user_name) AS title, TRUE AS is_main,
        user_name AS full_name,
-       substr(coalesce(desired_job, '{M.CV_TITLE_PREFIX}' || user_name), 1, 255) AS current_position,
+       coalesce(desired_job, '{M.CV_TITLE_PREFIX}' || user_name) AS current_position,
        nullif(concat_ws('. ',
          CASE WHEN coalesce(industry, '') <> '' THEN '{M.SUMMARY_LABELS[0]}' || industry END,
          CASE WHEN coalesce(workplace, '') <> '' THEN '{M.SUMMARY_LABELS[1]}' || workplace END,

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.functions.text import email_for_user
 from matchspark.operators.cascade import cascade, round1
-from matchspark.operators.publish import commit_replace, dedupe_last, keyed_replace, prepare_replace, publish_edges, read_current, read_key
-from matchspark.operators.quality import cascade_delete, domain_violations, orphans, record_counts, unique_violations
+from matchspark.operators.publish import commit_replace, dedupe_last, fill_null_update, keyed_replace, partial_update, prepare_replace, publish_edges, read_current, read_key
+from matchspark.operators.quality import (ForeignKey, cascade_delete, cascade_graph, domain_violations, orphans, record_counts,
+                                          unique_violations)
 from matchspark.operators.serve import recommendations_with_jobs, similar_active, similar_counts
 from matchspark.operators.topk import exact_top_k
 from matchspark.plans import runs
@@ -186,6 +190,47 @@ def q_cascade_delete(spark, sf):
         "job_id", "similar_job_id")
 
 
+@register("cascade_graph", with_views(SIMILAR_ALL, title_topk_cte("old", 20, queries="v_cv"), """
+gone AS (SELECT j.job_id FROM v_job j, (SELECT count(*) AS n FROM customer) c WHERE (j.job_id % c.n) % 7 = 0)""") + """
+SELECT 'companies' AS table_name, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer WHERE c_custkey % 7 <> 0
+UNION ALL SELECT 'jobs', count(*), sum(job_id)::BIGINT FROM v_job WHERE job_id NOT IN (FROM gone)
+UNION ALL SELECT 'salaries', count(*), sum(job_id)::BIGINT FROM (SELECT o_orderkey AS job_id FROM orders) WHERE job_id NOT IN (FROM gone)
+UNION ALL SELECT 'requirements', count(*), sum(conv_id)::BIGINT FROM conversations WHERE conv_id NOT IN (FROM gone)
+UNION ALL SELECT 'similar_jobs', count(*), sum(q_id + i_id)::BIGINT FROM sim WHERE q_id NOT IN (FROM gone) AND i_id NOT IN (FROM gone)
+UNION ALL SELECT 'recommend_jobs_for_cv', count(*), sum(q_id + i_id)::BIGINT FROM old WHERE i_id NOT IN (FROM gone)""")
+def q_cascade_graph(spark, sf):
+    """Deleting companies (every seventh) removes their jobs and with them salaries, requirements and the edges of both
+    tables, over the graph of foreign keys. Job j belongs to company j % (number of companies)."""
+    companies = read_table(spark, sf, "customer", ["c_custkey"])
+    jobs = job_view(spark, sf).select("job_id", F.pmod("job_id", F.lit(companies.count())).alias("company_id"))
+    tables = {"companies": companies, "jobs": jobs,
+              "salaries": read_table(spark, sf, "orders", ["o_orderkey"]).withColumnRenamed("o_orderkey", "job_id"),
+              "requirements": read_table(spark, sf, "conversations", ["conv_id", "turn"]),
+              "similar_jobs": stored_similar(spark, sf).select("job_id", "similar_job_id"),
+              "recommend_jobs_for_cv": old_recs(spark, sf).select("cv_id", "job_id")}
+    keys = [ForeignKey("jobs", "company_id", "companies", "c_custkey"), ForeignKey("salaries", "job_id", "jobs", "job_id"),
+            ForeignKey("requirements", "conv_id", "jobs", "job_id"), ForeignKey("similar_jobs", "job_id", "jobs", "job_id"),
+            ForeignKey("similar_jobs", "similar_job_id", "jobs", "job_id"), ForeignKey("recommend_jobs_for_cv", "job_id", "jobs", "job_id")]
+    left = cascade_graph(tables, keys, {"companies": companies.where("c_custkey % 7 = 0")})
+    own = {"companies": ["c_custkey"], "jobs": ["job_id"], "salaries": ["job_id"], "requirements": ["conv_id"],
+           "similar_jobs": ["job_id", "similar_job_id"], "recommend_jobs_for_cv": ["cv_id", "job_id"]}
+    parts = [left[t].agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.col(c) for c in cols), F.lit(0))).alias("keys")).select(
+        F.lit(t).alias("table_name"), "n", "keys") for t, cols in own.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("partial_update", with_views() + """
+SELECT cv_id, CASE WHEN cv_id % 5 = 0 AND cv_id % 10 <> 0 THEN label + 100 ELSE label END AS label,
+       CASE WHEN cv_id % 5 = 0 THEN 'h' || cv_id ELSE NULL END AS content_hash FROM v_cv""")
+def q_partial_update(spark, sf):
+    """Write-back of some columns by key: a new hash and label for every fifth CV, a null keeps the old value; then empty hashes
+    filled from the same rows (which changes nothing)."""
+    base = cv_view(spark, sf).select("cv_id", "label", F.lit(None).cast("string").alias("content_hash"))
+    updates = base.where("cv_id % 5 = 0").select("cv_id", F.when(F.col("cv_id") % 10 != 0, F.col("label") + 100).alias("label"),
+                                                 F.concat(F.lit("h"), "cv_id").alias("content_hash"))
+    return fill_null_update(partial_update(base, updates, "cv_id", ["label", "content_hash"]), updates, "cv_id", "content_hash")
+
+
 @register("unique_key_report", with_views(SIMILAR_ALL) + """
 SELECT 'similar_jobs.job_id,similar_job_id' AS key, count(*) AS n FROM
   (SELECT 1 FROM (SELECT * FROM sim UNION ALL SELECT * FROM sim) GROUP BY q_id, i_id HAVING count(*) > 1)

@@ -67,7 +67,7 @@ def test_cvs(spark, tmp_path):
     assert out["users"].count() == 1                              # same e-mail -> one user
     cvs = {r["full_name"]: r for r in out["cvs"].collect()}
     assert cvs["An"]["summary"] == "Ngành: IT. Mức lương mong muốn: 20tr"
-    assert cvs["Binh"]["summary"] is None and len(cvs["Binh"]["title"]) == 255
+    assert cvs["Binh"]["summary"] is None and len(cvs["Binh"]["title"]) == 300
     skills = [r["skill_name"] for r in out["cv_skills"].orderBy("ord").collect()]
     assert skills == ["Python", "SQL"]                            # "R" dropped (2 characters or fewer)
     exps = [r["title"] for r in out["work_experiences"].orderBy("ord").collect()]
@@ -140,3 +140,27 @@ def test_ingest_all_and_second_import(spark, tmp_path):
     assert len({c["user_id"] for c in cvs}) == 3
     write_tables(more, base)                                        # the same import once more changes nothing
     assert read_current(spark, base + "/cvs").count() == 4
+
+
+def test_every_csv_file_is_read_by_its_own_header(spark, tmp_path):
+    """Other order, a missing and an additional column, a quoted name over two lines: values stay with their names."""
+    from matchspark.sources.csv_files import read_companies
+    folder = tmp_path / "companies"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Name Company,Company Overview,Company Size,Company Address,Industry\nA,about,10-24,addr,IT\n")
+    (folder / "b.csv").write_text("Industry,Name Company,Company Address,Company Size,Company Overview\nHR,B,addr2,25-99,\"two\nlines\"\n")
+    (folder / "c.csv").write_text('Name Company,"more\n, lines",Industry\nC,x,Law\nD,y\n')
+    (folder / "d.csv").write_text("")
+    rows = {r["Name Company"]: r for r in read_companies(spark, str(folder)).collect()}
+    assert set(rows) == {"A", "B", "C", "D"}
+    assert (rows["B"]["Industry"], rows["B"]["Company Overview"], rows["B"]["Company Size"], rows["B"]["Company Address"]) == ("HR", "two\nlines", "25-99", "addr2")
+    assert rows["C"]["Industry"] == "Law" and rows["C"]["Company Size"] is None and rows["A"]["Industry"] == "IT"
+    assert rows["D"]["_corrupt"] is not None and all(rows[k]["_corrupt"] is None for k in "ABC")
+    assert rows["D"]["_row"]["line"] == 1 and rows["B"]["_key"].endswith("b.csv#0")
+
+
+def test_no_csv_file_with_a_header(spark, tmp_path):
+    from matchspark.sources.csv_files import read_cvs
+    (tmp_path / "e.csv").write_text("")
+    df = read_cvs(spark, str(tmp_path / "e.csv"))
+    assert df.count() == 0 and "_key" in df.columns and "Skills" in df.columns
