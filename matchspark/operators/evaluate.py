@@ -150,20 +150,3 @@ def random_top_k(queries: DataFrame, q: str, corpus: DataFrame, item: str, k: in
     first = draws.groupBy(q, "_pos").agg(F.min("_d").alias("_d"))
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(q).orderBy("_d"))).where(F.col("rank") <= k)
     return ranked.join(dense_positions(corpus, item), "_pos").select(q, item, "rank")
-
-
-def tfidf_vectors(df: DataFrame, text: str, out: str, num_features: int = 1024) -> DataFrame:
-    """TF-IDF (hashed term frequencies, IDF fitted on the same rows), L2-normalised, as ARRAY<FLOAT>."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    src = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol="_t", outputCol="_tok", pattern=r"(?U)\W+", toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_n", p=2.0),
-    ])
-    model = pipe.fit(src)
-    return model.transform(src).withColumn(out, vector_to_array("_n", "float32")).drop("_t", "_tok", "_tf", "_idf", "_n")

@@ -8,7 +8,7 @@ from matchspark.functions.vector import l2_normalize
 from matchspark.operators import evaluate as ev
 from matchspark.operators.cascade import cascade
 from matchspark.operators.relevance import relevant_pairs
-from matchspark.operators.topk import exact_top_k
+from matchspark.operators.sparse import sparse_top_k, term_weights
 from matchspark.plans.catalog import register
 from matchspark.plans.q_search import active_job_df, main_cv_df
 from matchspark.plans.sqlparts import cascade_ctes, cos, dot, present, with_views
@@ -259,13 +259,20 @@ def q_random_baseline(spark, sf):
     return ev.random_top_k(cvs.where(F.col("title_vec").isNotNull()), "cv_id", jobs, "job_id", 10)
 
 
-@register("tfidf_baseline")
+@register("tfidf_baseline", r"""
+WITH t AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN_]+')) AS word FROM documents),
+tf AS (SELECT id, word, count(*) AS tf FROM t WHERE word <> '' GROUP BY id, word),
+voc AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1)) AS idf FROM tf GROUP BY word
+        HAVING count(*) < (SELECT count(*) FROM documents)),
+w AS (SELECT id, word, tf * idf AS w FROM tf JOIN voc USING (word)),
+u AS (SELECT id, word, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+s AS (SELECT a.id AS q, b.id AS c, round(sum(a.w * b.w), 9) AS s FROM u a JOIN u b ON a.word = b.word AND a.id <> b.id GROUP BY a.id, b.id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS INTEGER) AS rank FROM s WHERE s > 0)
+SELECT q AS doc_id, c AS similar_doc_id, s AS similarity, rank FROM r WHERE rank <= 10""")
 def q_tfidf_baseline(spark, sf):
-    """TF-IDF + cosine baseline: top 10 similar documents per document (self excluded)."""
-    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
-    v = ev.tfidf_vectors(docs, "text", "tfidf", num_features=1024)
-    return exact_top_k(v, v, 10, query_id="doc_id", query_vec="tfidf", item_id="doc_id", item_vec="tfidf",
-                       out_item="similar_doc_id", exclude_self=True)
+    """TF-IDF + cosine baseline: top 10 similar documents per document (self excluded), exact, over a fitted vocabulary."""
+    weights = term_weights(read_table(spark, sf, "documents", ["doc_id", "text"]), "doc_id", "text").checkpoint()
+    return sparse_top_k(weights, 10, "doc_id", "similar_doc_id")
 
 
 # ---------------------------------------------------------------- rule labels
