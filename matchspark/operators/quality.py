@@ -9,6 +9,8 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchspark.session import checkpointed
+
 
 def unique_violations(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys occurring more than once, with their count (must be empty)."""
@@ -82,7 +84,7 @@ def cascade_graph(tables: dict[str, DataFrame], keys: list[ForeignKey], deleted:
         left[t] = stays = stays.select(*before.columns)
         for column in {k.parent_key for k in keys if k.parent == t}:
             went = tables[t].select(column).join(stays.select(column), column, "left_anti").where(F.col(column).isNotNull()).distinct()
-            gone[t, column] = went.checkpoint() if rounds else went
+            gone[t, column] = checkpointed(went) if rounds else went
 
     for t in order:
         visit(t)

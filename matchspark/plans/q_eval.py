@@ -12,6 +12,7 @@ from matchspark.operators.sparse import sparse_top_k, term_weights
 from matchspark.plans.catalog import register
 from matchspark.plans.q_search import active_job_df, main_cv_df
 from matchspark.plans.sqlparts import cascade_ctes, cos, dot, present, with_views
+from matchspark.session import checkpointed
 from matchspark.sources.tables import read_table
 
 KS = [5, 10]
@@ -271,7 +272,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS IN
 SELECT q AS doc_id, c AS similar_doc_id, s AS similarity, rank FROM r WHERE rank <= 10""")
 def q_tfidf_baseline(spark, sf):
     """TF-IDF + cosine baseline: top 10 similar documents per document (self excluded), exact, over a fitted vocabulary."""
-    weights = term_weights(read_table(spark, sf, "documents", ["doc_id", "text"]), "doc_id", "text").checkpoint()
+    weights = checkpointed(term_weights(read_table(spark, sf, "documents", ["doc_id", "text"]), "doc_id", "text"))
     return sparse_top_k(weights, 10, "doc_id", "similar_doc_id")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchspark.functions.text import email_for_user
 from matchspark.operators.cascade import cascade, round1
+from matchspark.operators.ivf import corpus_fingerprint
 from matchspark.operators.publish import commit_replace, dedupe_last, fill_null_update, keyed_replace, partial_update, prepare_replace, publish_edges, read_current, read_key
 from matchspark.operators.quality import (ForeignKey, cascade_delete, cascade_graph, domain_violations, orphans, record_counts,
                                           unique_violations)
@@ -30,13 +31,14 @@ def _r(c):
     return F.round(c, 6)
 
 
-_PUBLISHED: dict[tuple[str, str, str], str] = {}
+_PUBLISHED: dict[tuple, str] = {}
 
 
 def published(spark, sf, name, key, make):
-    """The table ``name`` as an earlier run published it: written once per session and data folder, then
+    """The table ``name`` as an earlier run published it: written once per session and content of the vectors it is made from, then
     read from its files, clustered by ``key`` (a filter on the key reaches the scan)."""
-    at = (spark.sparkContext.applicationId, sf, name)
+    made_from = corpus_fingerprint(read_table(spark, sf, "embeddings", ["vec_id", "embedding"]), "vec_id", "embedding")
+    at = (spark.sparkContext.applicationId, sf, name, made_from)
     if at not in _PUBLISHED:
         base = f"{runs.fresh_warehouse(spark)}/{name}"
         publish_edges(spark, base, make(), key)

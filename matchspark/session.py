@@ -57,6 +57,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint (in the shared folder) of ``df``: cuts the lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
