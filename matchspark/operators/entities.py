@@ -1,4 +1,4 @@
-"""Entity scans and predicates (main CVs, active jobs, point lookups)."""
+"""Entity scans and predicates (main CVs, active jobs)."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.functions.vector import present
-
 
 def is_active(as_of: _dt.datetime, status: str = "status", expires_at: str = "expires_at") -> Column:
     """Active and unexpired: status = 'ACTIVE' AND (expires_at IS NULL OR expires_at > as_of)."""
@@ -23,12 +21,3 @@ def active_jobs(jobs: DataFrame, as_of: _dt.datetime) -> DataFrame:
 
 def main_cvs(cvs: DataFrame) -> DataFrame:
     return cvs.where(F.col("is_main"))
-
-
-def with_vector(df: DataFrame, vec: str = "title_vec") -> DataFrame:
-    """Rows whose vector is present (not NULL, not empty)."""
-    return df.where(present(vec))
-
-
-def lookup(df: DataFrame, key: str, value) -> DataFrame:
-    return df.where(F.col(key) == F.lit(value))

@@ -41,12 +41,6 @@ def split_corrupt(rows: DataFrame, reason: str = "fields do not match the header
     return rows.where(~bad).drop("_corrupt"), rows.where(bad).select("_row", F.lit(reason).alias("reason"))
 
 
-def import_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, n) of the imported and the quarantined rows."""
-    from matchspark.operators.quality import record_counts
-    return record_counts(tables)
-
-
 def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
