@@ -83,21 +83,13 @@ def _entry(skill: str) -> dict:
     return {"skill": skill, "low": low, "whole": word_pattern(low) if len(skill) <= 2 else None}
 
 
-def dictionary_of(table, skill: str = "skill", order: str = "pos") -> list[str]:
-    """The dictionary for ``extract_skills`` from a table of entries, in the order of ``order`` (first row of an entry).
-    The dictionary is reference data: it is read by the driver, however many entries it has, and sent with the plan."""
-    s = F.col(skill)
-    rows = table.where(s.isNotNull() & (s != "")).groupBy(s.alias("skill")).agg(F.min(order).alias("pos"))
-    return [r["skill"] for r in rows.orderBy("pos", "skill").collect()]
-
-
 def extract_skills(text, dictionary: list[str], limit: int | None = None) -> Column:
     """Dictionary entries found in the text, in dictionary order (at most ``limit`` if given).
 
     Entries of at most 2 characters must stand as whole words; longer ones match as plain
     lower-case substrings ("java" is found inside "javascript"). Duplicate entries count once.
-    The dictionary is one literal array, so dictionaries of any size take the same way, there is no join with the
-    text rows, and the text is lower-cased once per row.
+    For lists written into a program: the dictionary is one literal array. Dictionary tables are matched by
+    ``operators.dictionary.dictionary_matches``, by the same rule.
     """
     entries = [_entry(s) for s in dict.fromkeys(dictionary) if s]
     listed = F.from_json(F.lit(json.dumps(entries)), DICTIONARY_SCHEMA)  # folded to one literal

@@ -15,13 +15,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.functions import mappings as M
-from matchspark.functions.text import (company_email, dictionary_of, email_for_user, extract_skills, has_salary_row,
+from matchspark.functions.text import (company_email, email_for_user, has_salary_row,
                                        labelled_summary, map_contains_first, map_enum, parse_deadline,
                                        parse_salary, py_strip, split_items, truncate)
+from matchspark.operators.dictionary import dictionary_matches
 
 
 def entity_id(table: str, *keys) -> Column:
@@ -118,10 +119,10 @@ NO_CAP = (None, None)
 
 
 # ---------------------------------------------------------------- jobs
-def jobs_from_rows(rows: DataFrame, companies: DataFrame, skills_dictionary: list[str] | DataFrame,
+def jobs_from_rows(rows: DataFrame, companies: DataFrame, skills_dictionary: list[str] | DataFrame | None,
                    caps: dict[str, tuple[int, int]] | None = None) -> dict[str, DataFrame]:
     """Job rows -> jobs, salaries, job_requirements, job_benefits, job_skills, companies, quarantine.
-    A blank company name is the unknown company, however it was written."""
+    A blank company name is the unknown company, however it was written. Without a dictionary there is no job_skills table."""
     rows, corrupt = split_corrupt(rows)
     company = F.when(_blank(_col("Name Company")), F.lit(M.UNKNOWN_COMPANY)).otherwise(_col("Name Company"))
     r = rows.withColumn("job_id", entity_id("job", row_key(rows))).withColumn("company_name", company) \
@@ -159,11 +160,25 @@ def jobs_from_rows(rows: DataFrame, companies: DataFrame, skills_dictionary: lis
     bens = children(jobs0, "job_id", split_items(F.col("raw_benefits")), *caps.get("job_benefits", NO_CAP), "title")
     combined = F.concat(F.coalesce(F.col("raw_requirements"), F.lit("")), F.lit(" "),
                         F.coalesce(F.col("raw_description"), F.lit("")))
-    dictionary = dictionary_of(skills_dictionary) if isinstance(skills_dictionary, DataFrame) else skills_dictionary
-    skills = children(jobs0, "job_id", extract_skills(combined, dictionary), *caps.get("job_skills", NO_CAP),
-                      "skill_name").withColumn("level", F.lit("INTERMEDIATE"))
-    return {"jobs": jobs_out, "salaries": salaries, "job_requirements": reqs, "job_benefits": bens,
-            "job_skills": skills, "companies": companies, "quarantine": quarantine}
+    out = {"jobs": jobs_out, "salaries": salaries, "job_requirements": reqs, "job_benefits": bens,
+           "companies": companies, "quarantine": quarantine}
+    if skills_dictionary is not None:
+        out["job_skills"] = job_skills(jobs0, combined, skills_dictionary, *caps.get("job_skills", NO_CAP))
+    return out
+
+
+def job_skills(jobs: DataFrame, text: Column, dictionary: list[str] | DataFrame, limit: int | None = None,
+               width: int | None = None) -> DataFrame:
+    """job_id, ord, skill_name, level: the entries found in each text, in dictionary order."""
+    if not isinstance(dictionary, DataFrame):
+        listed = [(s, i) for i, s in enumerate(dictionary)]
+        dictionary = jobs.sparkSession.createDataFrame(listed, "skill string, pos int")
+    found = dictionary_matches(jobs, "job_id", text, dictionary)
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("pos", "skill")) - 1
+    rows = found.select("job_id", place.alias("ord"), "skill")
+    rows = rows if limit is None else rows.where(F.col("ord") < limit)
+    name = F.col("skill") if width is None else truncate(F.col("skill"), width)
+    return rows.select("job_id", "ord", name.alias("skill_name"), F.lit("INTERMEDIATE").alias("level"))
 
 
 def children(parents: DataFrame, key: str, items: Column, limit: int | None, width: int | None, name: str) -> DataFrame:

@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchspark.functions import mappings as M
-from matchspark.functions.text import (WS_CLASS, company_email, dictionary_of, extract_skills, has_salary_row,
+from matchspark.functions.text import (WS_CLASS, company_email, has_salary_row,
                                        labelled_summary, map_contains_first, map_enum, parse_deadline,
                                        parse_salary, split_items)
+from matchspark.operators.dictionary import dictionary_matches
 from matchspark.operators.ingest import COMPANY_COLS, children, companies_from_rows, entity_id, first_rows, sample_exact
 from matchspark.plans.catalog import register
 from matchspark.sources.tables import read_table
@@ -93,10 +94,10 @@ SELECT doc_id, list(w ORDER BY pos) AS skills FROM hits GROUP BY doc_id"""
 @register("extract_skills", SKILLS_SQL)
 def q_extract_skills(spark, sf):
     """Dictionary skills found in each whole document, in dictionary order."""
-    dictionary = dictionary_of(skill_dictionary(spark, sf))
     docs = read_table(spark, sf, "documents", ["doc_id", "text"])
-    out = docs.select("doc_id", extract_skills(F.col("text"), dictionary).alias("skills"))
-    return out.where(F.size("skills") > 0)
+    found = dictionary_matches(docs, "doc_id", F.col("text"), skill_dictionary(spark, sf))
+    listed = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "skill"))).alias("s"))
+    return listed.select("doc_id", F.col("s.skill").alias("skills"))
 
 
 @register("extract_skills_large", r"""
@@ -107,11 +108,11 @@ SELECT doc_id, count(*) AS n_skills, md5(string_agg(w, ' ' ORDER BY encode(w)))
 def q_extract_skills_large(spark, sf):
     """The same matcher with a dictionary of thousands of entries: every word of the benchmark texts of nine characters or more."""
     words = read_table(spark, sf, "benchmark", ["text"]).select(F.explode(F.split("text", " ")).alias("skill")).where(F.length("skill") >= 9)
-    dictionary = dictionary_of(words.withColumn("pos", F.col("skill")))
     docs = read_table(spark, sf, "documents", ["doc_id", "text"])
-    out = docs.select("doc_id", extract_skills(F.col("text"), dictionary).alias("s")).where(F.size("s") > 0)
+    found = dictionary_matches(docs, "doc_id", F.col("text"), words.withColumn("pos", F.col("skill")))
+    out = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("skill")).alias("s"))
     return out.select("doc_id", F.size("s").cast("long").alias("n_skills"),
-                      F.md5(F.array_join(F.array_sort("s"), " ").cast("binary")).alias("skills"))
+                      F.md5(F.array_join("s", " ").cast("binary")).alias("skills"))
 
 
 # ---------------------------------------------------------------- enum maps

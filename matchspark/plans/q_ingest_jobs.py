@@ -55,8 +55,9 @@ def job_rows(spark, sf):
         F.col("o_orderkey").alias("_row"))
 
 
-def ingest(spark, sf, caps=None):
-    return jobs_from_rows(job_rows(spark, sf), existing_companies(spark, sf), skill_dictionary(spark, sf), caps)
+def ingest(spark, sf, caps=None, skills=False):
+    dictionary = skill_dictionary(spark, sf) if skills else None
+    return jobs_from_rows(job_rows(spark, sf), existing_companies(spark, sf), dictionary, caps)
 
 
 DICT_SQL = """pw AS (
@@ -159,7 +160,7 @@ def _all_children_sql(caps: dict) -> str:
 
 
 def _all_children(spark, sf, caps):
-    out = ingest(spark, sf, caps)
+    out = ingest(spark, sf, caps, skills=True)
     req = out["job_requirements"].select("job_id", F.lit("requirement").alias("kind"), "ord",
                                          F.col("title").alias("text"))
     ben = out["job_benefits"].select("job_id", F.lit("benefit").alias("kind"), "ord", F.col("title").alias("text"))

@@ -114,3 +114,35 @@ def test_extract_skills_large_dictionary_same_rule(spark):
     big = _col(spark, texts, lambda c: T.extract_skills(c, d))
     small = _col(spark, texts, lambda c: T.extract_skills(c, d[:7] + ["zz0007", "zz0599"]))
     assert big == small
+
+
+def _matches(spark, texts, entries):
+    from matchspark.operators.dictionary import dictionary_matches
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    table = spark.createDataFrame([(s, i) for i, s in enumerate(entries)], "skill string, pos int")
+    got = {i: [] for i in range(len(texts))}
+    for r in dictionary_matches(rows, "id", F.col("text"), table).orderBy("id", "pos").collect():
+        got[r["id"]].append(r["skill"])
+    return [got[i] for i in range(len(texts))]
+
+
+def test_dictionary_table_equals_column_form(spark):
+    d = ["Java", "JavaScript", "R", "C#", "Go", "API", "SQL", "Java", "machine learning", "x y", " ", "a ", "  ", "é", "ﬁre", "😀x😀",
+         "data\nbase", "", "İs", "(", "long" * 300] + [f"zz{i:04d}" for i in range(600)]
+    texts = ["I write JavaScript and R code", "C# dev; go-lang; capital", "c#x", "ágo zz0007 zz0599", None, "", "Machine learning",
+             "machine\nlearning", "machine  learning", "xx yy", "data\nbase a b", "go", "(go)", "É", "é!", "a😀x😀b", "İs it",
+             "w" * 2500 + "long" * 300 + "w" * 700, "b a c", "tab\tsql", "w" * 998 + "java", "w" * 997 + "java" + "w" * 5]
+    assert _matches(spark, texts, d) == _col(spark, texts, lambda c: extract_skills(c, d))
+
+
+def test_dictionary_table_random(spark):
+    import random
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abC# \n_é") for _ in range(rng.randint(0, n)))
+    d, texts = [word(5) for _ in range(150)], [word(40) for _ in range(120)] + [None, ""]
+    assert _matches(spark, texts, d) == _col(spark, texts, lambda c: extract_skills(c, d))
+
+
+def test_dictionary_table_empty(spark):
+    assert _matches(spark, ["a b", None], []) == [[], []]
+    assert _matches(spark, [None, ""], ["a"]) == [[], []]
