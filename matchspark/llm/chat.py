@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import bytes_of
+from matchspark.llm.common import batch_slices, bytes_of
 
 HEAD, BREAK, FOOT = b"<s>[INST] ", b"\n", b" [/INST]</s>\n"
 ESCAPE = ord("\\")
@@ -34,6 +34,7 @@ ESCAPED[[ord("<"), ord("["), ESCAPE]] = True
 ESCAPED_ROLE = ESCAPED.copy()
 ESCAPED_ROLE[ord("\n")] = True
 LOSS_ROLE = "assistant"
+MOST_BYTES = 2 ** 31 - 1  # offsets of an Arrow binary column are 32 bits wide
 SCHEMA = "conv_id long, piece int, n_turns long, formatted binary, loss array<struct<start:int,stop:int>>"
 
 
@@ -80,12 +81,14 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     ``assistant``); pieces of a conversation follow each other in one partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, piece = object(), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, 2)):
             ids = batch.column(0).to_pylist()
             if not ids:
                 continue
             roles, texts = bytes_of(batch.column(1)), bytes_of(batch.column(2))
             out, offsets, start, stop = assemble(roles, texts)
+            if offsets[-1] > MOST_BYTES:
+                raise ValueError(f"a formatted turn of {offsets[-1]} bytes does not fit an Arrow buffer of {MOST_BYTES}")
             cuts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]] + [len(ids)]
             pieces = []
             for i in cuts[:-1]:

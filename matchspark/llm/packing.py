@@ -3,8 +3,10 @@
 A document of T ids is cut into T // W pieces of the window W (a power of two) and one piece per set
 bit of the rest, longest first. Each piece is a sequence of its own: its length is a power of two, so
 it needs no padding, sequences of one length form a bucket (``length``) that is batched
-together, and no sequence holds ids of two documents. A map over the scan, no shuffle; writing with
-``partitionBy("length")`` gives one folder per bucket.
+together, and no sequence holds ids of two documents. A map over the scan, no shuffle.
+
+``write_buckets`` groups the sequences: a folder per length, cut into parts of about ``part_bytes`` of ids, so that the
+bucket that holds most rows is many files; ``read_buckets`` opens one length without reading the others.
 
 Defined cases: null and empty texts give the end id alone (one piece of length 1); repeated rows
 give repeated pieces under their own sequence ids; an empty table gives no piece.
@@ -16,14 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import batch_slices, narrow, texts_of
+from matchspark.llm.common import batch_slices, narrow, stored, texts_of
 
 WINDOW = 2048
 END_ID = 1
 CACHED = 300_000  # words in each half of a worker's cache
+PART_BYTES = 256 << 20
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -65,3 +68,26 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int | None =
     return (narrow(docs, id_col, text_col).mapInArrow(run, SCHEMA)
             .withColumn("sequence_id", F.monotonically_increasing_id())
             .withColumn("offset", F.lit(0).cast("long")))
+
+
+def write_buckets(pieces: DataFrame, folder: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Write the sequences of ``pack`` as ``folder``/length=<n>/part=<i> (Parquet); a table of length, sequences, parts.
+
+    The sequences are stored once before, so that texts are encoded once and sequence ids stay the same for all
+    parts; the parts of a length are chosen by a hash of the sequence id."""
+    pieces = stored(pieces, "packed")
+    counts = pieces.groupBy("length").count()  # a row per power of two
+    buckets = counts.select("length", F.col("count").alias("sequences"), F.ceil(
+        F.col("count") * F.col("length") * 4 / part_bytes).cast("int").alias("parts"))
+    buckets = stored(buckets, "packed-buckets")
+    part = F.pmod(F.xxhash64("sequence_id"), F.col("parts")).cast("int")
+    rows = pieces.join(F.broadcast(buckets.select("length", "parts")), "length").withColumn("part", part).drop("parts")
+    rows.repartition("length", "part").write.partitionBy("length", "part").parquet(folder)
+    return buckets
+
+
+def read_buckets(spark: SparkSession, folder: str, length: int | None = None) -> DataFrame:
+    """The written sequences, all or those of one length (a filter on folders)."""
+    schema = SCHEMA + ", sequence_id long, offset long, part int"
+    rows = spark.read.schema(schema).parquet(folder)
+    return rows if length is None else rows.where(F.col("length") == length)

@@ -7,7 +7,9 @@ earlier line), n_repeat_words (words in 8-word windows found twice or more), n_d
 **Base rules** (fixed): fewer than 20 words, or more than 30 % of the words in repeated windows.
 
 **Risk-controlled rules.** Each rule is a share of two measures, counted in steps (``RULES``); a cutoff rejects
-the documents at or above it. The holdout is every labelled document that passes the base rules. In each
+the documents at or above it. The holdout is every labelled document that passes the base rules; the binomial tail
+needs independent draws, so texts that are equal but for ASCII blanks and the case of A-Z count once per label and stratum (the
+row with the smallest id and measures stands for them). Near copies still count each. In each
 stratum (language) and for each rule, the hypothesis "this cutoff rejects more than alpha / rules
 of the good documents" is tested by its exact binomial tail P(X <= k), X ~ Bin(n, alpha / rules), with k of n
 good documents rejected. Multiple testing: Bonferroni over strata and rules, and within a rule the
@@ -44,7 +46,9 @@ REPEAT_PERCENT = 30
 BROADCAST_STRATA = 10_000
 
 SYMBOLS = b"#*$%&|<>"
-_BLANKS = bytes([0x20, *range(9, 14)])
+BLANKS = " \t\n\x0b\x0c\r"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BLANKS = BLANKS.encode()
 _NOT_A_CHAR = _BLANKS + bytes(range(0x80, 0xC0))
 
 #: rule: (numerator, denominator, steps per unit, number of cutoffs); step = floor(steps * num / den)
@@ -141,10 +145,12 @@ def select_cutoff(good: list[int], bad: list[int], n_good: int, alpha: float, le
 
 
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum and one cutoff (or null) per rule. ``measured``: doc_id, stratum, measures; ``labels``: doc_id, quality."""
+    """stratum and one cutoff (or null) per rule. ``measured``: doc_id, stratum, copy, measures; ``labels``: doc_id, quality."""
     truth = (labels.where("doc_id is not null and quality is not null")
              .groupBy("doc_id").agg(F.max("quality").alias("quality")))
     passing = measured.where(~base_failed()).join(truth, "doc_id")
+    passing = (passing.groupBy("stratum", "copy", "quality").agg(F.min(F.struct("doc_id", *MEASURES)).alias("one"))
+               .select("stratum", "quality", "one.*"))
     steps = F.array(*[F.struct(F.lit(r).alias("rule"), step(r).alias("step")) for r in RULES])
     counts = (passing.select("stratum", "quality", F.inline(steps)).groupBy("stratum", "rule", "step")
               .agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"),
@@ -180,12 +186,17 @@ def kept(prefix: str = "") -> Column:
     return out
 
 
+def copy_key(text: Column) -> Column:
+    """Equal for texts that are equal but for ASCII blanks and the case of A-Z."""
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), UPPER + BLANKS, UPPER.lower()), 256)
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum and the measures, stored (a few numbers a row)."""
+    """doc_id, stratum, copy (key of equal texts) and the measures, stored (a few numbers a row)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
-                       measures_of(F.col(text_col)).alias("m"))
-    return stored(rows.select("doc_id", "stratum", "m.*"), "quality-measures")
+                       copy_key(F.col(text_col)).alias("copy"), measures_of(F.col(text_col)).alias("m"))
+    return stored(rows.select("doc_id", "stratum", "copy", "m.*"), "quality-measures")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,

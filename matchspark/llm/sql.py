@@ -74,12 +74,16 @@ m AS (
          length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(lines) - list_unique(lines))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
-         len(lines)::BIGINT AS n_lines, list_unique(words)::BIGINT AS n_distinct
+         len(lines)::BIGINT AS n_lines, list_unique(words)::BIGINT AS n_distinct,
+         md5(translate(text, '{rules.UPPER}' || chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '{rules.UPPER.lower()}')) AS copy
   FROM w LEFT JOIN rep USING (doc_id)),
 base AS (SELECT doc_id, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.REPEAT_PERCENT} * n_words AS base_failed FROM m),
 steps AS ({_steps()}),
 truth AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-held AS (SELECT stratum, rule, cutoffs, step, quality FROM steps JOIN base USING (doc_id) JOIN truth USING (doc_id) WHERE NOT base_failed),
+once AS (
+  SELECT min(m.doc_id) AS doc_id, quality FROM m JOIN base USING (doc_id) JOIN truth USING (doc_id)
+  WHERE NOT base_failed GROUP BY stratum, copy, quality),
+held AS (SELECT stratum, rule, cutoffs, step, quality FROM steps JOIN once USING (doc_id)),
 tests AS (SELECT {len(rules.RULES)} * greatest(1, count(DISTINCT stratum)) AS n FROM held),
 cuts AS (
   SELECT stratum, rule, j,

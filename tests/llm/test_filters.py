@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.conftest import EDGE, SF
 from tests.oracle_compare import compare, duck
@@ -76,6 +77,20 @@ def test_op3_planted(spark):
     assert all(got[i] for i in range(9000, 10_000))
 
 
+def test_op3_copies_are_one_draw(spark):
+    """A good text labelled 2,000 times is one good document: it certifies no cutoff that rejects the other good ones."""
+    def text(n, blank=" "):
+        return blank.join(f"{w}{n}" for w in "ab cd ef gh ij kl mn op qr st uv wx yz ba dc fe hg ji lk nm po rq".split())
+
+    good_copies = [(i, text(0, " " if i % 2 else "\n"), "en") for i in range(2000)]
+    good = [(2000 + i, text(i + 1) + " " + " ".join(["same"] * 7), "en") for i in range(8)]
+    bad = [(3000 + i, text(i + 100) + " " + " ".join(["same"] * 7), "en") for i in range(300)]
+    docs = spark.createDataFrame(good_copies + good + bad, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") < 3000, 1).otherwise(0).alias("quality"))
+    kept = {r["doc_id"]: r["kept"] for r in qr.quality_verdicts(docs, labels).collect()}
+    assert all(kept[i] for i, _, _ in good_copies + good)
+
+
 def test_op3_edges(spark, edge, nothing):
     none = spark.createDataFrame([], LABELS)
     some = spark.createDataFrame([(1, None, 0), (None, 1, 1), (6, 1, 0), (6, 0, 0)], LABELS)

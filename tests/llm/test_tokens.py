@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -191,3 +192,20 @@ def test_op9_edges(spark, edge, edge_unique, nothing, tokenizer):
     assert packing.pack(nothing, path).count() == 0
     with pytest.raises(ValueError):
         packing.pack(edge, path, window=1000)
+
+
+def test_op9_buckets(spark, edge, nothing, tmp_path):
+    """One folder per length, parts of bounded size, the same sequences read back."""
+    path, folder = tokenizer_path(WORD), str(tmp_path / "buckets")
+    made = {r["length"]: r for r in packing.write_buckets(packing.pack(edge, path), folder, 1 << 16).collect()}
+    back = packing.read_buckets(spark, folder).collect()
+    assert {n: r["sequences"] for n, r in made.items()} == dict(Counter(r["length"] for r in back))
+    assert made[2048]["parts"] > 1 and {r["part"] for r in back if r["length"] == 2048} == set(range(made[2048]["parts"]))
+    assert all(len(r["ids"]) == 4 * r["length"] for r in back)
+    assert len({r["sequence_id"] for r in back}) == len(back)
+
+    def content(rows):
+        return Counter((r["doc_id"], r["start"], r["length"], bytes(r["ids"])) for r in rows)
+    assert content(back) == content(packing.pack(edge, path).collect())
+    assert {r["length"] for r in packing.read_buckets(spark, folder, 2048).collect()} == {2048}
+    assert packing.write_buckets(packing.pack(nothing, path), str(tmp_path / "none")).count() == 0
