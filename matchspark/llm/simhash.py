@@ -20,12 +20,15 @@ links it has found (union-find over its block), at most one row per fingerprint
 
 *Hot groups.* Copies of a text share one fingerprint, which is counted once; near copies have different ones,
 and a variant has at most 2,081 distinct fingerprints around it whatever the size of the corpus.
-A block that is too large is spelled out in slices of its next bits.
+Many different fingerprints may still share their leading bits: the rows of each key are counted first, and a key with
+more than ``HOT_KEY`` rows is cut by its next ``STEP`` bits into keys of their own, again and again until none is hot
+(a key of 64 bits is one variant). A block that is too large is spelled out in slices of its next bits.
 
 **Components** by alternating large-star / small-star rounds on the links (each row is a link; stored between rounds), and
 the smallest document id per component by an aggregate.
 
-Defined cases: null and empty texts have fingerprint zero and link like any other; null ids count as the largest id
+Defined cases: a text of any length is read as a whole, a slice of some MB of texts at a time; other columns are not
+read; null and empty texts have fingerprint zero and link like any other; null ids count as the largest id
 (a component of null ids only has a null component_id); repeated rows give repeated result rows; an
 empty table gives an empty result.
 """
@@ -39,10 +42,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import bytes_of, narrow, stored, without_ids
+from matchspark.llm.common import BROADCAST_IDS, batch_slices, bytes_of, narrow, stored, without_ids
 from matchspark.llm.components import components
 
 SHINGLE = 4
@@ -50,6 +53,8 @@ RADIUS = 4
 SEED = 42
 BLOCK = 1 << 20     # variants spelled out at a time
 PER_KEY = 1 << 11   # fingerprint rows wanted per shuffle key on average
+HOT_KEY = 1 << 15   # a key with more rows is cut by its next bits
+STEP = 8            # bits of one cut
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -82,9 +87,10 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a long): a map over the scan."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t, size) for t in bytes_of(batch.column(1))), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        for whole in batches:
+            for batch in batch_slices(whole, 1):
+                fps = np.fromiter((fingerprint(t, size) for t in bytes_of(batch.column(1))), np.uint64, len(batch))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
@@ -210,40 +216,33 @@ def link_rows(rows: DataFrame, prefix: int, radius: int = RADIUS) -> DataFrame:
     return rows.select("fp", "key", "left").mapInArrow(run, "a long, b long")
 
 
-def groups(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For a bounded array of fingerprints: the least fingerprint reachable from each, on one machine."""
-    distinct, place = np.unique(fps, return_inverse=True)
-    p = prefix_bits(len(distinct), radius)
-    masks, used = flips(p, radius // 2)
-    key = ((distinct >> np.uint64(64 - p))[:, None] ^ masks[None, :]).ravel().astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    fp = np.repeat(distinct, len(masks))[order]
-    left = np.tile(radius // 2 - used, len(distinct))[order]
-    key = key[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    parent = {int(f): int(f) for f in distinct}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    step = max(1, len(starts) // max(1, -(-len(distinct) * 2081 // BLOCK)))
-    for i in range(0, len(starts), step):
-        a, b = starts[i], starts[i + step] if i + step < len(starts) else len(key)
-        for x, y in links_of_block(fp[a:b], key[a:b], left[a:b], p, radius).tolist():
-            x, y = root(x), root(y)
-            parent[max(x, y)] = min(x, y)
-    return np.array([root(int(f)) for f in distinct], np.uint64)[place.reshape(-1)]
+def _masks(bits: int, most: int) -> Column:
+    """Array of struct(m, used): the ways to flip at most ``most`` of ``bits`` bits."""
+    return F.array(*[F.struct(F.lit(int(m)).alias("m"), F.lit(int(k)).alias("used")) for m, k in zip(*flips(bits, most))])
 
 
 def variant_rows(fps: DataFrame, prefix: int, radius: int = RADIUS) -> DataFrame:
     """fp, key, left: the variants of each distinct ``fp`` in compact form, native."""
-    masks, used = flips(prefix, radius // 2)
-    table = F.array(*[F.struct(F.lit(int(m)).alias("m"), F.lit(radius // 2 - int(k)).alias("left"))
-                      for m, k in zip(masks, used)])
-    spread = fps.select("fp", F.inline(table))
-    return spread.select("fp", F.shiftrightunsigned("fp", 64 - prefix).bitwiseXOR(F.col("m")).alias("key"), "left")
+    spread = fps.select("fp", F.inline(_masks(prefix, radius // 2)))
+    return spread.select("fp", F.shiftrightunsigned("fp", 64 - prefix).bitwiseXOR(F.col("m")).alias("key"),
+                         (F.lit(radius // 2) - F.col("used")).alias("left"))
+
+
+def longer_keys(rows: DataFrame, prefix: int, step: int, radius: int = RADIUS) -> DataFrame:
+    """The same variants under keys of ``prefix + step`` bits; ``rows`` as of ``variant_rows`` with ``prefix`` bits."""
+    below = F.shiftrightunsigned("fp", 64 - prefix - step).bitwiseAND(F.lit((1 << step) - 1))
+    spread = rows.select("fp", "key", "left", F.inline(_masks(step, radius // 2))).where("used <= left")
+    return spread.select("fp", F.shiftleft("key", step).bitwiseOR(below.bitwiseXOR(F.col("m"))).alias("key"),
+                         (F.col("left") - F.col("used")).alias("left"))
+
+
+def hot_keys(fps: DataFrame, prefix: int, radius: int = RADIUS) -> DataFrame:
+    """Keys of ``prefix`` bits with more than ``HOT_KEY`` rows. The fingerprints are counted by their own prefix
+    first, so that few rows are spread over the keys around it."""
+    own = fps.groupBy(F.shiftrightunsigned("fp", 64 - prefix).alias("own")).agg(F.count("*").alias("n"))
+    spread = own.select("n", "own", F.inline(_masks(prefix, radius // 2)))
+    return (spread.groupBy(F.col("own").bitwiseXOR(F.col("m")).alias("key")).agg(F.sum("n").alias("n"))
+            .where(F.col("n") > HOT_KEY).select("key"))
 
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, n: int | None = None) -> DataFrame:
@@ -251,8 +250,20 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, n: int | None = None
     if radius % 2:
         raise ValueError("radius must be even")
     p = prefix_bits(fps.count() if n is None else n, radius)
-    rows = variant_rows(fps, p, radius)
-    return link_rows(rows.repartition("key").sortWithinPartitions("key"), p, radius)
+    rows, hot, out = variant_rows(fps, p, radius), hot_keys(fps, p, radius), None
+    while True:
+        hot = stored(hot, "simhash-hot-keys")
+        many = hot.count()
+        side = F.broadcast(hot) if many <= BROADCAST_IDS else hot
+        cold = rows.join(side, "key", "left_anti") if many else rows
+        links = link_rows(cold.repartition("key").sortWithinPartitions("key"), p, radius)
+        out = links if out is None else out.unionAll(links)
+        if not many or p == 64:
+            return out
+        step = min(STEP, 64 - p)
+        rows = stored(longer_keys(rows.join(side, "key", "left_semi"), p, step, radius), "simhash-longer-keys")
+        p += step
+        hot = rows.groupBy("key").count().where(F.col("count") > (HOT_KEY if p < 64 else 1 << 62)).select("key")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id",

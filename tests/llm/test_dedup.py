@@ -74,6 +74,27 @@ def test_links_through_spark(spark):
     assert roots(fps, got) == roots(fps, near)
 
 
+@pytest.mark.parametrize("shared", [24, 40, 58])
+def test_hot_prefix_is_cut(spark, monkeypatch, shared):
+    """Fingerprints that share their leading bits: no key keeps more rows than the bound, and no link is lost."""
+    rng = random.Random(shared)
+    top = rng.getrandbits(shared) << (64 - shared)
+    fps = sorted({top | rng.getrandbits(64 - shared) for _ in range(120)} | set(clustered(3)))
+    seen, plain = [], simhash.link_rows
+    monkeypatch.setattr(simhash, "HOT_KEY", 40)
+
+    def watched(rows, prefix, radius):
+        seen.append((prefix, rows.groupBy("key").count().agg(F.max("count")).first()[0]))
+        return plain(rows, prefix, radius)
+
+    monkeypatch.setattr(simhash, "link_rows", watched)
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    got = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.fingerprint_links(df).collect()]
+    near = [(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 4]
+    assert roots(fps, got) == roots(fps, near)
+    assert len(seen) > 2 and all((most or 0) <= 40 for prefix, most in seen if prefix < 64)
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
