@@ -38,7 +38,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from matchspark.llm.common import batch_slices, lists_of_int32, narrow, texts_of
+from matchspark.llm.common import CACHED_WORD, batch_slices, lists_of_int32, narrow, texts_of
 
 CHUNK = 1 << 16       # characters read at a time
 LONG = 4096           # a word that grows beyond this goes through the window
@@ -156,7 +156,7 @@ def sufficient_lookahead(pairs: list[tuple[int, int, int]], spelled: dict[int, b
 
 
 class _Words(dict):
-    """Little-endian ids of a word; a bounded cache that forgets the older half."""
+    """Little-endian ids of a word; a cache that forgets the older half, bounded in bytes: long words are not kept."""
 
     def __init__(self, make, size: int = CACHED):
         super().__init__()
@@ -166,6 +166,8 @@ class _Words(dict):
         ids = self.old.get(word)
         if ids is None:
             ids = self.make(word)
+        if len(word) > CACHED_WORD:
+            return ids
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()

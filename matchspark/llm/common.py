@@ -25,6 +25,8 @@ from matchspark.session import ensure_checkpoint_dir, table_path
 
 #: ids of dropped documents are broadcast up to this many rows (8 bytes each), else shuffled
 BROADCAST_IDS = 1_000_000
+#: workers keep what they know of words up to this length only, so that the number of entries bounds a cache in bytes
+CACHED_WORD = 64
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,6 +27,8 @@ import re
 
 import numpy as np
 
+from matchspark.llm.common import CACHED_WORD
+
 CACHED = 300_000  # entries in each of the two halves of a worker's cache
 JOINED = 50       # words in one string for the library
 BARE = "\x02"     # marks a piece that has no space before it
@@ -153,7 +155,7 @@ class LibraryEncoder:
         found.update(zip(others, self._strings(asked)))
         if len(self.known) + len(found) > self.cached:
             self.older, self.known = self.known, {}
-        self.known.update(found)
+        self.known.update((p, ids) for p, ids in found.items() if len(p) <= CACHED_WORD)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -8,13 +8,15 @@ parallel. A ``parts`` table beside the files (one row per part: ids, first and l
 ids before each part.
 
 Defined cases: a null text counts as empty and gives the end id alone; null ids come first, as in Spark's
-ascending order; rows with the same id stand next to each other, ordered by text; an empty table
-gives files without rows.
+ascending order; rows with the same id stand next to each other, ordered by text inside a part; an id that holds the rows of
+several parts spans several (ids beyond 2^53 that are equal as floating-point numbers stay in one); an empty table
+gives files without rows; a text of any length is encoded as a whole; other columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +25,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import batch_slices, int32_lists, lists_of_int32, narrow, texts_of
+from matchspark.llm.common import batch_slices, int32_lists, lists_of_int32, narrow, stored, texts_of
 
 END_ID = 2
+NULL_ID = -1e300  # stands for a null id where ids are compared as numbers
 CACHED = 500_000  # words in each half of a worker's cache
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 10_000
@@ -59,15 +62,40 @@ def encode_rows(docs: DataFrame, path: str, end_id: int | None = END_ID, id_col:
 
 
 def by_id_range(rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` in n ranges of doc_id, null first. The cuts come from a scan of the ids alone, where Spark's own range
-    partitioning would read the texts once more to sample them."""
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)))  # n numbers at most
+    """``rows`` in about n ranges of doc_id, null first. The cuts come from a scan of the ids alone, where Spark's own range
+    partitioning would read the texts once more to sample them.
+
+    An id that is a cut m > 1 times holds more than m - 1 ranges' worth of rows: it gets m ranges of its own, its rows dealt
+    over them by row number."""
+    keyed = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("double"), F.lit(NULL_ID)))
+    cuts = Counter(keyed.approxQuantile("__id", [i / n for i in range(1, n)], 0.1 / n))  # n numbers at most
     if not cuts:
         return rows.repartitionById(n, F.lit(0))
-    ranges = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__id", outputCol="__range", handleInvalid="keep")
-    keyed = ranges.transform(rows.withColumn("__id", F.col("doc_id").cast("double")))
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("__range").cast("int"))
-    return keyed.repartitionById(n, part).select(*rows.columns)
+    ranges = Bucketizer(splits=[-float("inf"), *sorted(cuts), float("inf")], inputCol="__id", outputCol="__range", handleInvalid="keep")
+    hot = _single_ids(keyed, [c for c, m in cuts.items() if m > 1])
+    if not hot:
+        return ranges.transform(keyed).repartitionById(n, F.col("__range").cast("int")).select(*rows.columns)
+    # the hot ids' rows are stored with their numbers, so that a task that runs again deals them alike
+    is_hot = F.col("__id").isin(hot)
+    dealt = stored(keyed.where(is_hot).withColumn("__row", F.monotonically_increasing_id()), "token-orc-hot-ids")
+    spread = ranges.transform(keyed.where(~is_hot).withColumn("__row", F.lit(None).cast("long")).unionByName(dealt))
+    before, own, base = [], [], 0  # of each range: the part its first id's own ranges begin at, their number
+    for c in [None, *sorted(cuts)]:
+        own.append(cuts[c] if c in hot else 0)
+        before.append(base)
+        base += own[-1] + 1
+    at = F.col("__range").cast("int")
+    own_ranges = F.get(F.lit(own), at)
+    part = F.get(F.lit(before), at) + F.coalesce(F.pmod(F.col("__row"), own_ranges).cast("int"), own_ranges)
+    return spread.repartitionById(base, part).select(*rows.columns)
+
+
+def _single_ids(keyed: DataFrame, values: list[float]) -> list[float]:
+    """Those of ``values`` (at most as many as there are ranges) that stand for one id only: beyond 2^53 neighbours share a number."""
+    if not values:
+        return []
+    ids = keyed.where(F.col("__id").isin(values)).groupBy("__id").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    return [r["__id"] for r in ids.where(F.col("a").eqNullSafe(F.col("b"))).collect()]
 
 
 def write_token_orc(docs: DataFrame, folder: str, path: str, **options) -> None:

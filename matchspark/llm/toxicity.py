@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.llm import simhash
-from matchspark.llm.common import BROADCAST_IDS, batch_slices, collected, stored, texts_of
+from matchspark.llm.common import CACHED_WORD, BROADCAST_IDS, batch_slices, collected, stored, texts_of
 
 FIT_ROWS = 20_000       # labelled rows of the training sample, about
 COUNTED = 200_000       # entries a task counts before it hands them on
@@ -123,15 +123,17 @@ class ToxicityModel:
     def row(self, text: str) -> tuple[dict[int, int], list[float]]:
         """Counts of lexicon entries, and the values of PATTERNS."""
         words, known = text.split(), self.words
-        if len(known) > CACHED:
-            known.clear()
         hits: Counter = Counter()
         strong = capitals = address = 0
         for w, times in Counter(words).items():
             try:
                 found = known[w]
             except KeyError:
-                found = known[w] = self._look(w)
+                found = self._look(w)
+                if len(w) <= CACHED_WORD:
+                    if len(known) >= CACHED:
+                        known.clear()
+                    known[w] = found
             if found is not None:
                 for e in found[0]:
                     hits[e] += times

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import bytes_of, collected, stored
+from matchspark.llm.common import CACHED_WORD, bytes_of, collected, stored
 from matchspark.llm.quality_rules import measures
 from matchspark.llm.toxicity import logistic
 
@@ -119,15 +119,17 @@ class QualityModel:
         """Score, and posterior of the votes."""
         m = looked_at(text)
         words, known, weights = text.split(), self.words, self.weights
-        if len(known) > CACHED:
-            known.clear()
         total = 0.0
         for w, times in Counter(words).items():
             try:
                 total += times * known[w]
             except KeyError:
-                known[w] = float(weights[bucket(w)] + weights[bucket(shape(w))])
-                total += times * known[w]
+                weight = float(weights[bucket(w)] + weights[bucket(shape(w))])
+                if len(w) <= CACHED_WORD:
+                    if len(known) >= CACHED:
+                        known.clear()
+                    known[w] = weight
+                total += times * weight
         z = self.bias + total / max(1, len(words)) + sum(float(weights[bucket(t.encode())]) for t in marks(m))
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50)))), self.posteriors.get(votes(m), self.share)
 

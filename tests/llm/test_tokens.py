@@ -157,6 +157,34 @@ def test_op2_files(spark, edge, nothing):
     assert token_orc.read_token_orc(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_op2_hot_id_spans_parts(spark, tokenizer, hot):
+    """A third of the rows have one id (or none): no part holds them all, and the order and offsets stay right."""
+    rows = [(hot if i % 3 == 0 else i, f"text {i % 5} of {i % 11}") for i in range(3000)]
+    folder = shared_folder(spark, "test-orc")
+    token_orc.write_token_orc(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), folder,
+                              tokenizer_path(BYTE), parts=12)
+    sizes = [r["count"] for r in spark.read.orc(folder + "/ids").groupBy("part").count().collect()]
+    assert max(sizes) < 600
+    got = sorted(token_orc.read_token_orc(spark, folder).collect(), key=lambda r: r["start"])
+    assert [g["doc_id"] for g in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert got[0]["start"] == 0 and all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
+    want = Counter((i, (*_library(BYTE, t), 2)) for i, t in rows)
+    assert Counter((g["doc_id"], tuple(g["ids"])) for g in got) == want
+
+
+def test_caches_keep_short_words_only(merges):
+    """Long words are encoded but never kept, so the number of entries bounds the caches' bytes."""
+    text = " ".join(["short", "x" * 3000, "word " + "ab" * 400, "y" * 65 + "."])
+    enc = bpe.Encoder(merges)
+    assert ids_of(enc.encode(text)) == _library(BYTE, text)
+    for cache in (enc.word, enc.piece, enc.spaced):
+        assert max(map(len, cache), default=0) <= 64
+    lib = library.LibraryEncoder(tokenizer_path(BYTE))
+    assert ids_of(lib.encode([text])[0]) == _library(BYTE, text)
+    assert lib.known and max(map(len, lib.known)) <= 64
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 2047, 2048, 2049, 5000])
 def test_piece_lengths(n):
     p = packing.piece_lengths(n)
