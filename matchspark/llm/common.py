@@ -62,17 +62,26 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def batch_slices(batch: pa.RecordBatch, text_column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about ``most`` bytes of text together (one row at least): what is held as Python objects at
-    a time is bounded by this, whatever the size of Spark's batches."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def _cuts(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = done = 0
     while start < len(ends):
         stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
-        yield batch.slice(start, stop - start)
+        yield start, stop - start
         start, done = stop, int(ends[stop - 1])
 
 
+def batch_slices(batch: pa.RecordBatch, text_column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes of text together (one row at least): what is held as Python objects at
+    a time is bounded by this, whatever the size of Spark's batches."""
+    return (batch.slice(start, n) for start, n in _cuts(batch.column(text_column), most))
+
+
+def text_bytes(column: pa.Array, most: int = 4 << 20) -> Iterator[bytes]:
+    """``bytes_of`` as a stream: about ``most`` bytes are held as Python objects at a time."""
+    return (t for start, n in _cuts(column, most) for t in bytes_of(column.slice(start, n)))
+
+
 def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

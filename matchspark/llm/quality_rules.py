@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import bytes_of, stored
+from matchspark.llm.common import stored, text_bytes
 
 ALPHA = 0.05       # falsely rejected share of good documents, all rules of a stratum together
 DELTA = 0.05       # probability that any stratum breaks this
@@ -98,7 +98,7 @@ def measures(text: bytes) -> tuple[int, ...]:
 def measures_of(text: Column) -> Column:
     """struct of MEASURES; not deterministic to Spark, so that a filter does not run it a second time."""
     def run(column: pa.Array) -> pa.Array:
-        rows = np.array([measures(t) for t in bytes_of(column)], np.int64).reshape(-1, len(MEASURES))
+        rows = np.array([measures(t) for t in text_bytes(column)], np.int64).reshape(-1, len(MEASURES))
         return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(MEASURES))], names=MEASURES)
 
     return F.arrow_udf(run, "struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">").asNondeterministic()(text)

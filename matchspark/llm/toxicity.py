@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.llm import simhash
-from matchspark.llm.common import CACHED_WORD, BROADCAST_IDS, batch_slices, collected, stored, texts_of
+from matchspark.llm.common import BROADCAST_IDS, CACHED_WORD, batch_slices, collected, stored, text_bytes, texts_of
 
 FIT_ROWS = 20_000       # labelled rows of the training sample, about
 COUNTED = 200_000       # entries a task counts before it hands them on
@@ -271,7 +271,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(packed)
         for batch in batches:
-            rows = [own.row(t) for t in texts_of(batch.column(0))]
+            rows = [own.row(t.decode()) for t in text_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([
                 batch.column(1), pa.array([list(h) for h, _ in rows], pa.list_(pa.int32())),
                 pa.array([list(h.values()) for h, _ in rows], pa.list_(pa.int32())),
@@ -300,7 +300,7 @@ def toxicity_score(model: ToxicityModel, text: Column) -> Column:
 
     def score(column: pa.Array) -> pa.Array:
         own = _loaded(packed)
-        return pa.array([own.score(t) for t in texts_of(column)], pa.float64())
+        return pa.array([own.score(t.decode()) for t in text_bytes(column)], pa.float64())
 
     return F.arrow_udf(score, "double").asNondeterministic()(text)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import CACHED_WORD, bytes_of, collected, stored
+from matchspark.llm.common import CACHED_WORD, collected, stored, text_bytes
 from matchspark.llm.quality_rules import measures
 from matchspark.llm.toxicity import logistic
 
@@ -148,7 +148,7 @@ def hashed_row(text: bytes) -> tuple[list[int], list[float]]:
 def vote_pattern(text: Column) -> Column:
     """The votes of a text, joined by commas."""
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([",".join(map(str, votes(looked_at(t)))) for t in bytes_of(column)], pa.string())
+        return pa.array([",".join(map(str, votes(looked_at(t)))) for t in text_bytes(column)], pa.string())
 
     return F.arrow_udf(run, "string").asNondeterministic()(text)
 
@@ -172,12 +172,12 @@ def fit_quality(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id
         (F.lit(",".join(map(str, p))), F.lit(r)) for p, (_, r) in by_pattern.items()))
     chosen = voted.where("doc_id is not null").where(
         F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate[F.col("votes")] * (1 << 30)).select(
-        F.col("doc_id").alias("__id"), "votes").limit(3 * fit_rows)  # bounded: broadcast
+        F.col("doc_id").alias("__id"), "votes").orderBy(F.xxhash64("__id"), "__id", "votes").limit(3 * fit_rows)  # bounded: broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [hashed_row(t) for t in bytes_of(batch.column(0))]
+            rows = [hashed_row(t) for t in text_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([
                 batch.column(1), pa.array([a for a, _ in rows], pa.list_(pa.int32())),
                 pa.array([v for _, v in rows], pa.list_(pa.float32()))], names=["votes", "at", "values"])
@@ -205,7 +205,7 @@ def quality_score(model: QualityModel, text: Column) -> Column:
 
     def score(column: pa.Array) -> pa.Array:
         own = _loaded(packed)
-        both = [own.score(t) for t in bytes_of(column)]
+        both = [own.score(t) for t in text_bytes(column)]
         return pa.StructArray.from_arrays([pa.array([b[i] for b in both], pa.float64()) for i in (0, 1)],
                                           names=["score", "posterior"])
 

@@ -179,6 +179,41 @@ def test_op8_state_goes_on(spark, tmp_path):
     assert all(r["keep"]["file"] == "" for r in state.collect())
 
 
+@pytest.mark.parametrize("digits, scans", [(64, True), (64, False), (1, True), (1, False)])
+def test_op8_runs_share_a_state(spark, tmp_path, digits, scans):
+    """Three runs over one state folder: rows meet those of earlier runs, texts are compared over all runs, and each
+    group has one row that stays."""
+    state, docs = str(tmp_path / "state"), []
+    digest = lambda t: F.substring(exact_dedup.sha256(t), 1, digits)
+    runs = [[(4, "a b"), (2, "ab"), (9, "c"), (3, None)], [], [(5, "a  b"), (7, "c"), (8, "d"), (7, "c"), (6, " ")],
+            [(1, "ab"), (None, "d"), (10, "e")]]
+    for n, rows in enumerate(runs):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        if scans:
+            df.repartition(2).write.parquet(str(tmp_path / f"docs {n}"))
+            df = spark.read.parquet(str(tmp_path / f"docs {n}"))
+        got = exact_dedup.exact_duplicates(df, digest=digest, state=state, run=n).collect()
+        docs += rows
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+        again = exact_dedup.exact_duplicates(df, digest=digest, state=state, run=n).collect()
+        assert sorted(map(str, again)) == sorted(map(str, got))  # a run called again counts nothing twice
+        norm = {}
+        for i, t in docs:
+            norm.setdefault("".join((t or "").split()), []).append((i, t or ""))
+        best = {k: min(g, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0)) for k, g in norm.items()}
+        want = {i: (best[k][0], len(g)) for k, g in norm.items() for i, _ in g}
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in got} == {i: want[i] for i, _ in rows}
+        assert sum(r["kept"] for r in got) == sum(k in rows or (k[0], None) in rows for k in best.values())
+    if digits == 64:
+        groups = exact_dedup.state_groups(spark, state)
+        assert {r["keep_id"]: r["group_size"] for r in groups.collect()} == {b[0]: len(norm[k]) for k, b in best.items()}
+        places = groups.selectExpr("keep_file as file", "keep_file_row as file_row", "keep_id")
+        texts = exact_dedup.texts_at(spark, places).collect()
+        assert {r["keep_id"]: r["text"] or "" for r in texts} == {b[0]: b[1] for b in best.values()}  # locators read back
+    with pytest.raises(ValueError):
+        exact_dedup.exact_duplicates(df, digest=digest, state=state, run=0)
+
+
 def test_pipeline(spark, table):
     """Every stage's decisions take effect on what its predecessor kept."""
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "exact dedup", "simhash near-dedup", "packing"]
