@@ -149,3 +149,21 @@ def test_mixed_dimensions(spark):
     assert got == [(1, 11, 0.0), (1, 12, 1.0), (2, 10, 0.707107)]
     got = sorted((r["q"], r["c"], round(r["similarity"], 6)) for r in exact_top_k(q, c, 5, absent_items_score_zero=True, **kw).collect())
     assert got == [(1, 10, 0.0), (1, 11, 0.0), (1, 12, 1.0), (2, 10, 0.707107), (2, 11, 0.0), (2, 12, 0.0)]
+
+
+def test_lists_leave_a_tile_whole_and_short(spark):
+    """k rows a query leave the kernel, however many blocks the corpus is cut into, and ties among them go to the smallest ids."""
+    from pyspark.sql import functions as F
+    from matchspark.operators.topk import tile_top_k
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(40, 3)), 5, axis=0).astype(np.float32)      # every vector five times
+    df = _frame(spark, rng.permutation(200), v)
+    q = df.select(F.lit(0).alias("_t"), F.col("id").alias("_q"), F.col("vec").alias("_v"))
+    c = df.select(F.lit(0).alias("_t"), F.col("id").alias("_c"), F.col("vec").alias("_v"))
+    assert tile_top_k(q, c, 4, 1, block_rows=8).count() == 200 * 4
+    got = _collect(exact_top_k(df, df, 4, query_id="id", query_vec="vec", item_id="id", item_vec="vec", out_item="o", block_rows=8), "id", "o")
+    ids, mat = zip(*[(r["id"], r["vec"]) for r in df.orderBy("id").collect()])
+    same = {}
+    for i, m in zip(ids, mat):
+        same.setdefault(tuple(m), []).append(i)
+    assert all([o for o, _ in got[i]] == same[tuple(m)][:4] for i, m in zip(ids, mat))
