@@ -274,3 +274,30 @@ def test_aborted_index_write_leaves_the_old_one(spark, tmp_path, monkeypatch):
     assert ivf_ops.load_index(spark, path).fingerprint == tuple(idx.fingerprint)
     _, reused = ivf_ops.load_or_build(jobs.where("job_id > 5"), "job_id", "title_vec", path, nlist=4)
     assert not reused and ivf_ops.load_index(spark, path).cells.where("job_id <= 5").count() == 0
+
+
+def test_edges_are_scored_without_vectors_in_a_join(spark):
+    """A round scores narrow edges in tiles (no join carries vectors); repeated and unknown ids behave as in an inner join."""
+    from matchspark.functions.vector import defaulted_similarity
+    from matchspark.operators.cascade import _scored
+    cvs = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0]), (2, None), (3, [1.0, 1.0, 1.0]), (4, [0.0, 0.0]), (None, [1.0, 0.0])], "cv_id long, a array<float>")
+    jobs = spark.createDataFrame([(10, [1.0, 1.0]), (11, []), (11, [3.0, 4.0]), (12, [2.0, 0.0])], "job_id long, b array<double>")
+    edges = spark.createDataFrame([(c, j, "x") for c in (1, 2, 3, 4, 5, None) for j in (10, 11, 12, 13)], "cv_id long, job_id long, tag string")
+    got = _scored(edges, cvs, jobs, "a", "b", "s")
+    want = edges.join(cvs, "cv_id").join(jobs, "job_id").select("cv_id", "job_id", "tag", defaulted_similarity("a", "b").alias("s"))
+    rows = lambda df: sorted((r["cv_id"], r["job_id"], r["tag"], round(r["s"], 9)) for r in df.collect())
+    assert rows(got) == rows(want)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_probed_cells_are_one_row_a_query_and_group(spark):
+    """A query goes to a group of cells once, not once per cell that it reads."""
+    rng = np.random.default_rng(8)
+    jobs = spark.createDataFrame([(i, _v(rng, 8)) for i in range(600)], "job_id long, title_vec array<float>")
+    idx = ivf_ops.build_index(jobs, "job_id", "title_vec", nlist=30, nprobe=30)
+    probes = jobs.select(F.col("job_id").alias("_q"), F.col("title_vec").alias("_v"),
+                         ivf_ops.probe_bits_udf(idx.centroids, 30)(F.col("title_vec"))["reads"].alias("_reads"))
+    _, membership = ivf_ops._cell_groups(idx)
+    sent = probes.select(F.explode(ivf_ops.groups_read_udf(membership)(F.col("_reads"))))
+    assert membership.shape == (30, 1) and sent.count() == 600
+    assert ivf_ops._score_cells(idx, probes, 5, False, 64).count() == 600 * 5
