@@ -53,13 +53,10 @@ def mrr(pq: DataFrame) -> DataFrame:
 
 
 def at_k(pq: DataFrame, ks: list[int], metrics: dict[str, callable]) -> DataFrame:
-    """Rows (k, metric...) averaged over queries."""
-    out = None
-    for k in ks:
-        row = pq.agg(*[fn(k).alias(name) for name, fn in metrics.items()]).select(
-            F.lit(k).alias("k"), *metrics.keys())
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Rows (k, metric...) averaged over queries: one aggregate of all k, so the lists are made and read once."""
+    whole = pq.agg(*[fn(k).alias(f"{name}_{k}") for k in ks for name, fn in metrics.items()])
+    rows = [F.struct(F.lit(k).alias("k"), *[F.col(f"{name}_{k}").alias(name) for name in metrics]) for k in ks]
+    return whole.select(F.explode(F.array(*rows)).alias("_r")).select("_r.k", *[f"_r.{name}" for name in metrics])
 
 
 def coverage_ratio(recs: DataFrame, item: str, corpus: DataFrame, corpus_item: str) -> DataFrame:

@@ -90,3 +90,11 @@ def test_skill_match_levels(spark):
     assert got[(1, 10)]["best_level"] == 5 and got[(1, 10)]["n_matched"] == 1      # exact (case / space folded)
     assert got[(1, 11)]["best_level"] == 4 and got[(1, 11)]["n_matched"] == 1      # synonym; SQL Server only category
     assert got[(2, 10)]["best_level"] == 3 and got[(2, 10)]["skills_match"]        # "react" a whole word of "react native"
+
+
+def test_at_k_reads_the_lists_once(spark):
+    from pyspark.sql import functions as F
+    pq = spark.createDataFrame([(1, 0.5, 1.0), (2, 1.0, 0.0)], "q long, m_5 double, m_10 double")
+    out = ev.at_k(pq, [5, 10], {"m": lambda k: F.avg(f"m_{k}")})
+    assert sorted(tuple(r) for r in out.collect()) == [(5, 0.75), (10, 0.5)]
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
