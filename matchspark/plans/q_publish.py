@@ -20,6 +20,7 @@ from matchspark.plans.catalog import register
 from matchspark.plans.q_search import active_job_df, main_cv_df
 from matchspark.plans.sqlparts import cascade_ctes, title_topk_cte, with_views
 from matchspark.schemas import ENUMS
+from matchspark.session import checkpointed
 from matchspark.sources.adapters import AS_OF, cv_view, job_view
 from matchspark.sources.tables import read_table
 
@@ -53,9 +54,9 @@ def old_recs(spark, sf):
         query_vec="title_vec", item_id="job_id", item_vec="title_vec"))
 
 
-def new_recs(spark, sf):
+def new_recs(spark, sf, candidates=None):
     """This run: cascade 50/20/10 for the main CVs."""
-    return cascade(main_cv_df(spark, sf), active_job_df(spark, sf), k1=50, k2=20, k3=10)
+    return cascade(main_cv_df(spark, sf), active_job_df(spark, sf), k1=50, k2=20, k3=10, candidates=candidates)
 
 
 def stored_similar(spark, sf):
@@ -91,7 +92,7 @@ def q_publish_two_writers(spark, sf):
     both survive."""
     base = f"{runs.fresh_warehouse(spark)}/recommend_jobs_for_cv"
     publish_edges(spark, base, old_recs(spark, sf).select("cv_id", "job_id", "similarity", "rank"), "cv_id")
-    new, cvs = new_recs(spark, sf), main_cv_df(spark, sf).select("cv_id")
+    new, cvs = checkpointed(new_recs(spark, sf)), main_cv_df(spark, sf).select("cv_id")
     halves = [prepare_replace(spark, base, new.where(F.col("cv_id") % 2 == i), "cv_id", cvs.where(F.col("cv_id") % 2 == i)) for i in (0, 1)]
     for half in halves:
         commit_replace(spark, half)
@@ -113,9 +114,9 @@ def q_publish_one_bucket(spark, sf):
 
 
 def _batch(spark, sf):
-    c1 = round1(main_cv_df(spark, sf), active_job_df(spark, sf), 50).select(
-        "cv_id", "job_id", F.col("title_sim").alias("similarity"), F.lit(1).alias("seq"))
-    c3 = new_recs(spark, sf).select("cv_id", "job_id", "similarity", F.lit(2).alias("seq"))
+    found = checkpointed(round1(main_cv_df(spark, sf), active_job_df(spark, sf), 50))     # searched once for both parts
+    c1 = found.select("cv_id", "job_id", F.col("title_sim").alias("similarity"), F.lit(1).alias("seq"))
+    c3 = new_recs(spark, sf, found).select("cv_id", "job_id", "similarity", F.lit(2).alias("seq"))
     return c1.unionByName(c3)
 
 
