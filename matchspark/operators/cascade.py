@@ -155,7 +155,7 @@ class Best:
         self.parts, self.cvs, self.rows, self.limit = [], [], 0, EDGES_HELD
 
 
-def _score_edges(columns: list[str], score: str, k: int, tie: str) -> Callable:
+def _score_edges(columns: list[str], score: str, k: int | None, tie: str | None) -> Callable:
     def scored(jobs: Vectors, cvs: Vectors, part: pa.RecordBatch) -> tuple[np.ndarray, pa.RecordBatch]:
         lists = part.column("_e")
         edges, row = lists.flatten(), pc.list_parent_indices(lists)
@@ -174,7 +174,7 @@ def _score_edges(columns: list[str], score: str, k: int, tie: str) -> Callable:
         return c[at], pa.RecordBatch.from_arrays([*out, pa.array(s, mask=np.isnan(s) if cvs.gaps or jobs.gaps else None)], names=[*columns, score])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held, sides, best = None, {}, {}, Best(k, score, tie)
+        tile, held, sides, best = None, {}, {}, Best(k or 0, score, tie)
         for batch in batches:
             for (t, side), part in runs_of(batch, ["_t", "_side"]):
                 if t != tile:
@@ -188,15 +188,20 @@ def _score_edges(columns: list[str], score: str, k: int, tie: str) -> Callable:
                 if not sides:
                     continue
                 for x in range(0, part.num_rows, ROWS_AT_ONCE):
-                    best.add(*scored(sides[0], sides[1], part.slice(x, ROWS_AT_ONCE)))
+                    cv, edges = scored(sides[0], sides[1], part.slice(x, ROWS_AT_ONCE))
+                    if k is None:
+                        yield edges
+                    else:
+                        best.add(cv, edges)
         yield from best.lists()
 
     return run
 
 
-def _scored(edges: DataFrame, cvs: DataFrame, jobs: DataFrame, cv_field: str, job_field: str, score: str, k: int, tie: str) -> DataFrame:
+def _scored(edges: DataFrame, cvs: DataFrame, jobs: DataFrame, cv_field: str, job_field: str, score: str, k: int | None = None,
+            tie: str | None = None) -> DataFrame:
     """``edges`` with the score of one field pair; edges to unknown jobs or CVs are dropped (inner join). Of each CV and group of jobs
-    the ``k`` best leave the tile (ties by the column ``tie``), so the window that ranks them sorts lists, not all candidates."""
+    the ``k`` best leave the tile (ties by the column ``tie``; no ``k``: all), so the window that ranks them sorts lists, not all candidates."""
     n_cv, n_job, dim = _pair_stats(cvs, cv_field, jobs, job_field)
     groups = max(1, math.ceil(n_job * max(1, dim) * 8 / GROUP_BYTES))
     shares = max(1, min(math.ceil(n_cv / SHARE_CVS), SHARES), math.ceil(n_cv / MOST_CVS), math.ceil(n_cv * max(1, dim) * 8 / GROUP_BYTES))

@@ -512,6 +512,10 @@ def plan_cells_udf(centroids: np.ndarray, bounds: np.ndarray, take: int):
     return plan
 
 
+#: share of the cells not read yet that the unfinished queries still need on average, from which they are read in one round
+READ_REST = 0.5
+
+
 @dataclass
 class BoundedSearch:
     result: DataFrame    # (out_query, out_item, similarity, rank), equal to exact search
@@ -522,7 +526,8 @@ class BoundedSearch:
 def search_bounded(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_vec: str, out_query: str | None = None,
                    out_item: str | None = None, exclude_self: bool = False, block_rows: int = 2048, growth: int = 4,
                    folder: str | None = None) -> BoundedSearch:
-    """Exact top-k per query that reads only the cells which may hold a better row, in rounds of ``growth`` times as many cells.
+    """Exact top-k per query that reads only the cells which may hold a better row, in rounds of ``growth`` times as many cells; the
+    rest at once where the bounds rule out less than half of it.
 
     Each round is a join of the unfinished queries with their next cells; its lists (at most k rows a query) and what is left
     to read are tables in ``folder`` (shared storage), so a lost executor costs one round at most."""
@@ -542,6 +547,12 @@ def search_bounded(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str
             F.col(query_id).alias("_q"), F.col(query_vec).alias("_v"), F.lit(0).alias("_done"), F.lit(-2.0).alias("_beat"))
         lists, parts, done, rounds = None, [], 0, 0
         while done < index.nlist:
+            if rounds and done + take < index.nlist:
+                # where the bounds rule out little, further rounds would only shuffle and sort the lists again: the rest is read at once
+                rest = plan_cells_udf(index.centroids, index.bounds, index.nlist)
+                open_ = left.select(rest("_v", "_done", "_beat").alias("_p")).agg(F.avg("_p.cells").alias("n")).first()["n"]
+                if (open_ or 0) >= READ_REST * (index.nlist - done):
+                    take = index.nlist - done
             plan = plan_cells_udf(index.centroids, index.bounds, take)
             asked = left.select("_q", "_v", plan("_v", "_done", "_beat").alias("_p")).select("_q", "_v", F.col("_p.reads").alias("_reads"), "_p.cells", "_p.rows")
             asked = materialize(asked.where(F.col("cells") > 0), os.path.join(folder, f"asked-{rounds}"))
