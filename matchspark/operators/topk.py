@@ -3,8 +3,8 @@
 The corpus is cut into groups (a hash of the item id, or given cells), each of which fits into one task; the queries are dealt over the
 tasks of every group. A tile (group, share of the queries) is one task: it gets the rows of its group first and keeps them as one matrix of
 unit vectors, then its queries stream through in blocks of ``block_rows``. A block of queries meets the group in products of at most ``block_rows`` x
-``block_rows`` in float64 and keeps the running k best of each query, so that only scores above the k-th so far are looked at; k rows per
-query and group leave the task. The global top-k is a window ``row_number() <= k`` over them. A query is there once per group and a
+``block_rows`` and keeps the running k best of each query, so that only scores above the k-th so far are looked at: once a list is full, a product
+in float32 tells which pairs may reach it by the bound of its error, and these are scored in float64. k rows per query and group leave the task. The global top-k is a window ``row_number() <= k`` over them. A query is there once per group and a
 corpus row once per share of the queries: what is shuffled grows with the rows, not with the pairs of blocks, and what a task holds is bounded
 by the group (``GROUP_BYTES``), one block of queries and its lists.
 
@@ -36,6 +36,8 @@ GROUP_BYTES, LEAST_GROUP_BYTES = 64 << 20, 16 << 20
 PAIRS_LEAST, PAIRS_MOST, TASKS = 50_000_000, 10_000_000_000, 64
 #: entries of the running lists of one block of queries
 LIST_ENTRIES = 1_000_000
+#: pairs scored again in double at once, and the length from which vectors are not looked at in single precision
+HITS_AT_ONCE, LONGEST = 32_768, 1e15
 
 
 # ---------------------------------------------------------------- tiles
@@ -103,6 +105,15 @@ def _best(s: np.ndarray, k: int) -> np.ndarray:
     return (above | (tie & (np.cumsum(tie, axis=1) <= room))) & np.isfinite(s)
 
 
+def _floor(s: np.ndarray, k: int, clamp: bool) -> np.ndarray:
+    """At most the k-th best score of each row, by the best of its stretches of columns."""
+    width = min(16, s.shape[1] // k)
+    n = s.shape[1] // width
+    tops = s[:, :n * width].reshape(len(s), n, width).max(axis=2)
+    kth = np.partition(tops, n - k, axis=1)[:, n - k]
+    return np.where(kth < 0, -np.inf, np.minimum(kth, 1.0)) if clamp else kth
+
+
 # ---------------------------------------------------------------- one tile
 class Group:
     """The corpus rows of a tile: ids in ascending order (an item is known by its place there), and per dimension the unit vectors, ordered by
@@ -133,6 +144,12 @@ class Group:
                     some = m[x:x + 2048]
                     self.blocks[d][1][to[begin + at[x:x + 2048]]] = _unit_rows(some) if normalize else some
             begin += batch.num_rows
+        # for the first look: the vectors in single precision, and the longest
+        self.short = {}
+        for d, (_, m, _, _) in self.blocks.items():
+            with np.errstate(over="ignore"):
+                self.short[d] = m.astype(np.float32)
+            self.short[d] = self.short[d], float(np.sqrt(np.einsum("ij,ij->i", m, m).max(initial=0.0)))
 
 
 class Lists:
@@ -201,14 +218,38 @@ def _tile(k: int, exclude_self: bool, clamp: bool, positive_only: bool, normaliz
                 offer(np.repeat(np.arange(len(ids)), len(some)), np.tile(some, len(ids)), np.zeros(len(ids) * len(some)))
         if d in group.blocks:
             places, units, cells, first = group.blocks[d]
+            short, longest = group.short[d]
+            length = np.sqrt(np.einsum("ij,ij->i", q, q))
+            off = (d + 8) * 2.0 ** -23 * longest * length + slack       # more than a product in single precision is off
+            fits = bool(np.isfinite(off).all() and longest < LONGEST and length.max(initial=0.0) < LONGEST)
+            rough = np.empty(len(q) * min(block_rows, len(units)), dtype=np.float32) if fits else None
+            near = np.empty(rough.shape, dtype=bool) if fits else None
             for asked, a, b in _stretches(reads, cells, first, len(ids)):
                 mine = q if len(asked) == len(q) else q[asked]
+                mine_short = mine.astype(np.float32) if fits else None
                 for x in range(a, b, block_rows):
                     y = min(b, x + block_rows)
-                    s = mine @ units[x:y].T
-                    hit = np.flatnonzero(s >= (lists.least[asked] - slack)[:, None])
-                    row, col = np.divmod(hit, y - x)
-                    offer(asked[row], places[x + col], s.ravel()[hit])
+                    least = lists.least[asked]
+                    if not fits:
+                        s = mine @ units[x:y].T
+                        hit = np.flatnonzero(s >= (least - slack)[:, None])
+                    elif np.isneginf(least).any():
+                        s = mine @ units[x:y].T
+                        if y - x > 2 * k:
+                            if exclude_self:
+                                s[code_q[asked][:, None] == code_c[places[x:y]]] = -np.inf
+                            least = np.maximum(least, _floor(s, k, clamp))
+                        hit = np.flatnonzero(s >= (least - slack)[:, None])
+                    else:
+                        n = len(mine) * (y - x)
+                        s, m = rough[:n].reshape(len(mine), -1), near[:n].reshape(len(mine), -1)
+                        np.matmul(mine_short, short[x:y].T, out=s)
+                        np.greater_equal(s, np.nextafter((least - off[asked]).astype(np.float32), np.float32(-np.inf))[:, None], out=m)
+                        hit = np.flatnonzero(m)
+                    # scored one by one, so that equal vectors have equal scores whatever product found them
+                    for c in range(0, len(hit), HITS_AT_ONCE):
+                        row, col = np.divmod(hit[c:c + HITS_AT_ONCE], y - x)
+                        offer(asked[row], places[x + col], np.einsum("ij,ij->i", mine[row], units[x + col]))
         lists.cut()
         row, col = np.nonzero(np.arange(max(1, int(lists.fill.max(initial=0)))) < lists.fill[:, None])
         return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), group.ids.take(pa.array(lists.place[row, col])), pa.array(lists.score[row, col])],

@@ -1,8 +1,10 @@
 """Exact blocked top-k against brute force on small fixtures."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from matchspark.operators import topk
 from matchspark.operators.topk import exact_top_k, weighted_top_k
 
 
@@ -183,3 +185,51 @@ def test_group_takes_its_batches_out_and_a_tile_runs_in_small_blocks():
     places, units, _, _ = group.blocks[3]
     want = (m / np.linalg.norm(m, axis=1)[:, None])[np.argsort(ids)]
     assert places.tolist() == list(range(50)) and np.allclose(units, want, atol=1e-15)
+
+
+def _tile_batches(q, c):
+    def side(v, s):
+        ids, none = pa.array(np.arange(len(v))), pa.nulls(len(v), pa.int64())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
+        zero = np.zeros(len(v), dtype=np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(zero), pa.array(zero + s), none if s == 0 else ids, ids if s == 0 else none, lists],
+                                          names=["_t", "_side", "_q", "_c", "_v"])
+    return [side(c, 0), side(q, 1)]
+
+
+def test_few_pairs_are_looked_at_closely(monkeypatch):
+    """A block of queries does not gather every pair of its first product before its lists are cut."""
+    offered = []
+    add = topk.Lists.add
+    monkeypatch.setattr(topk.Lists, "add", lambda self, row, place, score: (offered.append(len(row)), add(self, row, place, score))[1])
+    rng = np.random.default_rng(5)
+    q, c = rng.normal(size=(50, 16)), rng.normal(size=(6000, 16))
+    c[3000:3100] = c[:100]
+    out = list(topk._tile(10, False, False, False, True, False, 2048)(iter(_tile_batches(q, c))))
+    got = {}
+    for r in pa.Table.from_batches(out).to_pylist():
+        got.setdefault(r["q"], []).append((-r["s"], r["c"]))
+    want = _brute(q, c, range(50), range(6000), 10)
+    for i in range(50):
+        assert [x for _, x in sorted(got[i])] == [x for x, _ in want[i]]
+    assert sum(offered) < 50 * 6000 / 20
+
+
+@pytest.mark.parametrize("size", [1e-25, 1.0, 1e12, 1e30])
+@pytest.mark.parametrize("clamp,exclude,positive", [(False, False, False), (True, False, False), (False, True, False), (True, True, True)])
+def test_lengths_and_rules_of_the_first_look(size, clamp, exclude, positive):
+    """Inner products of vectors of any length, with clamped scores, self and equal vectors."""
+    rng = np.random.default_rng(6)
+    q, c = rng.normal(size=(30, 8)), rng.normal(size=(700, 8))
+    c[:30], c[350:380] = q, q
+    q, c = q * size, c / (size if size > 1 else size * 3)
+    s = np.round(q @ c.T, topk.DIGITS) + 0.0
+    if clamp:
+        s = np.clip(s, 0, 1)
+    run = topk._tile(7, exclude, clamp, positive, False, False, 64)
+    got = {}
+    for r in pa.Table.from_batches(list(run(iter(_tile_batches(q, c))))).to_pylist():
+        got.setdefault(r["q"], []).append((-r["s"], r["c"]))
+    for i in range(30):
+        ok = [j for j in np.lexsort((np.arange(700), -s[i])) if not (exclude and j == i) and not (positive and s[i, j] <= 0)][:7]
+        assert [x for _, x in sorted(got[i])] == pytest.approx(ok)
