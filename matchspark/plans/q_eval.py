@@ -413,7 +413,7 @@ nrel AS (SELECT cv_id, count(*) AS n_relevant FROM rule WHERE relevant GROUP BY
 def q_ndcg_rule(spark, sf):
     """NDCG and hit rate of the cascade's lists against the rule labels."""
     cvs, jobs = main_cv_df(spark, sf), active_job_df(spark, sf)
-    relevant = rule_relevant(spark, sf).where("relevant").select("cv_id", "job_id", F.lit(True).alias("_rel"))
+    relevant = checkpointed(rule_relevant(spark, sf).where("relevant").select("cv_id", "job_id", F.lit(True).alias("_rel")))   # read twice
     recs = cascade(cvs, jobs, k1=50, k2=20, k3=10).join(relevant, ["cv_id", "job_id"], "left").withColumn("rel", F.coalesce("_rel", F.lit(False)))
     pq = ev.per_query(recs, "cv_id", "rank", "rel", relevant.groupBy("cv_id").agg(F.count(F.lit(1)).alias("n_relevant")), KS)
     return ev.at_k(pq, KS, {"ndcg": lambda k: _r(F.avg(f"ndcg_{k}")),
