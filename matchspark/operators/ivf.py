@@ -545,10 +545,11 @@ def _bounds_rule_out_little(index: IvfIndex, asked: DataFrame, k: int, take: int
 
 def search_bounded(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str, query_vec: str, out_query: str | None = None,
                    out_item: str | None = None, exclude_self: bool = False, block_rows: int = 2048, growth: int = 4,
-                   folder: str | None = None) -> BoundedSearch:
+                   folder: str | None = None, corpus: tuple[DataFrame, str] | None = None) -> BoundedSearch:
     """Exact top-k per query that reads only the cells which may hold a better row, in rounds of ``growth`` times as many cells; the
     rest at once where the bounds rule out less than half of it, and everything in one exact search where ``PILOT`` of many queries tell so beforehand.
 
+    ``corpus``: the indexed rows and the name of their vector, for that search; else it reads the cells.
     Each round is a join of the unfinished queries with their next cells; its lists (at most k rows a query) and what is left
     to read are tables in ``folder`` (shared storage), so a lost executor costs one round at most."""
     spark = queries.sparkSession
@@ -566,7 +567,8 @@ def search_bounded(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str
         left = queries.where(present(query_vec) & (F.size(query_vec) == index.centroids.shape[1])).select(
             F.col(query_id).alias("_q"), F.col(query_vec).alias("_v"), F.lit(0).alias("_done"), F.lit(-2.0).alias("_beat"))
         if _bounds_rule_out_little(index, left.select("_q", "_v"), k, take, exclude_self, block_rows):
-            whole = top_k_lists(left, index.cells, k, query_id="_q", query_vec="_v", item_id=index.id_col, item_vec="unit", exclude_self=exclude_self,
+            asked, rows, vec = (left.withColumnsRenamed({"_q": query_id, "_v": query_vec}), index.cells, "unit") if corpus is None else (queries, *corpus)
+            whole = top_k_lists(asked, rows, k, query_id=query_id, query_vec=query_vec, item_id=index.id_col, item_vec=vec, exclude_self=exclude_self,
                                 block_rows=block_rows)
             cells = int((index.bounds[:, 0] > 0).sum())
             read = [left.select(F.col("_q").alias(query_id), F.lit(cells).alias("cells"), F.lit(filled).cast("long").alias("rows"))]
@@ -603,7 +605,7 @@ def search_bounded(index: IvfIndex, queries: DataFrame, k: int, *, query_id: str
                                                  out_query, out_item, "similarity", k))
     if whole is not None:
         found = whole.edges(out_query, out_item, "similarity", "rank")
-    more = _other_dimensions(index, queries, k, query_id, query_vec, out_query, out_item, exclude_self, block_rows)
+    more = _other_dimensions(index, queries, k, query_id, query_vec, out_query, out_item, exclude_self, block_rows) if whole is None or corpus is None else None
     what = read[0]
     for r in read[1:]:
         what = what.unionByName(r)

@@ -56,7 +56,7 @@ def title_lists(queries: DataFrame, query_id: str, jobs: DataFrame, k: int, cfg:
     ``folder``: the rounds' tables."""
     kw = dict(query_id=query_id, query_vec="title_vec", exclude_self=exclude_self)
     if cfg.strategy == "ivf" and cfg.bounded:
-        found = ivf_ops.search_bounded(index, queries, k, folder=folder, out_item=out_item, **kw)
+        found = ivf_ops.search_bounded(index, queries, k, folder=folder, out_item=out_item, corpus=(jobs, "title_vec"), **kw)
         return found.result if found.lists is None else found.lists
     if cfg.strategy == "ivf":
         return ivf_ops.search(index, queries, k, out_item=out_item, **kw)
