@@ -228,7 +228,8 @@ def _scored(edges: DataFrame | TopLists, cvs: DataFrame, jobs: DataFrame, cv_fie
     """``edges`` with the score of one field pair; edges to unknown jobs or CVs are dropped (inner join). Of each CV and group of jobs
     the ``k`` best leave the tile (ties by the column ``tie``; no ``k``: all), so the window that ranks them sorts lists, not all candidates."""
     n_cv, n_job, dim = _pair_stats(cvs, cv_field, jobs, job_field)
-    groups = max(1, math.ceil(n_job * max(1, dim) * 8 / GROUP_BYTES))
+    groups = max(1, math.ceil(n_job * max(1, dim) * (4 if jobs.schema[job_field].dataType == cvs.schema[cv_field].dataType == T.ArrayType(T.FloatType()) else 8)
+                              / GROUP_BYTES))
     lists = None
     if isinstance(edges, TopLists):
         # pieces of lists are of one group of the jobs each, in the number of groups of their search

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from matchspark.functions.vector import present
 
 DIGITS = 12
-#: bytes of float64 corpus vectors that a task holds at most (a broadcast limit below it asks for smaller groups, but not below the least)
+#: bytes of float64 corpus vectors that a task holds at most, besides half as many in single precision (a broadcast limit below it asks for smaller groups, but not below the least)
 GROUP_BYTES, LEAST_GROUP_BYTES = 64 << 20, 16 << 20
 #: pairs that a task scores at least and at most, and the number of tasks up to which they get no more than the least
 PAIRS_LEAST, PAIRS_MOST, TASKS = 50_000_000, 10_000_000_000, 64
@@ -43,7 +43,7 @@ LIST_ENTRIES = 1_000_000
 HITS_AT_ONCE, LONGEST = 32_768, 1e15
 #: cells and columns of a first look at most, entries that a block of queries holds before they are cut to its lists, and the share of the group
 #: that a block must read for a look at all of it
-LOOK_CELLS, LOOK_COLUMNS, HELD, LOOK_SHARE = 8_000_000, 1 << 17, 1_000_000, 0.25
+LOOK_CELLS, LOOK_COLUMNS, HELD, LOOK_SHARE = 8_000_000, 1 << 19, 1_000_000, 0.25
 #: entries in a row of a list that travels
 PIECE = 128
 
@@ -123,6 +123,26 @@ def _floor(s: np.ndarray, k: int, clamp: bool) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- one tile
+class UnitRows:
+    """Unit vectors of single-precision rows, made when they are asked for: what is held is a third of the vectors in both precisions."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw, self.norm = raw, np.ones(len(raw))
+        for x in range(0, len(raw), 2048):
+            m = raw[x:x + 2048].astype(np.float64)
+            self.norm[x:x + 2048] = np.sqrt(np.einsum("ij,ij->i", m, m))
+        self.plain = bool(((self.norm == 0) | ((self.norm >= 1 / LONGEST) & (self.norm <= LONGEST))).all())   # no length is out of the range of products
+        self.norm[self.norm == 0] = 1.0
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def __getitem__(self, at) -> np.ndarray:
+        m = self.raw[at].astype(np.float64)
+        m /= self.norm[at][..., None]
+        return m
+
+
 class Group:
     """The corpus rows of a tile: ids in ascending order (an item is known by its place there), and per dimension the unit vectors, ordered by
     cell and place."""
@@ -135,6 +155,7 @@ class Group:
         place = np.empty(len(ids), dtype=np.int64)
         place[order.to_numpy()] = np.arange(len(ids))
         named = "_cell" in batches[0].schema.names
+        single = normalize and pa.types.is_float32(batches[0].column("_v").type.value_type)
         cells = np.concatenate([b.column("_cell").to_numpy(zero_copy_only=False) for b in batches]) if named else np.zeros(len(ids), dtype=np.int64)
         sizes = np.concatenate([pc.fill_null(pc.list_value_length(b.column("_v")), -1).to_numpy(zero_copy_only=False) for b in batches])
         self.blocks, to = {}, np.zeros(len(ids), dtype=np.int64)        # dimension: (places, unit vectors, cells, first row of each cell)
@@ -143,21 +164,28 @@ class Group:
             o = np.lexsort((place[at], cells[at]))
             to[at[o]] = np.arange(len(at))
             cell, first = np.unique(cells[at][o], return_index=True)
-            self.blocks[d] = (place[at][o], np.empty((len(at), d)), cell, np.append(first, len(at)))
+            self.blocks[d] = (place[at][o], np.empty((len(at), d), dtype=np.float32 if single else np.float64), cell, np.append(first, len(at)))
         begin, batches[:] = 0, batches[::-1]
         while batches:
             batch = batches.pop()
             for d, at, m in by_dimension(batch.column("_v")):
                 for x in range(0, len(at), 2048):
                     some = m[x:x + 2048]
-                    self.blocks[d][1][to[begin + at[x:x + 2048]]] = _unit_rows(some) if normalize else some
+                    self.blocks[d][1][to[begin + at[x:x + 2048]]] = _unit_rows(some) if normalize and not single else some
             begin += batch.num_rows
-        # for the first look: the vectors in single precision, and the longest
+        # for the first look: the vectors in single precision, the longest, and what the products are scaled by
         self.short = {}
-        for d, (_, m, _, _) in self.blocks.items():
+        for d, (places, m, cell, first) in self.blocks.items():
+            if single:
+                units = UnitRows(m)
+                self.blocks[d] = places, units if units.plain else _unit_rows(m), cell, first
+                if units.plain:
+                    self.short[d] = m, 1.0, (1 / units.norm).astype(np.float32)
+                    continue
+                m = self.blocks[d][1]
             with np.errstate(over="ignore"):
                 self.short[d] = m.astype(np.float32)
-            self.short[d] = self.short[d], float(np.sqrt(np.einsum("ij,ij->i", m, m).max(initial=0.0)))
+            self.short[d] = self.short[d], float(np.sqrt(np.einsum("ij,ij->i", m, m).max(initial=0.0))), None
 
 
 class Lists:
@@ -260,7 +288,7 @@ def _tile(k: int, exclude_self: bool, clamp: bool, positive_only: bool, normaliz
 
     def looked(group: Group, ids: pa.Array, d: int, q: np.ndarray, off: np.ndarray, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k best of each query by a look at the whole group. ``bits``: which cells each query reads."""
-        held, (places, units, _, first), short = Held(len(ids), k), group.blocks[d], group.short[d][0]
+        held, (places, units, _, first), (short, _, scale) = Held(len(ids), k), group.blocks[d], group.short[d]
         cell = None if bits is None else np.repeat(np.arange(len(first) - 1), np.diff(first))
         if exclude_self:
             code_q, code_c = _codes(ids, group.ids)
@@ -292,6 +320,8 @@ def _tile(k: int, exclude_self: bool, clamp: bool, positive_only: bool, normaliz
             for a in range(0, len(ids), step):
                 b = min(len(ids), a + step)
                 s = q[a:b].astype(np.float32) @ short[x:y].T
+                if scale is not None:
+                    s *= scale[x:y]
                 if bits is not None:
                     np.copyto(s, np.float32(-np.inf), where=~bits[a:b][:, cell[x:y]])
                 if exclude_self:
@@ -347,7 +377,7 @@ def _tile(k: int, exclude_self: bool, clamp: bool, positive_only: bool, normaliz
             offer(np.repeat(np.arange(len(ids)), len(some)), np.tile(some, len(ids)), np.zeros(len(ids) * len(some)))
         if d in group.blocks:
             places, units, cells, first = group.blocks[d]
-            short, (off, fits) = group.short[d][0], limits(group, d, q)
+            (short, _, scale), (off, fits) = group.short[d], limits(group, d, q)
             rough = np.empty(len(q) * min(block_rows, len(units)), dtype=np.float32) if fits else None
             near = np.empty(rough.shape, dtype=bool) if fits else None
             for asked, a, b in _stretches(reads, cells, first, len(ids)):
@@ -370,6 +400,8 @@ def _tile(k: int, exclude_self: bool, clamp: bool, positive_only: bool, normaliz
                         n = len(mine) * (y - x)
                         s, m = rough[:n].reshape(len(mine), -1), near[:n].reshape(len(mine), -1)
                         np.matmul(mine_short, short[x:y].T, out=s)
+                        if scale is not None:
+                            s *= scale[x:y]
                         np.greater_equal(s, np.nextafter((least - off[asked]).astype(np.float32), np.float32(-np.inf))[:, None], out=m)
                         hit = np.flatnonzero(m)
                     # scored one by one, so that equal vectors have equal scores whatever product found them
@@ -582,7 +614,9 @@ def top_k_lists(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str,
     if n_q == 0 or n_c == 0 or k <= 0:
         return TopLists(queries.sparkSession.createDataFrame([], lists_schema(queries.schema[query_id].dataType, corpus.schema[item_id].dataType, "g")), 1)
     room = min(GROUP_BYTES, max(LEAST_GROUP_BYTES, broadcast_limit_bytes))
-    groups = math.ceil(n_c * max(1, dim) * 8 / room)
+    # a group of vectors in double is held in both precisions, one of floats as it is
+    single = normalize and {queries.schema[query_vec].dataType, corpus.schema[item_vec].dataType} == {T.ArrayType(T.FloatType())}
+    groups = math.ceil(n_c * max(1, dim) * (8 / 3 if single else 8) / room)
     shares = tiles_of(n_q, n_c, groups)
     at = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
