@@ -21,8 +21,8 @@ from matchspark.functions.vector import present
 from matchspark.operators import ivf as ivf_ops
 from matchspark.operators.cascade import cascade
 from matchspark.operators.embed import incremental_embed
-from matchspark.operators.increment import Updated, changed_ids, entity_hashes, update_lists, with_floor
-from matchspark.operators.publish import publish_edges, read_current, remove_folder
+from matchspark.operators.increment import Updated, as_lists, changed_ids, entity_hashes, entries, first_of, update_lists, with_floor
+from matchspark.operators.publish import BUCKET_ROWS, FEWEST_BUCKETS, MOST_BUCKETS, publish_edges, read_current, remove_folder
 from matchspark.operators.topk import TopLists, top_k_lists
 from matchspark.session import ensure_checkpoint_dir, materialize
 
@@ -175,11 +175,11 @@ def incremental_run(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: M
     out, counters = {}, []
     for name, own, key, changed, k, self_out in (("cv", queries, "cv_id", cv_titles, k_cv, False),
                                                  ("job", corpus, "job_id", job_titles, cfg.similar_top_k, True)):
-        old = read_current(spark, os.path.join(state, f"lists-{name}"))
+        old = read_current(spark, os.path.join(state, f"title-lists-{name}"))
 
         def search(asked, n, key=key, self_out=self_out, name=name):
-            found = title_search(asked, key, corpus, n, cfg, index, "_item", os.path.join(work, f"search-{name}"), exclude_self=self_out)
-            return materialize(found.select(F.col(key).alias("q"), F.col("_item").alias("item"), "similarity", "rank"), os.path.join(work, f"found-{name}"))
+            found = title_lists(asked, key, corpus, n, cfg, index, "_item", os.path.join(work, f"search-{name}"), exclude_self=self_out)
+            return as_lists(found if isinstance(found, TopLists) else found.select(F.col(key).alias("q"), F.col("_item").alias("item"), "similarity", "rank"))
 
         def keep(df, what, name=name):
             return materialize(df, os.path.join(work, f"{name}-{what}"))
@@ -204,26 +204,32 @@ def incremental_run(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: M
         # lists whose titles stay, but whose CV or one of whose candidates has other skills, experience or requirements
         rest = old.join(touched, "q", "left_anti").join(queries.select(F.col("cv_id").alias("q")), "q", "left_semi")
         other = rest.join(cv_any.withColumnRenamed("id", "q"), "q", "left_semi").select("q").unionByName(
-            rest.join(job_any.withColumnRenamed("id", "item"), "item", "left_semi").select("q")).distinct()
+            rest.select("q", F.explode("c").alias("item")).join(job_any.withColumnRenamed("id", "item"), "item", "left_semi").select("q")).distinct()
         other = materialize(other, os.path.join(work, "cv-other"))
         redo, lists_now = touched.unionByName(other), lists.unionByName(rest.join(other, "q", "left_semi").select(*lists.columns))
     else:
         lists_now = lists
-    best = lists_now.where(F.col("rank") <= k_cv).select(F.col("q").alias("cv_id"), F.col("item").alias("job_id"), "similarity", "rank")
+    best = first_of(lists_now, k_cv)
     recs = cascade(queries, corpus, k1=cfg.cascade_k1, k2=cfg.cascade_k2, k3=cfg.cascade_k3,
-                   candidates=best.withColumnsRenamed({"similarity": "title_sim", "rank": "r1"})) if cfg.use_cascade else best
+                   candidates=TopLists(best.withColumn("g", F.lit(0)), 1)) if cfg.use_cascade else entries(best).withColumnsRenamed({"q": "cv_id", "item": "job_id"})
     publish_edges(spark, rec_base, recs.select("cv_id", "job_id", "similarity", "rank", stamp), "cv_id", processed_keys=redo.withColumnRenamed("q", "cv_id"))
-    publish_edges(spark, os.path.join(state, "lists-cv"), lists, "q", processed_keys=touched)
+    publish_lists(spark, os.path.join(state, "title-lists-cv"), lists, touched)
     lists, touched, _ = out["job"]
-    sims = lists.where(F.col("rank") <= cfg.similar_top_k).select(F.col("q").alias("job_id"), F.col("item").alias("similar_job_id"), "similarity", "rank", stamp)
+    sims = entries(first_of(lists, cfg.similar_top_k)).select(F.col("q").alias("job_id"), F.col("item").alias("similar_job_id"), "similarity", "rank", stamp)
     publish_edges(spark, sim_base, sims, "job_id", processed_keys=touched.withColumnRenamed("q", "job_id"))
-    publish_edges(spark, os.path.join(state, "lists-job"), lists, "q", processed_keys=touched)
+    publish_lists(spark, os.path.join(state, "title-lists-job"), lists, touched)
     for name, hashes, changed in (("cvs", cv_hashes, cv_any), ("jobs", job_hashes, job_any)):
         publish_edges(spark, os.path.join(state, name), hashes.join(changed, "id", "left_semi"), "id", processed_keys=changed)
     remove_folder(spark, work)
     return RunResult(recommendations=read_current(spark, rec_base), similar=read_current(spark, sim_base), stats=stats)
 
 
+def publish_lists(spark: SparkSession, base: str, lists: DataFrame, touched: DataFrame) -> None:
+    """Keyed replace of stored lists; a table is cut into buckets by the entries that it holds."""
+    n = lists.agg(F.sum(F.size("c"))).first()[0] or 0
+    publish_edges(spark, base, lists, "q", processed_keys=touched, buckets=min(MOST_BUCKETS, max(FEWEST_BUCKETS, 1 << (n // BUCKET_ROWS).bit_length())))
+
+
 def counter_rows(parts: list[DataFrame]) -> DataFrame:
     """(metric, value) rows of one-row aggregates."""
     out = None
