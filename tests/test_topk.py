@@ -241,8 +241,8 @@ def test_lists_of_groups_and_repeated_ids_are_merged(spark, monkeypatch):
     from pyspark.sql import functions as F
     from matchspark.functions.vector import cosine
 
-    monkeypatch.setattr(topk, "GROUP_BYTES", 600)
-    monkeypatch.setattr(topk, "LEAST_GROUP_BYTES", 600)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 200)
+    monkeypatch.setattr(topk, "LEAST_GROUP_BYTES", 200)
     monkeypatch.setattr(topk, "PIECE", 3)
     rng = np.random.default_rng(12)
     vec = lambda n: [[float(x) for x in v] for v in rng.normal(size=(n, 3))]
