@@ -165,7 +165,7 @@ def update_lists(old: DataFrame, queries: DataFrame, corpus: DataFrame, changed_
     known = old.select("q").distinct()
     fresh = asked.select("q").join(gone_q, "q", "left_semi").unionByName(asked.select("q").join(known, "q", "left_anti")).distinct()
     again = keep(short.unionByName(fresh).distinct().join(asked.select("q"), "q", "left_semi"), "again")
-    found = with_floor(search(queries.join(again.withColumnRenamed("q", query_id), query_id, "left_semi"), most), most)
+    found = keep(with_floor(search(queries.join(again.withColumnRenamed("q", query_id), query_id, "left_semi"), most), most), "found")
     lists = merged.join(again, "q", "left_anti").unionByName(found)
     touched = reached.unionByName(again).unionByName(gone_q).distinct()
     return Updated(lists, touched, again)

@@ -186,11 +186,11 @@ def incremental_run(spark: SparkSession, cvs: DataFrame, jobs: DataFrame, cfg: M
 
         ids = own.select(F.col(key).alias("q"))
         if old is None:         # first run: every list
-            upd = Updated(with_floor(search(own, k + cfg.reserve), k + cfg.reserve), ids, ids)
+            upd = Updated(keep(with_floor(search(own, k + cfg.reserve), k + cfg.reserve), "lists"), ids, ids)
         else:
             upd = update_lists(old, own, corpus, changed, job_titles, k=k, reserve=cfg.reserve, query_id=key, query_vec="title_vec", item_id="job_id",
                                item_vec="title_vec", exclude_self=self_out, search=search, keep=keep)
-        lists, touched = keep(upd.lists, "lists"), keep(upd.touched, "touched")
+        lists, touched = upd.lists, keep(upd.touched, "touched")       # the lists are read from tables
         counters += [touched.join(ids, "q", "left_semi").agg(F.count(F.lit(1)).alias(f"{name}_lists_made")),
                      upd.searched.agg(F.count(F.lit(1)).alias(f"{name}_lists_searched")), ids.agg(F.count(F.lit(1)).alias(f"{name}_lists"))]
         out[name] = (lists, touched, old)
